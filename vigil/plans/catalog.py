@@ -1,38 +1,18 @@
-"""Registered queries: one Spark builder per operator, plus its DuckDB oracle.
+"""Registered queries (hunting summaries and behavioural baselines).
 
-``QUERIES[name]`` is a callable ``(spark, sf_dir) -> DataFrame``; ``ORACLE[name]``
-(when present) is SQL over the raw driver tables that must give the same rows.
-Output columns are aliased identically on both sides; doubles that come from
-division are rounded to 6 digits on both sides, sums are cast to BIGINT.
+Importing this module also imports the other query modules, so
+``QUERIES``/``ORACLE`` hold the full catalogue.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.sources.fixture import ORACLE_PREFIX, scored_logs, security_logs
 from vigil.operators import hunting as H
 from vigil.operators import ueba as U
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = ORACLE_PREFIX + sql
-        return fn
-    return deco
-
-
-def r6(c: str, alias: str | None = None):
-    return F.round(F.col(c), 6).alias(alias or c)
-
+from vigil.plans.registry import ORACLE, QUERIES, register, r6  # noqa: F401
+from vigil.sources.fixture import ORACLE_PREFIX, scored_logs, security_logs
 
 # ============================================================ hunting summaries
 @register("user_activity_summary", """
@@ -314,3 +294,7 @@ def q_sample_every_10th(spark, sf):
     s = U.ueba_scores(security_logs(spark, sf))
     return s.filter(F.col("n") % 10 == 0).select("event_id", "user_id", F.col("n").cast("long").alias("n"),
                                                  "anomaly_score")
+
+
+# other query modules register themselves on import
+from vigil.plans import q_investigate  # noqa: E402,F401

@@ -90,3 +90,20 @@ def with_running_mode(df: DataFrame, attr: str, prefix: str, key: str, out: str)
     cand = F.struct(F.col(f"_{prefix}_c").alias("c"), (-carry["fs"]).alias("nfs"), F.col(attr).alias("v"))
     df = df.withColumn(out, F.greatest(F.col(f"{prefix}_prev"), F.max(cand).over(w_run))["v"])
     return df.drop(f"_{prefix}_c")
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """1-based position of each row in a total order, without a single-partition
+    window: range-sort, tag partitions, and add the row counts of earlier
+    partitions.  The offsets table has one row per partition (a bound fixed by
+    the partition count), so it is broadcast."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    tagged = df.orderBy(*order).withColumn(GID, F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftright(F.col(GID), 33)
+    counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"), F.min(GID).alias("_g0"))
+    offsets = counts.select("_p", "_g0", (F.sum("_cnt").over(Window.orderBy("_p").rowsBetween(UNB, -1)))
+                            .alias("_off"))
+    out = tagged.join(F.broadcast(offsets), part == F.col("_p"))
+    rank = F.coalesce(F.col("_off"), F.lit(0)) + (F.col(GID) - F.col("_g0")) + 1
+    return out.withColumn(name, rank.cast("long")).drop(GID, "_p", "_g0", "_off")
