@@ -84,3 +84,12 @@ def rjust(x, width: int) -> Column:
     """Python ``f'{x:>w}'`` (pads, never cuts)."""
     x = _c(x).cast("string")
     return F.when(F.length(x) >= width, x).otherwise(F.lpad(x, width, " "))
+
+
+def iso_text(ts) -> Column:
+    """Python ``datetime.isoformat()``: 'T' separator, 6 fraction digits only
+    when the microseconds are non-zero."""
+    ts = _c(ts)
+    frac = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
