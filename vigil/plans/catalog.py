@@ -299,3 +299,4 @@ def q_sample_every_10th(spark, sf):
 # other query modules register themselves on import
 from vigil.plans import q_investigate  # noqa: E402,F401
 from vigil.plans import q_alerts  # noqa: E402,F401
+from vigil.plans import q_ml  # noqa: E402,F401
