@@ -300,3 +300,4 @@ def q_sample_every_10th(spark, sf):
 from vigil.plans import q_investigate  # noqa: E402,F401
 from vigil.plans import q_alerts  # noqa: E402,F401
 from vigil.plans import q_ml  # noqa: E402,F401
+from vigil.plans import q_stream  # noqa: E402,F401
