@@ -77,33 +77,42 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
 
     sums = {"n": "*", "sh": "hour", "sf": "files", "su": "upload", "sh2": "hour2", "sf2": "files2"}
     prefix = chunk_prefix(seq, "user_id", sums)
-    loc = running_mode_carry(seq, "user_id", "loc_key", "loc")
-    dev = running_mode_carry(seq, "user_id", "dev_key", "dev")
-    carries = prefix.join(loc, ["user_id", CHUNK]).join(dev, ["user_id", CHUNK])
+    modes = running_mode_carry(seq, "user_id", {"loc": "loc_key", "dev": "dev_key"})
+    carries = prefix.join(modes, ["user_id", CHUNK])
 
     rows = seq.join(carries, ["user_id", CHUNK])
     w = Window.partitionBy("user_id", CHUNK).orderBy(GID)
     run = w.rowsBetween(UNB, 0)
     rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("n", F.col("n_before") + F.col("pos"))
-    for name, col in [("sh", "hour"), ("sf", "files"), ("su", "upload"), ("sh2", "hour2"), ("sf2", "files2")]:
+    names = ["sh", "sf", "su", "sh2", "sf2"]
+    for name, col in zip(names, ["hour", "files", "upload", "hour2", "files2"]):
         rows = rows.withColumn(f"cs_{name}", F.col(f"{name}_before") + F.sum(col).over(run))
-        rows = rows.withColumn(f"lag_{name}", F.lag(f"cs_{name}", window).over(w))
     rows = with_running_mode(rows, "loc_key", "loc", "user_id", "usual_location")
     rows = with_running_mode(rows, "dev_key", "dev", "user_id", "usual_device")
 
     # Means over the last `window` rows: prefix sum minus the prefix sum `window`
-    # rows back.  Inside a chunk that is a lag; rows whose window starts in an
-    # earlier chunk (at most `window` per (user, chunk)) get it from a join.
-    names = ["sh", "sf", "su", "sh2", "sf2"]
-    needs_join = (F.col("n") > window) & (F.col("pos") <= window)
-    direct = rows.filter(~needs_join).select(
-        "*", *[F.when(F.col("n") > window, F.col(f"lag_{x}")).otherwise(F.lit(0)).alias(f"back_{x}")
-               for x in names])
-    refs = rows.filter(F.col("n") + window > F.col("n_end")).select(
-        "user_id", F.col("n").alias("_ref_n"), *[F.col(f"cs_{x}").alias(f"back_{x}") for x in names])
-    joined = (rows.filter(needs_join).withColumn("_ref_n", F.col("n") - window)
-                  .join(refs, ["user_id", "_ref_n"], "left").drop("_ref_n"))
-    rows = direct.unionByName(joined)
+    # rows back.  Whether any user has more than `window` events is read from
+    # the small per-chunk table; if none has, every mean is cs / n (one pass).
+    longest = prefix.select(F.max("n_end")).first()[0] or 0
+    if longest <= window:
+        rows = rows.select("*", *[F.lit(0).cast("long").alias(f"back_{x}") for x in names])
+    else:
+        # Inside a chunk the value `window` rows back is a lag; rows whose window
+        # starts in an earlier chunk (at most `window` per (user, chunk)) get it
+        # from an equi-join on (user, position).  The windowed rows feed three
+        # branches, so they are written once (reliable checkpoint).
+        for x in names:
+            rows = rows.withColumn(f"lag_{x}", F.lag(f"cs_{x}", window).over(w))
+        rows = rows.checkpoint(eager=True)
+        needs_join = (F.col("n") > window) & (F.col("pos") <= window)
+        direct = rows.filter(~needs_join).select(
+            "*", *[F.when(F.col("n") > window, F.col(f"lag_{x}")).otherwise(F.lit(0)).alias(f"back_{x}")
+                   for x in names])
+        refs = rows.filter(F.col("n") + window > F.col("n_end")).select(
+            "user_id", F.col("n").alias("_ref_n"), *[F.col(f"cs_{x}").alias(f"back_{x}") for x in names])
+        joined = (rows.filter(needs_join).withColumn("_ref_n", F.col("n") - window)
+                      .join(refs, ["user_id", "_ref_n"], "left").drop("_ref_n"))
+        rows = direct.unionByName(joined)
 
     cnt = F.least(F.col("n"), F.lit(window)).cast("double")
 

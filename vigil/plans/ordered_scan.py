@@ -58,26 +58,37 @@ def chunk_prefix(seq: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
     return per.select(*cols)
 
 
-def running_mode_carry(seq: DataFrame, key: str, attr: str, prefix: str) -> DataFrame:
-    """Carries for a running mode of ``attr`` per key, ties to the first-seen value.
-
-    For each (key, chunk): ``<prefix>_carry`` maps every value present in the
-    chunk to (count in earlier chunks, first-seen position), and
-    ``<prefix>_prev`` is the best (count, -first_seen, value) over all earlier
-    chunks.  The map holds at most the distinct values of ``attr`` in one
-    chunk of one key (bounded by the attribute's domain, e.g. countries).
+def running_mode_carry(seq: DataFrame, key: str, attrs: dict[str, str]) -> DataFrame:
+    """Carries for running modes of several attributes per key, ties to the
+    first-seen value, in one pipeline (attributes are stacked as rows).
+
+    ``attrs`` maps a prefix to a string column.  For each (key, chunk) and
+    prefix: ``<prefix>_carry`` maps every value present in the chunk to
+    (count in earlier chunks, first-seen position) and ``<prefix>_prev`` is
+    the best (count, -first_seen, value) over all earlier chunks.  A map holds
+    at most the distinct values of the attribute in one chunk of one key
+    (bounded by the attribute's domain, e.g. countries or device kinds).
     """
-    per = seq.groupBy(key, CHUNK, attr).agg(F.count(F.lit(1)).alias("_nv"), F.min(GID).alias("_first"))
-    wv = Window.partitionBy(key, attr)
+    stacked = seq.select(key, CHUNK, GID, F.explode(F.array(*[
+        F.struct(F.lit(p).alias("a"), F.col(c).alias("v")) for p, c in attrs.items()])).alias("_av")) \
+        .select(key, CHUNK, GID, F.col("_av.a").alias("_a"), F.col("_av.v").alias("_v"))
+    per = stacked.groupBy(key, CHUNK, "_a", "_v").agg(F.count(F.lit(1)).alias("_nv"), F.min(GID).alias("_first"))
+    wv = Window.partitionBy(key, "_a", "_v")
     per = (per.withColumn("_cum", F.sum("_nv").over(wv.orderBy(CHUNK).rowsBetween(UNB, 0)))
               .withColumn("_fs", F.min("_first").over(wv)))
-    best = F.struct(F.col("_cum").alias("c"), (-F.col("_fs")).alias("nfs"), F.col(attr).alias("v"))
-    entry = F.struct(F.col(attr), F.struct((F.col("_cum") - F.col("_nv")).alias("before"),
-                                           F.col("_fs").alias("fs")))
-    chunks = per.groupBy(key, CHUNK).agg(F.max(best).alias("_cmax"),
-                                         F.map_from_entries(F.collect_list(entry)).alias(f"{prefix}_carry"))
-    wprev = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(UNB, -1)
-    return chunks.select(key, CHUNK, f"{prefix}_carry", F.max("_cmax").over(wprev).alias(f"{prefix}_prev"))
+    best = F.struct(F.col("_cum").alias("c"), (-F.col("_fs")).alias("nfs"), F.col("_v").alias("v"))
+    entry = F.struct(F.col("_v"), F.struct((F.col("_cum") - F.col("_nv")).alias("before"),
+                                          F.col("_fs").alias("fs")))
+    chunks = per.groupBy(key, CHUNK, "_a").agg(F.max(best).alias("_cmax"),
+                                               F.map_from_entries(F.collect_list(entry)).alias("_carry"))
+    wprev = Window.partitionBy(key, "_a").orderBy(CHUNK).rowsBetween(UNB, -1)
+    chunks = chunks.withColumn("_prev", F.max("_cmax").over(wprev))
+    outs = []
+    for p in attrs:
+        sel = F.col("_a") == p
+        outs += [F.first(F.when(sel, F.col("_carry")), ignorenulls=True).alias(f"{p}_carry"),
+                 F.first(F.when(sel, F.col("_prev")), ignorenulls=True).alias(f"{p}_prev")]
+    return chunks.groupBy(key, CHUNK).agg(*outs)
 
 
 def with_running_mode(df: DataFrame, attr: str, prefix: str, key: str, out: str) -> DataFrame:
