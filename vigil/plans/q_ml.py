@@ -227,7 +227,7 @@ _MODELS: dict = {}
 
 
 def _train(spark, sf, kind: str):
-    key = (sf, kind)
+    key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _MODELS:
         logs = ML.prepare_features(security_logs(spark, sf))
         train, _ = ML.split(logs)
