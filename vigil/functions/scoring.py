@@ -112,3 +112,12 @@ def trend_label(threats) -> Column:
 def safe_pct(num, den) -> Column:
     """100 * num / max(1, den) as DOUBLE."""
     return F.lit(100.0) * c(num) / F.greatest(F.lit(1), c(den))
+
+
+# Fixed value: dotted-quad IPv4 pattern (each octet 0-255).
+IPV4_PATTERN = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
+
+
+def is_ipv4(col="ip_address") -> Column:
+    """The index maps ``ip_address`` as an IP; text must be a dotted quad."""
+    return c(col).rlike(IPV4_PATTERN)

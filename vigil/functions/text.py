@@ -93,3 +93,12 @@ def iso_text(ts) -> Column:
     frac = F.date_format(ts, "SSSSSS")
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
                     F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
+
+
+def report_file_name(kind: str, ts, report_type: str | None = None, user=None) -> Column:
+    """E5: report ids — ``threat_report_<type>_<yyyyMMdd_HHmmss>.txt`` or
+    ``investigation_<user>_<yyyyMMdd_HHmmss>.txt``."""
+    stamp = F.date_format(_c(ts), "yyyyMMdd_HHmmss")
+    if kind == "threat":
+        return F.concat(F.lit(f"threat_report_{report_type or 'daily'}_"), stamp, F.lit(".txt"))
+    return F.concat(F.lit("investigation_"), _c(user), F.lit("_"), stamp, F.lit(".txt"))

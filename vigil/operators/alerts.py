@@ -326,3 +326,19 @@ def request_stats(scored: DataFrame, score: str = "score", cuts: tuple[float, fl
     """Scored requests and how many were HIGH."""
     return scored.agg(F.count(F.lit(1)).alias("total_requests"),
                       F.count_if(F.col(score) > cuts[0]).alias("threats_detected"))
+
+
+def scorer_stats(scored: DataFrame, level: str = "risk_level") -> DataFrame:
+    """Scored total and count / percent per level (divisor max(1, n))."""
+    n = F.count(F.lit(1))
+    out = scored.agg(n.alias("total"), *[F.count_if(F.col(level) == lv).alias(lv.lower())
+                                         for lv in ("HIGH", "MEDIUM", "LOW")])
+    for lv in ("high", "medium", "low"):
+        out = out.withColumn(f"{lv}_pct", F.round(safe_pct(lv, "total"), 6))
+    return out
+
+
+def attach_baseline(events: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Each event with its user's baseline snapshot (left equi-join; AQE
+    broadcasts the baseline at run time when it is small)."""
+    return events.join(baseline, "user_id", "left")

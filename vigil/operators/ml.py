@@ -122,3 +122,40 @@ def load_first(spark, paths: list[str]) -> PipelineModel | None:
         if hp.getFileSystem(conf).exists(hp):
             return PipelineModel.load(p)
     return None
+
+
+def validate_features(df: DataFrame, cols: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
+    """Rows with every feature present and numeric, and the rejected rows
+    with the first reason (``Missing feature: x`` / ``Invalid value: x``)."""
+    reason = None
+    for c in cols:
+        missing = F.col(c).isNull()
+        invalid = F.col(c).cast("string").isNotNull() & F.col(c).cast("string").try_cast("double").isNull()
+        r = F.when(missing, F.lit(f"Missing feature: {c}")).when(invalid, F.concat(F.lit("Invalid value: "),
+                                                                                  F.col(c).cast("string")))
+        reason = r if reason is None else F.coalesce(reason, r)
+    tagged = df.withColumn("reject_reason", reason)
+    valid = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason").withColumns(
+        {c: F.col(c).cast("string").try_cast("double") for c in cols})
+    return valid, tagged.filter(F.col("reject_reason").isNotNull())
+
+
+# Named cases with the bands the reference expects.
+SCORE_CASES = [
+    ("obvious threat", 3, 8000, 10, 1, 1, 2000, "HIGH"),
+    ("normal", 10, 30, 1, 0, 0, 10, "LOW"),
+    ("borderline", 23, 200, 3, 0, 0, 100, "not LOW"),
+    ("late worker", 23, 200, 2, 0, 0, 100, None),
+    ("suspicious download", 3, 5000, 10, 1, 1, 2000, None),
+    ("traveler", 14, 50, 1, 1, 0, 20, None),
+    ("stealth insider", 9, 150, 1, 0, 0, 200, None),
+    ("borderline 2", 10, 100, 3, 1, 0, 50, None),
+]
+
+
+def score_case_table(spark, model: PipelineModel) -> DataFrame:
+    """The named cases scored by a model, with API level and expected band."""
+    cases = spark.createDataFrame(SCORE_CASES, "case string, hour_of_day int, files_accessed int, "
+                                               "login_attempts int, foreign_ip int, unknown_device int, "
+                                               "data_uploaded_mb int, expected string")
+    return score_batch([model], cases)

@@ -243,3 +243,14 @@ def user_profile(logs: DataFrame, scored: DataFrame) -> DataFrame:
                 .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "n")))).alias("actions")))
     threats = scored.groupBy("user_id").agg(F.count_if(F.col("is_anomaly")).alias("threat_count"))
     return per.join(acts, "user_id", "left").join(threats, "user_id", "left")
+
+
+def periodic_stats(scored: DataFrame, every: int = 50) -> DataFrame:
+    """Running totals per user at every ``every``-th event (events so far,
+    anomalies so far, rate).  Per user, so no global single-partition order."""
+    counts = running_threat_count(scored)
+    return (scored.select("event_id", "user_id", "n").join(counts, ["event_id", "user_id"])
+                  .filter(F.col("n") % every == 0)
+                  .select("user_id", "event_id", F.col("n").cast("long").alias("events"),
+                          F.col("threat_count").alias("anomalies"),
+                          F.round(F.lit(100.0) * F.col("threat_count") / F.col("n"), 6).alias("anomaly_rate")))

@@ -302,3 +302,4 @@ from vigil.plans import q_alerts  # noqa: E402,F401
 from vigil.plans import q_ml  # noqa: E402,F401
 from vigil.plans import q_stream  # noqa: E402,F401
 from vigil.plans import q_explain  # noqa: E402,F401
+from vigil.plans import q_io  # noqa: E402,F401

@@ -85,7 +85,7 @@ def split_corrupt(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_topic_batch(spark: SparkSession, path: str, n: int | None = 500, fmt: str = "json",
-                     options: dict | None = None) -> DataFrame:
+                     options: dict | None = None, schema: T.StructType = RAW_EVENT) -> DataFrame:
     """Bounded read of a topic from its earliest message.
 
     ``fmt='kafka'`` reads the broker (earliest → latest offsets) and decodes
@@ -96,10 +96,10 @@ def read_topic_batch(spark: SparkSession, path: str, n: int | None = 500, fmt: s
         raw = (spark.read.format("kafka").options(**(options or {}))
                .option("startingOffsets", "earliest").option("endingOffsets", "latest").load())
         order = [F.col("partition"), F.col("offset")]
-        df = raw.select(*order, F.from_json(F.col("value").cast("string"), RAW_EVENT).alias("r")) \
+        df = raw.select(*order, F.from_json(F.col("value").cast("string"), schema).alias("r")) \
                 .select("partition", "offset", "r.*")
     else:
-        df = (spark.read.schema(RAW_EVENT).json(path)
+        df = (spark.read.schema(schema).json(path)
                    .withColumn("_file", F.input_file_name())
                    .withColumn("_pos", F.monotonically_increasing_id()))
         order = [F.col("_file"), F.col("_pos")]
