@@ -21,6 +21,7 @@ from vigil.functions.scoring import (API_CUTS, DETECTOR_DEFAULTS, ENSEMBLE_CUTS,
                                      detector_unknown_device, odd_hour, risk_action, risk_emoji,
                                      risk_level, rule_score, safe_pct)
 from vigil.functions.text import iso_text, ljust, py_round
+from vigil.functions.times import ntz_micros
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -154,8 +155,9 @@ def canonical_alerts(*frames: tuple[str, DataFrame]) -> DataFrame:
     def opt(name: str, dtype: str = "string") -> Column:
         return _opt(u, name, dtype)
 
-    ts = F.coalesce(opt("timestamp", "timestamp_ntz").cast("timestamp_ntz"))
+    ts = opt("timestamp", "timestamp_ntz").cast("timestamp_ntz")
     eid = F.coalesce(opt("event_id", "bigint"), F.lit(0))
+    micros = ntz_micros(ts)  # wall-clock microseconds, independent of the session zone
     return u.select(
         ts.alias("ts"),
         F.coalesce(opt("user_id"), opt("user"), F.lit("unknown")).alias("user_id"),
@@ -166,7 +168,7 @@ def canonical_alerts(*frames: tuple[str, DataFrame]) -> DataFrame:
         opt("risk_level").alias("risk_level"),
         opt("reasons", "array<string>").alias("reasons"),
         F.col("source"),
-        (F.unix_micros(ts.cast("timestamp")) * 4 + F.col("_src_rank")).alias("seq"),
+        (micros * 4 + F.col("_src_rank")).alias("seq"),
         eid.alias("event_id"),
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.functions.times import instant_to_ntz, ntz_to_instant
 from vigil.operators import alerts as A
 from vigil.schema import RAW_EVENT
 from vigil.session import ensure_checkpoint_dir
@@ -110,10 +111,9 @@ def stream_counts(scored: DataFrame) -> DataFrame:
 
 def stream_daily_alerts(alerts: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Daily tumbling alert counts with a watermark (late rows beyond it are dropped)."""
-    ts = F.col("timestamp").cast("timestamp")
-    return (alerts.withColumn("event_time", ts).withWatermark("event_time", lateness)
+    return (alerts.withColumn("event_time", ntz_to_instant("timestamp")).withWatermark("event_time", lateness)
                   .groupBy(F.window("event_time", "1 day")).agg(F.count(F.lit(1)).alias("alerts"))
-                  .select(F.col("window.start").alias("day_start"), "alerts"))
+                  .select(instant_to_ntz(F.col("window.start")).alias("day_start"), "alerts"))
 
 
 def latest_per_key(path: str, spark: SparkSession, key: list[str]) -> DataFrame:
