@@ -23,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.plans.ordered_scan import (CHUNK, GID, UNB, chunk_prefix, running_mode_carry,
-                                      sequence_within, with_running_mode)
+from vigil.plans.ordered_scan import (CHUNK, GID, UNB, chunk_prefix, running_mode, running_mode_carry,
+                                      sequence_within, with_value_counts)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -83,12 +83,18 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
     rows = seq.join(carries, ["user_id", CHUNK])
     w = Window.partitionBy("user_id", CHUNK).orderBy(GID)
     run = w.rowsBetween(UNB, 0)
-    rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("n", F.col("n_before") + F.col("pos"))
+    # per-value counts first (one sort each), then every (user, chunk, position)
+    # window in one pass: three sorts of the row frame in total
+    rows = with_value_counts(rows, "loc_key", "loc", "user_id")
+    rows = with_value_counts(rows, "dev_key", "dev", "user_id")
     names = ["sh", "sf", "su", "sh2", "sf2"]
-    for name, col in zip(names, ["hour", "files", "upload", "hour2", "files2"]):
-        rows = rows.withColumn(f"cs_{name}", F.col(f"{name}_before") + F.sum(col).over(run))
-    rows = with_running_mode(rows, "loc_key", "loc", "user_id", "usual_location")
-    rows = with_running_mode(rows, "dev_key", "dev", "user_id", "usual_device")
+    rows = rows.select(
+        "*", F.row_number().over(w).alias("pos"),
+        *[(F.col(f"{name}_before") + F.sum(col).over(run)).alias(f"cs_{name}")
+          for name, col in zip(names, ["hour", "files", "upload", "hour2", "files2"])],
+        running_mode(run, "loc_key", "loc").alias("usual_location"),
+        running_mode(run, "dev_key", "dev").alias("usual_device"))
+    rows = rows.withColumn("n", F.col("n_before") + F.col("pos"))
 
     # Means over the last `window` rows: prefix sum minus the prefix sum `window`
     # rows back.  Whether any user has more than `window` events is read from

@@ -19,7 +19,7 @@ task; a key holding a third of all rows would then run in one task.  Instead:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.session import ensure_checkpoint_dir
@@ -91,16 +91,20 @@ def running_mode_carry(seq: DataFrame, key: str, attrs: dict[str, str]) -> DataF
     return chunks.groupBy(key, CHUNK).agg(*outs)
 
 
-def with_running_mode(df: DataFrame, attr: str, prefix: str, key: str, out: str) -> DataFrame:
-    """Row-level running mode: the carry from earlier chunks combined with an
-    in-chunk running max of (count so far, -first_seen, value)."""
+def with_value_counts(df: DataFrame, attr: str, prefix: str, key: str) -> DataFrame:
+    """Occurrences of the row's value so far for its key (carry + in-chunk count)."""
     w_in = Window.partitionBy(key, CHUNK, attr).orderBy(GID)
-    w_run = Window.partitionBy(key, CHUNK).orderBy(GID).rowsBetween(UNB, 0)
     carry = F.col(f"{prefix}_carry")[F.col(attr)]
-    df = df.withColumn(f"_{prefix}_c", carry["before"] + F.row_number().over(w_in))
+    return df.withColumn(f"_{prefix}_c", carry["before"] + F.row_number().over(w_in))
+
+
+def running_mode(run: Window, attr: str, prefix: str) -> Column:
+    """Running mode: the carry from earlier chunks combined with an in-chunk
+    running max of (count so far, -first_seen, value); ``run`` is the
+    (key, chunk) window ordered by position, unbounded preceding to current."""
+    carry = F.col(f"{prefix}_carry")[F.col(attr)]
     cand = F.struct(F.col(f"_{prefix}_c").alias("c"), (-carry["fs"]).alias("nfs"), F.col(attr).alias("v"))
-    df = df.withColumn(out, F.greatest(F.col(f"{prefix}_prev"), F.max(cand).over(w_run))["v"])
-    return df.drop(f"_{prefix}_c")
+    return F.greatest(F.col(f"{prefix}_prev"), F.max(cand).over(run))["v"]
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
