@@ -30,6 +30,12 @@ MLP_LAYERS = [6, 64, 32, 16, 2]
 SPLIT_TRAIN_PCT = 80
 SEED = 42
 
+# Tree training knobs: more nodes per pass over the data; deep trees also
+# cache node ids (checkpointed to spark.checkpoint.dir) instead of
+# re-traversing every tree for every row at each level.
+TREE_SCALE = {"maxMemoryInMB": 1024}
+DEEP_TREE_SCALE = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
+
 
 def assemble_features(df: DataFrame, cols: list[str] = FEATURES, out: str = "features") -> DataFrame:
     """M1: the six features (DOUBLE, defaults for missing) in fixed order as one vector."""
@@ -51,7 +57,7 @@ def train_forest(train: DataFrame, label: str = "is_threat", trees: int = FOREST
                  max_depth: int = 12) -> PipelineModel:
     """M3: random forest (Spark caps depth at 30; 12 keeps trees bounded)."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=max_depth,
-                                seed=SEED)
+                                seed=SEED, **(DEEP_TREE_SCALE if max_depth > 8 else TREE_SCALE))
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), rf]).fit(
         train.withColumn(label, F.col(label).cast("double")))
 
@@ -61,7 +67,7 @@ def train_boosted(train: DataFrame, label: str = "is_threat", rounds: int = BOOS
                   positive_weight: float = POSITIVE_WEIGHT) -> PipelineModel:
     """M4: gradient-boosted trees with threats up-weighted."""
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
-                        weightCol="_w", seed=SEED)
+                        weightCol="_w", seed=SEED, **TREE_SCALE)
     data = _with_weight(train.withColumn(label, F.col(label).cast("double")), label, positive_weight)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(data)
 
