@@ -102,3 +102,14 @@ def report_file_name(kind: str, ts, report_type: str | None = None, user=None) -
     if kind == "threat":
         return F.concat(F.lit(f"threat_report_{report_type or 'daily'}_"), stamp, F.lit(".txt"))
     return F.concat(F.lit("investigation_"), _c(user), F.lit("_"), stamp, F.lit(".txt"))
+
+
+def tmpl(fmt: str, *vals) -> Column:
+    """Fill the ``{}`` slots of a fixed text with column values (in order)."""
+    parts = fmt.split("{}")
+    if len(parts) != len(vals) + 1:
+        raise ValueError(f"{fmt!r} has {len(parts) - 1} slots, got {len(vals)} values")
+    out = [F.lit(parts[0])]
+    for v, p in zip(vals, parts[1:]):
+        out += [_c(v).cast("string"), F.lit(p)]
+    return F.concat(*out)

@@ -20,7 +20,7 @@ from vigil.functions.scoring import (API_CUTS, DETECTOR_DEFAULTS, ENSEMBLE_CUTS,
                                      AGREEMENT_GAP, RULE_ALERT_OVER, detector_foreign_ip,
                                      detector_unknown_device, odd_hour, risk_action, risk_emoji,
                                      risk_level, rule_score, safe_pct)
-from vigil.functions.text import iso_text, ljust, py_round
+from vigil.functions.text import iso_text, ljust, py_round, tmpl
 from vigil.functions.times import ntz_micros
 
 # ---------------------------------------------------------------------------
@@ -30,6 +30,34 @@ DETECTOR_REASON = "High threat score detected"
 ENSEMBLE_TYPE = "ENSEMBLE_THREAT"
 BLOCK_OVER = 0.8
 SOURCE_RANK = {"detector": 0, "ueba": 1, "ensemble": 2}
+OVERALL_LEVELS = [  # (alerts above, text), first match wins
+    (100, "🔴 CRITICAL - Immediate action required"),
+    (50, "🟠 HIGH - Escalate to security team"),
+    (20, "🟡 MEDIUM - Monitor closely"),
+    (None, "🟢 LOW - Routine monitoring"),
+]
+REPORT_RECOMMENDATIONS = [  # (condition, text) in report order
+    ("total > 100", "🔴 CRITICAL: Activate incident response team"),
+    ("total > 100", "🔴 Block all suspicious IP ranges immediately"),
+    ("total > 50", "🟠 Review high-risk user accounts immediately"),
+    ("total > 50", "🟠 Enable MFA for all flagged accounts"),
+    ("high_risk_users > 5", "🟡 Schedule security awareness training"),
+    (None, "📋 Escalate critical findings to SOC Manager"),
+    (None, "📊 Schedule automated hourly monitoring"),
+    (None, "🔐 Review and update firewall rules"),
+    (None, "📁 Backup and secure sensitive data"),
+    (None, "📈 Generate follow-up report in 24 hours"),
+]
+ALERT_BOX = [
+    "╔══════════════════════════════════╗",
+    "║         🚨 THREAT ALERT!        ║",
+    "╠══════════════════════════════════╣",
+    "║ User:  {} ║",
+    "║ Score: {} ║",
+    "║ Time:  {} ║",
+    "╚══════════════════════════════════╝",
+]
+NOTIFICATION_SUBJECT = "🚨 THREAT ALERT - {} - Score: {}"
 
 
 def _opt(df: DataFrame, name: str, dtype: str = "string") -> Column:
@@ -213,28 +241,18 @@ def executive_summary(al: DataFrame, top_n: int = 5) -> DataFrame:
                  F.least(F.lit(top_n).cast("long"), F.count_distinct("user_id")).alias("high_risk_users"),
                  F.count_if(F.col("raw_score") > BLOCK_OVER).alias("threats_blocked"))
     t = F.col("total_alerts")
-    level = (F.when(t > 100, "🔴 CRITICAL - Immediate action required")
-             .when(t > 50, "🟠 HIGH - Escalate to security team")
-             .when(t > 20, "🟡 MEDIUM - Monitor closely")
-             .otherwise("🟢 LOW - Routine monitoring"))
+    level = F.lit(OVERALL_LEVELS[-1][1])
+    for above, text in reversed(OVERALL_LEVELS[:-1]):
+        level = F.when(t > above, F.lit(text)).otherwise(level)
     return out.withColumn("risk_level", level)
 
 
 def report_recommendations(summary: DataFrame, limit: int = 8) -> DataFrame:
     """Conditional recommendation list (first ``limit``), one row each."""
-    t, h = F.col("total_alerts"), F.col("high_risk_users")
-    recs = F.array(
-        F.when(t > 100, F.lit("🔴 CRITICAL: Activate incident response team")),
-        F.when(t > 100, F.lit("🔴 Block all suspicious IP ranges immediately")),
-        F.when(t > 50, F.lit("🟠 Review high-risk user accounts immediately")),
-        F.when(t > 50, F.lit("🟠 Enable MFA for all flagged accounts")),
-        F.when(h > 5, F.lit("🟡 Schedule security awareness training")),
-        F.lit("📋 Escalate critical findings to SOC Manager"),
-        F.lit("📊 Schedule automated hourly monitoring"),
-        F.lit("🔐 Review and update firewall rules"),
-        F.lit("📁 Backup and secure sensitive data"),
-        F.lit("📈 Generate follow-up report in 24 hours"),
-    )
+    conds = {"total > 100": F.col("total_alerts") > 100, "total > 50": F.col("total_alerts") > 50,
+             "high_risk_users > 5": F.col("high_risk_users") > 5}
+    recs = F.array(*[F.lit(text) if cond is None else F.when(conds[cond], F.lit(text))
+                     for cond, text in REPORT_RECOMMENDATIONS])
     recs = F.slice(F.filter(recs, lambda x: x.isNotNull()), 1, limit)
     return summary.select(F.posexplode(recs).alias("pos", "recommendation")) \
                   .withColumn("pos", (F.col("pos") + 1).cast("int"))
@@ -254,17 +272,9 @@ def last_n_alerts(al: DataFrame, n: int = 100) -> DataFrame:
 
 def alert_message(alerts: DataFrame) -> DataFrame:
     """The notifier's box text for detector-shaped alerts."""
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f"║ {label}"), ljust(value, 26), F.lit(" ║"))
     ts_text = F.substring(iso_text("timestamp"), 1, 19)
-    lines = F.array(
-        F.lit("╔══════════════════════════════════╗"),
-        F.lit("║         🚨 THREAT ALERT!        ║"),
-        F.lit("╠══════════════════════════════════╣"),
-        line("User:  ", F.col("user_id")),
-        line("Score: ", F.col("threat_score").cast("string")),
-        line("Time:  ", ts_text),
-        F.lit("╚══════════════════════════════════╝"))
+    values = iter([F.col("user_id"), F.col("threat_score"), ts_text])
+    lines = F.array(*[tmpl(row, ljust(next(values), 26)) if "{}" in row else F.lit(row) for row in ALERT_BOX])
     return alerts.select("event_id", F.array_join(lines, "\n").alias("message"))
 
 
@@ -272,8 +282,7 @@ def alert_notification(alerts: DataFrame) -> DataFrame:
     """Notification subject and fields (text only), 'N/A' for missing."""
     def na(c: str) -> Column:
         return F.coalesce(_opt(alerts, c).cast("string"), F.lit("N/A"))
-    subject = F.concat(F.lit("🚨 THREAT ALERT - "), F.col("user_id"), F.lit(" - Score: "),
-                       F.col("threat_score").cast("string"))
+    subject = tmpl(NOTIFICATION_SUBJECT, F.col("user_id"), F.col("threat_score"))
     fields = F.array(
         F.concat(F.lit("User ID: "), F.col("user_id")),
         F.concat(F.lit("Threat Score: "), F.col("threat_score").cast("string")),

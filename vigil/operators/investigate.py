@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.scoring import HIGH_RISK_COUNTRIES, HOME_COUNTRY
-from vigil.functions.text import fmt_fixed, fmt_int0, py_dict_text
+from vigil.functions.text import fmt_fixed, fmt_int0, py_dict_text, tmpl
 from vigil.plans.ordered_scan import global_rank
 
 # ---------------------------------------------------------------------------
@@ -39,6 +39,55 @@ VERDICT_TEXT = {
     "CLEAN": ("✅", "No action needed"),
 }
 SEVERITY_EMOJI = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🟢", "CLEAN": "✅"}
+FACTOR_TEXT = {
+    "night": ("Night Activity", "{}% activity at night (12-5AM)"),
+    "foreign": ("Foreign Location", "{}% foreign access"),
+    "files_critical": ("Excessive File Access", "Max {} files, Avg {}, {} events >1000"),
+    "files_medium": ("High File Access", "Max {} files, Avg {}"),
+    "device": ("Unknown Device", "{}% from unknown devices"),
+    "logins": ("Multiple Logins", "{} events with >5 login attempts"),
+    "upload": ("High Data Upload", "{} events >500MB, Avg {}MB"),
+    "foreign_ip": ("Foreign IP", "{}% from foreign IPs"),
+}
+PATTERN_TEXT = {
+    "night_high": "🔴 Night owl: {}% activity during 12AM-5AM",
+    "night_some": "🟡 Occasional late work: {}% night activity",
+    "night_none": "🟢 Normal working hours",
+    "mobility_high": "🔴 High mobility: {} different locations",
+    "mobility_some": "🟡 Travel pattern: {} locations",
+    "mobility_none": "🟢 Single location",
+    "files_erratic": "🔴 Erratic file access (high variance)",
+    "files_steady": "🟢 Consistent file access pattern",
+    "device_high": "🔴 {}% unknown devices - possible security bypass",
+    "device_some": "🟡 {}% unknown devices",
+    "device_none": "🟢 All known devices",
+}
+USER_RECOMMENDATIONS = {
+    "disable": "🚨 IMMEDIATE: Disable account and initiate security investigation",
+    "escalate": "📞 Escalate to SOC Manager immediately",
+    "mfa": "🔐 Enable MFA immediately",
+    "review": "📋 Review all recent activity logs",
+    "countries": "🌍 Block access from high-risk countries ({} events)",
+    "dlp": "📁 Review data loss prevention (DLP) policies",
+    "devices": "💻 Enforce device compliance policy",
+    "none": "✅ No immediate action required",
+    "always": "📊 Schedule next review in 24 hours",
+}
+REPORT_TEXT = {
+    "title": "🔍 USER INVESTIGATION REPORT",
+    "user": "👤 User: {}",
+    "source": "📁 Source: {}",
+    "records": "📊 Records: {}",
+    "verdict": "{} RISK VERDICT: {}",
+    "score": "  Risk Score: {}/100",
+    "action": "  Action: {}",
+    "factors": "⚠️  RISK FACTORS FOUND:",
+    "no_factors": "  ✅ No significant risk factors found",
+    "stats": "📊 ACTIVITY STATISTICS",
+    "patterns": "🧠 BEHAVIORAL PATTERNS",
+    "recommendations": "💡 RECOMMENDATIONS",
+    "complete": "✅ INVESTIGATION COMPLETE",
+}
 
 
 def _has(df: DataFrame, c: str) -> bool:
@@ -127,8 +176,7 @@ def risk_factors(agg: DataFrame, locations: DataFrame | None = None) -> DataFram
     if "night_count" in cols:
         night = _pct("night_count")
         c1 = night > 30
-        fs.append(factor(1, c1, "Night Activity",
-                         F.concat(fmt_int0(night), F.lit("% activity at night (12-5AM)")),
+        fs.append(factor(1, c1, FACTOR_TEXT["night"][0], tmpl(FACTOR_TEXT["night"][1], fmt_int0(night)),
                          F.lit(w["night_activity"]), "HIGH"))
         contrib.append(F.when(c1, w["night_activity"]).otherwise(0))
     if "foreign_count" in cols:
@@ -136,49 +184,45 @@ def risk_factors(agg: DataFrame, locations: DataFrame | None = None) -> DataFram
         c2 = foreign > 20
         hr = F.col("high_risk_count") > 0
         locs = F.coalesce(F.col("locations"), empty_map) if locations is not None else None
-        fs.append(factor(2, c2, "Foreign Location",
-                         F.concat(fmt_int0(foreign), F.lit("% foreign access")),
+        fs.append(factor(2, c2, FACTOR_TEXT["foreign"][0], tmpl(FACTOR_TEXT["foreign"][1], fmt_int0(foreign)),
                          F.lit(w["foreign_location"]) + F.when(hr, 10).otherwise(0),
                          F.when(hr, "CRITICAL").otherwise("HIGH"), locs))
         contrib.append(F.when(c2, w["foreign_location"] + F.when(hr, 10).otherwise(0)).otherwise(0))
     if "max_files" in cols:
         c3a = F.col("max_files") > 5000
         c3b = ~c3a & (F.col("max_files") > 1000)
-        fs.append(factor(3, c3a, "Excessive File Access",
-                         F.concat(F.lit("Max "), fmt_int0(F.col("max_files")), F.lit(" files, Avg "),
-                                  fmt_int0(F.col("avg_files")), F.lit(", "),
-                                  F.col("files_over_1000").cast("string"), F.lit(" events >1000")),
+        fs.append(factor(3, c3a, FACTOR_TEXT["files_critical"][0],
+                         tmpl(FACTOR_TEXT["files_critical"][1], fmt_int0(F.col("max_files")),
+                              fmt_int0(F.col("avg_files")), F.col("files_over_1000")),
                          F.lit(w["high_files"]), "CRITICAL"))
-        fs.append(factor(3, c3b, "High File Access",
-                         F.concat(F.lit("Max "), fmt_int0(F.col("max_files")), F.lit(" files, Avg "),
-                                  fmt_int0(F.col("avg_files"))),
+        fs.append(factor(3, c3b, FACTOR_TEXT["files_medium"][0],
+                         tmpl(FACTOR_TEXT["files_medium"][1], fmt_int0(F.col("max_files")),
+                              fmt_int0(F.col("avg_files"))),
                          F.lit(w["high_files"] // 2), "MEDIUM"))
         contrib.append(F.when(c3a, w["high_files"]).when(c3b, w["high_files"] // 2).otherwise(0))
     if "unknown_count" in cols:
         unk = _pct("unknown_count")
         c4 = unk > 30
-        fs.append(factor(4, c4, "Unknown Device", F.concat(fmt_int0(unk), F.lit("% from unknown devices")),
+        fs.append(factor(4, c4, FACTOR_TEXT["device"][0], tmpl(FACTOR_TEXT["device"][1], fmt_int0(unk)),
                          F.lit(w["unknown_device"]), "HIGH"))
         contrib.append(F.when(c4, w["unknown_device"]).otherwise(0))
     if "attempts_over_5" in cols:
         k = F.col("attempts_over_5")
         c5 = k > 0
         pts = F.least(F.lit(w["multiple_logins"]), k * 2)
-        fs.append(factor(5, c5, "Multiple Logins",
-                         F.concat(k.cast("string"), F.lit(" events with >5 login attempts")), pts, "MEDIUM"))
+        fs.append(factor(5, c5, FACTOR_TEXT["logins"][0], tmpl(FACTOR_TEXT["logins"][1], k), pts, "MEDIUM"))
         contrib.append(F.when(c5, pts).otherwise(0))
     if "uploads_over_500" in cols:
         c6 = F.col("uploads_over_500") > 0
-        fs.append(factor(6, c6, "High Data Upload",
-                         F.concat(F.col("uploads_over_500").cast("string"), F.lit(" events >500MB, Avg "),
-                                  fmt_int0(F.col("avg_upload")), F.lit("MB")),
+        fs.append(factor(6, c6, FACTOR_TEXT["upload"][0],
+                         tmpl(FACTOR_TEXT["upload"][1], F.col("uploads_over_500"), fmt_int0(F.col("avg_upload"))),
                          F.lit(w["high_upload"]),
                          F.when(F.col("avg_upload") > 1000, "HIGH").otherwise("MEDIUM")))
         contrib.append(F.when(c6, w["high_upload"]).otherwise(0))
     if "foreign_ip_count" in cols:
         fip = _pct("foreign_ip_count")
         c7 = fip > 20
-        fs.append(factor(7, c7, "Foreign IP", F.concat(fmt_int0(fip), F.lit("% from foreign IPs")),
+        fs.append(factor(7, c7, FACTOR_TEXT["foreign_ip"][0], tmpl(FACTOR_TEXT["foreign_ip"][1], fmt_int0(fip)),
                          F.lit(w["foreign_ip"]), "HIGH"))
         contrib.append(F.when(c7, w["foreign_ip"]).otherwise(0))
 
@@ -275,29 +319,25 @@ def user_statistics_text(stats: DataFrame) -> DataFrame:
 def behaviour_patterns(stats: DataFrame) -> DataFrame:
     """Pattern lines per user."""
     cols = stats.columns
+    t = PATTERN_TEXT
     pats = []
     if "night_count" in cols:
         night = _pct("night_count")
-        pats.append(F.when(night > 30, F.concat(F.lit("🔴 Night owl: "), fmt_int0(night),
-                                                F.lit("% activity during 12AM-5AM")))
-                    .when(night > 10, F.concat(F.lit("🟡 Occasional late work: "), fmt_int0(night),
-                                               F.lit("% night activity")))
-                    .otherwise(F.lit("🟢 Normal working hours")))
+        pats.append(F.when(night > 30, tmpl(t["night_high"], fmt_int0(night)))
+                    .when(night > 10, tmpl(t["night_some"], fmt_int0(night)))
+                    .otherwise(F.lit(t["night_none"])))
     if "unique_locations" in cols:
         u = F.col("unique_locations")
-        pats.append(F.when(u > 3, F.concat(F.lit("🔴 High mobility: "), u.cast("string"),
-                                           F.lit(" different locations")))
-                    .when(u > 1, F.concat(F.lit("🟡 Travel pattern: "), u.cast("string"), F.lit(" locations")))
-                    .otherwise(F.lit("🟢 Single location")))
+        pats.append(F.when(u > 3, tmpl(t["mobility_high"], u)).when(u > 1, tmpl(t["mobility_some"], u))
+                    .otherwise(F.lit(t["mobility_none"])))
     if "std_files" in cols:
-        pats.append(F.when(F.col("std_files") > 1000, F.lit("🔴 Erratic file access (high variance)"))
-                    .otherwise(F.lit("🟢 Consistent file access pattern")))
+        pats.append(F.when(F.col("std_files") > 1000, F.lit(t["files_erratic"]))
+                    .otherwise(F.lit(t["files_steady"])))
     if "unknown_count" in cols:
         unk = _pct("unknown_count")
-        pats.append(F.when(unk > 20, F.concat(F.lit("🔴 "), fmt_int0(unk),
-                                              F.lit("% unknown devices - possible security bypass")))
-                    .when(unk > 0, F.concat(F.lit("🟡 "), fmt_int0(unk), F.lit("% unknown devices")))
-                    .otherwise(F.lit("🟢 All known devices")))
+        pats.append(F.when(unk > 20, tmpl(t["device_high"], fmt_int0(unk)))
+                    .when(unk > 0, tmpl(t["device_some"], fmt_int0(unk)))
+                    .otherwise(F.lit(t["device_none"])))
     return stats.select("user_id", F.array(*pats).alias("patterns"))
 
 
@@ -306,23 +346,18 @@ def user_recommendations(verdicts: DataFrame) -> DataFrame:
     the 24 h review."""
     s = F.col("total_score")
     cols = verdicts.columns
-    rules = [
-        F.when(s >= 80, F.lit("🚨 IMMEDIATE: Disable account and initiate security investigation")),
-        F.when(s >= 80, F.lit("📞 Escalate to SOC Manager immediately")),
-        F.when(s >= 60, F.lit("🔐 Enable MFA immediately")),
-        F.when(s >= 60, F.lit("📋 Review all recent activity logs")),
-    ]
+    r = USER_RECOMMENDATIONS
+    rules = [F.when(s >= 80, F.lit(r["disable"])), F.when(s >= 80, F.lit(r["escalate"])),
+             F.when(s >= 60, F.lit(r["mfa"])), F.when(s >= 60, F.lit(r["review"]))]
     if "high_risk_count" in cols:
-        rules.append(F.when(F.col("high_risk_count") > 0,
-                            F.concat(F.lit("🌍 Block access from high-risk countries ("),
-                                     F.col("high_risk_count").cast("string"), F.lit(" events)"))))
+        rules.append(F.when(F.col("high_risk_count") > 0, tmpl(r["countries"], F.col("high_risk_count"))))
     if "max_files" in cols:
-        rules.append(F.when(F.col("max_files") > 5000, F.lit("📁 Review data loss prevention (DLP) policies")))
+        rules.append(F.when(F.col("max_files") > 5000, F.lit(r["dlp"])))
     if "unknown_count" in cols:
-        rules.append(F.when(F.col("unknown_count") > 0, F.lit("💻 Enforce device compliance policy")))
+        rules.append(F.when(F.col("unknown_count") > 0, F.lit(r["devices"])))
     fired = F.filter(F.array(*rules), lambda x: x.isNotNull())
-    fired = F.when(F.size(fired) == 0, F.array(F.lit("✅ No immediate action required"))).otherwise(fired)
-    return verdicts.select("user_id", F.concat(fired, F.array(F.lit("📊 Schedule next review in 24 hours")))
+    fired = F.when(F.size(fired) == 0, F.array(F.lit(r["none"]))).otherwise(fired)
+    return verdicts.select("user_id", F.concat(fired, F.array(F.lit(r["always"])))
                            .alias("recommendations"))
 
 
@@ -339,6 +374,7 @@ def investigation_report(df: DataFrame, user: str | None = None, source: str = "
                      .join(behaviour_patterns(stats), "user_id")
                      .join(user_recommendations(verdict), "user_id"))
     bar, thin = "=" * 70, "-" * 70
+    rt = REPORT_TEXT
     sev = F.create_map(*[F.lit(x) for k in ["CRITICAL", "HIGH", "MEDIUM", "LOW"] for x in (k, SEVERITY_EMOJI[k])])
 
     def factor_lines(i, f):
@@ -352,23 +388,21 @@ def investigation_report(df: DataFrame, user: str | None = None, source: str = "
 
     factors = F.flatten(F.transform(F.col("risk_factors"), lambda f, i: factor_lines(i, f)))
     factors = F.when(F.size("risk_factors") > 0,
-                     F.concat(F.array(F.lit(thin), F.lit("⚠️  RISK FACTORS FOUND:"), F.lit(thin)), factors)) \
-               .otherwise(F.array(F.lit("  ✅ No significant risk factors found"), F.lit("")))
+                     F.concat(F.array(F.lit(thin), F.lit(rt["factors"]), F.lit(thin)), factors)) \
+               .otherwise(F.array(F.lit(rt["no_factors"]), F.lit("")))
     header = F.array(
-        F.lit(bar), F.lit("🔍 USER INVESTIGATION REPORT"), F.lit(bar),
-        F.concat(F.lit("👤 User: "), F.col("user_id")),
-        F.lit(f"📁 Source: {source}"),
-        F.concat(F.lit("📊 Records: "), F.col("events").cast("string")), F.lit(""),
-        F.lit(bar), F.concat(F.col("emoji"), F.lit(" RISK VERDICT: "), F.col("risk_level")), F.lit(bar),
-        F.concat(F.lit("  Risk Score: "), F.col("total_score").cast("string"), F.lit("/100")),
-        F.concat(F.lit("  Action: "), F.col("action")), F.lit(""))
-    stats_block = F.concat(F.array(F.lit(thin), F.lit("📊 ACTIVITY STATISTICS"), F.lit(thin)),
+        F.lit(bar), F.lit(rt["title"]), F.lit(bar),
+        tmpl(rt["user"], F.col("user_id")), tmpl(rt["source"], F.lit(source)),
+        tmpl(rt["records"], F.col("events")), F.lit(""),
+        F.lit(bar), tmpl(rt["verdict"], F.col("emoji"), F.col("risk_level")), F.lit(bar),
+        tmpl(rt["score"], F.col("total_score")), tmpl(rt["action"], F.col("action")), F.lit(""))
+    stats_block = F.concat(F.array(F.lit(thin), F.lit(rt["stats"]), F.lit(thin)),
                            F.transform("stats_lines", lambda x: F.concat(F.lit("  "), x)), F.array(F.lit("")))
-    pat_block = F.concat(F.array(F.lit(thin), F.lit("🧠 BEHAVIORAL PATTERNS"), F.lit(thin)),
+    pat_block = F.concat(F.array(F.lit(thin), F.lit(rt["patterns"]), F.lit(thin)),
                          F.transform("patterns", lambda x: F.concat(F.lit("  "), x)), F.array(F.lit("")))
-    rec_block = F.concat(F.array(F.lit(thin), F.lit("💡 RECOMMENDATIONS"), F.lit(thin)),
+    rec_block = F.concat(F.array(F.lit(thin), F.lit(rt["recommendations"]), F.lit(thin)),
                          F.transform("recommendations",
                                      lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)),
-                         F.array(F.lit(""), F.lit(bar), F.lit("✅ INVESTIGATION COMPLETE"), F.lit(bar)))
+                         F.array(F.lit(""), F.lit(bar), F.lit(rt["complete"]), F.lit(bar)))
     lines = F.concat(header, factors, stats_block, pat_block, rec_block)
     return joined.select("user_id", F.posexplode(lines).alias("line_no", "line"))

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.text import tmpl
 from vigil.plans.ordered_scan import (CHUNK, GID, UNB, chunk_prefix, running_mode, running_mode_carry,
                                       sequence_within, with_value_counts)
 
@@ -46,6 +47,15 @@ UEBA_FOREIGN_IP_SCORE = 15
 UEBA_MIN_EVENTS = 10
 UEBA_WINDOW = 1000
 LEARNING_REASON = "Learning phase - need 10+ events"
+REASON_TEXT = {
+    "time": "⏰ Off-hours: {}h (usual: {}h)",
+    "files": "📁 High files: {} (avg: {})",
+    "upload": "📤 High upload: {}MB (avg: {}MB)",
+    "location": "🌍 New location: {} (usual: {})",
+    "device": "💻 New device: {} (usual: {})",
+    "logins": "🔑 Multiple logins: {}",
+    "foreign": "🌐 Foreign IP detected",
+}
 UEBA_ALERT_TYPE = "UEBA_ANOMALY"
 
 
@@ -156,19 +166,15 @@ def ueba_score(features: DataFrame, th: dict = UEBA_THRESHOLDS, min_events: int
     total = F.lit(0)
     for name, (_, pts) in terms.items():
         total = total + F.when(F.col(f"t_{name}"), F.lit(pts)).otherwise(F.lit(0))
+    r = REASON_TEXT
     texts = {
-        "time": F.concat(F.lit("⏰ Off-hours: "), F.col("hour").cast("string"), F.lit("h (usual: "),
-                         _fmt0(F.col("avg_login_hour")), F.lit("h)")),
-        "files": F.concat(F.lit("📁 High files: "), F.col("files").cast("string"), F.lit(" (avg: "),
-                          _fmt0(F.col("avg_files")), F.lit(")")),
-        "upload": F.concat(F.lit("📤 High upload: "), F.col("upload").cast("string"), F.lit("MB (avg: "),
-                           _fmt0(F.col("avg_upload")), F.lit("MB)")),
-        "location": F.concat(F.lit("🌍 New location: "), _pystr(F.col("location")), F.lit(" (usual: "),
-                             F.col("usual_location"), F.lit(")")),
-        "device": F.concat(F.lit("💻 New device: "), _pystr(F.col("device")), F.lit(" (usual: "),
-                           F.col("usual_device"), F.lit(")")),
-        "logins": F.concat(F.lit("🔑 Multiple logins: "), _pystr(F.col("login_attempts"))),
-        "foreign": F.lit("🌐 Foreign IP detected"),
+        "time": tmpl(r["time"], F.col("hour"), _fmt0(F.col("avg_login_hour"))),
+        "files": tmpl(r["files"], F.col("files"), _fmt0(F.col("avg_files"))),
+        "upload": tmpl(r["upload"], F.col("upload"), _fmt0(F.col("avg_upload"))),
+        "location": tmpl(r["location"], _pystr(F.col("location")), F.col("usual_location")),
+        "device": tmpl(r["device"], _pystr(F.col("device")), F.col("usual_device")),
+        "logins": tmpl(r["logins"], _pystr(F.col("login_attempts"))),
+        "foreign": F.lit(r["foreign"]),
     }
     reasons = F.filter(F.array(*[F.when(F.col(f"t_{k}"), v) for k, v in texts.items()]), lambda x: x.isNotNull())
     scored = (scored.withColumn("anomaly_score", total.cast("int"))

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vigil.operators.ueba import (LEARNING_REASON, UEBA_FOREIGN_IP_SCORE, UEBA_LOGIN_ATTEMPTS_OVER,
-                                  UEBA_LOGIN_SCORE, UEBA_MIN_EVENTS, UEBA_THRESHOLDS, UEBA_WINDOW)
+from vigil.operators.ueba import (LEARNING_REASON, REASON_TEXT, UEBA_FOREIGN_IP_SCORE,
+                                  UEBA_LOGIN_ATTEMPTS_OVER, UEBA_LOGIN_SCORE, UEBA_MIN_EVENTS, UEBA_THRESHOLDS,
+                                  UEBA_WINDOW)
 
 STATE_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()),
@@ -131,31 +132,31 @@ def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             h, f, u = int(hour[i]), int(files[i]), int(upload[i])
             if abs(h - avg_h[i]) > th["time_deviation"]:
                 score += th["off_hours_score"]
-                reasons.append(f"⏰ Off-hours: {h}h (usual: {avg_h[i]:.0f}h)")
+                reasons.append(REASON_TEXT["time"].format(h, f"{avg_h[i]:.0f}"))
             if f > avg_f[i] * th["files_multiplier"]:
                 score += th["high_files_score"]
-                reasons.append(f"📁 High files: {f} (avg: {avg_f[i]:.0f})")
+                reasons.append(REASON_TEXT["files"].format(f, f"{avg_f[i]:.0f}"))
             if u > avg_u[i] * th["upload_multiplier"]:
                 score += th["high_upload_score"]
-                reasons.append(f"📤 High upload: {u}MB (avg: {avg_u[i]:.0f}MB)")
+                reasons.append(REASON_TEXT["upload"].format(u, f"{avg_u[i]:.0f}"))
             loc_val = None if loc_none else loc
             dev_val = None if dev_none else dev
             if loc_val != usual_loc:
                 score += th["new_location_score"]
-                reasons.append(f"🌍 New location: {loc_val} (usual: {usual_loc})")
+                reasons.append(REASON_TEXT["location"].format(loc_val, usual_loc))
             if dev_val != usual_dev:
                 score += th["new_device_score"]
-                reasons.append(f"💻 New device: {dev_val} (usual: {usual_dev})")
+                reasons.append(REASON_TEXT["device"].format(dev_val, usual_dev))
             attempts = row.login_attempts
             attempts = None if attempts is None or (isinstance(attempts, float) and np.isnan(attempts)) \
                 else int(attempts)
             if (1 if attempts is None else attempts) > UEBA_LOGIN_ATTEMPTS_OVER:
                 score += UEBA_LOGIN_SCORE
-                reasons.append(f"🔑 Multiple logins: {attempts}")
+                reasons.append(REASON_TEXT["logins"].format(attempts))
             fip = row.foreign_ip
             if fip is not None and not (isinstance(fip, float) and np.isnan(fip)) and int(fip) == 1:
                 score += UEBA_FOREIGN_IP_SCORE
-                reasons.append("🌐 Foreign IP detected")
+                reasons.append(REASON_TEXT["foreign"])
         is_anom = score >= th["anomaly_threshold"]
         tc += int(is_anom)
         out.append((int(row.event_id), row.timestamp, user, n, float(avg_h[i]), float(avg_f[i]),
