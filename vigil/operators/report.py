@@ -11,11 +11,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.text import bar, ljust, rjust
+from vigil.functions.text import bar, ljust, rjust, tmpl
 from vigil.operators import alerts as A
 
 W68 = 68
 
+# ---------------------------------------------------------------------------
+# Fixed values that must equal the reference's for identical results:
+# section titles with their left padding, and the row layouts ({} = value).
+# ---------------------------------------------------------------------------
+SECTION_TITLES = {
+    "summary": ("EXECUTIVE SUMMARY", 22),
+    "breakdown": ("THREAT BREAKDOWN", 21),
+    "top": ("TOP THREATS", 23),
+    "hourly": ("HOURLY DISTRIBUTION", 20),
+    "engines": ("DETECTION ENGINES", 20),
+    "actions": ("RECOMMENDED ACTIONS", 20),
+}
+HEADER_ROWS = [
+    "║" + " " * 15 + "CYBERSECURITY THREAT REPORT" + " " * 23 + "║",
+    "║" + " " * 18 + "{} ANALYSIS" + " " * 28 + "║",
+    "║  Generated: {}" + " " * 23 + "║",
+    "║  Report Type: {} Threat Report" + " " * 23 + "║",
+    "║  Classification: CONFIDENTIAL" + " " * 37 + "║",
+]
+SUMMARY_ROWS = [
+    "│  Total Alerts (24h):     {}" + " " * 25 + "│",
+    "│  High Risk Users:        {}" + " " * 25 + "│",
+    "│  Threats Blocked:        {}" + " " * 25 + "│",
+    "│  Overall Risk Level:     {} │",
+]
+BREAKDOWN_TYPE_HEAD = "│  📊 By Alert Type:" + " " * 49 + "│"
+BREAKDOWN_TYPE_ROW = "│    {} {} {} │"
+BREAKDOWN_LOC_HEAD = "│  🌍 By Location:" + " " * 51 + "│"
+BREAKDOWN_LOC_ROW = "│    {} {}" + " " * 16 + "│"
+TOP_ROW = "│  {}. {} {} {} alerts          │"
+HOUR_ROW = "│  {}:00 {} {}{} │"
+NIGHT_MARK = " 🌙"
+ENGINE_ROW = "│  🤖 {} {} detections     │"
+ACTION_ROW = "│  {}. {} │"
+FOOTER_ROWS = [
+    "║" + " " * 10 + "Report generated by AI Cybersecurity Platform" + " " * 9 + "║",
+    "║" + " " * 15 + "© {} - All Rights Reserved" + " " * 19 + "║",
+]
+
 
 def _lit_lines(spark, section: int, lines: list) -> DataFrame:
     arr = F.array(*[x if isinstance(x, Column) else F.lit(x) for x in lines])
@@ -42,25 +81,18 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     parts = []
 
     # 1. header
+    h = HEADER_ROWS
     parts.append(_lit_lines(spark, 1, [
-        "╔" + "═" * W68 + "╗",
-        "║" + " " * 15 + "CYBERSECURITY THREAT REPORT" + " " * 23 + "║",
-        "║" + " " * 18 + f"{rt.upper()} ANALYSIS" + " " * 28 + "║",
-        "╠" + "═" * W68 + "╣",
-        F.concat(F.lit("║  Generated: "), gen_text, F.lit(" " * 23 + "║")),
-        "║" + f"  Report Type: {rt.capitalize()} Threat Report" + " " * 23 + "║",
-        "║" + "  Classification: CONFIDENTIAL" + " " * 37 + "║",
-        "╚" + "═" * W68 + "╝",
-        ""]))
+        "╔" + "═" * W68 + "╗", h[0], h[1].format(rt.upper()), "╠" + "═" * W68 + "╣",
+        tmpl(h[2], gen_text), h[3].format(rt.capitalize()), h[4], "╚" + "═" * W68 + "╝", ""]))
 
     # 2. executive summary
     summ = A.executive_summary(al)
+    sr = SUMMARY_ROWS
     s_lines = F.array(
-        *[F.lit(x) for x in _box("EXECUTIVE SUMMARY", 22)],
-        F.concat(F.lit("│  Total Alerts (24h):     "), rjust(F.col("total_alerts"), 6), F.lit(" " * 25 + "│")),
-        F.concat(F.lit("│  High Risk Users:        "), rjust(F.col("high_risk_users"), 6), F.lit(" " * 25 + "│")),
-        F.concat(F.lit("│  Threats Blocked:        "), rjust(F.col("threats_blocked"), 6), F.lit(" " * 25 + "│")),
-        F.concat(F.lit("│  Overall Risk Level:     "), ljust(F.col("risk_level"), 30), F.lit(" │")),
+        *[F.lit(x) for x in _box(*SECTION_TITLES["summary"])],
+        tmpl(sr[0], rjust(F.col("total_alerts"), 6)), tmpl(sr[1], rjust(F.col("high_risk_users"), 6)),
+        tmpl(sr[2], rjust(F.col("threats_blocked"), 6)), tmpl(sr[3], ljust(F.col("risk_level"), 30)),
         F.lit(_BOX_END), F.lit(""))
     parts.append(summ.select(F.lit(2).alias("section"), F.posexplode(s_lines).alias("pos", "line")))
 
@@ -71,31 +103,29 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     types = by_type.withColumn("rk", F.row_number().over(w_type)).filter(F.col("rk") <= 5)
     blen = F.least(F.lit(30), F.floor(F.col("count") * 30 / F.greatest(F.lit(1), mx)))
     type_lines = types.select(F.lit(3).alias("section"), (F.col("rk") + 1).alias("pos"),
-                              F.concat(F.lit("│    "), ljust(F.col("alert_type"), 30), F.lit(" "),
-                                       rjust(F.col("count"), 4), F.lit(" "), bar(blen), F.lit(" │")).alias("line"))
-    parts.append(_lit_lines(spark, 3, [*_box("THREAT BREAKDOWN", 21),
-                                       "│  📊 By Alert Type:" + " " * 49 + "│"]).withColumn(
+                              tmpl(BREAKDOWN_TYPE_ROW, ljust(F.col("alert_type"), 30), rjust(F.col("count"), 4),
+                                   bar(blen)).alias("line"))
+    parts.append(_lit_lines(spark, 3, [*_box(*SECTION_TITLES["breakdown"]), BREAKDOWN_TYPE_HEAD]).withColumn(
         "pos", F.col("pos") - 10))
     parts.append(type_lines)
     by_loc = A.alerts_by(al.filter(F.col("location") != "Pakistan"), "location")
     w_loc = Window.orderBy(F.col("count").desc(), "first_seq")
     locs = by_loc.withColumn("rk", F.row_number().over(w_loc)).filter(F.col("rk") <= 3)
-    parts.append(_lit_lines(spark, 4, ["│" + " " * W68 + "│", "│  🌍 By Location:" + " " * 51 + "│"])
+    parts.append(_lit_lines(spark, 4, ["│" + " " * W68 + "│", BREAKDOWN_LOC_HEAD])
                  .withColumn("pos", F.col("pos") - 10))
     parts.append(locs.select(F.lit(4).alias("section"), F.col("rk").alias("pos"),
-                             F.concat(F.lit("│    "), ljust(F.col("location"), 30), F.lit(" "),
-                                      rjust(F.col("count"), 4), F.lit(" " * 16 + "│")).alias("line")))
+                             tmpl(BREAKDOWN_LOC_ROW, ljust(F.col("location"), 30), rjust(F.col("count"), 4))
+                             .alias("line")))
     parts.append(_lit_lines(spark, 5, [_BOX_END, ""]))
 
     # 4. top threats
     top = A.top_alert_users(al, 5)
     w_top = Window.orderBy(F.col("count").desc(), "first_seq")
     top = top.withColumn("rk", F.row_number().over(w_top))
-    parts.append(_lit_lines(spark, 6, _box("TOP THREATS", 23)).withColumn("pos", F.col("pos") - 10))
+    parts.append(_lit_lines(spark, 6, _box(*SECTION_TITLES["top"])).withColumn("pos", F.col("pos") - 10))
     parts.append(top.select(F.lit(6).alias("section"), F.col("rk").alias("pos"),
-                            F.concat(F.lit("│  "), rjust(F.col("rk"), 2), F.lit(". "), F.col("severity"), F.lit(" "),
-                                     ljust(F.col("user_id"), 25), F.lit(" "), rjust(F.col("count"), 4),
-                                     F.lit(" alerts          │")).alias("line")))
+                            tmpl(TOP_ROW, rjust(F.col("rk"), 2), F.col("severity"), ljust(F.col("user_id"), 25),
+                                 rjust(F.col("count"), 4)).alias("line")))
     parts.append(_lit_lines(spark, 7, [_BOX_END, ""]))
 
     # 5. hourly distribution (24 rows), bars relative to the busiest hour
@@ -103,37 +133,31 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     hmax = hours.select(F.max("count")).scalar()
     h = hours
     hlen = F.when(hmax > 0, F.floor(F.col("count") * 40 / hmax)).otherwise(0)
-    parts.append(_lit_lines(spark, 8, _box("HOURLY DISTRIBUTION", 20)).withColumn("pos", F.col("pos") - 10))
+    parts.append(_lit_lines(spark, 8, _box(*SECTION_TITLES["hourly"])).withColumn("pos", F.col("pos") - 10))
     parts.append(h.select(F.lit(8).alias("section"), F.col("hour").alias("pos"),
-                          F.concat(F.lit("│  "), F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":00 "),
-                                   ljust(bar(hlen), 40), F.lit(" "), rjust(F.col("count"), 4),
-                                   F.when(F.col("night"), F.lit(" 🌙")).otherwise(F.lit("")),
-                                   F.lit(" │")).alias("line")))
+                          tmpl(HOUR_ROW, F.lpad(F.col("hour").cast("string"), 2, "0"), ljust(bar(hlen), 40),
+                               rjust(F.col("count"), 4),
+                               F.when(F.col("night"), F.lit(NIGHT_MARK)).otherwise(F.lit(""))).alias("line")))
     parts.append(_lit_lines(spark, 9, [_BOX_END, ""]))
 
     # 6. detection engines, first-seen order
     models = A.alerts_by(al, "model")
     w_m = Window.orderBy("first_seq")
-    parts.append(_lit_lines(spark, 10, _box("DETECTION ENGINES", 20)).withColumn("pos", F.col("pos") - 10))
+    parts.append(_lit_lines(spark, 10, _box(*SECTION_TITLES["engines"])).withColumn("pos", F.col("pos") - 10))
     parts.append(models.select(F.lit(10).alias("section"), F.row_number().over(w_m).alias("pos"),
-                               F.concat(F.lit("│  🤖 "), ljust(F.col("model"), 30), F.lit(" "),
-                                        rjust(F.col("count"), 4), F.lit(" detections     │")).alias("line")))
+                               tmpl(ENGINE_ROW, ljust(F.col("model"), 30), rjust(F.col("count"), 4)).alias("line")))
     parts.append(_lit_lines(spark, 11, [_BOX_END, ""]))
 
     # 7. recommendations
     recs = A.report_recommendations(summ)
-    parts.append(_lit_lines(spark, 12, _box("RECOMMENDED ACTIONS", 20)).withColumn("pos", F.col("pos") - 10))
+    parts.append(_lit_lines(spark, 12, _box(*SECTION_TITLES["actions"])).withColumn("pos", F.col("pos") - 10))
     parts.append(recs.select(F.lit(12).alias("section"), F.col("pos"),
-                             F.concat(F.lit("│  "), F.col("pos").cast("string"), F.lit(". "),
-                                      ljust(F.col("recommendation"), 60), F.lit(" │")).alias("line")))
+                             tmpl(ACTION_ROW, F.col("pos"), ljust(F.col("recommendation"), 60)).alias("line")))
     parts.append(_lit_lines(spark, 13, [_BOX_END, ""]))
 
     # 8. footer
-    parts.append(_lit_lines(spark, 14, [
-        "╔" + "═" * W68 + "╗",
-        "║" + " " * 10 + "Report generated by AI Cybersecurity Platform" + " " * 9 + "║",
-        F.concat(F.lit("║" + " " * 15 + "© "), year, F.lit(" - All Rights Reserved" + " " * 19 + "║")),
-        "╚" + "═" * W68 + "╝"]))
+    parts.append(_lit_lines(spark, 14, ["╔" + "═" * W68 + "╗", FOOTER_ROWS[0], tmpl(FOOTER_ROWS[1], year),
+                                        "╚" + "═" * W68 + "╝"]))
 
     out = parts[0]
     for p in parts[1:]:
