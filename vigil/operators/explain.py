@@ -168,17 +168,22 @@ def cell_shap(cells: DataFrame, leaves: dict, features: list[str] = FEATURES, ba
                           + [T.StructField(f"phi_{c}", T.DoubleType()) for c in features]
                           + [T.StructField("base", T.DoubleType()), T.StructField("p_forest", T.DoubleType())])
 
+    # the leaf table is shipped once per executor (broadcast variable), not
+    # pickled into every task's closure
+    leaves_bc = cells.sparkSession.sparkContext.broadcast(leaves)
+
     def run(it):
+        lv = leaves_bc.value
         for pdf in it:
             for s in range(0, len(pdf), batch):
                 part = pdf.iloc[s:s + batch]
                 x = part[[f"x_{c}" for c in features]].to_numpy(dtype=float)
-                phi, base = shap_values(x, leaves)
+                phi, base = shap_values(x, lv)
                 out = part[cell_cols].copy()
                 for i, c in enumerate(features):
                     out[f"phi_{c}"] = phi[:, i]
                 out["base"] = base
-                out["p_forest"] = forest_probability(x, leaves)
+                out["p_forest"] = forest_probability(x, lv)
                 yield out
 
     reps = cells.select(*cell_cols, *[F.col(f"x_{c}") for c in features])

@@ -147,9 +147,9 @@ def score_histogram(df: DataFrame, col: str = "threat_score", bins: int = 30,
     right (the numpy rule, including its edge corrections).  With ``by`` (a
     class label) each group gets its own range, as separate plots would.
 
-    Bounds are one partial aggregate per group; ``by`` must be a low-cardinality
-    label, so the bounds table (one row per label) is safe to broadcast.  Bin
-    counts are a partial aggregate; an exploded ``sequence`` gives empty bins.
+    Bounds are one partial aggregate per group, joined back by an equi-join
+    (AQE broadcasts the bounds table at run time when it is small).  Bin counts
+    are a partial aggregate; an exploded ``sequence`` gives empty bins.
     """
     x = F.col(col).cast("double")
     g = F.col(by) if by else F.lit(0)
@@ -166,7 +166,7 @@ def score_histogram(df: DataFrame, col: str = "threat_score", bins: int = 30,
     def edge(i: Column) -> Column:
         return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * step + F.col("_lo"))
 
-    vals = vals.join(F.broadcast(bounds), "_g")
+    vals = vals.join(bounds, "_g")
     i = F.least(F.floor((F.col("_x") - F.col("_lo")) * norm).cast("int"), F.lit(bins - 1))
     vals = vals.withColumn("_i", i)
     vals = vals.withColumn("_i", F.when(F.col("_x") < edge(F.col("_i")), F.col("_i") - 1)
