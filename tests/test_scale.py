@@ -76,3 +76,22 @@ def test_stream_state_carries_across_micro_batches(spark):
     want = {r.event_id: (r.n, r.anomaly_score, r.usual_location)
             for r in U.ueba_scores(subset).select("event_id", "n", "anomaly_score", "usual_location").collect()}
     assert got == want
+
+
+def test_python_workers_need_no_installed_package():
+    """Arrow-batched operators run in workers started outside the repo (the
+    package is pickled by value)."""
+    import subprocess
+    import sys
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+        "from vigil.sources.fixture import security_logs\n"
+        "from vigil.streaming.ueba_state import stream_ueba\n"
+        "print('ROWS', stream_ueba(security_logs(s, %r)).count())\n"
+    ) % (os.path.dirname(os.path.dirname(os.path.abspath(__file__))), SF_SMALL)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="run-", dir="/tmp"),
+                         capture_output=True, text=True, timeout=600, env=env)
+    assert "ROWS 1000" in out.stdout, out.stderr[-2000:]
