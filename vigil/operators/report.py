@@ -109,7 +109,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
         "pos", F.col("pos") - 10))
     parts.append(type_lines)
     by_loc = A.alerts_by(al.filter(F.col("location") != "Pakistan"), "location")
-    w_loc = Window.orderBy(F.col("count").desc(), "first_seq")
+    w_loc = Window.orderBy(F.col("count").desc(), "first_seq")  # one row per country
     locs = by_loc.withColumn("rk", F.row_number().over(w_loc)).filter(F.col("rk") <= 3)
     parts.append(_lit_lines(spark, 4, ["│" + " " * W68 + "│", BREAKDOWN_LOC_HEAD])
                  .withColumn("pos", F.col("pos") - 10))
@@ -120,7 +120,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
 
     # 4. top threats
     top = A.top_alert_users(al, 5)
-    w_top = Window.orderBy(F.col("count").desc(), "first_seq")
+    w_top = Window.orderBy(F.col("count").desc(), "first_seq")  # five rows
     top = top.withColumn("rk", F.row_number().over(w_top))
     parts.append(_lit_lines(spark, 6, _box(*SECTION_TITLES["top"])).withColumn("pos", F.col("pos") - 10))
     parts.append(top.select(F.lit(6).alias("section"), F.col("rk").alias("pos"),
@@ -142,7 +142,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
 
     # 6. detection engines, first-seen order
     models = A.alerts_by(al, "model")
-    w_m = Window.orderBy("first_seq")
+    w_m = Window.orderBy("first_seq")  # one row per detection engine
     parts.append(_lit_lines(spark, 10, _box(*SECTION_TITLES["engines"])).withColumn("pos", F.col("pos") - 10))
     parts.append(models.select(F.lit(10).alias("section"), F.row_number().over(w_m).alias("pos"),
                                tmpl(ENGINE_ROW, ljust(F.col("model"), 30), rjust(F.col("count"), 4)).alias("line")))
