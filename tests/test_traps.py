@@ -132,3 +132,21 @@ def test_metrics_identities(spark):
     km = M.key_metrics(M.confusion_matrix(M.with_prediction(df))).first()
     assert km.tp + km.fn == 3 and km.tn + km.fp == 3
     assert math.isclose(km.accuracy, (km.tp + km.tn) / 6)
+
+
+def test_single_pass_rollups_equal_direct_aggregates(spark):
+    from vigil.operators import report as R
+    rows = [(i, ["ali", "sara", "unknown", "usman"][i % 4], ["UNKNOWN", "UEBA_ANOMALY"][i % 2],
+             ["Pakistan", "Russia", "Unknown"][i % 3], 0.5 + (i % 7) / 10, "Unknown",
+             f"2024-01-01 {i % 24:02d}:00:00") for i in range(60)]
+    al = spark.createDataFrame(rows, "seq long, user_id string, alert_type string, location string, "
+                                     "raw_score double, model string, ts string") \
+              .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    st = R.report_statistics(al).first()
+    assert (st.total_alerts, st.high_risk_users, st.threats_blocked, st.risk_level) == \
+        tuple(A.executive_summary(al).first())
+    for key, m in [("alert_type", st.threats_by_type), ("location", st.threats_by_location),
+                   ("model", st.model_stats)]:
+        assert dict(m) == {r[key]: r["count"] for r in A.alerts_by(al, key).collect()}
+    assert [(t.user, t["count"]) for t in st.top_threats] == \
+        [(r.user_id, r["count"]) for r in A.top_alert_users(al, 5).collect()]

@@ -353,3 +353,41 @@ def attach_baseline(events: DataFrame, baseline: DataFrame) -> DataFrame:
     """Each event with its user's baseline snapshot (left equi-join; AQE
     broadcasts the baseline at run time when it is small)."""
     return events.join(baseline, "user_id", "left")
+
+
+ROLLUP_DIMS = ["alert_type", "location", "model", "user_id", "hour"]
+
+
+def alert_rollups(al: DataFrame) -> DataFrame:
+    """Every report counter in one pass over the alerts: GROUPING SETS over
+    type, location, engine, user and hour, plus the grand total.  Rows:
+    ``(dim, key, count, first_seq, blocked, max_ts)``; one row per distinct
+    value of each dimension, so the result is small next to the alerts."""
+    x = al.withColumn("hour", F.hour("ts").cast("int"))
+    g = x.groupingSets([[d] for d in ROLLUP_DIMS] + [[]], *ROLLUP_DIMS).agg(
+        F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"),
+        F.count_if(F.col("raw_score") > BLOCK_OVER).alias("blocked"), F.max("ts").alias("max_ts"),
+        *[F.grouping(d).alias(f"_g_{d}") for d in ROLLUP_DIMS])
+    dim = F.lit("total")
+    for d in reversed(ROLLUP_DIMS):
+        dim = F.when(F.col(f"_g_{d}") == 0, F.lit(d)).otherwise(dim)
+    key = F.coalesce(*[F.col(d).cast("string") for d in ROLLUP_DIMS])
+    return g.select(dim.alias("dim"), key.alias("key"), "count", "first_seq", "blocked", "max_ts")
+
+
+def rollup_dim(r: DataFrame, dim: str, name: str | None = None) -> DataFrame:
+    """One dimension of ``alert_rollups`` as (value, count, first_seq)."""
+    return r.filter(F.col("dim") == dim).select(F.col("key").alias(name or dim), "count", "first_seq")
+
+
+def summary_from_rollups(r: DataFrame, top_n: int = 5) -> DataFrame:
+    """A16-A19 from the roll-up table (same row as ``executive_summary``)."""
+    users = r.filter(F.col("dim") == "user_id").select(F.count(F.lit(1))).scalar()
+    out = r.filter(F.col("dim") == "total").select(
+        F.col("count").alias("total_alerts"), F.least(F.lit(top_n).cast("long"), users).alias("high_risk_users"),
+        F.col("blocked").alias("threats_blocked"))
+    t = F.col("total_alerts")
+    level = F.lit(OVERALL_LEVELS[-1][1])
+    for above, text in reversed(OVERALL_LEVELS[:-1]):
+        level = F.when(t > above, F.lit(text)).otherwise(level)
+    return out.withColumn("risk_level", level)

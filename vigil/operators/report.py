@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.text import bar, ljust, rjust, tmpl
+from vigil.functions.scoring import odd_hour
 from vigil.operators import alerts as A
 
 W68 = 68
@@ -74,7 +75,10 @@ _BOX_END = "└" + "─" * W68 + "┘"
 def threat_report(al: DataFrame, report_type: str = "daily", generated: Column | None = None) -> DataFrame:
     """Report lines ``(section, pos, line)``; order by both to read it."""
     spark = al.sparkSession
-    gen = generated if generated is not None else al.select(F.max("ts")).scalar()
+    # every counter comes from one GROUPING SETS pass, written once
+    r = A.alert_rollups(al).checkpoint(eager=True)
+    gen = generated if generated is not None else \
+        r.filter(F.col("dim") == "total").select(F.max("max_ts")).scalar()
     gen_text = F.date_format(gen, "yyyy-MM-dd HH:mm:ss")
     year = F.year(gen).cast("string")
     rt = report_type
@@ -87,7 +91,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
         tmpl(h[2], gen_text), h[3].format(rt.capitalize()), h[4], "╚" + "═" * W68 + "╝", ""]))
 
     # 2. executive summary
-    summ = A.executive_summary(al)
+    summ = A.summary_from_rollups(r)
     sr = SUMMARY_ROWS
     s_lines = F.array(
         *[F.lit(x) for x in _box(*SECTION_TITLES["summary"])],
@@ -97,7 +101,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     parts.append(summ.select(F.lit(2).alias("section"), F.posexplode(s_lines).alias("pos", "line")))
 
     # 3. breakdown by type (top 5, bars relative to the largest) and foreign locations (top 3)
-    by_type = A.alerts_by(al, "alert_type")
+    by_type = A.rollup_dim(r, "alert_type")
     mx = by_type.select(F.max("count")).scalar()
     w_type = Window.orderBy(F.col("count").desc(), "first_seq")  # one row per alert type
     types = by_type.withColumn("rk", F.row_number().over(w_type)).filter(F.col("rk") <= 5)
@@ -108,7 +112,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     parts.append(_lit_lines(spark, 3, [*_box(*SECTION_TITLES["breakdown"]), BREAKDOWN_TYPE_HEAD]).withColumn(
         "pos", F.col("pos") - 10))
     parts.append(type_lines)
-    by_loc = A.alerts_by(al.filter(F.col("location") != "Pakistan"), "location")
+    by_loc = A.rollup_dim(r, "location").filter(F.col("location") != "Pakistan")
     w_loc = Window.orderBy(F.col("count").desc(), "first_seq")  # one row per country
     locs = by_loc.withColumn("rk", F.row_number().over(w_loc)).filter(F.col("rk") <= 3)
     parts.append(_lit_lines(spark, 4, ["│" + " " * W68 + "│", BREAKDOWN_LOC_HEAD])
@@ -119,7 +123,9 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     parts.append(_lit_lines(spark, 5, [_BOX_END, ""]))
 
     # 4. top threats
-    top = A.top_alert_users(al, 5)
+    users = A.rollup_dim(r, "user_id")
+    top = users.orderBy(F.col("count").desc(), "first_seq").limit(5).withColumn(
+        "severity", F.when(F.col("count") > 10, "🔴").when(F.col("count") > 5, "🟠").otherwise("🟡"))
     w_top = Window.orderBy(F.col("count").desc(), "first_seq")  # five rows
     top = top.withColumn("rk", F.row_number().over(w_top))
     parts.append(_lit_lines(spark, 6, _box(*SECTION_TITLES["top"])).withColumn("pos", F.col("pos") - 10))
@@ -129,7 +135,12 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     parts.append(_lit_lines(spark, 7, [_BOX_END, ""]))
 
     # 5. hourly distribution (24 rows), bars relative to the busiest hour
-    hours = A.alerts_by_hour(al)
+    per_hour = A.rollup_dim(r, "hour").filter(F.col("hour").isNotNull()) \
+        .select(F.col("hour").cast("int").alias("hour"), F.col("count").alias("n"))
+    hours = (spark.range(24).select(F.col("id").cast("int").alias("hour"))
+                  .join(F.broadcast(per_hour), "hour", "left")            # at most 24 rows
+                  .select("hour", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("count"),
+                          odd_hour(F.col("hour")).alias("night")))
     hmax = hours.select(F.max("count")).scalar()
     h = hours
     hlen = F.when(hmax > 0, F.floor(F.col("count") * 40 / hmax)).otherwise(0)
@@ -141,7 +152,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     parts.append(_lit_lines(spark, 9, [_BOX_END, ""]))
 
     # 6. detection engines, first-seen order
-    models = A.alerts_by(al, "model")
+    models = A.rollup_dim(r, "model")
     w_m = Window.orderBy("first_seq")  # one row per detection engine
     parts.append(_lit_lines(spark, 10, _box(*SECTION_TITLES["engines"])).withColumn("pos", F.col("pos") - 10))
     parts.append(models.select(F.lit(10).alias("section"), F.row_number().over(w_m).alias("pos"),
@@ -166,21 +177,25 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
 
 
 def report_statistics(al: DataFrame) -> DataFrame:
-    """S17 content: the report's counters as one JSON-able row.  Count maps by
-    type, location, model and hour are bounded by those domains and come in as
-    scalar subqueries; per-user counts and the timeline are unbounded, so they
-    stay frames of their own (``alerts_by(al, 'user_id')``, ``alert_timeline``)."""
-    summ = A.executive_summary(al)
-
-    def count_map(key: str) -> Column:
-        c = al.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("s"))
-        entries = F.transform(F.array_sort(F.collect_list(F.struct("s", key, "n"))),
-                              lambda e: F.struct(e[key].cast("string"), e["n"]))
-        return c.select(F.map_from_entries(entries)).scalar()
-
-    hours = A.alerts_by_hour(al).filter(F.col("count") > 0)
-    by_hour = hours.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct("hour", "count"))))).scalar()
-    top = A.top_alert_users(al, 5).select(F.transform(
+    """S17 content: the report's counters as one JSON-able row, from one
+    GROUPING SETS pass.  Count maps by type, location, engine and hour are
+    bounded by those domains; per-user counts and the timeline are unbounded,
+    so they stay frames of their own (``alerts_by(al, 'user_id')``,
+    ``alert_timeline``); only the top five users enter the row."""
+    r = A.alert_rollups(al).checkpoint(eager=True)
+    summ = A.summary_from_rollups(r)
+
+    def count_map(dim: str) -> Column:
+        d = A.rollup_dim(r, dim, "k").filter(F.col("k").isNotNull())
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "k", "count"))),
+                              lambda e: F.struct(e["k"], e["count"]))
+        return d.select(F.map_from_entries(entries)).scalar()
+
+    hours = A.rollup_dim(r, "hour", "k").filter(F.col("k").isNotNull())
+    by_hour = hours.select(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct(F.col("k").cast("int").alias("hour"), "count"))))).scalar()
+    top5 = A.rollup_dim(r, "user_id").orderBy(F.col("count").desc(), "first_seq").limit(5)
+    top = top5.select(F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "first_seq", "user_id", "count"))),
         lambda e: F.struct(e["user_id"].alias("user"), e["count"].alias("count")))).scalar()
     return summ.select("*", count_map("alert_type").alias("threats_by_type"),

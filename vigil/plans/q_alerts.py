@@ -5,7 +5,7 @@ from __future__ import annotations
 from vigil.operators import alerts as A
 from vigil.operators import report as R
 from vigil.operators import ueba as U
-from vigil.plans.catalog import _UEBA_SQL
+from vigil.plans.sql_text import UEBA_SQL as _UEBA_SQL
 from vigil.plans.registry import register
 from vigil.sources.fixture import security_logs
 from vigil.session import ensure_checkpoint_dir

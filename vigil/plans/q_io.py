@@ -14,7 +14,8 @@ from vigil.operators import alerts as A
 from vigil.operators import investigate as I
 from vigil.operators import ml as ML
 from vigil.operators import ueba as U
-from vigil.plans.catalog import ORACLE, _UEBA_SQL
+from vigil.plans.registry import ORACLE
+from vigil.plans.sql_text import UEBA_SQL as _UEBA_SQL
 from vigil.plans.q_investigate import USER_AGG_SQL
 from vigil.plans.q_ml import _train
 from vigil.plans.registry import register, r6

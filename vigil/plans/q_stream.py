@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.operators import alerts as A
-from vigil.plans.catalog import ORACLE
+from vigil.plans import catalog as _catalog  # noqa: F401  (registers the batch twins first)
+from vigil.plans import q_alerts as _q_alerts  # noqa: F401
+from vigil.plans.registry import ORACLE
 from vigil.plans.registry import register, r6
 from vigil.sources.logs import decode_json, split_corrupt
 from vigil.streaming import streams as S
