@@ -81,7 +81,11 @@ def q_stream_daily_alert_counts(spark, sf):
     return latest.select(F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"), "alerts")
 
 
-@register("stream_quarantine_counts")
+@register("stream_quarantine_counts", """
+SELECT CASE WHEN json_valid(text) AND ltrim(text) LIKE '{%' THEN 'decoded' ELSE 'quarantined' END AS kind,
+       count(*) AS count
+FROM documents GROUP BY 1
+""")
 def q_stream_quarantine_counts(spark, sf):
     """Message texts decoded as JSON events; undecodable ones are
     quarantined instead of stopping the stream (documents' texts as messages)."""
