@@ -6,8 +6,8 @@ from vigil.operators import alerts as A
 from vigil.operators import report as R
 from vigil.operators import ueba as U
 from vigil.plans.sql_text import UEBA_SQL as _UEBA_SQL
-from vigil.plans.registry import register
-from vigil.sources.fixture import security_logs
+from vigil.plans.registry import ORACLE, register
+from vigil.sources.fixture import ORACLE_PREFIX, security_logs
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -222,7 +222,7 @@ def q_request_stats(spark, sf):
 
 
 @register("threat_report")
-def q_threat_report(spark, sf):
+def q_threat_report(spark, sf):  # oracle: threat_report_sql() (registered below)
     """The full daily report text (rows-only check)."""
     return R.threat_report(fixture_alerts(spark, sf, materialize=True), "daily")
 
@@ -231,3 +231,105 @@ def q_threat_report(spark, sf):
 def q_report_statistics(spark, sf):
     """S17 content (rows-only: nested maps)."""
     return R.report_statistics(fixture_alerts(spark, sf, materialize=True))
+
+
+def _sq(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _tmpl_sql(fmt: str, *vals: str) -> str:
+    parts = fmt.split("{}")
+    out = [_sq(parts[0])]
+    for v, p in zip(vals, parts[1:]):
+        out += [f"CAST({v} AS STRING)", _sq(p)]
+    return "concat(" + ", ".join(out) + ")"
+
+
+def _rj(x: str, w: int) -> str:
+    x = f"CAST({x} AS STRING)"
+    return f"(CASE WHEN length({x}) >= {w} THEN {x} ELSE lpad({x}, {w}, ' ') END)"
+
+
+def threat_report_sql(report_type: str = "daily") -> str:
+    """Oracle for A37, generated from the report's fixed layout values."""
+    W = R.W68
+    top_line, bot_line = "╔" + "═" * W + "╗", "╚" + "═" * W + "╝"
+    box_end = "└" + "─" * W + "┘"
+
+    def box(key):
+        title, pad = R.SECTION_TITLES[key]
+        return ["┌" + "─" * W + "┐", "│" + " " * pad + title + " " * (W - pad - len(title)) + "│",
+                "├" + "─" * W + "┤"]
+
+    def lit_rows(section, texts, start=0):
+        return [f"SELECT {section} AS section, {start + i} AS pos, "
+                f"{t if t.startswith('concat(') else _sq(t)} AS line FROM gt"
+                for i, t in enumerate(texts)]
+
+    h = R.HEADER_ROWS
+    sr = R.SUMMARY_ROWS
+    rec_rows = " UNION ALL ".join(
+        f"SELECT {i} AS k, {_sq(text)} AS rec FROM sm WHERE "
+        + ("TRUE" if cond is None else cond.replace("total", "t").replace("high_risk_users", "h"))
+        for i, (cond, text) in enumerate(A.REPORT_RECOMMENDATIONS))
+    levels = "CASE " + " ".join(f"WHEN t > {above} THEN {_sq(text)}" for above, text in A.OVERALL_LEVELS[:-1]) \
+        + f" ELSE {_sq(A.OVERALL_LEVELS[-1][1])} END"
+    parts = []
+    parts += lit_rows(1, [top_line, h[0], h[1].format(report_type.upper()), "╠" + "═" * W + "╣",
+                          _tmpl_sql(h[2], "gen"), h[3].format(report_type.capitalize()), h[4], bot_line, ""])
+    parts += lit_rows(2, box("summary"))
+    parts += [f"SELECT 2, 3, {_tmpl_sql(sr[0], _rj('t', 6))} FROM sm",
+              f"SELECT 2, 4, {_tmpl_sql(sr[1], _rj('h', 6))} FROM sm",
+              f"SELECT 2, 5, {_tmpl_sql(sr[2], _rj('b', 6))} FROM sm",
+              f"SELECT 2, 6, {_tmpl_sql(sr[3], _lj(levels, 30))} FROM sm"]
+    parts += lit_rows(2, [box_end, ""], start=7)
+    parts += lit_rows(3, box("breakdown") + [R.BREAKDOWN_TYPE_HEAD], start=-10)
+    parts += [f"SELECT 3, rk + 1, {_tmpl_sql(R.BREAKDOWN_TYPE_ROW, _lj('alert_type', 30), _rj('c', 4), 'bar')} "
+              f"FROM ty WHERE rk <= 5"]
+    parts += lit_rows(4, ["│" + " " * W + "│", R.BREAKDOWN_LOC_HEAD], start=-10)
+    parts += [f"SELECT 4, rk, {_tmpl_sql(R.BREAKDOWN_LOC_ROW, _lj('location', 30), _rj('c', 4))} FROM lo WHERE rk <= 3"]
+    parts += lit_rows(5, [box_end, ""])
+    parts += lit_rows(6, box("top"), start=-10)
+    parts += [f"SELECT 6, rk, {_tmpl_sql(R.TOP_ROW, _rj('rk', 2), 'sev', _lj('user_id', 25), _rj('c', 4))} "
+              f"FROM tu WHERE rk <= 5"]
+    parts += lit_rows(7, [box_end, ""])
+    parts += lit_rows(8, box("hourly"), start=-10)
+    parts += [f"SELECT 8, hour, {_tmpl_sql(R.HOUR_ROW, 'lpad(CAST(hour AS STRING), 2, ' + _sq('0') + ')', _lj('bar', 40), _rj('c', 4), 'night')} FROM hr"]
+    parts += lit_rows(9, [box_end, ""])
+    parts += lit_rows(10, box("engines"), start=-10)
+    parts += [f"SELECT 10, rk, {_tmpl_sql(R.ENGINE_ROW, _lj('model', 30), _rj('c', 4))} FROM mo"]
+    parts += lit_rows(11, [box_end, ""])
+    parts += lit_rows(12, box("actions"), start=-10)
+    parts += [f"SELECT 12, pos, {_tmpl_sql(R.ACTION_ROW, 'pos', _lj('rec', 60))} FROM rc WHERE pos <= 8"]
+    parts += lit_rows(13, [box_end, ""])
+    parts += lit_rows(14, [top_line, R.FOOTER_ROWS[0], _tmpl_sql(R.FOOTER_ROWS[1], "yr"), bot_line])
+    body = "\nUNION ALL ".join(parts)
+    return ALERTS_SQL + f"""
+, gt AS (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS gen, CAST(year(max(ts)) AS STRING) AS yr FROM al),
+sm AS (SELECT count(*) AS t, least(5, count(DISTINCT user_id)) AS h,
+              count(*) FILTER (WHERE raw_score > 0.8) AS b FROM al),
+tyc AS (SELECT alert_type, count(*) AS c, min(seq) AS fs FROM al GROUP BY alert_type),
+ty AS (SELECT *, row_number() OVER (ORDER BY c DESC, fs) AS rk,
+              repeat('█', CAST(least(30, floor(c * 30 / greatest(1, max(c) OVER ()))) AS INT)) AS bar FROM tyc),
+lo AS (SELECT *, row_number() OVER (ORDER BY c DESC, fs) AS rk FROM
+         (SELECT location, count(*) AS c, min(seq) AS fs FROM al WHERE location <> 'Pakistan' GROUP BY location)),
+tu AS (SELECT *, row_number() OVER (ORDER BY c DESC, fs) AS rk,
+              CASE WHEN c > 10 THEN '🔴' WHEN c > 5 THEN '🟠' ELSE '🟡' END AS sev FROM
+         (SELECT user_id, count(*) AS c, min(seq) AS fs FROM al GROUP BY user_id)),
+hc AS (SELECT CAST(hour(ts) AS INT) AS hour, count(*) AS n FROM al WHERE ts IS NOT NULL GROUP BY 1),
+hs AS (SELECT CAST(s.i AS INT) AS hour, CAST(coalesce(hc.n, 0) AS BIGINT) AS c
+       FROM range(24) s(i) LEFT JOIN hc ON CAST(s.i AS INT) = hc.hour),
+hr AS (SELECT hour, c,
+              repeat('█', CAST(CASE WHEN max(c) OVER () > 0 THEN floor(c * 40 / max(c) OVER ()) ELSE 0 END AS INT))
+                AS bar,
+              CASE WHEN hour < 6 OR hour > 22 THEN {_sq(R.NIGHT_MARK)} ELSE '' END AS night FROM hs),
+mo AS (SELECT model, c, row_number() OVER (ORDER BY fs) AS rk FROM
+         (SELECT model, count(*) AS c, min(seq) AS fs FROM al GROUP BY model)),
+rr0 AS ({rec_rows.replace("FROM sm", "FROM (SELECT t, h FROM sm) sm")}),
+rc AS (SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS pos, rec FROM rr0),
+lines AS ({body})
+SELECT CAST(section AS INT) AS section, CAST(pos AS INT) AS pos, line FROM lines
+"""
+
+
+ORACLE["threat_report"] = ORACLE_PREFIX.rstrip() + threat_report_sql("daily")
