@@ -62,7 +62,7 @@ def q_user_risk_ranking(spark, sf):
     return I.user_risk_ranking(security_logs(spark, sf))
 
 
-@register("user_risk_factors", USER_AGG_SQL + f"""
+FACTORS_SQL = f"""
 , f AS (
   SELECT user_id, 1 AS ord, 'Night Activity' AS factor,
          concat({_fmt0('night_pct')}, '% activity at night (12-5AM)') AS detail, 25 AS score,
@@ -93,6 +93,10 @@ def q_user_risk_ranking(spark, sf):
   UNION ALL
   SELECT user_id, 7, 'Foreign IP', concat({_fmt0('foreign_ip_pct')}, '% from foreign IPs'), 20, 'HIGH'
   FROM lv WHERE foreign_ip_pct > 20)
+"""
+
+
+@register("user_risk_factors", USER_AGG_SQL + FACTORS_SQL + """
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ord) AS INT) AS pos,
        factor, detail, CAST(score AS INT) AS score, severity
 FROM f
@@ -206,3 +210,105 @@ def q_risky_user_events(spark, sf):
 def q_investigation_report(spark, sf):
     """Full report text for every user (rows-only check)."""
     return I.investigation_report(security_logs(spark, sf))
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _fill(fmt: str, *vals: str) -> str:
+    parts = fmt.split("{}")
+    out = [_q(parts[0])]
+    for v, p in zip(vals, parts[1:]):
+        out += [f"CAST({v} AS STRING)", _q(p)]
+    return "concat(" + ", ".join(out) + ")"
+
+
+def investigation_report_sql(source: str = "parquet") -> str:
+    """Oracle for A36, generated from the investigation's fixed texts."""
+    rt, pt, rc = I.REPORT_TEXT, I.PATTERN_TEXT, I.USER_RECOMMENDATIONS
+    bar, thin = _q("=" * 70), _q("-" * 70)
+    verdict_emoji = "CASE risk_level " + " ".join(
+        f"WHEN {_q(k)} THEN {_q(v[0])}" for k, v in I.VERDICT_TEXT.items()) + " END"
+    verdict_action = "CASE risk_level " + " ".join(
+        f"WHEN {_q(k)} THEN {_q(v[1])}" for k, v in I.VERDICT_TEXT.items()) + " END"
+    sev_emoji = "CASE severity " + " ".join(
+        f"WHEN {_q(k)} THEN {_q(I.SEVERITY_EMOJI[k])}" for k in ["CRITICAL", "HIGH", "MEDIUM", "LOW"]) \
+        + f" ELSE {_q('⚪')} END"
+    f0 = _fmt0
+    header = ", ".join([bar, _q(rt["title"]), bar, _fill(rt["user"], "user_id"),
+                        _q(rt["source"].format(source)), _fill(rt["records"], "events"), "''", bar,
+                        _fill(rt["verdict"], verdict_emoji, "risk_level"), bar, _fill(rt["score"], "total_score"),
+                        _fill(rt["action"], verdict_action), "''"])
+    stats = ", ".join([
+        _fill("  Total Events: {}", "events"), _fill("  Peak Hour: {}:00", "coalesce(CAST(peak AS STRING), 'N/A')"),
+        _fill("  Night Activity: {} events ({}%)", "night_count", f0("night_pct")),
+        _fill("  Locations: {} unique (Most: {})", "unique_locations", "coalesce(top_loc, 'N/A')"),
+        _fill("  Avg Files: {}", f0("avg_files")), _fill("  Max Files: {}", "max_files"),
+        _fill("  Devices Used: {}", "coalesce(devices, '{}')"),
+        _fill("  Avg Logins: {}", "printf('%.1f', avg_logins)"), _fill("  Total Upload: {} MB", "total_upload")])
+    pats = ", ".join([
+        f"'  ' || CASE WHEN night_pct > 30 THEN {_fill(pt['night_high'], f0('night_pct'))} "
+        f"WHEN night_pct > 10 THEN {_fill(pt['night_some'], f0('night_pct'))} ELSE {_q(pt['night_none'])} END",
+        f"'  ' || CASE WHEN unique_locations > 3 THEN {_fill(pt['mobility_high'], 'unique_locations')} "
+        f"WHEN unique_locations > 1 THEN {_fill(pt['mobility_some'], 'unique_locations')} "
+        f"ELSE {_q(pt['mobility_none'])} END",
+        f"'  ' || CASE WHEN std_files > 1000 THEN {_q(pt['files_erratic'])} ELSE {_q(pt['files_steady'])} END",
+        f"'  ' || CASE WHEN unknown_pct > 20 THEN {_fill(pt['device_high'], f0('unknown_pct'))} "
+        f"WHEN unknown_pct > 0 THEN {_fill(pt['device_some'], f0('unknown_pct'))} ELSE {_q(pt['device_none'])} END"])
+    recs = ", ".join([
+        f"CASE WHEN total_score >= 80 THEN {_q(rc['disable'])} END",
+        f"CASE WHEN total_score >= 80 THEN {_q(rc['escalate'])} END",
+        f"CASE WHEN total_score >= 60 THEN {_q(rc['mfa'])} END",
+        f"CASE WHEN total_score >= 60 THEN {_q(rc['review'])} END",
+        f"CASE WHEN high_risk_count > 0 THEN {_fill(rc['countries'], 'high_risk_count')} END",
+        f"CASE WHEN max_files > 5000 THEN {_q(rc['dlp'])} END",
+        f"CASE WHEN unknown_count > 0 THEN {_q(rc['devices'])} END"])
+    return USER_AGG_SQL + FACTORS_SQL + f"""
+, fr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ord) AS pos FROM f),
+lm AS (SELECT user_id, '{{' || string_agg('''' || location || ''': ' || CAST(n AS STRING), ', '
+                                          ORDER BY n DESC, location) || '}}' AS locs
+       FROM (SELECT user_id, location, count(*) AS n FROM security_logs
+             WHERE location IS NOT NULL AND location <> 'Pakistan' GROUP BY 1, 2) GROUP BY user_id),
+fl AS (SELECT fr.user_id, pos, list_concat(
+         [concat('  ', CAST(pos AS STRING), '. [', rpad(severity, 8, ' '), '] ', {sev_emoji}, ' ', factor),
+          '     ' || detail, '     Risk Contribution: +' || CAST(score AS STRING)],
+         CASE WHEN ord = 2 THEN ['     Locations: ' || coalesce(lm.locs, '{{}}')] ELSE [] END,
+         ['']) AS lines
+       FROM fr LEFT JOIN lm ON fr.user_id = lm.user_id),
+fb AS (SELECT user_id, flatten(list(lines ORDER BY pos)) AS lines FROM fl GROUP BY user_id),
+hcm AS (SELECT user_id, hour_of_day AS peak FROM (SELECT user_id, hour_of_day,
+          row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, hour_of_day) AS rk
+          FROM security_logs GROUP BY 1, 2) WHERE rk = 1),
+lcm AS (SELECT user_id, location AS top_loc FROM (SELECT user_id, location,
+          row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, location) AS rk
+          FROM security_logs WHERE location IS NOT NULL GROUP BY 1, 2) WHERE rk = 1),
+dm AS (SELECT user_id, '{{' || string_agg('''' || device || ''': ' || CAST(c AS STRING), ', '
+                                          ORDER BY c DESC, device) || '}}' AS devices
+       FROM (SELECT user_id, device, count(*) AS c FROM security_logs WHERE device IS NOT NULL GROUP BY 1, 2)
+       GROUP BY user_id),
+rp AS (SELECT lv.*, peak, top_loc, devices, fb.lines AS factor_lines,
+              list_filter([{recs}], lambda x: x IS NOT NULL) AS rec0
+       FROM lv LEFT JOIN hcm ON lv.user_id = hcm.user_id LEFT JOIN lcm ON lv.user_id = lcm.user_id
+               LEFT JOIN dm ON lv.user_id = dm.user_id LEFT JOIN fb ON lv.user_id = fb.user_id),
+rr AS (SELECT *, list_concat(CASE WHEN len(rec0) = 0 THEN [{_q(rc['none'])}] ELSE rec0 END,
+                             [{_q(rc['always'])}]) AS recs FROM rp),
+doc AS (SELECT user_id, list_concat(
+          [{header}],
+          CASE WHEN factor_lines IS NULL OR len(factor_lines) = 0
+               THEN [{_q(rt['no_factors'])}, '']
+               ELSE list_concat([{thin}, {_q(rt['factors'])}, {thin}], factor_lines) END,
+          [{thin}, {_q(rt['stats'])}, {thin}, {stats}, ''],
+          [{thin}, {_q(rt['patterns'])}, {thin}, {pats}, ''],
+          [{thin}, {_q(rt['recommendations'])}, {thin}],
+          list_transform(recs, lambda x, i: concat('  ', CAST(i AS STRING), '. ', x)),
+          ['', {bar}, {_q(rt['complete'])}, {bar}]) AS lines
+        FROM rr)
+SELECT user_id, CAST(generate_subscripts(lines, 1) - 1 AS INT) AS line_no, unnest(lines) AS line FROM doc
+"""
+
+
+from vigil.plans.registry import ORACLE as _ORACLE  # noqa: E402
+from vigil.sources.fixture import ORACLE_PREFIX as _PREFIX  # noqa: E402
+
+_ORACLE["investigation_report"] = _PREFIX.rstrip() + investigation_report_sql("parquet")
