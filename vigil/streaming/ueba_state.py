@@ -6,8 +6,10 @@ for location, device and action in first-seen order, and the anomaly count.
 State per user is bounded by the window plus the attributes' domains.
 Within a micro-batch a user's rows are folded in (timestamp, event_id)
 order, so a stream that delivers events in order gives exactly the batch
-result (``vigil.operators.ueba``).  Means over the window are vectorised
-with prefix sums over ring + batch; only the mode update is a loop.
+result (``vigil.operators.ueba``).  The fold is vectorised: window means by
+prefix sums over ring + batch, running modes by a cumulative max of an
+encoded (count so far, first-seen rank) key, scores as numpy masks; only the
+reason strings are assembled per row.
 """
 
 from __future__ import annotations
@@ -55,38 +57,6 @@ OUTPUT_SCHEMA = T.StructType([
 ])
 
 
-class _Counts:
-    """Value counts in first-seen order with an incrementally kept mode."""
-
-    def __init__(self, keys, counts):
-        self.keys = list(keys or [])
-        self.counts = dict(zip(self.keys, counts or []))
-        self.order = {k: i for i, k in enumerate(self.keys)}
-        self.best = None
-        for k in self.keys:
-            self._consider(k)
-
-    def _consider(self, k):
-        if self.best is None:
-            self.best = k
-            return
-        b = self.best
-        if (self.counts[k], -self.order[k]) > (self.counts[b], -self.order[b]):
-            self.best = k
-
-    def add(self, k):
-        if k not in self.counts:
-            self.order[k] = len(self.keys)
-            self.keys.append(k)
-            self.counts[k] = 0
-        self.counts[k] += 1
-        self._consider(k)
-        return self.best
-
-    def state(self):
-        return self.keys, [self.counts[k] for k in self.keys]
-
-
 def _window_means(ring: list, batch: np.ndarray, n0: int, window: int) -> np.ndarray:
     """Mean of the last min(n, window) values for each batch row (incl. itself)."""
     allv = np.concatenate([np.asarray(ring, dtype=np.int64), batch.astype(np.int64)])
@@ -97,6 +67,35 @@ def _window_means(ring: list, batch: np.ndarray, n0: int, window: int) -> np.nda
     return (cs[idx] - cs[idx - cnt]) / cnt
 
 
+def _running_mode(keys: list, counts: list, values: pd.Series) -> tuple[np.ndarray, list, list]:
+    """Running mode (ties to the first-seen value) of ``values`` continuing the
+    state (``keys`` in first-seen order with ``counts``), vectorised: each row
+    gets the key (count so far) * BIG - first_seen_rank, and the mode is the
+    value whose key is the running maximum."""
+    keys = list(keys or [])
+    order = {k: i for i, k in enumerate(keys)}
+    for v in pd.unique(values):
+        if v not in order:
+            order[v] = len(keys)
+            keys.append(v)
+    base = np.zeros(len(keys), dtype=np.int64)
+    base[:len(counts or [])] = np.asarray(counts or [], dtype=np.int64)
+    rank = values.map(order).to_numpy(dtype=np.int64)
+    so_far = base[rank] + values.groupby(values).cumcount().to_numpy(dtype=np.int64) + 1
+    big = np.int64(len(keys) + 1)
+    key = so_far * big - rank
+    seen = np.flatnonzero(base[:len(counts or [])] > 0)
+    start = (base[seen] * big - seen).max() if len(seen) else np.iinfo(np.int64).min
+    best = np.maximum.accumulate(np.concatenate([[start], key]))[1:]
+    mode_rank = (-best) % big
+    new_counts = base + np.bincount(rank, minlength=len(keys))
+    return np.asarray(keys, dtype=object)[mode_rank], keys, new_counts.tolist()
+
+
+def _present(col: pd.Series) -> np.ndarray:
+    return col.notna().to_numpy()
+
+
 def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     th = UEBA_THRESHOLDS
     window = UEBA_WINDOW
@@ -105,68 +104,62 @@ def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     else:
         n0, tc, rh, rf, ru, lk, lcn, dk, dcn, ak, acn = 0, 0, [], [], [], [], [], [], [], [], []
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "event_id"], kind="stable")
+    pdf = pdf.reset_index(drop=True)
     if pdf.empty:
         return
-    ts = pd.to_datetime(pdf["timestamp"])
-    hour = ts.dt.hour.to_numpy(dtype=np.int64)
+    m = len(pdf)
+    hour = pd.to_datetime(pdf["timestamp"]).dt.hour.to_numpy(dtype=np.int64)
     files = pdf["files_accessed"].fillna(0).to_numpy(dtype=np.int64)
     upload = pdf["data_uploaded_mb"].fillna(0).to_numpy(dtype=np.int64)
     avg_h = _window_means(rh, hour, n0, window)
     avg_f = _window_means(rf, files, n0, window)
     avg_u = _window_means(ru, upload, n0, window)
-    locs, devs, acts = _Counts(lk, lcn), _Counts(dk, dcn), _Counts(ak, acn)
-    out = []
-    user = key[0]
-    for i, row in enumerate(pdf.itertuples(index=False)):
-        n = n0 + i + 1
-        loc, dev = row.location, row.device
-        loc_none = loc is None or (isinstance(loc, float) and np.isnan(loc))
-        dev_none = dev is None or (isinstance(dev, float) and np.isnan(dev))
-        usual_loc = locs.add("Unknown" if loc_none else loc)
-        usual_dev = devs.add("unknown" if dev_none else dev)
-        acts.add(row.action if isinstance(row.action, str) else "unknown")
-        score, reasons = 0, []
-        if n < UEBA_MIN_EVENTS:
-            reasons = [LEARNING_REASON]
-        else:
-            h, f, u = int(hour[i]), int(files[i]), int(upload[i])
-            if abs(h - avg_h[i]) > th["time_deviation"]:
-                score += th["off_hours_score"]
-                reasons.append(REASON_TEXT["time"].format(h, f"{avg_h[i]:.0f}"))
-            if f > avg_f[i] * th["files_multiplier"]:
-                score += th["high_files_score"]
-                reasons.append(REASON_TEXT["files"].format(f, f"{avg_f[i]:.0f}"))
-            if u > avg_u[i] * th["upload_multiplier"]:
-                score += th["high_upload_score"]
-                reasons.append(REASON_TEXT["upload"].format(u, f"{avg_u[i]:.0f}"))
-            loc_val = None if loc_none else loc
-            dev_val = None if dev_none else dev
-            if loc_val != usual_loc:
-                score += th["new_location_score"]
-                reasons.append(REASON_TEXT["location"].format(loc_val, usual_loc))
-            if dev_val != usual_dev:
-                score += th["new_device_score"]
-                reasons.append(REASON_TEXT["device"].format(dev_val, usual_dev))
-            attempts = row.login_attempts
-            attempts = None if attempts is None or (isinstance(attempts, float) and np.isnan(attempts)) \
-                else int(attempts)
-            if (1 if attempts is None else attempts) > UEBA_LOGIN_ATTEMPTS_OVER:
-                score += UEBA_LOGIN_SCORE
-                reasons.append(REASON_TEXT["logins"].format(attempts))
-            fip = row.foreign_ip
-            if fip is not None and not (isinstance(fip, float) and np.isnan(fip)) and int(fip) == 1:
-                score += UEBA_FOREIGN_IP_SCORE
-                reasons.append(REASON_TEXT["foreign"])
-        is_anom = score >= th["anomaly_threshold"]
-        tc += int(is_anom)
-        out.append((int(row.event_id), row.timestamp, user, n, float(avg_h[i]), float(avg_f[i]),
-                    float(avg_u[i]), usual_loc, usual_dev, score, is_anom, reasons, tc))
-    n_total = n0 + len(pdf)
-    keep = window
-    ring = (list(rh) + hour.tolist())[-keep:], (list(rf) + files.tolist())[-keep:], \
-        (list(ru) + upload.tolist())[-keep:]
-    state.update((n_total, tc, ring[0], ring[1], ring[2], *locs.state(), *devs.state(), *acts.state()))
-    yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+    usual_loc, lk, lcn = _running_mode(lk, lcn, pdf["location"].where(pdf["location"].notna(), "Unknown"))
+    usual_dev, dk, dcn = _running_mode(dk, dcn, pdf["device"].where(pdf["device"].notna(), "unknown"))
+    _, ak, acn = _running_mode(ak, acn, pdf["action"].where(pdf["action"].notna(), "unknown"))
+    n = n0 + np.arange(1, m + 1)
+    scored = n >= UEBA_MIN_EVENTS
+    attempts = pdf["login_attempts"]
+    loc = pdf["location"].to_numpy(dtype=object)
+    dev = pdf["device"].to_numpy(dtype=object)
+    terms = {
+        "time": (np.abs(hour - avg_h) > th["time_deviation"], th["off_hours_score"]),
+        "files": (files > avg_f * th["files_multiplier"], th["high_files_score"]),
+        "upload": (upload > avg_u * th["upload_multiplier"], th["high_upload_score"]),
+        # the raw value is compared: a missing location never equals the usual one
+        "location": (~_present(pdf["location"]) | (loc != usual_loc), th["new_location_score"]),
+        "device": (~_present(pdf["device"]) | (dev != usual_dev), th["new_device_score"]),
+        "logins": (attempts.fillna(1).to_numpy() > UEBA_LOGIN_ATTEMPTS_OVER, UEBA_LOGIN_SCORE),
+        "foreign": (pdf["foreign_ip"].fillna(0).to_numpy() == 1, UEBA_FOREIGN_IP_SCORE),
+    }
+    fired = {k: scored & cond for k, (cond, _) in terms.items()}
+    score = sum(np.where(fired[k], pts, 0) for k, (_, pts) in terms.items()).astype(np.int32)
+    is_anom = score >= th["anomaly_threshold"]
+    threat = tc + np.cumsum(is_anom)
+
+    def py(x):  # Python's str() of an optional value
+        return "None" if x is None or (isinstance(x, float) and np.isnan(x)) else x
+
+    texts = {
+        "time": lambda i: REASON_TEXT["time"].format(hour[i], f"{avg_h[i]:.0f}"),
+        "files": lambda i: REASON_TEXT["files"].format(files[i], f"{avg_f[i]:.0f}"),
+        "upload": lambda i: REASON_TEXT["upload"].format(upload[i], f"{avg_u[i]:.0f}"),
+        "location": lambda i: REASON_TEXT["location"].format(py(loc[i]), usual_loc[i]),
+        "device": lambda i: REASON_TEXT["device"].format(py(dev[i]), usual_dev[i]),
+        "logins": lambda i: REASON_TEXT["logins"].format(py(attempts.iloc[i]) if pd.isna(attempts.iloc[i])
+                                                          else int(attempts.iloc[i])),
+        "foreign": lambda i: REASON_TEXT["foreign"],
+    }
+    reasons = [[texts[k](i) for k in terms if fired[k][i]] if scored[i] else [LEARNING_REASON] for i in range(m)]
+    out = pd.DataFrame({
+        "event_id": pdf["event_id"].astype("int64"), "timestamp": pdf["timestamp"], "user_id": key[0],
+        "n": n.astype("int64"), "avg_login_hour": avg_h, "avg_files": avg_f, "avg_upload": avg_u,
+        "usual_location": usual_loc, "usual_device": usual_dev, "anomaly_score": score, "is_anomaly": is_anom,
+        "reasons": reasons, "threat_count": threat.astype("int64")})
+    ring = (list(rh) + hour.tolist())[-window:], (list(rf) + files.tolist())[-window:], \
+        (list(ru) + upload.tolist())[-window:]
+    state.update((n0 + m, int(threat[-1]), ring[0], ring[1], ring[2], lk, lcn, dk, dcn, ak, acn))
+    yield out
 
 
 def stream_ueba(logs: DataFrame) -> DataFrame:
