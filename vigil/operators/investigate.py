@@ -123,31 +123,43 @@ def user_aggregates(df: DataFrame) -> DataFrame:
     return df.groupBy("user_id").agg(*aggs)
 
 
-def _mode_smallest(df: DataFrame, attr: str, out: str) -> DataFrame:
-    """Most frequent non-null value per user, smallest on ties (pandas ``mode()[0]``).
-    Counts are pre-aggregated per (user, value); the pick is a min over
-    (-count, value) — algebraic, so a hot user is combined map-side."""
-    counts = df.filter(F.col(attr).isNotNull()).groupBy("user_id", attr).agg(F.count(F.lit(1)).alias("_n"))
-    best = F.min(F.struct(F.negative("_n").alias("k"), F.col(attr).alias("v")))
-    return counts.groupBy("user_id").agg(best["v"].alias(out))
+def value_counts(df: DataFrame, attrs: list[str]) -> DataFrame:
+    """Per (user, attribute, value) counts of several attributes in one pass
+    (attributes stacked as rows; partial aggregation runs before the shuffle,
+    so a hot user is combined map-side).  Bounded per user by the domains."""
+    stacked = df.select("user_id", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attrs])).alias("e"))
+    return (stacked.select("user_id", "e.attr", "e.value").filter(F.col("value").isNotNull())
+                   .groupBy("user_id", "attr", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _mode_smallest(counts: DataFrame, attr: str, out: str, cast: str = "string") -> DataFrame:
+    """Most frequent non-null value per user, smallest on ties (pandas ``mode()[0]``):
+    a min over (-count, value) of the pre-aggregated counts."""
+    c = counts.filter(F.col("attr") == attr)
+    v = F.col("value").cast(cast)
+    best = F.min(F.struct(F.negative("n").alias("k"), v.alias("v")))
+    return c.groupBy("user_id").agg(best["v"].alias(out))
+
+
+def _count_map(counts: DataFrame, attr: str, out: str, exclude: str | None = None) -> DataFrame:
+    """value -> count per user, most first (ties by value)."""
+    c = counts.filter(F.col("attr") == attr)
+    if exclude is not None:
+        c = c.filter(F.col("value") != exclude)
+    entries = F.sort_array(F.collect_list(F.struct(F.negative("n").alias("k"), F.col("value"), F.col("n"))))
+    return c.groupBy("user_id").agg(
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["value"], e["n"]))).alias(out))
 
 
 def location_map(df: DataFrame) -> DataFrame:
     """Foreign location counts per user (NULL excluded), most first."""
-    counts = (df.filter(F.col("location").isNotNull() & (F.col("location") != HOME_COUNTRY))
-                .groupBy("user_id", "location").agg(F.count(F.lit(1)).alias("n")))
-    entries = F.sort_array(F.collect_list(F.struct(F.negative("n").alias("k"), F.col("location"), F.col("n"))))
-    return counts.groupBy("user_id").agg(
-        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["location"], e["n"]))).alias("locations"))
+    return _count_map(value_counts(df, ["location"]), "location", "locations", exclude=HOME_COUNTRY)
 
 
 def device_map(df: DataFrame) -> DataFrame:
     """Device -> count per user, most first."""
-    counts = (df.filter(F.col("device").isNotNull())
-                .groupBy("user_id", "device").agg(F.count(F.lit(1)).alias("n")))
-    entries = F.sort_array(F.collect_list(F.struct(F.negative("n").alias("k"), F.col("device"), F.col("n"))))
-    return counts.groupBy("user_id").agg(
-        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["device"], e["n"]))).alias("devices"))
+    return _count_map(value_counts(df, ["device"]), "device", "devices")
 
 
 def _pct(num: str) -> Column:
@@ -276,16 +288,23 @@ def risky_user_events(df: DataFrame, levels=("CRITICAL", "HIGH")) -> DataFrame:
     return df.join(risky, "user_id", "left_semi")
 
 
-def user_statistics(df: DataFrame) -> DataFrame:
-    """The statistics block per user, numeric and as display text."""
-    agg = user_aggregates(df)
-    out = agg
-    if _has(df, "hour_of_day"):
-        out = out.join(_mode_smallest(df, "hour_of_day", "peak_hour"), "user_id", "left")
-    if _has(df, "location"):
-        out = out.join(_mode_smallest(df, "location", "top_location"), "user_id", "left")
-    if _has(df, "device"):
-        out = out.join(device_map(df), "user_id", "left")
+STAT_ATTRS = ("hour_of_day", "location", "device")
+
+
+def user_statistics(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """The statistics block per user.  Peak hour, top location and
+    the device map come from one stacked (user, attribute, value) count."""
+    out = user_aggregates(df)
+    attrs = [a for a in STAT_ATTRS if _has(df, a)]
+    if not attrs:
+        return out
+    counts = counts if counts is not None else value_counts(df, attrs)
+    if "hour_of_day" in attrs:
+        out = out.join(_mode_smallest(counts, "hour_of_day", "peak_hour", "int"), "user_id", "left")
+    if "location" in attrs:
+        out = out.join(_mode_smallest(counts, "location", "top_location"), "user_id", "left")
+    if "device" in attrs:
+        out = out.join(_count_map(counts, "device", "devices"), "user_id", "left")
     return out
 
 
@@ -367,8 +386,10 @@ def investigation_report(df: DataFrame, user: str | None = None, source: str = "
     is pushed into the scan."""
     if user is not None:
         df = df.filter(F.col("user_id") == F.lit(user))
-    stats = user_statistics(df)
-    locs = location_map(df) if _has(df, "location") else None
+    attrs = [a for a in STAT_ATTRS if _has(df, a)]
+    counts = value_counts(df, attrs) if attrs else None
+    stats = user_statistics(df, counts)
+    locs = _count_map(counts, "location", "locations", exclude=HOME_COUNTRY) if "location" in attrs else None
     verdict = risk_factors(stats, locs)
     joined = (verdict.join(user_statistics_text(stats), "user_id")
                      .join(behaviour_patterns(stats), "user_id")
