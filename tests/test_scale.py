@@ -102,3 +102,11 @@ def test_python_workers_need_no_installed_package():
     out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="run-", dir="/tmp"),
                          capture_output=True, text=True, timeout=600, env=env)
     assert "ROWS 50" in out.stdout, out.stderr[-2000:]
+
+
+def test_investigation_aggregate_does_not_duplicate_rows(spark):
+    """One distinct aggregate is rewritten as two partial/final phases, not an
+    Expand that copies every row before the shuffle."""
+    plan = _physical(I.user_aggregates(security_logs(spark, SF_SMALL)))
+    assert "Expand" not in plan
+    assert plan.count("HashAggregate") >= 2
