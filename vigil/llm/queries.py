@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.bpe import bpe
 from vigil.llm.common import table
+from vigil.llm.decontam import hits
 from vigil.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words found in every document."""
+    return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10) \
+        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash (4-word shingles) and component within 4 bits of every document."""
