@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigil.llm.bpe import bpe
 from vigil.llm.common import table
 from vigil.llm.decontam import hits
+from vigil.llm.langid import identify
+from vigil.llm.line_dedup import dedup_lines
 from vigil.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +45,17 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash (4-word shingles) and component within 4 bits of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the line blocks that an earlier one holds."""
+    return dedup_lines(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "n_lines", "n_removed", "words_removed", "partners", "text",
+                F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    return identify(table(spark, sf_dir, "documents"))
