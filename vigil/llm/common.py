@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from vigil.session import ensure_checkpoint_dir
 
@@ -41,6 +42,11 @@ def remove(spark: SparkSession, path: str) -> None:
     hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def wider(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with the columns of ``ddl`` behind it."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

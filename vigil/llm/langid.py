@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import steps
+from vigil.llm.common import steps, wider
 
 SAMPLE = 3000        # labelled texts a language to learn from, about
 BUCKETS = 1 << 16    # trigram buckets
@@ -218,10 +218,10 @@ def detect(docs: DataFrame, model: dict, text_col: str = "text", penalty: float
     (array of first, past, lang).  Columns of these names are replaced."""
     bc = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
     base = docs.drop("lang_pred", "score", "spans")
-    schema = base.schema.add("lang_pred", "string").add("score", "double")
+    schema = wider(base, "lang_pred string, score double")
     limit = (8 << 20) * 4 // max(4, len(model["langs"]))
     if spans:
-        schema = schema.add("spans", "array<struct<first:int,past:int,lang:string>>")
+        schema = wider(base, "lang_pred string, score double, spans array<struct<first:int,past:int,lang:string>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bc.value

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from vigil.llm.bpe import bpe
 from vigil.llm.common import table
 from vigil.llm.decontam import hits
+from vigil.llm.exact_dedup import dedup
 from vigil.llm.langid import identify
 from vigil.llm.line_dedup import dedup_lines
+from vigil.llm.sharding import shard
 from vigil.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +36,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 7 of all documents, nearly equal in bytes."""
+    return shard(table(spark, sf_dir, "documents"), 8)
+
+
 @query
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words found in every document."""
@@ -41,6 +49,12 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with equal texts and the one that stays."""
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash (4-word shingles) and component within 4 bits of every document."""
@@ -59,3 +73,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
     return identify(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+FROM t"""
