@@ -13,6 +13,7 @@ from vigil.llm.decontam import hits
 from vigil.llm.exact_dedup import dedup
 from vigil.llm.langid import identify
 from vigil.llm.line_dedup import dedup_lines
+from vigil.llm.pii import pseudonymise
 from vigil.llm.sharding import shard
 from vigil.llm.simhash import near_duplicates
 
@@ -75,6 +76,13 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    return pseudonymise(table(spark, sf_dir, "documents"), key="registered query, no secret") \
+        .select("doc_id", "n_entities", "entity_types", "text")
+
+
 ORACLE["op4_exact_dedup"] = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
