@@ -16,6 +16,7 @@ from vigil.llm.line_dedup import dedup_lines
 from vigil.llm.pii import pseudonymise
 from vigil.llm.sharding import shard
 from vigil.llm.simhash import near_duplicates
+from vigil.llm.url_filter import duckdb_sql, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +71,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sha2("text", 256).alias("text_sha256"))
 
 
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+         ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url.  The first number in a url is the document
+    the page was made from; its label (toxic or of low quality) is the page's."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.regexp_extract("url", "/([0-9]{1,18})", 1).try_cast("long").alias("of"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    labelled = pages.join(labels, pages["of"] == labels["doc_id"], "left").select("page_id", "url", "bad")
+    return judge(labelled, RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 @query
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
@@ -88,3 +105,7 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t"""
+
+ORACLE["op8_url_filter"] = duckdb_sql(RULES, """SELECT page_id, url, bad FROM pages LEFT JOIN (
+  SELECT doc_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM labels GROUP BY doc_id) l
+  ON try_cast(regexp_extract(url, '/([0-9]{1,18})', 1) AS BIGINT) = l.doc_id""")
