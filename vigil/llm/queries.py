@@ -17,6 +17,7 @@ from vigil.llm.pii import pseudonymise
 from vigil.llm.sharding import shard
 from vigil.llm.simhash import near_duplicates
 from vigil.llm.url_filter import duckdb_sql, judge
+from vigil.llm.warc import archive, fetch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,6 +72,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC, and read back by looking every url up."""
+    pages = table(spark, sf_dir, "pages")
+    path, shards = archive(pages)
+    return fetch(spark, pages, path, shards) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
