@@ -70,15 +70,17 @@ def fingerprints_of(texts: list[str | None], shingle: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row; fp holds the unsigned bits."""
+    """(id, fp long, _of) of every row; fp holds the unsigned bits, _of is a
+    hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in steps(batches, "_text", 2 << 20):
             fp = fingerprints_of(rb.column("_text").to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([rb.column("_id"), pa.array(fp.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([rb.column("_id"), pa.array(fp.view(np.int64)), rb.column("_of")],
+                                             [id_col, "fp", "_of"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")) \
-        .mapInArrow(run, f"{id_col} {key}, fp long")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_of")) \
+        .mapInArrow(run, f"{id_col} {key}, fp long, _of long")
 
 
 class Forest:
@@ -239,17 +241,22 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint hex, component_id) of every row of ``docs``."""
+def labelled(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, _of, component_id) of every row of ``docs``."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
     comp = components(near_links(nodes.select("fp"), radius))
-    labelled = nodes.join(comp, nodes.fp == comp.node, "left") \
+    of_node = nodes.join(comp, nodes.fp == comp.node, "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    roots = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = labelled.join(roots, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(of_fp, fps.fp == of_fp["_fp"]) \
+    roots = of_node.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_fp = of_node.join(roots, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return fps.join(of_fp, fps.fp == of_fp["_fp"]).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint hex, component_id) of every row of ``docs``."""
+    return labelled(docs, shingle, radius, id_col, text_col) \
         .select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -257,8 +264,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay: of each component the smallest id.
 
-    Rows without an id stay only if no row of their component has one.
+    Rows repeated with one id are one document and stay together.  Rows
+    without an id stay only if no row of their component has one.
     """
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = labelled(docs, shingle, radius, id_col, text_col) \
+        .filter(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id"))) \
+        .select(F.col(id_col).alias("_gone"), F.col("_of").alias("_gone_of")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & F.xxhash64(text_col).eqNullSafe(F.col("_gone_of")),
+                     "left_anti")
