@@ -65,7 +65,8 @@ PATTERNS = {  # the first that fits decides
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
     "name": rf"(?<= )(?=\p{{Lu}})(?:(?<=(?<!\p{{L}}){TITLE} )|(?<=(?<!\p{{L}}){TITLE} {NAME} )){NAME}",
 }
-ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# One look-behind for all: places inside a word fail at once.
+ALL = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 PERSON_BEFORE = rf"(?:^|[^\p{{L}}])({TITLE}) $"
 
 
