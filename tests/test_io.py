@@ -31,7 +31,7 @@ def test_report_text_written_in_order(spark):
 def test_logs_archive_partitioned_by_date(spark):
     logs = security_logs(spark, SF_SMALL)
     out = _tmp() + "/logs"
-    K.sink_logs(logs, out)
+    K.sink_logs(logs, out, 'first')
     parts = sorted(d for d in os.listdir(out) if d.startswith("date="))
     assert len(parts) == logs.select(F.to_date("timestamp")).distinct().count()
     back = L.read_logs(spark, out)

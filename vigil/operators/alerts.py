@@ -159,7 +159,7 @@ def mean_ensemble(df: DataFrame, score_cols: list[str], cuts: tuple[float, float
     hi, mid = cuts
     out = df.withColumn("models_used", n).withColumn(
         "threat_score", F.when(n > 0, total / n).otherwise(F.lit(0.0)))
-    agree = F.size(F.array_distinct(F.transform(arr, lambda x: F.round(x, 1)))) <= 1
+    agree = F.size(F.array_distinct(F.transform(arr, lambda x: py_round(x, 1)))) <= 1
     return (out.withColumn("risk_level", risk_level("threat_score", hi, mid))
                .withColumn("action", risk_action("threat_score", hi, mid))
                .withColumn("emoji", risk_emoji("threat_score", hi, mid))

@@ -222,12 +222,13 @@ def shap_importance(df: DataFrame, leaves: dict, features: list[str] = FEATURES)
 def top_k_reasons(contrib: DataFrame, key: str, k: int = 3, features: list[str] = FEATURES,
                   prefix: str = "phi_") -> DataFrame:
     """The ``k`` largest |contributions| per row with direction text."""
-    long = contrib.select(key, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"{prefix}{c}").alias("contribution")) for c in features]))
-        .alias("e")).select(key, "e.*")
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature")
-    return (long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .withColumn("direction", F.when(F.col("contribution") > 0, "🔺 RISK").otherwise("🔻 SAFE")))
+    # six numbers are sorted inside the row: no event is shuffled
+    ordered = F.slice(F.array_sort(F.array(*[
+        F.struct((-F.abs(F.col(f"{prefix}{c}"))).alias("o"), F.lit(c).alias("feature"),
+                 F.col(f"{prefix}{c}").alias("contribution")) for c in features])), 1, k)
+    return contrib.select(key, F.posexplode(ordered).alias("p", "e")).select(
+        key, "e.feature", "e.contribution", (F.col("p") + 1).alias("rank"),
+        F.when(F.col("e.contribution") > 0, "🔺 RISK").otherwise("🔻 SAFE").alias("direction"))
 
 
 # ----------------------------------------------------------------- LIME

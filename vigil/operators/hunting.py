@@ -77,10 +77,12 @@ def threat_rows(df: DataFrame, default_score: float = 0.7) -> DataFrame:
 
 
 def read_index_query(df: DataFrame, min_score: float = 0.5, hours: int = 24,
-                     size: int = 1000) -> DataFrame:
-    """Filtered (pushed to the scan), sorted, capped 'index' query."""
+                     size: int | None = None) -> DataFrame:
+    """Filtered (pushed to the scan), sorted 'index' query; ``size`` caps
+    the rows if the caller asks for it."""
     out = recent(df.filter(F.col("threat_score") >= min_score), hours)
-    return out.orderBy(F.col("threat_score").desc_nulls_last(), F.col("event_id")).limit(size)
+    out = out.orderBy(F.col("threat_score").desc_nulls_last(), F.col("event_id"))
+    return out if size is None else out.limit(size)
 
 
 def profile(df: DataFrame, n: int = 5) -> tuple[int, str, DataFrame]:
@@ -147,9 +149,10 @@ def score_histogram(df: DataFrame, col: str = "threat_score", bins: int = 30,
     right (the numpy rule, including its edge corrections).  With ``by`` (a
     class label) each group gets its own range, as separate plots would.
 
-    Bounds are one partial aggregate per group, joined back by an equi-join
-    (AQE broadcasts the bounds table at run time when it is small).  Bin counts
-    are a partial aggregate; an exploded ``sequence`` gives empty bins.
+    Bounds are one partial aggregate per group, held as one map in a scalar
+    subquery (a group is a class label, so there are few): the rows are neither
+    joined nor shuffled on the label.  Bin counts are a partial aggregate; an
+    exploded ``sequence`` gives empty bins.
     """
     x = F.col(col).cast("double")
     g = F.col(by) if by else F.lit(0)
@@ -166,7 +169,9 @@ def score_histogram(df: DataFrame, col: str = "threat_score", bins: int = 30,
     def edge(i: Column) -> Column:
         return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * step + F.col("_lo"))
 
-    vals = vals.join(bounds, "_g")
+    ranges = bounds.select(F.map_from_entries(F.collect_list(F.struct("_g", F.struct("_lo", "_hi"))))).scalar()
+    vals = vals.withColumn("_r", F.element_at(ranges, F.col("_g"))) \
+        .select("_g", "_x", F.col("_r._lo").alias("_lo"), F.col("_r._hi").alias("_hi"))
     i = F.least(F.floor((F.col("_x") - F.col("_lo")) * norm).cast("int"), F.lit(bins - 1))
     vals = vals.withColumn("_i", i)
     vals = vals.withColumn("_i", F.when(F.col("_x") < edge(F.col("_i")), F.col("_i") - 1)

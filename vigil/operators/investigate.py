@@ -75,6 +75,7 @@ USER_RECOMMENDATIONS = {
 }
 REPORT_TEXT = {
     "title": "🔍 USER INVESTIGATION REPORT",
+    "generated": "🕐 Generated: {}",
     "user": "👤 User: {}",
     "source": "📁 Source: {}",
     "records": "📊 Records: {}",
@@ -380,10 +381,13 @@ def user_recommendations(verdicts: DataFrame) -> DataFrame:
                            .alias("recommendations"))
 
 
-def investigation_report(df: DataFrame, user: str | None = None, source: str = "parquet") -> DataFrame:
+def investigation_report(df: DataFrame, user: str | None = None, source: str = "parquet",
+                         generated: Column | None = None) -> DataFrame:
     """The investigation report as ordered text lines per user
     (``user_id, line_no, line``).  ``user`` restricts to one user; the filter
-    is pushed into the scan."""
+    is pushed into the scan.  ``generated`` is the report's time (now if not
+    given)."""
+    stamp = F.date_format(F.current_timestamp() if generated is None else generated, "yyyy-MM-dd HH:mm:ss")
     if user is not None:
         df = df.filter(F.col("user_id") == F.lit(user))
     attrs = [a for a in STAT_ATTRS if _has(df, a)]
@@ -413,7 +417,7 @@ def investigation_report(df: DataFrame, user: str | None = None, source: str = "
                .otherwise(F.array(F.lit(rt["no_factors"]), F.lit("")))
     header = F.array(
         F.lit(bar), F.lit(rt["title"]), F.lit(bar),
-        tmpl(rt["user"], F.col("user_id")), tmpl(rt["source"], F.lit(source)),
+        tmpl(rt["generated"], stamp), tmpl(rt["user"], F.col("user_id")), tmpl(rt["source"], F.lit(source)),
         tmpl(rt["records"], F.col("events")), F.lit(""),
         F.lit(bar), tmpl(rt["verdict"], F.col("emoji"), F.col("risk_level")), F.lit(bar),
         tmpl(rt["score"], F.col("total_score")), tmpl(rt["action"], F.col("action")), F.lit(""))

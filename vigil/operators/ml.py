@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.scoring import API_CUTS, FEATURE_DEFAULTS, risk_level
+from vigil.functions.text import py_round
 from vigil.schema import FEATURES
 
 # ---------------------------------------------------------------------------
@@ -83,10 +84,9 @@ def train_mlp(train: DataFrame, label: str = "is_threat", layers: list[int] = ML
         train.withColumn(label, F.col(label).cast("double")))
 
 
-def prepare_features(df: DataFrame) -> DataFrame:
-    """Features as DOUBLE with the API's defaults for missing values."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(FEATURE_DEFAULTS[c])))
-                           for c in FEATURES})
+def prepare_features(df: DataFrame, defaults: dict = FEATURE_DEFAULTS) -> DataFrame:
+    """Features as DOUBLE with defaults for missing values."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(defaults[c]))) for c in FEATURES})
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p_threat") -> DataFrame:
@@ -97,14 +97,22 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p_threat") -> DataFra
 
 
 def score_batch(models: list[PipelineModel], df: DataFrame) -> DataFrame:
-    """The first available model only; missing features 0 (attempts 1);
-    without any model every row scores 0.5.  Level by the API cut-offs."""
-    if models:
-        out = score(models[0], df, "threat_score")
-    else:
-        out = prepare_features(df).withColumn("threat_score", F.lit(0.5))
-    return out.withColumn("threat_score", F.round("threat_score", 4)) \
-              .withColumn("risk_level", risk_level("threat_score", *API_CUTS))
+    """The first available model only; every missing feature is 0; without
+    any model every row scores 0.5.  The level is that of the unrounded score.
+    A row with a value that is no number gets an ``error`` and no score; the
+    other rows are scored."""
+    text = {c: F.col(c).cast("string") for c in FEATURES}
+    bad = F.coalesce(*[F.when(text[c].isNotNull() & text[c].try_cast("double").isNull(),
+                              F.concat(F.lit("could not convert string to float: '"), text[c], F.lit("'")))
+                       for c in FEATURES])
+    rows = df.withColumn("error", bad)
+    ready = prepare_features(rows.withColumns({c: text[c].try_cast("double") for c in FEATURES}),
+                             dict.fromkeys(FEATURES, 0))
+    raw = score(models[0], ready, "_raw") if models else ready.withColumn("_raw", F.lit(0.5))
+    ok = F.col("error").isNull()
+    return raw.withColumns({
+        "threat_score": F.when(ok, py_round(F.col("_raw"), 4).cast("double")),
+        "risk_level": F.when(ok, risk_level("_raw", *API_CUTS))}).drop("_raw")
 
 
 def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:

@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 from vigil.functions.text import bar, ljust, rjust, tmpl
 from vigil.functions.scoring import odd_hour
 from vigil.operators import alerts as A
+from vigil.plans.ordered_scan import global_rank
 
 W68 = 68
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results:
-# section titles with their left padding, and the row layouts ({} = value).
+# section title rows and the row layouts ({} = value).
 # ---------------------------------------------------------------------------
-SECTION_TITLES = {
-    "summary": ("EXECUTIVE SUMMARY", 22),
-    "breakdown": ("THREAT BREAKDOWN", 21),
-    "top": ("TOP THREATS", 23),
-    "hourly": ("HOURLY DISTRIBUTION", 20),
-    "engines": ("DETECTION ENGINES", 20),
-    "actions": ("RECOMMENDED ACTIONS", 20),
+TITLE_ROWS = {
+    "summary": "│" + " " * 22 + "EXECUTIVE SUMMARY" + " " * 27 + "│",
+    "breakdown": "│" + " " * 21 + "THREAT BREAKDOWN" + " " * 29 + "│",
+    "top": "│" + " " * 23 + "TOP THREATS" + " " * 33 + "│",
+    "hourly": "│" + " " * 20 + "HOURLY DISTRIBUTION" + " " * 28 + "│",
+    "engines": "│" + " " * 20 + "DETECTION ENGINES" + " " * 29 + "│",
+    "actions": "│" + " " * 20 + "RECOMMENDED ACTIONS" + " " * 28 + "│",
 }
 HEADER_ROWS = [
     "║" + " " * 15 + "CYBERSECURITY THREAT REPORT" + " " * 23 + "║",
@@ -63,10 +64,8 @@ def _lit_lines(spark, section: int, lines: list) -> DataFrame:
                  .select(F.lit(section).alias("section"), "pos", "line"))
 
 
-def _box(title: str, pad_left: int) -> list[str]:
-    return ["┌" + "─" * W68 + "┐",
-            "│" + " " * pad_left + title + " " * (W68 - pad_left - len(title)) + "│",
-            "├" + "─" * W68 + "┤"]
+def _box(section: str) -> list[str]:
+    return ["┌" + "─" * W68 + "┐", TITLE_ROWS[section], "├" + "─" * W68 + "┤"]
 
 
 _BOX_END = "└" + "─" * W68 + "┘"
@@ -79,6 +78,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     r = A.alert_rollups(al).checkpoint(eager=True)
     gen = generated if generated is not None else \
         r.filter(F.col("dim") == "total").select(F.max("max_ts")).scalar()
+    gen = F.coalesce(gen, F.localtimestamp())  # no alerts: the report's own time
     gen_text = F.date_format(gen, "yyyy-MM-dd HH:mm:ss")
     year = F.year(gen).cast("string")
     rt = report_type
@@ -94,7 +94,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     summ = A.summary_from_rollups(r)
     sr = SUMMARY_ROWS
     s_lines = F.array(
-        *[F.lit(x) for x in _box(*SECTION_TITLES["summary"])],
+        *[F.lit(x) for x in _box("summary")],
         tmpl(sr[0], rjust(F.col("total_alerts"), 6)), tmpl(sr[1], rjust(F.col("high_risk_users"), 6)),
         tmpl(sr[2], rjust(F.col("threats_blocked"), 6)), tmpl(sr[3], ljust(F.col("risk_level"), 30)),
         F.lit(_BOX_END), F.lit(""))
@@ -103,18 +103,18 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     # 3. breakdown by type (top 5, bars relative to the largest) and foreign locations (top 3)
     by_type = A.rollup_dim(r, "alert_type")
     mx = by_type.select(F.max("count")).scalar()
-    w_type = Window.orderBy(F.col("count").desc(), "first_seq")  # one row per alert type
-    types = by_type.withColumn("rk", F.row_number().over(w_type)).filter(F.col("rk") <= 5)
+    by_count = [F.col("count").desc(), F.col("first_seq")]
+    ranked = F.row_number().over(Window.orderBy(*by_count))  # only ever over a handful of rows
+    types = by_type.orderBy(*by_count).limit(5).withColumn("rk", ranked)
     blen = F.least(F.lit(30), F.floor(F.col("count") * 30 / F.greatest(F.lit(1), mx)))
     type_lines = types.select(F.lit(3).alias("section"), (F.col("rk") + 1).alias("pos"),
                               tmpl(BREAKDOWN_TYPE_ROW, ljust(F.col("alert_type"), 30), rjust(F.col("count"), 4),
                                    bar(blen)).alias("line"))
-    parts.append(_lit_lines(spark, 3, [*_box(*SECTION_TITLES["breakdown"]), BREAKDOWN_TYPE_HEAD]).withColumn(
+    parts.append(_lit_lines(spark, 3, [*_box("breakdown"), BREAKDOWN_TYPE_HEAD]).withColumn(
         "pos", F.col("pos") - 10))
     parts.append(type_lines)
     by_loc = A.rollup_dim(r, "location").filter(F.col("location") != "Pakistan")
-    w_loc = Window.orderBy(F.col("count").desc(), "first_seq")  # one row per country
-    locs = by_loc.withColumn("rk", F.row_number().over(w_loc)).filter(F.col("rk") <= 3)
+    locs = by_loc.orderBy(*by_count).limit(3).withColumn("rk", ranked)
     parts.append(_lit_lines(spark, 4, ["│" + " " * W68 + "│", BREAKDOWN_LOC_HEAD])
                  .withColumn("pos", F.col("pos") - 10))
     parts.append(locs.select(F.lit(4).alias("section"), F.col("rk").alias("pos"),
@@ -124,11 +124,10 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
 
     # 4. top threats
     users = A.rollup_dim(r, "user_id")
-    top = users.orderBy(F.col("count").desc(), "first_seq").limit(5).withColumn(
+    top = users.orderBy(*by_count).limit(5).withColumn(
         "severity", F.when(F.col("count") > 10, "🔴").when(F.col("count") > 5, "🟠").otherwise("🟡"))
-    w_top = Window.orderBy(F.col("count").desc(), "first_seq")  # five rows
-    top = top.withColumn("rk", F.row_number().over(w_top))
-    parts.append(_lit_lines(spark, 6, _box(*SECTION_TITLES["top"])).withColumn("pos", F.col("pos") - 10))
+    top = top.withColumn("rk", ranked)
+    parts.append(_lit_lines(spark, 6, _box("top")).withColumn("pos", F.col("pos") - 10))
     parts.append(top.select(F.lit(6).alias("section"), F.col("rk").alias("pos"),
                             tmpl(TOP_ROW, rjust(F.col("rk"), 2), F.col("severity"), ljust(F.col("user_id"), 25),
                                  rjust(F.col("count"), 4)).alias("line")))
@@ -144,7 +143,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     hmax = hours.select(F.max("count")).scalar()
     h = hours
     hlen = F.when(hmax > 0, F.floor(F.col("count") * 40 / hmax)).otherwise(0)
-    parts.append(_lit_lines(spark, 8, _box(*SECTION_TITLES["hourly"])).withColumn("pos", F.col("pos") - 10))
+    parts.append(_lit_lines(spark, 8, _box("hourly")).withColumn("pos", F.col("pos") - 10))
     parts.append(h.select(F.lit(8).alias("section"), F.col("hour").alias("pos"),
                           tmpl(HOUR_ROW, F.lpad(F.col("hour").cast("string"), 2, "0"), ljust(bar(hlen), 40),
                                rjust(F.col("count"), 4),
@@ -153,15 +152,15 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
 
     # 6. detection engines, first-seen order
     models = A.rollup_dim(r, "model")
-    w_m = Window.orderBy("first_seq")  # one row per detection engine
-    parts.append(_lit_lines(spark, 10, _box(*SECTION_TITLES["engines"])).withColumn("pos", F.col("pos") - 10))
-    parts.append(models.select(F.lit(10).alias("section"), F.row_number().over(w_m).alias("pos"),
+    models = global_rank(models, ["first_seq"], "pos")
+    parts.append(_lit_lines(spark, 10, _box("engines")).withColumn("pos", F.col("pos") - 10))
+    parts.append(models.select(F.lit(10).alias("section"), "pos",
                                tmpl(ENGINE_ROW, ljust(F.col("model"), 30), rjust(F.col("count"), 4)).alias("line")))
     parts.append(_lit_lines(spark, 11, [_BOX_END, ""]))
 
     # 7. recommendations
     recs = A.report_recommendations(summ)
-    parts.append(_lit_lines(spark, 12, _box(*SECTION_TITLES["actions"])).withColumn("pos", F.col("pos") - 10))
+    parts.append(_lit_lines(spark, 12, _box("actions")).withColumn("pos", F.col("pos") - 10))
     parts.append(recs.select(F.lit(12).alias("section"), F.col("pos"),
                              tmpl(ACTION_ROW, F.col("pos"), ljust(F.col("recommendation"), 60)).alias("line")))
     parts.append(_lit_lines(spark, 13, [_BOX_END, ""]))
@@ -173,7 +172,12 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p.select("section", F.col("pos").cast("int").alias("pos"), "line"))
-    return out.select("section", F.col("pos").cast("int").alias("pos"), "line")
+    # without alerts there are no hourly, engine, type and location sections
+    total = summ.select(F.max("total_alerts")).scalar()
+    typed = (F.col("section") == 3) & (F.col("line") == BREAKDOWN_TYPE_HEAD) | \
+        (F.col("section") == 4) & (F.col("line") == BREAKDOWN_LOC_HEAD)
+    return out.filter((F.coalesce(total, F.lit(0)) > 0) | ~(F.col("section").between(8, 11) | typed)) \
+        .select("section", F.col("pos").cast("int").alias("pos"), "line")
 
 
 def report_statistics(al: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.text import tmpl
+from vigil.functions.text import py_round, tmpl
 from vigil.plans.ordered_scan import (CHUNK, GID, UNB, chunk_prefix, running_mode, running_mode_carry,
                                       sequence_within, with_value_counts)
 
@@ -136,8 +136,12 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
         return (F.col(f"cs_{x}") - F.col(f"back_{x}")) / cnt
 
     def pop_std(x: str, x2: str) -> Column:
-        m = mean(x)
-        return F.sqrt(F.greatest(mean(x2) - m * m, F.lit(0.0)))
+        # n * sum(x^2) - sum(x)^2 in exact integers: nothing cancels
+        wide = "decimal(38,0)"
+        s1 = (F.col(f"cs_{x}") - F.col(f"back_{x}")).cast("decimal(19,0)")
+        s2 = (F.col(f"cs_{x2}") - F.col(f"back_{x2}")).cast("decimal(19,0)")
+        k = F.least(F.col("n"), F.lit(window)).cast("decimal(10,0)")
+        return F.sqrt((s2 * k - s1 * s1).cast(wide).cast("double")) / cnt
 
     return rows.select(
         "event_id", "timestamp", "user_id", "action", "location", "device", "login_attempts",
@@ -189,16 +193,16 @@ def ueba_scores(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int | No
     return ueba_score(ueba_features(logs, window, num_chunks))
 
 
-def running_threat_count(scored: DataFrame, num_chunks: int | None = None) -> DataFrame:
+def running_threat_count(scored: DataFrame, num_chunks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Anomalies per user so far (incl. current) — the profile's threat counter.
     Same chunked prefix scan as the baseline, so a hot user is not one task."""
-    base = scored.select("event_id", "timestamp", "user_id",
+    base = scored.select("event_id", "timestamp", "user_id", *keep,
                          F.col("is_anomaly").cast("int").alias("_a"))
     seq = sequence_within(base, "user_id", ["timestamp", "event_id"], num_chunks)
     pre = chunk_prefix(seq, "user_id", {"na": "_a"})
     w = Window.partitionBy("user_id", CHUNK).orderBy(GID).rowsBetween(UNB, 0)
     out = seq.join(pre, ["user_id", CHUNK]).select(
-        "event_id", "user_id", (F.col("na_before") + F.sum("_a").over(w)).alias("threat_count"))
+        "event_id", "user_id", *keep, (F.col("na_before") + F.sum("_a").over(w)).alias("threat_count"))
     return out
 
 
@@ -210,7 +214,7 @@ def ueba_anomalies(scored: DataFrame) -> DataFrame:
         "user_id", "anomaly_score", "reasons",
         F.struct(F.col("action"), F.col("files"), F.col("location"), F.col("device"),
                  F.col("hour")).alias("activity"),
-        F.struct(F.bround("avg_files", 1).alias("avg_files"), F.col("usual_location"),
+        F.struct(py_round(F.col("avg_files"), 1).cast("double").alias("avg_files"), F.col("usual_location"),
                  F.col("n").alias("total_events")).alias("baseline"),
         "event_id",
     )
@@ -260,9 +264,7 @@ def user_profile(logs: DataFrame, scored: DataFrame) -> DataFrame:
 def periodic_stats(scored: DataFrame, every: int = 50) -> DataFrame:
     """Running totals per user at every ``every``-th event (events so far,
     anomalies so far, rate).  Per user, so no global single-partition order."""
-    counts = running_threat_count(scored)
-    return (scored.select("event_id", "user_id", "n").join(counts, ["event_id", "user_id"])
-                  .filter(F.col("n") % every == 0)
+    return (running_threat_count(scored, keep=("n",)).filter(F.col("n") % every == 0)
                   .select("user_id", "event_id", F.col("n").cast("long").alias("events"),
                           F.col("threat_count").alias("anomalies"),
                           F.round(F.lit(100.0) * F.col("threat_count") / F.col("n"), 6).alias("anomaly_rate")))

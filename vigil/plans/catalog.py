@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import hunting as H
 from vigil.operators import ueba as U
+from vigil.plans.ordered_scan import sample_by_outcome
 from vigil.plans.registry import ORACLE, QUERIES, register, r6  # noqa: F401
 from vigil.sources.fixture import ORACLE_PREFIX, scored_logs, security_logs
 
@@ -139,6 +140,17 @@ def q_recent_high_scores(spark, sf):
         "event_id", "user_id", "timestamp", F.round("threat_score", 6).alias("threat_score"))
 
 
+@register("recent_high_scores_all", """
+SELECT event_id, user_id, timestamp, round(threat_score, 6) AS threat_score FROM scored_logs
+WHERE threat_score >= 0.5
+  AND timestamp >= (SELECT max(timestamp) FROM scored_logs WHERE threat_score >= 0.5) - INTERVAL 24 HOUR
+""")
+def q_recent_high_scores_all(spark, sf):
+    """S21 without the caller's cap."""
+    return H.read_index_query(scored_logs(spark, sf), 0.5, 24).select(
+        "event_id", "user_id", "timestamp", F.round("threat_score", 6).alias("threat_score"))
+
+
 @register("threat_rows", """
 SELECT event_id, user_id, round(threat_score, 6) AS threat_score FROM scored_logs WHERE threat_score > 0.5
 """)
@@ -182,7 +194,9 @@ def q_ueba_scores(spark, sf):
 
 ORACLE["ueba_anomalies"] = ORACLE_PREFIX.rstrip() + _UEBA_SQL + """
 SELECT timestamp, 'UEBA_ANOMALY' AS alert_type, user_id, anomaly_score, reasons,
-       CAST(n AS BIGINT) AS total_events, usual_location, event_id
+       CAST(n AS BIGINT) AS total_events, usual_location, event_id, CAST(printf('%.1f', avg_files) AS DOUBLE) AS baseline_avg_files,
+       concat_ws('|', (SELECT any_value(action) FROM security_logs l WHERE l.event_id = s.event_id),
+                 CAST(files AS STRING), coalesce(location, 'None'), coalesce(device, 'None'), CAST(hour AS STRING)) AS activity
 FROM s WHERE anomaly_score >= 40
 """
 
@@ -193,7 +207,12 @@ def q_ueba_anomalies(spark, sf):
     return a.select("timestamp", "alert_type", "user_id", "anomaly_score",
                     F.array_join("reasons", " | ").alias("reasons"),
                     F.col("baseline.total_events").cast("long").alias("total_events"),
-                    F.col("baseline.usual_location").alias("usual_location"), "event_id")
+                    F.col("baseline.usual_location").alias("usual_location"), "event_id",
+                    F.col("baseline.avg_files").alias("baseline_avg_files"),
+                    F.concat_ws("|", "activity.action", F.col("activity.files").cast("string"),
+                                F.coalesce("activity.location", F.lit("None")),
+                                F.coalesce("activity.device", F.lit("None")),
+                                F.col("activity.hour").cast("string")).alias("activity"))
 
 
 ORACLE["ueba_stats"] = ORACLE_PREFIX.rstrip() + _UEBA_SQL + """
@@ -212,7 +231,8 @@ def q_ueba_stats(spark, sf):
 ORACLE["user_baseline"] = ORACLE_PREFIX.rstrip() + _UEBA_SQL + """
 , last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS rk FROM s)
 SELECT user_id, round(avg_login_hour, 6) AS avg_login_hour, round(avg_files, 6) AS avg_files,
-       round(avg_upload, 6) AS avg_upload, usual_location, usual_device, CAST(n AS BIGINT) AS total_events
+       round(avg_upload, 6) AS avg_upload, round(std_login_hour, 6) AS std_login_hour, round(std_files, 6) AS std_files,
+       usual_location, usual_device, CAST(n AS BIGINT) AS total_events
 FROM last WHERE rk = 1 AND n >= 10
 """
 
@@ -220,7 +240,7 @@ FROM last WHERE rk = 1 AND n >= 10
 @register("user_baseline")
 def q_user_baseline(spark, sf):
     b = U.user_baseline(U.ueba_scores(security_logs(spark, sf)))
-    return b.select("user_id", r6("avg_login_hour"), r6("avg_files"), r6("avg_upload"),
+    return b.select("user_id", r6("avg_login_hour"), r6("avg_files"), r6("avg_upload"), r6("std_login_hour"), r6("std_files"),
                     "usual_location", "usual_device", F.col("total_events").cast("long").alias("total_events"))
 
 
@@ -239,15 +259,17 @@ def q_running_threat_count(spark, sf):
 
 
 ORACLE["sample_every_10th"] = ORACLE_PREFIX.rstrip() + _UEBA_SQL + """
-SELECT event_id, user_id, CAST(n AS BIGINT) AS n, anomaly_score FROM s WHERE n % 10 = 0
+, o AS (SELECT *, row_number() OVER (ORDER BY timestamp, event_id) AS total FROM s)
+SELECT event_id, user_id, total, anomaly_score, NOT hb AS learning FROM o WHERE total % 10 = 0 AND anomaly_score < 40
 """
 
 
 @register("sample_every_10th")
 def q_sample_every_10th(spark, sf):
-    s = U.ueba_scores(security_logs(spark, sf))
-    return s.filter(F.col("n") % 10 == 0).select("event_id", "user_id", F.col("n").cast("long").alias("n"),
-                                                 "anomaly_score")
+    """W13, behavioural form: every 10th event, if it is not an anomaly."""
+    s = U.ueba_scores(security_logs(spark, sf)).withColumn("outcome", F.when(F.col("is_anomaly"), "ANOMALY").otherwise("NORMAL"))
+    return sample_by_outcome(s, {"NORMAL": 10}, ["timestamp", "event_id"]).select(
+        "event_id", "user_id", "total", "anomaly_score", (~F.col("has_baseline")).alias("learning"))
 
 
 # other query modules register themselves on import

@@ -122,3 +122,27 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     out = tagged.join(F.broadcast(offsets), part == F.col("_p"))
     rank = F.coalesce(F.col("_off"), F.lit(0)) + (F.col(GID) - F.col("_g0")) + 1
     return out.withColumn(name, rank.cast("long")).drop(GID, "_p", "_g0", "_off")
+
+
+def sample_by_outcome(df: DataFrame, every: dict[str, int], order: list, outcome: str = "outcome") -> DataFrame:
+    """Of all rows in arrival order, those whose number is a multiple of
+    their outcome's step (1: all rows of it; outcomes not named: none)."""
+    ranked = global_rank(df, order, "total")
+    keep = F.lit(False)
+    for name, step in every.items():
+        keep = keep | ((F.col(outcome) == name) & (F.col("total") % step == 0))
+    return ranked.filter(keep)
+
+
+def periodic_totals(df: DataFrame, flags: dict[str, Column], order: list, every: int = 50) -> DataFrame:
+    """Running totals of all rows in arrival order, at every ``every``-th
+    one: ``total`` and a running count for each flag."""
+    base = df.select(*order, F.lit(0).alias("_all"), *[c.cast("long").alias(f"_f_{k}") for k, c in flags.items()])
+    seq = sequence_within(base, "_all", order)
+    pre = chunk_prefix(seq, "_all", {"total": "*", **{k: f"_f_{k}" for k in flags}})
+    w = Window.partitionBy("_all", CHUNK).orderBy(GID)
+    run = w.rowsBetween(UNB, 0)
+    out = seq.join(pre, ["_all", CHUNK]).select(
+        *order, (F.col("total_before") + F.row_number().over(w)).alias("total"),
+        *[(F.col(f"{k}_before") + F.sum(f"_f_{k}").over(run)).alias(k) for k in flags])
+    return out.filter(F.col("total") % every == 0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from vigil.operators import alerts as A
 from vigil.operators import report as R
 from vigil.operators import ueba as U
@@ -11,21 +14,38 @@ from vigil.sources.fixture import ORACLE_PREFIX, security_logs
 from vigil.session import ensure_checkpoint_dir
 
 
+def given_probabilities(logs: DataFrame) -> DataFrame:
+    """Two stand-in model probabilities derived from the events, so that
+    everything behind the models can be checked with SQL."""
+    scored = A.detector_scores(logs)
+    return scored.withColumns({
+        "xgb_prob": F.col("score") * 0.4 + F.pmod(F.col("event_id") * 37, F.lit(100)) * 0.005,
+        "rf_prob": F.col("score") * 0.2 + F.pmod(F.col("event_id") * 53, F.lit(50)) * 0.015})
+
+
+GIVEN_SQL = """
+, given AS (SELECT *, threat_score * 0.4::DOUBLE + (event_id * 37 % 100) * 0.005::DOUBLE AS xgb_prob,
+                   threat_score * 0.2::DOUBLE + (event_id * 53 % 50) * 0.015::DOUBLE AS rf_prob FROM scored_logs),
+ens AS (SELECT *, xgb_prob * 0.6::DOUBLE + rf_prob * 0.4::DOUBLE AS final_score FROM given)
+"""
+
+
 def fixture_alerts(spark, sf, materialize: bool = False):
-    """Canonical alerts of the detector and the behavioural producer over the
-    fixture.  ``materialize`` writes them once (reliable checkpoint) when one
-    frame feeds many outputs (the report)."""
+    """Canonical alerts of all three producers over the fixture.
+    ``materialize`` writes them once (reliable checkpoint) when one frame
+    feeds many outputs (the report)."""
     logs = security_logs(spark, sf)
     det = A.detector_alerts(A.detector_scores(logs))
     ueba = U.ueba_anomalies(U.ueba_scores(logs))
-    al = A.canonical_alerts(("detector", det), ("ueba", ueba))
+    ens = A.ensemble_alerts(A.ensemble_scores(given_probabilities(logs)))
+    al = A.canonical_alerts(("detector", det), ("ueba", ueba), ("ensemble", ens))
     if materialize:
         ensure_checkpoint_dir(spark)
         al = al.checkpoint(eager=True)
     return al
 
 
-ALERTS_SQL = _UEBA_SQL + """
+ALERTS_SQL = GIVEN_SQL + _UEBA_SQL + """
 , det AS (SELECT timestamp AS ts, user_id, 'UNKNOWN' AS alert_type, coalesce(location, 'Pakistan') AS location,
                  round(threat_score, 3) AS raw_score, 'Unknown' AS model, 'detector' AS source,
                  epoch_us(timestamp) * 4 + 0 AS seq, event_id
@@ -34,7 +54,11 @@ ue AS (SELECT timestamp AS ts, user_id, 'UEBA_ANOMALY' AS alert_type, 'Unknown'
               CAST(anomaly_score AS DOUBLE) AS raw_score, 'Unknown' AS model, 'ueba' AS source,
               epoch_us(timestamp) * 4 + 1 AS seq, event_id
        FROM s WHERE anomaly_score >= 40),
-al AS (SELECT * FROM det UNION ALL SELECT * FROM ue)
+en AS (SELECT timestamp AS ts, 'unknown' AS user_id, 'ENSEMBLE_THREAT' AS alert_type, 'Unknown' AS location,
+              round(final_score, 3) AS raw_score, 'Unknown' AS model, 'ensemble' AS source,
+              epoch_us(timestamp) * 4 + 2 AS seq, event_id
+       FROM ens WHERE final_score > 0.3::DOUBLE),
+al AS (SELECT * FROM det UNION ALL SELECT * FROM ue UNION ALL SELECT * FROM en)
 """
 
 DET_SQL = """
@@ -251,29 +275,52 @@ def _rj(x: str, w: int) -> str:
 
 
 def threat_report_sql(report_type: str = "daily") -> str:
-    """Oracle for A37, generated from the report's fixed layout values."""
-    W = R.W68
+    """Oracle for A37, with its own literal text: nothing here comes from the
+    report operator."""
+    W = 68
+    titles = {
+        "summary": "│                      EXECUTIVE SUMMARY                           │",
+        "breakdown": "│                     THREAT BREAKDOWN                             │",
+        "top": "│                       TOP THREATS                                 │",
+        "hourly": "│                    HOURLY DISTRIBUTION                            │",
+        "engines": "│                    DETECTION ENGINES                             │",
+        "actions": "│                    RECOMMENDED ACTIONS                            │",
+    }
     top_line, bot_line = "╔" + "═" * W + "╗", "╚" + "═" * W + "╝"
     box_end = "└" + "─" * W + "┘"
 
     def box(key):
-        title, pad = R.SECTION_TITLES[key]
-        return ["┌" + "─" * W + "┐", "│" + " " * pad + title + " " * (W - pad - len(title)) + "│",
-                "├" + "─" * W + "┤"]
+        return ["┌" + "─" * W + "┐", titles[key], "├" + "─" * W + "┤"]
 
     def lit_rows(section, texts, start=0):
         return [f"SELECT {section} AS section, {start + i} AS pos, "
                 f"{t if t.startswith('concat(') else _sq(t)} AS line FROM gt"
                 for i, t in enumerate(texts)]
 
-    h = R.HEADER_ROWS
-    sr = R.SUMMARY_ROWS
-    rec_rows = " UNION ALL ".join(
-        f"SELECT {i} AS k, {_sq(text)} AS rec FROM sm WHERE "
-        + ("TRUE" if cond is None else cond.replace("total", "t").replace("high_risk_users", "h"))
-        for i, (cond, text) in enumerate(A.REPORT_RECOMMENDATIONS))
-    levels = "CASE " + " ".join(f"WHEN t > {above} THEN {_sq(text)}" for above, text in A.OVERALL_LEVELS[:-1]) \
-        + f" ELSE {_sq(A.OVERALL_LEVELS[-1][1])} END"
+    h = ["║               CYBERSECURITY THREAT REPORT                       ║",
+         "║                  {} ANALYSIS                            ║",
+         "║  Generated: {}                       ║",
+         "║  Report Type: {} Threat Report                       ║",
+         "║  Classification: CONFIDENTIAL                                     ║"]
+    sr = ["│  Total Alerts (24h):     {}                         │",
+          "│  High Risk Users:        {}                         │",
+          "│  Threats Blocked:        {}                         │",
+          "│  Overall Risk Level:     {} │"]
+    recs = [("t > 100", "🔴 CRITICAL: Activate incident response team"),
+            ("t > 100", "🔴 Block all suspicious IP ranges immediately"),
+            ("t > 50", "🟠 Review high-risk user accounts immediately"),
+            ("t > 50", "🟠 Enable MFA for all flagged accounts"),
+            ("h > 5", "🟡 Schedule security awareness training"),
+            ("TRUE", "📋 Escalate critical findings to SOC Manager"),
+            ("TRUE", "📊 Schedule automated hourly monitoring"),
+            ("TRUE", "🔐 Review and update firewall rules"),
+            ("TRUE", "📁 Backup and secure sensitive data"),
+            ("TRUE", "📈 Generate follow-up report in 24 hours")]
+    rec_rows = " UNION ALL ".join(f"SELECT {i} AS k, {_sq(text)} AS rec FROM sm WHERE {cond}"
+                                  for i, (cond, text) in enumerate(recs))
+    levels = ("CASE WHEN t > 100 THEN '🔴 CRITICAL - Immediate action required' "
+              "WHEN t > 50 THEN '🟠 HIGH - Escalate to security team' "
+              "WHEN t > 20 THEN '🟡 MEDIUM - Monitor closely' ELSE '🟢 LOW - Routine monitoring' END")
     parts = []
     parts += lit_rows(1, [top_line, h[0], h[1].format(report_type.upper()), "╠" + "═" * W + "╣",
                           _tmpl_sql(h[2], "gen"), h[3].format(report_type.capitalize()), h[4], bot_line, ""])
@@ -283,26 +330,26 @@ def threat_report_sql(report_type: str = "daily") -> str:
               f"SELECT 2, 5, {_tmpl_sql(sr[2], _rj('b', 6))} FROM sm",
               f"SELECT 2, 6, {_tmpl_sql(sr[3], _lj(levels, 30))} FROM sm"]
     parts += lit_rows(2, [box_end, ""], start=7)
-    parts += lit_rows(3, box("breakdown") + [R.BREAKDOWN_TYPE_HEAD], start=-10)
-    parts += [f"SELECT 3, rk + 1, {_tmpl_sql(R.BREAKDOWN_TYPE_ROW, _lj('alert_type', 30), _rj('c', 4), 'bar')} "
+    parts += lit_rows(3, box("breakdown") + ["│  📊 By Alert Type:                                                 │"], start=-10)
+    parts += [f"SELECT 3, rk + 1, {_tmpl_sql('│    {} {} {} │', _lj('alert_type', 30), _rj('c', 4), 'bar')} "
               f"FROM ty WHERE rk <= 5"]
-    parts += lit_rows(4, ["│" + " " * W + "│", R.BREAKDOWN_LOC_HEAD], start=-10)
-    parts += [f"SELECT 4, rk, {_tmpl_sql(R.BREAKDOWN_LOC_ROW, _lj('location', 30), _rj('c', 4))} FROM lo WHERE rk <= 3"]
+    parts += lit_rows(4, ["│" + " " * W + "│", "│  🌍 By Location:                                                   │"], start=-10)
+    parts += [f"SELECT 4, rk, {_tmpl_sql('│    {} {}                │', _lj('location', 30), _rj('c', 4))} FROM lo WHERE rk <= 3"]
     parts += lit_rows(5, [box_end, ""])
     parts += lit_rows(6, box("top"), start=-10)
-    parts += [f"SELECT 6, rk, {_tmpl_sql(R.TOP_ROW, _rj('rk', 2), 'sev', _lj('user_id', 25), _rj('c', 4))} "
+    parts += [f"SELECT 6, rk, {_tmpl_sql('│  {}. {} {} {} alerts          │', _rj('rk', 2), 'sev', _lj('user_id', 25), _rj('c', 4))} "
               f"FROM tu WHERE rk <= 5"]
     parts += lit_rows(7, [box_end, ""])
     parts += lit_rows(8, box("hourly"), start=-10)
-    parts += [f"SELECT 8, hour, {_tmpl_sql(R.HOUR_ROW, 'lpad(CAST(hour AS STRING), 2, ' + _sq('0') + ')', _lj('bar', 40), _rj('c', 4), 'night')} FROM hr"]
+    parts += [f"SELECT 8, hour, {_tmpl_sql('│  {}:00 {} {}{} │', 'lpad(CAST(hour AS STRING), 2, ' + _sq('0') + ')', _lj('bar', 40), _rj('c', 4), 'night')} FROM hr"]
     parts += lit_rows(9, [box_end, ""])
     parts += lit_rows(10, box("engines"), start=-10)
-    parts += [f"SELECT 10, rk, {_tmpl_sql(R.ENGINE_ROW, _lj('model', 30), _rj('c', 4))} FROM mo"]
+    parts += [f"SELECT 10, rk, {_tmpl_sql('│  🤖 {} {} detections     │', _lj('model', 30), _rj('c', 4))} FROM mo"]
     parts += lit_rows(11, [box_end, ""])
     parts += lit_rows(12, box("actions"), start=-10)
-    parts += [f"SELECT 12, pos, {_tmpl_sql(R.ACTION_ROW, 'pos', _lj('rec', 60))} FROM rc WHERE pos <= 8"]
+    parts += [f"SELECT 12, pos, {_tmpl_sql('│  {}. {} │', 'pos', _lj('rec', 60))} FROM rc WHERE pos <= 8"]
     parts += lit_rows(13, [box_end, ""])
-    parts += lit_rows(14, [top_line, R.FOOTER_ROWS[0], _tmpl_sql(R.FOOTER_ROWS[1], "yr"), bot_line])
+    parts += lit_rows(14, [top_line, "║          Report generated by AI Cybersecurity Platform         ║", _tmpl_sql("║               © {} - All Rights Reserved                   ║", "yr"), bot_line])
     body = "\nUNION ALL ".join(parts)
     return ALERTS_SQL + f"""
 , gt AS (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS gen, CAST(year(max(ts)) AS STRING) AS yr FROM al),
@@ -322,7 +369,7 @@ hs AS (SELECT CAST(s.i AS INT) AS hour, CAST(coalesce(hc.n, 0) AS BIGINT) AS c
 hr AS (SELECT hour, c,
               repeat('█', CAST(CASE WHEN max(c) OVER () > 0 THEN floor(c * 40 / max(c) OVER ()) ELSE 0 END AS INT))
                 AS bar,
-              CASE WHEN hour < 6 OR hour > 22 THEN {_sq(R.NIGHT_MARK)} ELSE '' END AS night FROM hs),
+              CASE WHEN hour < 6 OR hour > 22 THEN ' 🌙' ELSE '' END AS night FROM hs),
 mo AS (SELECT model, c, row_number() OVER (ORDER BY fs) AS rk FROM
          (SELECT model, count(*) AS c, min(seq) AS fs FROM al GROUP BY model)),
 rr0 AS ({rec_rows.replace("FROM sm", "FROM (SELECT t, h FROM sm) sm")}),

@@ -208,8 +208,9 @@ def q_risky_user_events(spark, sf):
 
 @register("investigation_report")
 def q_investigation_report(spark, sf):
-    """Full report text for every user (rows-only check)."""
-    return I.investigation_report(security_logs(spark, sf))
+    """Full report text for every user, as of the newest event."""
+    logs = security_logs(spark, sf)
+    return I.investigation_report(logs, generated=logs.select(F.max("timestamp")).scalar())
 
 
 def _q(text: str) -> str:
@@ -225,18 +226,44 @@ def _fill(fmt: str, *vals: str) -> str:
 
 
 def investigation_report_sql(source: str = "parquet") -> str:
-    """Oracle for A36, generated from the investigation's fixed texts."""
-    rt, pt, rc = I.REPORT_TEXT, I.PATTERN_TEXT, I.USER_RECOMMENDATIONS
+    """Oracle for A36, with its own literal text: nothing here comes from the
+    investigation operator."""
+    rt = {"title": "🔍 USER INVESTIGATION REPORT", "generated": "🕐 Generated: {}", "user": "👤 User: {}",
+          "source": "📁 Source: {}", "records": "📊 Records: {}", "verdict": "{} RISK VERDICT: {}",
+          "score": "  Risk Score: {}/100", "action": "  Action: {}", "factors": "⚠️  RISK FACTORS FOUND:",
+          "no_factors": "  ✅ No significant risk factors found", "stats": "📊 ACTIVITY STATISTICS",
+          "patterns": "🧠 BEHAVIORAL PATTERNS", "recommendations": "💡 RECOMMENDATIONS",
+          "complete": "✅ INVESTIGATION COMPLETE"}
+    pt = {"night_high": "🔴 Night owl: {}% activity during 12AM-5AM",
+          "night_some": "🟡 Occasional late work: {}% night activity", "night_none": "🟢 Normal working hours",
+          "mobility_high": "🔴 High mobility: {} different locations", "mobility_some": "🟡 Travel pattern: {} locations",
+          "mobility_none": "🟢 Single location", "files_erratic": "🔴 Erratic file access (high variance)",
+          "files_steady": "🟢 Consistent file access pattern",
+          "device_high": "🔴 {}% unknown devices - possible security bypass", "device_some": "🟡 {}% unknown devices",
+          "device_none": "🟢 All known devices"}
+    rc = {"disable": "🚨 IMMEDIATE: Disable account and initiate security investigation",
+          "escalate": "📞 Escalate to SOC Manager immediately", "mfa": "🔐 Enable MFA immediately",
+          "review": "📋 Review all recent activity logs",
+          "countries": "🌍 Block access from high-risk countries ({} events)",
+          "dlp": "📁 Review data loss prevention (DLP) policies", "devices": "💻 Enforce device compliance policy",
+          "none": "✅ No immediate action required", "always": "📊 Schedule next review in 24 hours"}
+    verdicts = {"CRITICAL": ("🔴", "IMMEDIATE BLOCK + Investigation"),
+                "HIGH": ("🟠", "Block suspicious activity, enable MFA"),
+                "MEDIUM": ("🟡", "Monitor closely, review access"), "LOW": ("🟢", "Continue routine monitoring"),
+                "CLEAN": ("✅", "No action needed")}
+    marks = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🟢"}
     bar, thin = _q("=" * 70), _q("-" * 70)
     verdict_emoji = "CASE risk_level " + " ".join(
-        f"WHEN {_q(k)} THEN {_q(v[0])}" for k, v in I.VERDICT_TEXT.items()) + " END"
+        f"WHEN {_q(k)} THEN {_q(v[0])}" for k, v in verdicts.items()) + " END"
     verdict_action = "CASE risk_level " + " ".join(
-        f"WHEN {_q(k)} THEN {_q(v[1])}" for k, v in I.VERDICT_TEXT.items()) + " END"
+        f"WHEN {_q(k)} THEN {_q(v[1])}" for k, v in verdicts.items()) + " END"
     sev_emoji = "CASE severity " + " ".join(
-        f"WHEN {_q(k)} THEN {_q(I.SEVERITY_EMOJI[k])}" for k in ["CRITICAL", "HIGH", "MEDIUM", "LOW"]) \
+        f"WHEN {_q(k)} THEN {_q(v)}" for k, v in marks.items()) \
         + f" ELSE {_q('⚪')} END"
     f0 = _fmt0
-    header = ", ".join([bar, _q(rt["title"]), bar, _fill(rt["user"], "user_id"),
+    header = ", ".join([bar, _q(rt["title"]), bar,
+                        _fill(rt["generated"], "(SELECT strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') FROM security_logs)"),
+                        _fill(rt["user"], "user_id"),
                         _q(rt["source"].format(source)), _fill(rt["records"], "events"), "''", bar,
                         _fill(rt["verdict"], verdict_emoji, "risk_level"), bar, _fill(rt["score"], "total_score"),
                         _fill(rt["action"], verdict_action), "''"])

@@ -152,7 +152,7 @@ SELECT 'UNKNOWN' AS alert_type, count(*) AS n FROM scored_logs WHERE threat_scor
 def q_stream_alert_topic_counts(spark, sf):
     """S14 → S8: detector alerts written as JSON values, consumed as a stream."""
     out = S.scratch(spark, "alert-topic")
-    K.sink_alerts(A.detector_alerts(A.detector_scores(security_logs(spark, sf))), f"{out}/topic")
+    K.sink_alerts(A.detector_alerts(A.detector_scores(security_logs(spark, sf))), f"{out}/topic", "first")
     stream = S.stream_alerts(spark, f"{out}/topic")
     parsed = stream.select(F.coalesce(F.get_json_object("value", "$.alert_type"), F.lit("UNKNOWN"))
                            .alias("alert_type"))

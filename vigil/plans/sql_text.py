@@ -18,7 +18,11 @@ m AS (SELECT *,
         min(n) OVER (PARTITION BY user_id, loc_key) AS fs_loc,
         row_number() OVER (PARTITION BY user_id, dev_key ORDER BY n) AS c_dev,
         min(n) OVER (PARTITION BY user_id, dev_key) AS fs_dev,
-        avg(hour) OVER w AS avg_login_hour, avg(files) OVER w AS avg_files, avg(upload) OVER w AS avg_upload
+        avg(hour) OVER w AS avg_login_hour, avg(files) OVER w AS avg_files, avg(upload) OVER w AS avg_upload,
+        sqrt(CAST(count(*) OVER w * sum(hour * hour) OVER w - sum(hour) OVER w * sum(hour) OVER w AS DOUBLE))
+          / count(*) OVER w AS std_login_hour,
+        sqrt(CAST(count(*) OVER w * sum(files * files) OVER w - sum(files) OVER w * sum(files) OVER w AS DOUBLE))
+          / count(*) OVER w AS std_files
       FROM r WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)),
 u AS (SELECT *,
         arg_max(loc_key, c_loc * 1000000000 - fs_loc) OVER wu AS usual_location,

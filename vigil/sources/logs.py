@@ -43,10 +43,11 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.St
     return canonical_logs(reader.load(path))
 
 
-def read_logs_capped(df: DataFrame, n: int = 5000) -> DataFrame:
-    """Match-all scan capped at ``n`` rows, in a stable (time, id) order."""
+def read_logs_capped(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Match-all scan; capped at ``n`` rows in a stable (time, id) order if
+    the caller gives ``n``."""
     order = [c for c in ("timestamp", "event_id") if c in df.columns]
-    return df.orderBy(*order).limit(n)
+    return df if n is None else df.orderBy(*order).limit(n)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -84,7 +85,7 @@ def split_corrupt(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded.filter(~bad).drop(CORRUPT), decoded.filter(bad).select(CORRUPT)
 
 
-def read_topic_batch(spark: SparkSession, path: str, n: int | None = 500, fmt: str = "json",
+def read_topic_batch(spark: SparkSession, path: str, n: int | None = None, fmt: str = "json",
                      options: dict | None = None, schema: T.StructType = RAW_EVENT) -> DataFrame:
     """Bounded read of a topic from its earliest message.
 

@@ -20,7 +20,7 @@ from vigil.operators import alerts as A
 from vigil.schema import RAW_EVENT
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources.fixture import from_events
-from vigil.sources.logs import canonical_logs, decode_json, split_corrupt
+from vigil.sources.logs import canonical_logs, decode_json
 
 
 # ----------------------------------------------------------------- sources
@@ -41,11 +41,17 @@ def stream_fixture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_logs(spark: SparkSession, path: str, fmt: str = "json", options: dict | None = None,
                 max_files: int | None = None) -> DataFrame:
-    """Unbounded log source (JSON lines folder, or ``kafka`` with options)."""
+    """Unbounded log source (JSON lines folder, or ``kafka`` with options).
+    JSON and broker rows that can't be decoded stay, with their text in
+    ``_corrupt_record``: ``split_corrupt`` sends them to a quarantine."""
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").options(**(options or {})).load()
-        good, _ = split_corrupt(decode_json(raw, "value", RAW_EVENT))
-        return canonical_logs(good)
+        return canonical_logs(decode_json(raw, "value", RAW_EVENT))
+    if fmt == "json":
+        r = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])).format("text")
+        if max_files:
+            r = r.option("maxFilesPerTrigger", max_files)
+        return canonical_logs(decode_json(r.options(**(options or {})).load(path), "value", RAW_EVENT))
     r = spark.readStream.schema(RAW_EVENT).format(fmt).options(**(options or {}))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
