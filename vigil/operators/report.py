@@ -15,6 +15,7 @@ from vigil.functions.text import bar, ljust, rjust, tmpl
 from vigil.functions.scoring import odd_hour
 from vigil.operators import alerts as A
 from vigil.plans.ordered_scan import global_rank
+from vigil.session import write_once
 
 W68 = 68
 
@@ -75,7 +76,7 @@ def threat_report(al: DataFrame, report_type: str = "daily", generated: Column |
     """Report lines ``(section, pos, line)``; order by both to read it."""
     spark = al.sparkSession
     # every counter comes from one GROUPING SETS pass, written once
-    r = A.alert_rollups(al).checkpoint(eager=True)
+    r = write_once(A.alert_rollups(al), "rollups")
     gen = generated if generated is not None else \
         r.filter(F.col("dim") == "total").select(F.max("max_ts")).scalar()
     gen = F.coalesce(gen, F.localtimestamp())  # no alerts: the report's own time
@@ -186,7 +187,7 @@ def report_statistics(al: DataFrame) -> DataFrame:
     bounded by those domains; per-user counts and the timeline are unbounded,
     so they stay frames of their own (``alerts_by(al, 'user_id')``,
     ``alert_timeline``); only the top five users enter the row."""
-    r = A.alert_rollups(al).checkpoint(eager=True)
+    r = write_once(A.alert_rollups(al), "rollups")
     summ = A.summary_from_rollups(r)
 
     def count_map(dim: str) -> Column:

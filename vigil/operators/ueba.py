@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.text import py_round, tmpl
+from vigil.session import write_once
 from vigil.plans.ordered_scan import (CHUNK, GID, UNB, chunk_prefix, running_mode, running_mode_carry,
                                       sequence_within, with_value_counts)
 
@@ -86,7 +87,8 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
     seq = sequence_within(base, "user_id", ["timestamp", "event_id"], num_chunks)
 
     sums = {"n": "*", "sh": "hour", "sf": "files", "su": "upload", "sh2": "hour2", "sf2": "files2"}
-    prefix = chunk_prefix(seq, "user_id", sums)
+    prefix = chunk_prefix(seq, "user_id", sums).withColumn(
+        "n_total", F.max("n_end").over(Window.partitionBy("user_id")))  # chunk rows: few a user
     modes = running_mode_carry(seq, "user_id", {"loc": "loc_key", "dev": "dev_key"})
     carries = prefix.join(modes, ["user_id", CHUNK])
 
@@ -107,28 +109,22 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
     rows = rows.withColumn("n", F.col("n_before") + F.col("pos"))
 
     # Means over the last `window` rows: prefix sum minus the prefix sum `window`
-    # rows back.  Whether any user has more than `window` events is read from
-    # the small per-chunk table; if none has, every mean is cs / n (one pass).
-    longest = prefix.select(F.max("n_end")).first()[0] or 0
-    if longest <= window:
-        rows = rows.select("*", *[F.lit(0).cast("long").alias(f"back_{x}") for x in names])
-    else:
-        # Inside a chunk the value `window` rows back is a lag; rows whose window
-        # starts in an earlier chunk (at most `window` per (user, chunk)) get it
-        # from an equi-join on (user, position).  The windowed rows feed three
-        # branches, so they are written once (reliable checkpoint).
-        for x in names:
-            rows = rows.withColumn(f"lag_{x}", F.lag(f"cs_{x}", window).over(w))
-        rows = rows.checkpoint(eager=True)
-        needs_join = (F.col("n") > window) & (F.col("pos") <= window)
-        direct = rows.filter(~needs_join).select(
-            "*", *[F.when(F.col("n") > window, F.col(f"lag_{x}")).otherwise(F.lit(0)).alias(f"back_{x}")
-                   for x in names])
-        refs = rows.filter(F.col("n") + window > F.col("n_end")).select(
-            "user_id", F.col("n").alias("_ref_n"), *[F.col(f"cs_{x}").alias(f"back_{x}") for x in names])
-        joined = (rows.filter(needs_join).withColumn("_ref_n", F.col("n") - window)
-                      .join(refs, ["user_id", "_ref_n"], "left").drop("_ref_n"))
-        rows = direct.unionByName(joined)
+    # rows back.  Inside a chunk that is a lag; rows whose window starts in an
+    # earlier chunk (at most `window` per (user, chunk)) get it from an equi-join
+    # on (user, position).  One plan for users of any length: the windowed rows
+    # are written once, and users within the window add no row to the join.
+    for x in names:
+        rows = rows.withColumn(f"lag_{x}", F.lag(f"cs_{x}", window).over(w))
+    rows = write_once(rows.drop("loc_carry", "dev_carry"), "windowed")
+    needs_join = (F.col("n") > window) & (F.col("pos") <= window)
+    direct = rows.filter(~needs_join).select(
+        "*", *[F.when(F.col("n") > window, F.col(f"lag_{x}")).otherwise(F.lit(0)).alias(f"back_{x}")
+               for x in names])
+    refs = rows.filter((F.col("n") + window > F.col("n_end")) & (F.col("n") + window <= F.col("n_total"))).select(
+        "user_id", F.col("n").alias("_ref_n"), *[F.col(f"cs_{x}").alias(f"back_{x}") for x in names])
+    joined = (rows.filter(needs_join).withColumn("_ref_n", F.col("n") - window)
+                  .join(refs, ["user_id", "_ref_n"], "left").drop("_ref_n"))
+    rows = direct.unionByName(joined)
 
     cnt = F.least(F.col("n"), F.lit(window)).cast("double")
 

@@ -7,9 +7,9 @@ task; a key holding a third of all rows would then run in one task.  Instead:
    unique, so Spark's sampled range bounds cut even a hot key into balanced
    chunks.  ``monotonically_increasing_id`` after the local sort gives a
    global position ``_gid`` that is monotone in ``(key, *order)``; its upper
-   bits are the chunk (partition) index.  The result is written as a reliable
-   checkpoint (``spark.checkpoint.dir``) so positions are stable and lineage is
-   cut before the two passes below.
+   bits are the chunk (partition) index.  The result is written once to the
+   shared folder, so positions are stable, lineage is cut, and each of the
+   passes below reads only its columns.
 2. Per ``(key, chunk)`` summaries are small (one row per key per chunk) and
    are turned into carries from earlier chunks with a window over the summary
    table, whose partitions hold at most ``#chunks`` rows per key.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import write_once
 
 GID = "_gid"
 CHUNK = "_chunk"
@@ -38,10 +38,7 @@ def sequence_within(df: DataFrame, key: str, order: list[str], num_chunks: int |
              .sortWithinPartitions(key, *order)
              .withColumn(GID, F.monotonically_increasing_id()))
     out = out.withColumn(CHUNK, F.shiftright(F.col(GID), 33).cast("int"))
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        out = out.checkpoint(eager=True)
-    return out
+    return write_once(out, "sequenced") if checkpoint else out
 
 
 def chunk_prefix(seq: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
@@ -112,9 +109,7 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     window: range-sort, tag partitions, and add the row counts of earlier
     partitions.  The offsets table has one row per partition (a bound fixed by
     the partition count), so it is broadcast."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    tagged = df.orderBy(*order).withColumn(GID, F.monotonically_increasing_id()).checkpoint(eager=True)
+    tagged = write_once(df.orderBy(*order).withColumn(GID, F.monotonically_increasing_id()), "ranked")
     part = F.shiftright(F.col(GID), 33)
     counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"), F.min(GID).alias("_g0"))
     offsets = counts.select("_p", "_g0", (F.sum("_cnt").over(Window.orderBy("_p").rowsBetween(UNB, -1)))

@@ -11,7 +11,7 @@ from vigil.operators import ueba as U
 from vigil.plans.sql_text import UEBA_SQL as _UEBA_SQL
 from vigil.plans.registry import ORACLE, register
 from vigil.sources.fixture import ORACLE_PREFIX, security_logs
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import write_once
 
 
 def given_probabilities(logs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ ens AS (SELECT *, xgb_prob * 0.6::DOUBLE + rf_prob * 0.4::DOUBLE AS final_score
 
 def fixture_alerts(spark, sf, materialize: bool = False):
     """Canonical alerts of all three producers over the fixture.
-    ``materialize`` writes them once (reliable checkpoint) when one frame
+    ``materialize`` writes them once when one frame
     feeds many outputs (the report)."""
     logs = security_logs(spark, sf)
     det = A.detector_alerts(A.detector_scores(logs))
@@ -40,8 +40,7 @@ def fixture_alerts(spark, sf, materialize: bool = False):
     ens = A.ensemble_alerts(A.ensemble_scores(given_probabilities(logs)))
     al = A.canonical_alerts(("detector", det), ("ueba", ueba), ("ensemble", ens))
     if materialize:
-        ensure_checkpoint_dir(spark)
-        al = al.checkpoint(eager=True)
+        al = write_once(al, "alerts")
     return al
 
 

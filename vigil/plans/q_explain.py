@@ -10,6 +10,7 @@ from vigil.operators import ml as ML
 from vigil.plans.q_ml import _train
 from vigil.plans.registry import register
 from vigil.schema import FEATURES
+from vigil.session import write_once
 from vigil.sources.fixture import security_logs
 
 _LEAVES: dict = {}
@@ -41,7 +42,7 @@ def _cell_shap(spark, sf):
         cells = rows.groupBy(*cell_cols).agg(
             *[F.min(F.col(c).cast("double")).alias(f"x_{c}") for c in FEATURES], F.count(F.lit(1)).alias("rows"))
         shap = X.cell_shap(cells, leaves).join(cells.select(*cell_cols, "rows"), cell_cols)
-        _CELLS[k] = shap.checkpoint(eager=True)
+        _CELLS[k] = write_once(shap, "cells")
     return _CELLS[k]
 
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators depend on: UTC so hours of day agree with the oracle,
 # AQE for runtime coalescing and skew-join splitting.
@@ -62,3 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def write_once(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage
+    is cut, values such as row positions are fixed, and later passes read only
+    the columns they need."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
