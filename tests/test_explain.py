@@ -69,3 +69,24 @@ def test_lime_weights(spark, forest):
     assert len(w) == 3 * len(FEATURES)
     assert w["condition"].notna().all()
     assert set(w["feature"]) == set(FEATURES)
+
+
+def test_lime_cells_equal_a_plain_weighted_ridge():
+    """Fits per cell, with the own prediction put in afterwards, equal the
+    regression over explicit samples."""
+    rng = np.random.default_rng(0)
+    bins = rng.integers(0, 4, (300, 6))
+    y = rng.random(300)
+    pats, inv = np.unique(bins, axis=0, return_inverse=True)
+    count, ysum = np.bincount(inv.ravel()).astype(float), np.bincount(inv.ravel(), weights=y)
+    cells = rng.integers(0, 4, (5, 6))
+    fits = X.cell_fits(pats, count, ysum, cells)
+    for cell, fit in zip(cells, fits):
+        own = rng.random()
+        z = np.vstack([np.ones(6), (bins == cell)]).astype(float)
+        t = np.append(own, y)
+        w = np.sqrt(np.exp(-((1 - z) ** 2).sum(1) / (0.75 ** 2 * 6)))
+        zc, tc = z - (w @ z) / w.sum(), t - (w @ t) / w.sum()
+        beta = np.linalg.solve(zc.T @ (zc * w[:, None]) + np.eye(6), zc.T @ (w * tc))
+        assert np.allclose(fit[:6] + fit[6:12] * own, beta)
+        assert np.isclose(fit[12] + fit[13] * own, (w @ t - (w @ z) @ beta) / w.sum())

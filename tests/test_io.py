@@ -66,3 +66,59 @@ def test_decode_quarantines_bad_json(spark):
     df = spark.createDataFrame([('{"user_id": "a", "files_accessed": 3}',), ("not json",)], "value string")
     good, bad = L.split_corrupt(L.decode_json(df))
     assert good.count() == 1 and bad.count() == 1
+
+
+def test_sinks_repeat_without_duplicates(spark):
+    """A repeated run replaces its rows; another run adds to them."""
+    logs = security_logs(spark, SF_SMALL)
+    out = _tmp()
+    lines = spark.createDataFrame([("a | b",), ("c | d",)], "value string")
+    for run in ("one", "one", "two"):
+        K.sink_logs(logs, out + "/logs", run)
+        K.sink_alert_log(lines, out + "/log", run)
+        K.sink_alerts(logs.limit(7).select("event_id", "user_id"), out + "/topic", run)
+    assert spark.read.parquet(out + "/logs").count() == 2 * logs.count()
+    assert spark.read.text(out + "/log").count() == 4
+    assert spark.read.text(out + "/topic").count() == 14
+
+
+def test_stream_keeps_corrupt_rows_for_the_quarantine(spark):
+    src, out = _tmp(), _tmp()
+    with open(src + "/m.json", "w") as f:
+        f.write('{"user_id": "a", "files_accessed": 3, "timestamp": "2024-01-01T05:00:00"}\nnot json\n{"user_id": "b"}\n')
+    from vigil.streaming import streams as S
+    S.run_to_parquet(S.stream_logs(spark, src), out + "/data", out + "/ckpt")
+    good, bad = L.split_corrupt(spark.read.parquet(out + "/data"))
+    assert sorted(r.user_id for r in good.collect()) == ["a", "b"]
+    assert [r[L.CORRUPT] for r in bad.collect()] == ["not json"]
+    assert {r.user_id: r.hour_of_day for r in good.collect()} == {"a": 5, "b": None}
+
+
+def test_labelled_csv(spark):
+    out = _tmp() + "/labelled.csv"
+    names = [f.name for f in L.LABELLED_NOISY.fields]
+    with open(out, "w") as f:
+        f.write(",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
+    df = L.read_labelled_csv(spark, out)
+    assert df.columns == names and df.count() == 1
+    assert L.read_first_existing(spark, ["/nonexistent/a.csv", out], L.LABELLED_NOISY).count() == 1
+
+
+def test_literal_batch_rows(spark):
+    """the seven sample rows through the five summaries."""
+    from vigil.operators import hunting as H
+    rows = [("ali", "login", 10, "Pakistan", "laptop", 2.0), ("ali", "download", 5000, "Russia", "unknown", 9.5),
+            ("sara", "login", 20, "Pakistan", "mobile", 1.0), ("ahmed", "logout", 5, "Pakistan", "laptop", 1.0),
+            ("fatima", "file_access", 100, "UAE", "laptop", 7.5), ("ali", "upload", 50, "Pakistan", "laptop", 3.0),
+            ("sara", "download", 200, "China", "mobile", 8.0)]
+    df = L.from_rows(spark, rows, "user_id string, action string, files_accessed int, location string, device string, "
+                                  "threat_score double").withColumn("event_id", F.monotonically_increasing_id())
+    top = H.user_activity_summary(df).first()
+    assert (top.user_id, top.total_actions, round(top.avg_files, 2), top.max_files, top.min_files) == ("ali", 3, 1686.67, 5000, 10)
+    assert {(r.user_id, r.location, r.access_count) for r in H.suspicious_location_counts(df).collect()} == {
+        ("ali", "Russia", 1), ("fatima", "UAE", 1), ("sara", "China", 1)}
+    assert [r.threat_score for r in H.high_score_activities(df, 5.0).collect()] == [9.5, 8.0, 7.5]
+    assert {r.action: r["count"] for r in H.action_distribution(df).collect()} == {
+        "login": 2, "download": 2, "logout": 1, "file_access": 1, "upload": 1}
+    assert {r.device: (r.usage_count, r.avg_files) for r in H.device_usage(df).collect()} == {
+        "laptop": (4, 41.25), "mobile": (2, 110.0), "unknown": (1, 5000.0)}

@@ -150,3 +150,36 @@ def test_single_pass_rollups_equal_direct_aggregates(spark):
         assert dict(m) == {r[key]: r["count"] for r in A.alerts_by(al, key).collect()}
     assert [(t.user, t["count"]) for t in st.top_threats] == \
         [(r.user_id, r["count"]) for r in A.top_alert_users(al, 5).collect()]
+
+
+def test_batch_level_is_that_of_the_unrounded_score(spark, monkeypatch):
+    """0.70004 is HIGH though it prints as 0.7; a missing attempt count is 0."""
+    from vigil.operators import ml as ML
+    seen = []
+
+    def fixed(model, df, out="p_threat"):
+        seen.append({r.login_attempts for r in df.select("login_attempts").collect()})
+        return df.withColumn(out, F.lit(0.70004))
+    monkeypatch.setattr(ML, "score", fixed)
+    df = spark.createDataFrame([(1, 3, "10", None, 0, 0, 5)], "event_id int, hour_of_day int, files_accessed string, "
+                               "login_attempts int, foreign_ip int, unknown_device int, data_uploaded_mb int")
+    r = ML.score_batch([None], df).first()
+    assert (r.threat_score, r.risk_level, r.error) == (0.7, "HIGH", None) and seen == [{0.0}]
+
+
+def test_agreement_rounds_ties_as_python(spark):
+    from vigil.operators import alerts as A
+    df = spark.createDataFrame([(0.25, 0.2), (0.25, 0.3), (0.35, 0.3), (0.15, 0.1)], "a double, b double")
+    got = [r.agreement for r in A.mean_ensemble(df, ["a", "b"]).collect()]
+    assert got == ["STRONG" if round(a, 1) == round(b, 1) else "WEAK" for a, b in [(0.25, 0.2), (0.25, 0.3), (0.35, 0.3), (0.15, 0.1)]]
+
+
+def test_report_without_alerts(spark):
+    from vigil.operators import alerts as A
+    from vigil.operators import report as R
+    none = A.canonical_alerts(("detector", spark.createDataFrame(
+        [], "event_id long, user_id string, threat_score double, timestamp timestamp_ntz, location string")))
+    lines = [r.line for r in R.threat_report(none).orderBy("section", "pos").collect()]
+    assert all(x is not None for x in lines)
+    assert not any("HOURLY" in x or "DETECTION ENGINES" in x or "By Alert Type" in x for x in lines)
+    assert any("Total Alerts (24h):          0" in x for x in lines)

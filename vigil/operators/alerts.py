@@ -383,9 +383,14 @@ def rollup_dim(r: DataFrame, dim: str, name: str | None = None) -> DataFrame:
 def summary_from_rollups(r: DataFrame, top_n: int = 5) -> DataFrame:
     """A16-A19 from the roll-up table (same row as ``executive_summary``)."""
     users = r.filter(F.col("dim") == "user_id").select(F.count(F.lit(1))).scalar()
-    out = r.filter(F.col("dim") == "total").select(
-        F.col("count").alias("total_alerts"), F.least(F.lit(top_n).cast("long"), users).alias("high_risk_users"),
-        F.col("blocked").alias("threats_blocked"))
+    total = r.filter(F.col("dim") == "total")
+
+    def of(c: str) -> Column:  # without alerts the roll-up has no total row
+        return F.coalesce(total.select(F.max(c)).scalar(), F.lit(0)).cast("long")
+
+    out = r.sparkSession.range(1).select(
+        of("count").alias("total_alerts"), F.least(F.lit(top_n).cast("long"), users).alias("high_risk_users"),
+        of("blocked").alias("threats_blocked"))
     t = F.col("total_alerts")
     level = F.lit(OVERALL_LEVELS[-1][1])
     for above, text in reversed(OVERALL_LEVELS[:-1]):

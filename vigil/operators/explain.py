@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,7 +208,11 @@ def shap_importance(df: DataFrame, leaves: dict, features: list[str] = FEATURES)
     cell_cols = [f"cell_{c}" for c in features]
     cells = rows.groupBy(*cell_cols).agg(*[F.min(F.col(c).cast("double")).alias(f"x_{c}") for c in features],
                                         F.count(F.lit(1)).alias("rows"))
-    shap = cell_shap(cells, leaves, features).join(cells.select(*cell_cols, "rows"), cell_cols)
+    return importance_of(cell_shap(cells, leaves, features).join(cells.select(*cell_cols, "rows"), cell_cols), features)
+
+
+def importance_of(shap: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """M20 from SHAP values per cell and the cells' row counts, in one pass."""
     total_rows = F.sum("rows")
     agg = shap.agg(*[(F.sum(F.abs(F.col(f"phi_{c}")) * F.col("rows")) / total_rows).alias(c) for c in features])
     long = agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance"))
@@ -277,91 +281,96 @@ def _bin_names(feature: str, edges: list[float]) -> list[str]:
     return names
 
 
-def lime_explain(model: PipelineModel, train: DataFrame, instances: DataFrame, key: str = "event_id",
-                 num_samples: int = 5000, seed: int = 42, features: list[str] = FEATURES) -> DataFrame:
-    """Local linear weights per instance and feature.
-
-    Samples are generated in Spark (``explode(sequence)``, hash-seeded draws:
-    the bin by the training frequencies, the value normal within the bin and
-    clipped to it), scored by the model, weighted by an exponential kernel on
-    the binary 'same bin as the instance' representation, and fitted by ridge
-    regression from per-instance weighted sums; only the 6x6 solve runs in
-    ``applyInPandas``.  Sample 0 is the instance itself."""
-    from vigil.operators import ml as ML
-    spark = instances.sparkSession
-    bins = lime_bins(train, features)
+def _perturbations(spark, bins: dict, num_samples: int, seed: int, features: list[str]) -> DataFrame:
+    """Samples 1.. of LIME: the bin by the training frequencies, the value
+    normal within the bin and clipped to it, drawn by a seeded hash."""
     st = bins["stats"]
-    base = instances.select(key, *[F.col(c).cast("double").alias(c) for c in features])
-    base = base.select("*", *[bins["bin_of"](c).alias(f"ib_{c}") for c in features])
-    samples = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("s"))
+    samples = spark.range(1, num_samples).withColumnRenamed("id", "s")
     for c in features:
         rows = st[st["feature"] == c].sort_values("bin")
         total = float(rows["n"].sum())
-        u = _u(seed, F.col(key), F.col("s"), F.lit(c))
-        cum, pick = 0.0, None
-        picks = []
-        for _, r in rows.iterrows():
+        cum, picks = 0.0, []
+        for _, r in rows.iterrows():  # at most four bins a feature
             cum += r["n"] / total
             picks.append((cum, int(r["bin"]), r))
-        bexpr = F.lit(picks[-1][1])
+        u, u1, u2 = (_u(seed + i, F.col("s"), F.lit(c)) for i in range(3))
+        pick = F.lit(picks[-1][1])
         for cum_p, b, _ in reversed(picks[:-1]):
-            bexpr = F.when(u <= cum_p, F.lit(b)).otherwise(bexpr)
-        u1, u2 = _u(seed + 1, F.col(key), F.col("s"), F.lit(c)), _u(seed + 2, F.col(key), F.col("s"), F.lit(c))
+            pick = F.when(u <= cum_p, F.lit(b)).otherwise(pick)
         z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2)
-        val = None
+        val = F.lit(None).cast("double")
         for _, b, r in picks:
             std = float(r["std"]) if r["std"] == r["std"] else 0.0
-            v = F.least(F.greatest(F.lit(float(r["mean"])) + F.lit(std) * z, F.lit(float(r["lo"]))),
-                        F.lit(float(r["hi"])))
-            val = F.when(F.col(f"sb_{c}") == b, v) if val is None else val.when(F.col(f"sb_{c}") == b, v)
-        samples = samples.withColumn(f"sb_{c}", F.when(F.col("s") == 0, F.col(f"ib_{c}")).otherwise(bexpr))
-        samples = samples.withColumn(f"sv_{c}", F.when(F.col("s") == 0, F.col(c)).otherwise(val))
-    scored = ML.score(model, samples.select(key, "s", *[F.col(f"sv_{c}").alias(c) for c in features],
-                                            *[(F.col(f"sb_{c}") == F.col(f"ib_{c}")).cast("double")
-                                              .alias(f"z_{c}") for c in features]), "y")
-    width = LIME_KERNEL_WIDTH_FACTOR * math.sqrt(len(features))
-    d2 = sum((1.0 - F.col(f"z_{c}")) ** 2 for c in features)
-    scored = scored.withColumn("w", F.sqrt(F.exp(-d2 / (width ** 2))))
-    sums = [F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("swy")]
-    sums += [F.sum(F.col("w") * F.col(f"z_{c}")).alias(f"swz_{i}") for i, c in enumerate(features)]
-    sums += [F.sum(F.col("w") * F.col(f"z_{c}") * F.col("y")).alias(f"swzy_{i}") for i, c in enumerate(features)]
-    sums += [F.sum(F.col("w") * F.col(f"z_{a}") * F.col(f"z_{b}")).alias(f"swzz_{i}_{j}")
-             for i, a in enumerate(features) for j, b in enumerate(features) if j >= i]
-    agg = scored.groupBy(key).agg(*sums, F.max(F.when(F.col("s") == 0, F.col("y"))).alias("prediction"))
-    m = len(features)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            sw = r["sw"]
-            zbar = np.array([r[f"swz_{i}"] for i in range(m)]) / sw
-            ybar = r["swy"] / sw
-            zz = np.zeros((m, m))
-            for i in range(m):
-                for j in range(i, m):
-                    zz[i, j] = zz[j, i] = r[f"swzz_{i}_{j}"]
-            a = zz - sw * np.outer(zbar, zbar) + LIME_RIDGE_ALPHA * np.eye(m)
-            bvec = np.array([r[f"swzy_{i}"] for i in range(m)]) - sw * zbar * ybar
-            beta = np.linalg.solve(a, bvec)
-            intercept = ybar - zbar @ beta
-            for i in range(m):
-                out.append((r[key], features[i], float(beta[i]), float(intercept), float(r["prediction"])))
-        return pd.DataFrame(out, columns=[key, "feature", "weight", "intercept", "prediction"])
-
-    kt = dict(instances.dtypes)[key]
-    weights = agg.groupBy(key).applyInPandas(
-        solve, f"{key} {kt}, feature string, weight double, intercept double, prediction double")
-    names = []
-    for c in features:
-        for b, nm in enumerate(_bin_names(c, bins["edges"][c])):
-            names.append((c, b, nm))
-    name_df = spark.createDataFrame(names, "feature string, bin int, condition string")
-    inst_bins = base.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
-                                                              F.col(f"ib_{c}").alias("bin")) for c in features]))
-                            .alias("e")).select(key, "e.*")
-    labelled = inst_bins.join(F.broadcast(name_df), ["feature", "bin"]).drop("bin")
-    return weights.join(labelled, [key, "feature"]).withColumn(
-        "direction", F.when(F.col("weight") > 0, "🔺 Increases threat").otherwise("🔻 Decreases threat"))
+            v = F.least(F.greatest(F.lit(float(r["mean"])) + F.lit(std) * z, F.lit(float(r["lo"]))), F.lit(float(r["hi"])))
+            val = F.when(F.col(f"sb_{c}") == b, v).otherwise(val)
+        samples = samples.withColumn(f"sb_{c}", pick).withColumn(c, val)
+    return samples
+
+
+def cell_fits(patterns: np.ndarray, count: np.ndarray, ysum: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Ridge fits of bin cells: for each cell (row) the weights at prediction
+    zero, their slope in the own prediction, and the same for the intercept.
+
+    A perturbation counts for a cell only through which of its bins agree, so
+    the perturbations are given by bin pattern (count and sum of scores); the
+    instance itself is sample 0 (all bins agree, weight 1)."""
+    m = patterns.shape[1]
+    width2 = (LIME_KERNEL_WIDTH_FACTOR ** 2) * m
+    out = np.empty((len(cells), 2 * m + 2))
+    for i, cell in enumerate(cells):
+        z = (patterns == cell).astype(float)
+        w = np.sqrt(np.exp(-(m - z.sum(1)) / width2))
+        wn, wy = w * count, w * ysum
+        sw = wn.sum() + 1
+        zbar = (wn @ z + 1) / sw
+        a = z.T @ (z * wn[:, None]) + 1 - sw * np.outer(zbar, zbar) + LIME_RIDGE_ALPHA * np.eye(m)
+        solved = np.linalg.solve(a, np.stack([wy @ z - zbar * wy.sum(), 1 - zbar], 1))
+        icept = np.array([wy.sum(), 1.0]) / sw - zbar @ solved
+        out[i] = np.concatenate([solved[:, 0], solved[:, 1], icept])
+    return out
+
+
+def lime_explain(model: PipelineModel, train: DataFrame, instances: DataFrame, key: str = "event_id",
+                 num_samples: int = 5000, seed: int = 42, features: list[str] = FEATURES) -> DataFrame:
+    """Local linear weights per instance and feature, for any number of rows.
+
+    All instances share one seeded set of perturbations, scored by the model
+    once.  The exponential kernel and the binary 'same bin as the instance'
+    representation make the weighted sums depend on an instance only through
+    its cell of bins (at most 4 ** 6) and, linearly, its own prediction
+    (sample 0).  So the ridge fits are solved per cell, and a row's weights are
+    column arithmetic: nothing grows as rows x perturbations."""
+    from vigil.operators import ml as ML
+    spark = instances.sparkSession
+    bins = lime_bins(train, features)
+    ib = [f"ib_{c}" for c in features]
+    scored = ML.score(model, _perturbations(spark, bins, num_samples, seed, features), "_y")
+    per = scored.groupBy(*[f"sb_{c}" for c in features]).agg(F.count("*").alias("n"), F.sum("_y").alias("y")).toPandas()
+    table = spark.sparkContext.broadcast((  # at most 4 ** 6 patterns
+        per[[f"sb_{c}" for c in features]].to_numpy(), per["n"].to_numpy(float), per["y"].to_numpy(float)))
+    base = ML.score(model, instances.select(key, *features), "prediction").select(
+        key, "prediction", *[bins["bin_of"](c).alias(f"ib_{c}") for c in features])
+    names = [f"a_{c}" for c in features] + [f"g_{c}" for c in features] + ["a_icept", "g_icept"]
+
+    def solve(it):
+        for pdf in it:
+            fits = cell_fits(*table.value, pdf[ib].to_numpy())
+            yield pd.concat([pdf[ib].reset_index(drop=True), pd.DataFrame(fits, columns=names)], axis=1)
+
+    fits = base.select(*ib).distinct().mapInPandas(
+        solve, ", ".join([f"{c} int" for c in ib] + [f"{n} double" for n in names]))
+    rows = base.join(F.broadcast(fits), ib)  # at most 4 ** 6 cells
+    y0 = F.col("prediction")
+
+    def condition(c: str) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in _bin_names(c, bins["edges"][c])]), F.col(f"ib_{c}") + 1)
+
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"a_{c}") + F.col(f"g_{c}") * y0).alias("weight"),
+                               condition(c).alias("condition")) for c in features])
+    return rows.select(key, "prediction", (F.col("a_icept") + F.col("g_icept") * y0).alias("intercept"),
+                       F.explode(parts).alias("e")).select(
+        key, "e.feature", "e.weight", "intercept", "prediction", "e.condition",
+        F.when(F.col("e.weight") > 0, "🔺 Increases threat").otherwise("🔻 Decreases threat").alias("direction"))
 
 
 def lime_impact_summary(weights: DataFrame, features: list[str] = FEATURES) -> DataFrame:

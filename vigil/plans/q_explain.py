@@ -60,16 +60,7 @@ def q_forest_shap_values(spark, sf):
 def q_forest_shap_importance(spark, sf):
     """Mean |phi| per feature over all events, share and bar."""
     shap = _cell_shap(spark, sf)
-    total = shap.select(F.sum("rows")).scalar()
-    parts = [shap.select(F.lit(c).alias("feature"),
-                         (F.sum(F.abs(F.col(f"phi_{c}")) * F.col("rows")) / total).alias("importance"))
-             for c in FEATURES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    grand = out.select(F.sum("importance")).scalar()
-    out = out.withColumn("percentage", F.lit(100.0) * F.col("importance") / grand)
-    return out.withColumn("bar", F.repeat(F.lit("█"), F.col("percentage").cast("int")))
+    return X.importance_of(shap)
 
 
 @register("forest_shap_top_reasons")
@@ -86,13 +77,15 @@ def _lime_sample(spark, sf, k: int = 20):
 
 @register("lime_explanations")
 def q_lime_explanations(spark, sf):
-    """Local weights for 20 sampled events (2,000 perturbations each)."""
+    """Local weights of every event (5,000 perturbations)."""
     logs = _logs(spark, sf)
     train, _ = ML.split(logs)
-    return X.lime_explain(_train(spark, sf, "forest"), train, _lime_sample(spark, sf), num_samples=2000)
+    return X.lime_explain(_train(spark, sf, "forest"), train, logs)
 
 
 @register("lime_impact_summary")
 def q_lime_impact_summary(spark, sf):
-    """Average |weight| per feature across the sampled explanations."""
-    return X.lime_impact_summary(q_lime_explanations(spark, sf))
+    """Average |weight| per feature over the sampled explanations (20
+    events, 2,000 perturbations: the aggregate analysis is a sample by nature)."""
+    train, _ = ML.split(_logs(spark, sf))
+    return X.lime_impact_summary(X.lime_explain(_train(spark, sf, "forest"), train, _lime_sample(spark, sf), num_samples=2000))
