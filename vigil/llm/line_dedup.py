@@ -168,9 +168,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     did = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     dkey = F.xxhash64(F.lit(11), id_col, text_col)
     lines = written(lines_of(base.select(did.alias("_did"), dkey.alias("_dkey"), F.col(text_col).alias("_text"))), "lines")
+    # written, so that the join below has plain shuffles on both sides, which
+    # Spark can split where a line is held by a large part of the documents
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "dkey", "seq")).alias("a"), F.count("*").alias("n")) \
         .filter("n > 1").select("h1", "h2", F.col("a.did").alias("a_did"), F.col("a.dkey").alias("a_dkey"),
                                 F.col("a.seq").alias("a_seq"))
+    first = written(first, "holders")
     matches = lines.join(first, ["h1", "h2"]).filter("did <> a_did OR dkey <> a_dkey")
     lost = written(aligned(matches, min_words), "aligned")
     lost = lost.select(*[F.col(c).alias(f"_lost_{c}") for c in lost.columns])
