@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import delete_on_exit, ensure_checkpoint_dir
 
 # Bytes of text one Python step handles at a time.  A single longer text is
 # a step of its own, so texts are always processed whole.
@@ -29,10 +29,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    The folder goes when the driver ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

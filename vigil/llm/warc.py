@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import partitions, shared_path, steps, written
+from vigil.session import delete_on_exit
 
 REVISIT_BYTES = 1000
 BLOCK = 1024                # captures in a compressed block
@@ -284,10 +285,14 @@ def read_records(captures: DataFrame, path: str, with_payload: bool = False) ->
 
 def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> tuple[str, DataFrame]:
-    """Write records and index; the folder and the shard table."""
-    path = path or shared_path(pages.sparkSession, "warc")
-    captures = write_records(pages, f"{path}/data", id_col, url_col, html_col)
-    return path, write_index(captures, f"{path}/index")
+    """Write records and index; the folder and the shard table.  Without a
+    ``path`` the archive is scratch and goes when the driver ends."""
+    scratch, spark = path is None, pages.sparkSession
+    path = path or shared_path(spark, "warc")
+    shards = write_index(write_records(pages, f"{path}/data", id_col, url_col, html_col), f"{path}/index")
+    if scratch:
+        delete_on_exit(spark, path)
+    return path, shards
 
 
 def fetch(spark: SparkSession, urls: DataFrame, path: str, shards: DataFrame, url_col: str = "url",
