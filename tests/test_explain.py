@@ -90,3 +90,17 @@ def test_lime_cells_equal_a_plain_weighted_ridge():
         beta = np.linalg.solve(zc.T @ (zc * w[:, None]) + np.eye(6), zc.T @ (w * tc))
         assert np.allclose(fit[:6] + fit[6:12] * own, beta)
         assert np.isclose(fit[12] + fit[13] * own, (w @ t - (w @ z) @ beta) / w.sum())
+
+
+def test_shap_of_a_forest_in_pieces(spark, forest, monkeypatch):
+    logs, _, _, _, leaves = forest
+    some = logs.limit(20)
+    whole = {r.event_id: r for r in X.tree_shap(some, leaves).collect()}
+    monkeypatch.setattr(X, "LEAF_BLOCK", 7)
+    monkeypatch.setattr(X, "LEAF_PIECE_BYTES", 160 * (len(leaves["value"]) // 3 + 1))
+    parts = X.tree_shap(some, leaves).collect()
+    assert len(parts) == len(whole) == 20
+    for r in parts:
+        w = whole[r.event_id]
+        assert np.isclose(r.base, w.base) and np.isclose(r.p_forest, w.p_forest)
+        assert all(np.isclose(r[f"phi_{c}"], w[f"phi_{c}"]) for c in FEATURES)

@@ -84,8 +84,18 @@ def _shapley_weights(m: int) -> np.ndarray:
     return np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
 
 
-def _tree_shap_sum(x: np.ndarray, lo, hi, ratio, vals, w) -> np.ndarray:
-    """Sum over one tree's leaves of the per-feature SHAP terms (n, M)."""
+LEAF_BLOCK = 1024             # leaves handled at a time in a task
+LEAF_PIECE_BYTES = 128 << 20  # leaves broadcast at a time
+
+
+def leaf_blocks(leaves: dict, size: int) -> list[dict]:
+    """The leaf table in row blocks (``n_trees`` stays that of the forest)."""
+    return [{k: v if k == "n_trees" else v[i:i + size] for k, v in leaves.items()}
+            for i in range(0, max(1, len(leaves["value"])), size)]
+
+
+def _leaf_shap_sum(x: np.ndarray, lo, hi, ratio, vals, w) -> np.ndarray:
+    """Sum over some leaves of the per-feature SHAP terms (n, M)."""
     n, m = x.shape
     nl = lo.shape[0]
     a = ((x[:, None, :] > lo[None]) & (x[:, None, :] <= hi[None])).astype(float)   # n, L, M
@@ -119,15 +129,13 @@ def _tree_shap_sum(x: np.ndarray, lo, hi, ratio, vals, w) -> np.ndarray:
 
 def shap_values(x: np.ndarray, leaves: dict) -> tuple[np.ndarray, float]:
     """Exact path-dependent SHAP for rows ``x`` (n, M) → (phi (n, M), base).
-    Trees are processed one at a time, so memory is O(n * leaves per tree)."""
+    The terms add up over leaves, so leaves are taken in blocks and memory does
+    not grow with the trees."""
     n, m = x.shape
     w = _shapley_weights(m)
     phi = np.zeros((n, m))
-    tree = leaves["tree"]
-    for t in np.unique(tree):
-        sel = tree == t
-        phi += _tree_shap_sum(x, leaves["lo"][sel], leaves["hi"][sel], leaves["ratio"][sel],
-                              leaves["value"][sel], w)
+    for lv in leaf_blocks(leaves, LEAF_BLOCK):
+        phi += _leaf_shap_sum(x, lv["lo"], lv["hi"], lv["ratio"], lv["value"], w)
     phi /= leaves["n_trees"]
     base = float((leaves["value"] * leaves["ratio"].prod(axis=1)).sum() / leaves["n_trees"])
     return phi, base
@@ -135,8 +143,11 @@ def shap_values(x: np.ndarray, leaves: dict) -> tuple[np.ndarray, float]:
 
 def forest_probability(x: np.ndarray, leaves: dict) -> np.ndarray:
     """Mean over trees of the leaf's class-1 share (the forest's P(threat))."""
-    inside = ((x[:, None, :] > leaves["lo"][None]) & (x[:, None, :] <= leaves["hi"][None])).all(axis=2)
-    return (inside * leaves["value"][None]).sum(axis=1) / leaves["n_trees"]
+    out = np.zeros(len(x))
+    for lv in leaf_blocks(leaves, LEAF_BLOCK):
+        inside = ((x[:, None, :] > lv["lo"][None]) & (x[:, None, :] <= lv["hi"][None])).all(axis=2)
+        out += inside @ lv["value"]
+    return out / leaves["n_trees"]
 
 
 # ----------------------------------------------------------------- distributed SHAP
@@ -168,26 +179,35 @@ def cell_shap(cells: DataFrame, leaves: dict, features: list[str] = FEATURES, ba
                           + [T.StructField(f"phi_{c}", T.DoubleType()) for c in features]
                           + [T.StructField("base", T.DoubleType()), T.StructField("p_forest", T.DoubleType())])
 
-    # the leaf table is shipped once per executor (broadcast variable), not
-    # pickled into every task's closure
-    leaves_bc = cells.sparkSession.sparkContext.broadcast(leaves)
-
-    def run(it):
-        lv = leaves_bc.value
-        for pdf in it:
-            for s in range(0, len(pdf), batch):
-                part = pdf.iloc[s:s + batch]
-                x = part[[f"x_{c}" for c in features]].to_numpy(dtype=float)
-                phi, base = shap_values(x, lv)
-                out = part[cell_cols].copy()
-                for i, c in enumerate(features):
-                    out[f"phi_{c}"] = phi[:, i]
-                out["base"] = base
-                out["p_forest"] = forest_probability(x, lv)
-                yield out
-
     reps = cells.select(*cell_cols, *[F.col(f"x_{c}") for c in features])
-    return reps.mapInPandas(run, schema)
+
+    def add_up(piece: dict) -> DataFrame:
+        bc = cells.sparkSession.sparkContext.broadcast(piece)  # at most LEAF_PIECE_BYTES
+
+        def run(it):
+            for pdf in it:
+                for s in range(0, len(pdf), batch):
+                    part = pdf.iloc[s:s + batch]
+                    x = part[[f"x_{c}" for c in features]].to_numpy(dtype=float)
+                    phi, base = shap_values(x, bc.value)
+                    out = part[cell_cols].copy()
+                    for i, c in enumerate(features):
+                        out[f"phi_{c}"] = phi[:, i]
+                    out["base"] = base
+                    out["p_forest"] = forest_probability(x, bc.value)
+                    yield out
+
+        return reps.mapInPandas(run, schema)
+
+    # SHAP, base and probability add up over leaves: a forest of any size is
+    # broadcast piece by piece and the parts are summed
+    pieces = leaf_blocks(leaves, LEAF_PIECE_BYTES // (8 * (3 * len(features) + 2)))
+    total = add_up(pieces[0])
+    for piece in pieces[1:]:
+        total = total.unionByName(add_up(piece))
+    if len(pieces) == 1:
+        return total
+    return total.groupBy(*cell_cols).agg(*[F.sum(c).alias(c) for c in schema.names if c not in cell_cols])
 
 
 def tree_shap(df: DataFrame, leaves: dict, features: list[str] = FEATURES) -> DataFrame:
