@@ -280,3 +280,4 @@ from vigil.plans import q_stream  # noqa: E402,F401
 from vigil.plans import q_explain  # noqa: E402,F401
 from vigil.plans import q_io  # noqa: E402,F401
 from vigil.plans import q_given  # noqa: E402,F401
+from vigil.plans import q_invariants  # noqa: E402,F401
