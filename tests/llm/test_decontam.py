@@ -64,6 +64,18 @@ def test_equals_brute_force(spark, monkeypatch, seed, block):
     assert sorted(rows, key=str) == sorted(brute(docs, items), key=str)
 
 
+@pytest.mark.parametrize("block", [None, 400])
+def test_removal_equals_brute_force(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    docs, items = cases(7)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("item_id", F.lit(1))
+    got = decontam.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == ["doc_id", "text", "item_id"]
+    want = [d for d, r in zip(docs, brute(docs, items)) if not r[5]]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted(want, key=str) and len(want) < len(docs)
+
+
 def test_longest_match_has_its_place(spark):
     item = " ".join(f"w{i}" for i in range(20))
     doc = "start here " + " ".join(f"w{i}" for i in range(3, 18)) + " end"

@@ -263,9 +263,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
         (F.size("spans") > 0).alias("contaminated"), items.alias("items"), "longest")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` without any hit (ids of the others are removed)."""
-    bad = hits(docs, benchmark, window, id_col, text_col).filter("contaminated") \
-        .select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",
+                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of ``docs`` without any hit.  A pass for each block of test items
+    drops the rows it hits; nothing is shuffled or joined."""
+    out = docs
+    for block in test_blocks(docs.sparkSession, benchmark, item_col, item_text):
+        bc = docs.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
+
+        def run(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
+            test = None
+            for rb in steps(batches, text_col, SHARD_BYTES):
+                test = test or TestSet(bc.value, window)
+                found = search_shard(rb.column(text_col).to_pylist(), test)
+                hit = np.zeros(rb.num_rows, bool)
+                hit[np.searchsorted(found["offset"], np.flatnonzero(found["covered"]), side="right") - 1] = True
+                yield rb.filter(pa.array(~hit))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
