@@ -39,7 +39,7 @@ from vigil.llm.common import partitions, steps, written
 from vigil.llm.components import components
 
 TREE = 1 << 15      # fingerprints of one tree
-BUCKET = 256        # fingerprints in a bucket, on average, at most
+BUCKET = 2048       # fingerprints in a bucket, on average, at most: fewer mean more copies, more mean more visits
 FRONTIER = 1 << 20  # (query, node) visits held at a time
 
 
