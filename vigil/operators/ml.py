@@ -168,8 +168,11 @@ SCORE_CASES = [
 
 
 def score_case_table(spark, model: PipelineModel) -> DataFrame:
-    """The named cases scored by a model, with API level and expected band."""
+    """The named cases scored by a model, with API level, expected band
+    and whether the level lies in it (null where no band is asserted)."""
     cases = spark.createDataFrame(SCORE_CASES, "case string, hour_of_day int, files_accessed int, "
                                                "login_attempts int, foreign_ip int, unknown_device int, "
                                                "data_uploaded_mb int, expected string")
-    return score_batch([model], cases)
+    return score_batch([model], cases).withColumn(
+        "in_band", F.when(F.col("expected") == "not LOW", F.col("risk_level") != "LOW")
+        .when(F.col("expected").isNotNull(), F.col("risk_level") == F.col("expected")))

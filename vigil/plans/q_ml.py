@@ -17,6 +17,7 @@ from vigil.operators import ml as ML
 from vigil.operators import ueba as U
 from vigil.plans.registry import register, r6
 from vigil.schema import FEATURES
+from vigil.session import write_once
 from vigil.sources.fixture import security_logs
 
 PRED_SQL = """
@@ -239,7 +240,9 @@ def _train(spark, sf, kind: str):
 def _holdout(spark, sf, kind: str):
     model = _train(spark, sf, kind)
     _, test = ML.split(ML.prepare_features(security_logs(spark, sf)))
-    scored = M.with_prediction(ML.score(model, test), "p_threat", 0.5)
+    # metrics and AUC read the held-out scores: scored once
+    scored = write_once(M.with_prediction(ML.score(model, test), "p_threat", 0.5)
+                        .select("is_threat", "p_threat", "prediction"), "heldout")
     km = M.key_metrics(M.confusion_matrix(scored))
     auc = M.auc_roc(scored, "is_threat", "p_threat").select("auc")
     return km.select("*", auc.scalar().alias("auc"), F.lit(kind).alias("model"))

@@ -12,7 +12,7 @@ from vigil.plans import catalog as _catalog  # noqa: F401  (registers the batch
 from vigil.plans import q_alerts as _q_alerts  # noqa: F401
 from vigil.plans.registry import ORACLE
 from vigil.plans.registry import register, r6
-from vigil.sources.logs import decode_json, split_corrupt
+from vigil.sources.logs import CORRUPT, decode_json, split_corrupt
 from vigil.streaming import streams as S
 from vigil.streaming.ueba_state import stream_ueba
 
@@ -82,20 +82,23 @@ def q_stream_daily_alert_counts(spark, sf):
 
 
 @register("stream_quarantine_counts", """
-SELECT CASE WHEN json_valid(text) AND ltrim(text) LIKE '{%' THEN 'decoded' ELSE 'quarantined' END AS kind,
-       count(*) AS count
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'decoded' ELSE 'quarantined' END AS kind, count(*) AS count,
+       CAST(sum(CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE length(text) END) AS BIGINT) AS total
 FROM documents GROUP BY 1
 """)
 def q_stream_quarantine_counts(spark, sf):
-    """Message texts decoded as JSON events; undecodable ones are
-    quarantined instead of stopping the stream (documents' texts as messages)."""
-    docs = S.stream_events_table(spark, sf, "documents").select(F.col("text").alias("value"))
-    decoded = decode_json(docs, "value")
+    """Messages decoded as JSON events; undecodable ones are
+    quarantined with their text instead of stopping the stream (every second
+    message is a document's text)."""
+    docs = S.stream_events_table(spark, sf, "documents")
+    message = F.format_string('{"user_id": "u%d", "files_accessed": %d}', F.col("doc_id"), F.col("doc_id"))
+    decoded = decode_json(docs.select(F.when(F.col("doc_id") % 2 == 0, message).otherwise(F.col("text")).alias("value")), "value")
     out = S.scratch(spark, "stream-quarantine")
 
     def tag(batch):
         good, bad = split_corrupt(batch)
-        return good.select(F.lit("decoded").alias("kind")).unionByName(bad.select(F.lit("quarantined").alias("kind")))
+        return good.select(F.lit("decoded").alias("kind"), F.col("files_accessed").cast("long").alias("n")).unionByName(
+            bad.select(F.lit("quarantined").alias("kind"), F.length(CORRUPT).cast("long").alias("n")))
 
     S.run_foreach_batch(decoded, f"{out}/data", f"{out}/ckpt", transform=tag)
-    return spark.read.parquet(f"{out}/data").groupBy("kind").count()
+    return spark.read.parquet(f"{out}/data").groupBy("kind").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
