@@ -229,7 +229,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bc.value
-        for rb in steps(batches, "_text"):
+        for rb in steps(batches, "_text", 4 << 20):
             flat, at = encode_texts(rb.column("_text").to_pylist(), model)
             flat32 = flat.astype("<u4")
             cut = [flat32[a:b] for a, b in zip(at[:-1], at[1:])]

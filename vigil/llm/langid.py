@@ -219,7 +219,7 @@ def detect(docs: DataFrame, model: dict, text_col: str = "text", penalty: float
     bc = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
     base = docs.drop("lang_pred", "score", "spans")
     schema = wider(base, "lang_pred string, score double")
-    limit = (8 << 20) * 4 // max(4, len(model["langs"]))
+    limit = (4 << 20) * 4 // max(4, len(model["langs"]))
     if spans:
         schema = wider(base, "lang_pred string, score double, spans array<struct<first:int,past:int,lang:string>>")
 
