@@ -67,7 +67,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the line blocks that an earlier one holds."""
-    return dedup_lines(table(spark, sf_dir, "documents")) \
+    return dedup_lines(table(spark, sf_dir, "documents"), all_pairs=True) \
         .select("doc_id", "n_lines", "n_removed", "words_removed", "partners", "text",
                 F.sha2("text", 256).alias("text_sha256"))
 
