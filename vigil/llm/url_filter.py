@@ -1,10 +1,11 @@
 """URL filter: host and path rules, and a path-template tree for the rest.
 
 The tree of a host has one level for each path segment.  Numbers in a segment
-are wildcards from the start.  Level by level, a node with more than
-``MAX_CHILDREN`` children is generalised (its children are one wildcard), and
-children whose labelled share of bad rows doesn't differ from that of their
-siblings (two-proportion z below ``Z``) are merged into the wildcard.  A
+are wildcards from the start.  Level by level, children whose labelled share
+of bad rows doesn't differ from that of their siblings (two-proportion z below
+``Z``) are merged into a wildcard; on a node with more than ``MAX_CHILDREN``
+children also those with fewer labelled rows than ``PRIOR``, which are too few
+for the test.  A child that is apart stays, however many siblings it has.  A
 template's purity is its share of bad labelled rows, smoothed by ``PRIOR``
 rows of its parent's purity, from the rate of all labelled rows down; a
 template of at least ``REJECT`` is rejected.
@@ -79,7 +80,8 @@ def templates(paths: DataFrame) -> DataFrame:
         apart = (n1 > 0) & (n2 > 0) & (F.col("nb") > 0) & (F.col("nb") < F.col("nn"))
         gap = b1 / n1 - b2 / n2
         similar = ~F.when(apart, gap * gap >= Z * Z * spread).otherwise(F.lit(False))
-        wild = (F.col("kids") > MAX_CHILDREN) | ((F.col("kids") > 1) & similar)
+        few = (F.col("kids") > MAX_CHILDREN) & (n1 < PRIOR)
+        wild = (F.col("kids") > 1) & (similar | few)
         new = child.join(node, ["host", "prefix"]).select(
             "host", "prefix", "seg", F.when(wild, F.lit("*")).otherwise(F.col("seg")).alias("to"))
         g = F.concat(F.slice("g", 1, d), F.array("to"), F.slice(F.col("g"), F.lit(d + 2), F.lit(DEPTH))) if d else \
@@ -122,7 +124,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", bad_col: st
 
 
 def duckdb_sql(rules: list[Rule], rows: str) -> str:
-    """The same judgement in DuckDB SQL; ``rows`` gives (page_id, url, bad)."""
+    """The judgement in DuckDB SQL; ``rows`` gives (page_id, url, bad).  It
+    makes every child of a node with more than ``MAX_CHILDREN`` a wildcard, so
+    it equals ``judge`` where no child of such a node is apart."""
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v)
             for v, h, p in sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[0] != "block"))]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n, _ in fits) + " END"
