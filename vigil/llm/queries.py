@@ -14,6 +14,8 @@ from vigil.llm.exact_dedup import dedup
 from vigil.llm.langid import identify
 from vigil.llm.line_dedup import dedup_lines
 from vigil.llm.pii import pseudonymise
+from vigil.llm.setsketch import duckdb_sql as set_sql
+from vigil.llm.setsketch import near_duplicates as similar_sets
 from vigil.llm.sharding import shard
 from vigil.llm.simhash import near_duplicates
 from vigil.llm.url_filter import duckdb_sql, judge
@@ -119,3 +121,12 @@ FROM t"""
 ORACLE["op8_url_filter"] = duckdb_sql(RULES, """SELECT page_id, url, bad FROM pages LEFT JOIN (
   SELECT doc_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM labels GROUP BY doc_id) l
   ON try_cast(regexp_extract(url, '/([0-9]{1,18})', 1) AS BIGINT) = l.doc_id""")
+
+
+@query
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component (5-word shingles, Jaccard 0.85) of every document."""
+    return similar_sets(table(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
+ORACLE["op13_setsketch"] = set_sql(shingle=5, percent=85)
