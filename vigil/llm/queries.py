@@ -12,6 +12,8 @@ from vigil.llm.common import table
 from vigil.llm.decontam import hits
 from vigil.llm.exact_dedup import dedup
 from vigil.llm.langid import identify
+from vigil.llm.lexical import duckdb_sql as search_sql
+from vigil.llm.lexical import search
 from vigil.llm.line_dedup import dedup_lines
 from vigil.llm.pii import pseudonymise
 from vigil.llm.setsketch import duckdb_sql as set_sql
@@ -130,3 +132,12 @@ def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_setsketch"] = set_sql(shingle=5, percent=85)
+
+
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLE["op12_lexical"] = search_sql(k=50)
