@@ -16,6 +16,8 @@ from vigil.llm.lexical import duckdb_sql as search_sql
 from vigil.llm.lexical import search
 from vigil.llm.line_dedup import dedup_lines
 from vigil.llm.pii import pseudonymise
+from vigil.llm.prefix_trie import duckdb_sql as trie_sql
+from vigil.llm.prefix_trie import trie
 from vigil.llm.setsketch import duckdb_sql as set_sql
 from vigil.llm.setsketch import near_duplicates as similar_sets
 from vigil.llm.sharding import shard
@@ -126,12 +128,12 @@ ORACLE["op8_url_filter"] = duckdb_sql(RULES, """SELECT page_id, url, bad FROM pa
 
 
 @query
-def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate component (5-word shingles, Jaccard 0.85) of every document."""
-    return similar_sets(table(spark, sf_dir, "documents"), shingle=5, percent=85)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix node of the rebuilt conversations."""
+    return trie(table(spark, sf_dir, "conversations"))
 
 
-ORACLE["op13_setsketch"] = set_sql(shingle=5, percent=85)
+ORACLE["op11_prefix_trie"] = trie_sql()
 
 
 @query
@@ -141,3 +143,12 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_lexical"] = search_sql(k=50)
+
+
+@query
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component (5-word shingles, Jaccard 0.85) of every document."""
+    return similar_sets(table(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
+ORACLE["op13_setsketch"] = set_sql(shingle=5, percent=85)
