@@ -2,8 +2,8 @@
 
 - split: deterministic hash split on a row key (stable under repartitioning
   and executor loss, unlike ``randomSplit`` on an unordered input)
-- forest: ``RandomForestClassifier`` (100 trees); boosted: ``GBTClassifier``
-  (200 rounds, depth 6, step 0.1) with threats weighted 5x; network:
+- forest: ``RandomForestClassifier`` (100 trees); boosted: second-order trees
+  of ``boosting`` (200 rounds, depth 6, step 0.1), threats weighted 5x; network:
   ``MultilayerPerceptronClassifier`` 6-64-32-16-2 on standardised inputs
 - scoring is ``transform`` + the class-1 probability as a DOUBLE column
 """
@@ -11,15 +11,16 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.scoring import API_CUTS, FEATURE_DEFAULTS, risk_level
 from vigil.functions.text import py_round
+from vigil.operators import boosting
+from vigil.operators.boosting import BoostedTrees
 from vigil.schema import FEATURES
 
 # ---------------------------------------------------------------------------
@@ -50,10 +51,6 @@ def split(df: DataFrame, key: str = "event_id", train_pct: int = SPLIT_TRAIN_PCT
     return df.filter(bucket < train_pct), df.filter(bucket >= train_pct)
 
 
-def _with_weight(df: DataFrame, label: str, weight: float) -> DataFrame:
-    return df.withColumn("_w", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
-
-
 def train_forest(train: DataFrame, label: str = "is_threat", trees: int = FOREST_TREES,
                  max_depth: int = 12) -> PipelineModel:
     """M3: random forest (Spark caps depth at 30; 12 keeps trees bounded)."""
@@ -65,12 +62,9 @@ def train_forest(train: DataFrame, label: str = "is_threat", trees: int = FOREST
 
 def train_boosted(train: DataFrame, label: str = "is_threat", rounds: int = BOOST_ROUNDS,
                   depth: int = BOOST_DEPTH, step: float = BOOST_STEP,
-                  positive_weight: float = POSITIVE_WEIGHT) -> PipelineModel:
-    """M4: gradient-boosted trees with threats up-weighted."""
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
-                        weightCol="_w", seed=SEED, **TREE_SCALE)
-    data = _with_weight(train.withColumn(label, F.col(label).cast("double")), label, positive_weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(data)
+                  positive_weight: float = POSITIVE_WEIGHT) -> BoostedTrees:
+    """M4: second-order boosted trees with threats up-weighted."""
+    return boosting.fit(train, label, boosting.Params(rounds, depth, step, positive_weight))
 
 
 def train_mlp(train: DataFrame, label: str = "is_threat", layers: list[int] = MLP_LAYERS,
@@ -89,10 +83,12 @@ def prepare_features(df: DataFrame, defaults: dict = FEATURE_DEFAULTS) -> DataFr
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(defaults[c]))) for c in FEATURES})
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "p_threat") -> DataFrame:
+def score(model: PipelineModel | BoostedTrees, df: DataFrame, out: str = "p_threat") -> DataFrame:
     """M7: P(threat) per row."""
-    scored = model.transform(prepare_features(df))
     keep = [c for c in df.columns]
+    if isinstance(model, BoostedTrees):
+        return model.probability(prepare_features(df), out).select(*keep, out)
+    scored = model.transform(prepare_features(df))
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
@@ -117,24 +113,30 @@ def score_batch(models: list[PipelineModel], df: DataFrame) -> DataFrame:
 
 def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
     """Impurity importances of the tree stage, largest first (6 values)."""
+    if isinstance(model, BoostedTrees):
+        return model.importance()
     imp = model.stages[-1].featureImportances.toArray()
     return sorted(zip(FEATURES, map(float, imp)), key=lambda x: -x[1])
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: PipelineModel | BoostedTrees, path: str) -> str:
     """Persist (overwrite)."""
-    model.write().overwrite().save(path)
+    if isinstance(model, BoostedTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_first(spark, paths: list[str]) -> PipelineModel | None:
+def load_first(spark, paths: list[str]) -> PipelineModel | BoostedTrees | None:
     """The first model directory that exists (Hadoop FS check), else None."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         if hp.getFileSystem(conf).exists(hp):
-            return PipelineModel.load(p)
+            boosted = hp.getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p, "boosted"))
+            return BoostedTrees.load(spark, p) if boosted else PipelineModel.load(p)
     return None
 
 

@@ -15,6 +15,7 @@ from vigil.operators import hunting as H
 from vigil.operators import metrics as M
 from vigil.operators import ml as ML
 from vigil.operators import ueba as U
+from vigil.operators.boosting import NODE_SCHEMA, Params, first_tree_sql
 from vigil.plans.registry import register, r6
 from vigil.schema import FEATURES
 from vigil.session import write_once
@@ -258,6 +259,22 @@ def q_boosted_holdout_metrics(spark, sf):
     return _holdout(spark, sf, "boosted")
 
 
+@register("boosted_first_tree", first_tree_sql("security_logs", Params(rounds=1)), cte=True)
+def q_boosted_first_tree(spark, sf):
+    """M4: splits, gains, covers and leaf values of the first tree over all events."""
+    model = ML.train_boosted(ML.prepare_features(security_logs(spark, sf)), rounds=1)
+    names = F.array(*[F.lit(c) for c in FEATURES])
+    nodes = spark.createDataFrame(model.nodes.astype(object).where(model.nodes.notna(), None), NODE_SCHEMA)
+    return nodes.select("node", F.get(names, F.col("feature")).alias("feature"), "threshold",
+                        F.when(F.col("feature") >= 0, F.round("gain", 6)).alias("gain"), r6("cover"), r6("value"))
+
+
+@register("boosted_feature_importance")
+def q_boosted_feature_importance(spark, sf):
+    """M18 of the boosted model: mean gain of each feature's splits."""
+    return spark.createDataFrame(ML.feature_importance(_train(spark, sf, "boosted")), "feature string, importance double")
+
+
 @register("mlp_holdout_metrics")
 def q_mlp_holdout_metrics(spark, sf):
     return _holdout(spark, sf, "mlp")
