@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from vigil.operators import explain as X
+from vigil.operators import forest as FO
 from vigil.operators import ml as ML
+from vigil.operators.forest import stitch
 from vigil.schema import FEATURES
 from vigil.sources.fixture import security_logs
 
@@ -19,51 +21,56 @@ from vigil.sources.fixture import security_logs
 def forest(spark):
     logs = ML.prepare_features(security_logs(spark, SF_SMALL))
     train, test = ML.split(logs)
-    model = ML.train_forest(train, trees=10, max_depth=6)
-    return logs, train, test, model, X.leaf_table(X.forest_nodes(spark, model), len(FEATURES))
+    model = ML.train_forest(train, trees=10)
+    return logs, train, test, model
 
 
 def test_split_is_disjoint_and_complete(spark, forest):
-    logs, train, test, _, _ = forest
+    logs, train, test, _ = forest
     assert train.count() + test.count() == logs.count()
     assert train.join(test, "event_id").count() == 0
 
 
 def test_shap_additive_and_equal_to_model(spark, forest):
-    logs, _, _, model, leaves = forest
-    sh = ML.score(model, X.tree_shap(logs, leaves), "p_model").toPandas()
+    logs, _, _, model = forest
+    sh = ML.score(model, X.tree_shap(logs, model), "p_model").toPandas()
     phi = sh[[f"phi_{c}" for c in FEATURES]].sum(axis=1) + sh["base"]
     assert np.abs(phi - sh["p_model"]).max() < 1e-9
     assert np.abs(sh["p_forest"] - sh["p_model"]).max() < 1e-9
     assert len(sh) == logs.count()
 
 
-def test_shap_matches_brute_force(forest):
-    logs, _, _, _, leaves = forest
-    x = logs.select(*FEATURES).orderBy(F.col("files_accessed").desc()).limit(4).toPandas().to_numpy(float)
-    phi, _ = X.shap_values(x, leaves)
+def plain_value(tree, x, known, node=0):
+    """v(S) of one row by recursion."""
+    feature, threshold, left, right, value, cover = tree
+    f = feature[node]
+    if f < 0:
+        return value[node]
+    if f in known:
+        return plain_value(tree, x, known, left[node] if x[f] <= threshold[node] else right[node])
+    return sum(cover[c] / cover[node] * plain_value(tree, x, known, c) for c in (left[node], right[node]))
+
+
+@pytest.mark.parametrize("frontier", [1 << 19, 50])
+def test_shap_matches_brute_force(spark, forest, monkeypatch, frontier):
+    monkeypatch.setattr(X, "FRONTIER", frontier)
+    logs, _, _, model = forest
+    trees = [t for piece in model.pieces(spark) for t in stitch(piece).values()]
+    x = logs.select(*FEATURES).orderBy(F.col("files_accessed").desc()).limit(40).toPandas().to_numpy(float)[::9]
+    phi, base, p = X.shap_values(x, trees)
     m = len(FEATURES)
-
-    def v(xr, s):
-        a = ((xr[None, :] > leaves["lo"]) & (xr[None, :] <= leaves["hi"])).astype(float)
-        return (leaves["value"] * np.where(np.array(s)[None, :], a, leaves["ratio"]).prod(axis=1)).sum() \
-            / leaves["n_trees"]
-
     for r in range(len(x)):
+        v = {s: sum(plain_value(t, x[r], s) for t in trees)
+             for k in range(m + 1) for s in itertools.combinations(range(m), k)}
+        assert abs(base[r] - v[()]) < 1e-9 and abs(p[r] - v[tuple(range(m))]) < 1e-9
         for i in range(m):
-            tot = 0.0
-            for s in itertools.product([0, 1], repeat=m):
-                if s[i]:
-                    continue
-                k = sum(s)
-                s2 = list(s)
-                s2[i] = 1
-                tot += math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) * (v(x[r], s2) - v(x[r], s))
-            assert abs(tot - phi[r, i]) < 1e-12
+            want = sum(math.factorial(len(s)) * math.factorial(m - len(s) - 1) / math.factorial(m)
+                       * (v[tuple(sorted((*s, i)))] - v[s]) for s in v if i not in s)
+            assert abs(want - phi[r, i]) < 1e-9
 
 
 def test_lime_weights(spark, forest):
-    logs, train, _, model, _ = forest
+    logs, train, _, model = forest
     inst = logs.orderBy(F.xxhash64(F.lit(1), "event_id")).limit(3)
     w = X.lime_explain(model, train, inst, num_samples=500).toPandas()
     assert len(w) == 3 * len(FEATURES)
@@ -93,12 +100,12 @@ def test_lime_cells_equal_a_plain_weighted_ridge():
 
 
 def test_shap_of_a_forest_in_pieces(spark, forest, monkeypatch):
-    logs, _, _, _, leaves = forest
+    logs, _, _, model = forest
     some = logs.limit(20)
-    whole = {r.event_id: r for r in X.tree_shap(some, leaves).collect()}
-    monkeypatch.setattr(X, "LEAF_BLOCK", 7)
-    monkeypatch.setattr(X, "LEAF_PIECE_BYTES", 160 * (len(leaves["value"]) // 3 + 1))
-    parts = X.tree_shap(some, leaves).collect()
+    whole = {r.event_id: r for r in X.tree_shap(some, model).collect()}
+    monkeypatch.setattr(FO, "PIECE_NODES", 3 * model.table(spark).count() // model.trees)
+    assert len(list(model.pieces(spark))) > 2
+    parts = X.tree_shap(some, model).collect()
     assert len(parts) == len(whole) == 20
     for r in parts:
         w = whole[r.event_id]

@@ -1,238 +1,192 @@
 """Model explanations: exact tree SHAP for forests, LIME-style local weights.
 
 Tree SHAP (path-dependent, as for tree ensembles without background data):
-for a coalition S of features, a tree's value is
-``v(S) = sum_leaf value * prod_{f in S} [x_f in leaf interval f] * prod_{f not in S} cover ratio f``
-(splits grouped per feature, exact since it is a product), the forest's value
-is the mean over trees, and phi_i is the Shapley combination of v over
-coalitions.  Per leaf this is a polynomial in one variable (product of
-``b_f + a_f z``), so each phi_i costs O(M^2) per leaf.
-
-Scale: SHAP depends on a row only through which side of every split
-threshold each feature lies.  Rows are bucketized by the forest's thresholds
-(``Bucketizer``, binary search in the JVM), SHAP is computed once per
-distinct cell (``mapInPandas`` over the distinct cells, leaf table broadcast:
-its size is fixed by the model's trees and depth), and joined back to rows on
-the cell key.  Importance (mean |phi|) is computed from cells weighted by
-their row counts.
+for a coalition S of features, a tree's value v(S) follows the row at splits
+on features of S and takes both sides, by their share of rows, at the others;
+the forest's value is the mean over trees, and phi_i is the Shapley
+combination of v over coalitions.
+
+Scale: v(S) of a tree depends on a row only through the cells that the tree's
+thresholds cut the features of S into.  A task takes a batch of distinct
+feature vectors, finds for every tree and coalition the distinct cells among
+them, and walks all of these down the tree together, one level at a time; a
+walk only visits nodes that the coalition can reach.  Vectors are sorted
+before, so that a batch holds few cells.  No row meets a leaf that it can't
+reach, nothing is shuffled per tree, and rows are joined to vectors once.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators.forest import Forest, stitch
 from vigil.schema import FEATURES
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import write_once
 
 
 # ----------------------------------------------------------------- forest structure
-def forest_nodes(spark, model: PipelineModel) -> pd.DataFrame:
-    """Node table of the forest stage (written by Spark ML as parquet; bounded
-    by numTrees * 2^(maxDepth+1) rows)."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex[:8]}"
-    model.stages[-1].write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.impurityStats").alias("stats"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"))
-    return nodes.toPandas()
-
-
-def leaf_table(nodes: pd.DataFrame, n_features: int) -> dict:
-    """Per leaf: tree id, value (class-1 share), per-feature interval (lo, hi]
-    and cover-ratio product along its path."""
-    out_tree, out_val, out_lo, out_hi, out_r = [], [], [], [], []
-    for tid, t in nodes.groupby("treeID"):
-        t = t.set_index("id")
-        cover = {i: float(np.sum(s)) for i, s in t["stats"].items()}
-        stack = [(0, np.full(n_features, -np.inf), np.full(n_features, np.inf), np.ones(n_features))]
-        while stack:
-            nid, lo, hi, r = stack.pop()
-            row = t.loc[nid]
-            if row["left"] < 0:
-                s = np.asarray(row["stats"], dtype=float)
-                out_tree.append(tid)
-                out_val.append(float(s[1] / s.sum()) if s.sum() > 0 and len(s) > 1 else 0.0)
-                out_lo.append(lo)
-                out_hi.append(hi)
-                out_r.append(r)
-                continue
-            f, thr = int(row["feature"]), float(row["threshold"])
-            for child, is_left in ((int(row["left"]), True), (int(row["right"]), False)):
-                clo, chi, cr = lo.copy(), hi.copy(), r.copy()
-                if is_left:
-                    chi[f] = min(chi[f], thr)
-                else:
-                    clo[f] = max(clo[f], thr)
-                cr[f] *= cover[child] / cover[nid] if cover[nid] > 0 else 0.0
-                stack.append((child, clo, chi, cr))
-    return {"tree": np.asarray(out_tree), "value": np.asarray(out_val), "lo": np.vstack(out_lo),
-            "hi": np.vstack(out_hi), "ratio": np.vstack(out_r), "n_trees": int(nodes["treeID"].nunique())}
-
-
 def _shapley_weights(m: int) -> np.ndarray:
     return np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
 
 
-LEAF_BLOCK = 1024             # leaves handled at a time in a task
-LEAF_PIECE_BYTES = 128 << 20  # leaves broadcast at a time
+def _shapley_matrix(m: int) -> np.ndarray:
+    """phi = values of all coalitions (by bit mask) @ this matrix."""
+    w, out = _shapley_weights(m), np.zeros((1 << m, m))
+    for s in range(1 << m):
+        for i in range(m):
+            if s >> i & 1:
+                out[s, i] += w[s.bit_count() - 1]
+            else:
+                out[s, i] -= w[s.bit_count()]
+    return out
 
 
-def leaf_blocks(leaves: dict, size: int) -> list[dict]:
-    """The leaf table in row blocks (``n_trees`` stays that of the forest)."""
-    return [{k: v if k == "n_trees" else v[i:i + size] for k, v in leaves.items()}
-            for i in range(0, max(1, len(leaves["value"])), size)]
+BATCH = 1 << 14     # vectors a task explains at a time
+FRONTIER = 1 << 19  # walks that are moved on at a time
 
 
-def _leaf_shap_sum(x: np.ndarray, lo, hi, ratio, vals, w) -> np.ndarray:
-    """Sum over some leaves of the per-feature SHAP terms (n, M)."""
+def coalition_values(x: np.ndarray, tree: tuple) -> np.ndarray:
+    """v(S) of one tree for every row of ``x`` and bit mask S: (rows, 2^M)."""
+    feature, threshold, left, right, value, cover = tree
     n, m = x.shape
-    nl = lo.shape[0]
-    a = ((x[:, None, :] > lo[None]) & (x[:, None, :] <= hi[None])).astype(float)   # n, L, M
-    b = np.broadcast_to(ratio[None], (n, nl, m))
-    # prefix/suffix products of (b_f + a_f z) as polynomial coefficient arrays
-    pre = [np.ones((n, nl, 1))]
-    for f in range(m):
-        p = pre[-1]
-        nxt = np.zeros((n, nl, p.shape[2] + 1))
-        nxt[:, :, :-1] += p * b[:, :, f:f + 1]
-        nxt[:, :, 1:] += p * a[:, :, f:f + 1]
-        pre.append(nxt)
-    suf = [np.ones((n, nl, 1))]
-    for f in reversed(range(m)):
-        p = suf[-1]
-        nxt = np.zeros((n, nl, p.shape[2] + 1))
-        nxt[:, :, :-1] += p * b[:, :, f:f + 1]
-        nxt[:, :, 1:] += p * a[:, :, f:f + 1]
-        suf.append(nxt)
-    suf = suf[::-1]  # suf[f] = product over features f..m-1
-    out = np.zeros((n, m))
-    for i in range(m):
-        left, right = pre[i], suf[i + 1]
-        q = np.zeros((n, nl, m))
-        for k1 in range(left.shape[2]):
-            q[:, :, k1:k1 + right.shape[2]] += left[:, :, k1:k1 + 1] * right
-        inner = (q * w[None, None, :]).sum(axis=2)
-        out[:, i] = ((a[:, :, i] - b[:, :, i]) * inner * vals[None, :]).sum(axis=1)
+    cuts = [np.unique(threshold[feature == f]) for f in range(m)]
+    bins = [np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)]
+    used = [f for f in range(m) if len(cuts[f])]
+    slot_of, rows, masks = {}, [], []
+    size = 0
+    for s in range(1 << m):
+        if any(s >> f & 1 and f not in used for f in range(m)):
+            continue  # a feature without a split changes nothing
+        code = np.zeros(n, np.int64)
+        for f in used:
+            if s >> f & 1:
+                code = code * (len(cuts[f]) + 1) + bins[f]
+        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        slot_of[s] = size + inverse.ravel()
+        rows.append(first)
+        masks.append(np.full(len(first), s))
+        size += len(first)
+    total = np.zeros(size)
+    share = np.divide(cover[left], cover, out=np.zeros(len(cover)), where=cover > 0)
+    stack = [(np.arange(size), np.concatenate(rows), np.concatenate(masks), np.zeros(size, np.int64), np.ones(size))]
+    while stack:
+        slot, row, mask, node, weight = stack.pop()
+        if len(slot) > FRONTIER:
+            half = len(slot) // 2
+            stack += [tuple(a[:half] for a in (slot, row, mask, node, weight)),
+                      tuple(a[half:] for a in (slot, row, mask, node, weight))]
+            continue
+        f = feature[node]
+        end = f < 0
+        if end.any():
+            total += np.bincount(slot[end], weight[end] * value[node[end]], size)
+            slot, row, mask, node, weight, f = (a[~end] for a in (slot, row, mask, node, weight, f))
+        if not len(slot):
+            continue
+        known = (mask >> f & 1).astype(bool)
+        one = np.flatnonzero(known)
+        both = np.flatnonzero(~known)
+        to = np.where(x[row[one], f[one]] <= threshold[node[one]], left[node[one]], right[node[one]])
+        part = share[node[both]]
+        stack.append((np.concatenate([slot[one], slot[both], slot[both]]), np.concatenate([row[one], row[both], row[both]]),
+                      np.concatenate([mask[one], mask[both], mask[both]]),
+                      np.concatenate([to, left[node[both]], right[node[both]]]),
+                      np.concatenate([weight[one], weight[both] * part, weight[both] * (1 - part)])))
+    out = np.empty((n, 1 << m))
+    have = sum(1 << f for f in used)
+    for s in range(1 << m):
+        out[:, s] = total[slot_of[s & have]]
     return out
 
 
-def shap_values(x: np.ndarray, leaves: dict) -> tuple[np.ndarray, float]:
-    """Exact path-dependent SHAP for rows ``x`` (n, M) → (phi (n, M), base).
-    The terms add up over leaves, so leaves are taken in blocks and memory does
-    not grow with the trees."""
-    n, m = x.shape
-    w = _shapley_weights(m)
-    phi = np.zeros((n, m))
-    for lv in leaf_blocks(leaves, LEAF_BLOCK):
-        phi += _leaf_shap_sum(x, lv["lo"], lv["hi"], lv["ratio"], lv["value"], w)
-    phi /= leaves["n_trees"]
-    base = float((leaves["value"] * leaves["ratio"].prod(axis=1)).sum() / leaves["n_trees"])
-    return phi, base
-
-
-def forest_probability(x: np.ndarray, leaves: dict) -> np.ndarray:
-    """Mean over trees of the leaf's class-1 share (the forest's P(threat))."""
-    out = np.zeros(len(x))
-    for lv in leaf_blocks(leaves, LEAF_BLOCK):
-        inside = ((x[:, None, :] > lv["lo"][None]) & (x[:, None, :] <= lv["hi"][None])).all(axis=2)
-        out += inside @ lv["value"]
-    return out / leaves["n_trees"]
+def shap_values(x: np.ndarray, trees: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over ``trees`` of phi (n, M), of the base value and of the
+    prediction (n)."""
+    m = x.shape[1]
+    combine = _shapley_matrix(m)
+    phi, base, p = np.zeros(x.shape), np.zeros(len(x)), np.zeros(len(x))
+    for tree in trees:
+        v = coalition_values(x, tree)
+        phi += v @ combine
+        base += v[:, 0]
+        p += v[:, -1]
+    return phi, base, p
 
 
 # ----------------------------------------------------------------- distributed SHAP
-def _thresholds(leaves: dict, f: int) -> list[float]:
-    t = np.unique(np.concatenate([leaves["lo"][:, f], leaves["hi"][:, f]]))
-    return [float(v) for v in t if np.isfinite(v)]
-
-
-def with_cells(df: DataFrame, leaves: dict, features: list[str] = FEATURES) -> DataFrame:
-    """Cell id per feature: the number of split thresholds strictly below x
-    (a split sends x <= t left, so cells are (t_k, t_k+1]).  Bucketizer's
-    buckets are [s_k, s_k+1), hence splits at the next double above each t."""
-    splits = []
-    for f in range(len(features)):
-        ts = [float(np.nextafter(t, np.inf)) for t in _thresholds(leaves, f)] or [0.0]  # unused feature
-        splits.append([-float("inf")] + ts + [float("inf")])
-    b = Bucketizer(splitsArray=splits, inputCols=[f"_x_{c}" for c in features],
-                   outputCols=[f"cell_{c}" for c in features], handleInvalid="keep")
-    x = df.select("*", *[F.col(c).cast("double").alias(f"_x_{c}") for c in features])
-    out = b.transform(x)
-    return out.drop(*[f"_x_{c}" for c in features]).withColumns(
-        {f"cell_{c}": F.col(f"cell_{c}").cast("int") for c in features})
-
-
-def cell_shap(cells: DataFrame, leaves: dict, features: list[str] = FEATURES, batch: int = 128) -> DataFrame:
-    """SHAP per distinct cell (one representative x per cell)."""
-    cell_cols = [f"cell_{c}" for c in features]
-    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in cell_cols]
-                          + [T.StructField(f"phi_{c}", T.DoubleType()) for c in features]
-                          + [T.StructField("base", T.DoubleType()), T.StructField("p_forest", T.DoubleType())])
-
-    reps = cells.select(*cell_cols, *[F.col(f"x_{c}") for c in features])
+def vectors(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """Distinct feature vectors (DOUBLE) with their row counts."""
+    return df.select(*[F.col(c).cast("double").alias(c) for c in features]).groupBy(*features).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def vector_shap(rows: DataFrame, model: Forest, features: list[str] = FEATURES) -> DataFrame:
+    """``phi_<feature>``, ``base`` and ``p_forest`` of every distinct vector."""
+    spark = rows.sparkSession
+    sums = [f"phi_{c}" for c in features] + ["base", "p_forest"]
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in features] + [T.StructField("rows", T.LongType())]
+                          + [T.StructField(c, T.DoubleType()) for c in sums])
+    # few values first: vectors of a batch then differ in few features
+    order = ["login_attempts", "hour_of_day", "foreign_ip", "unknown_device"]
+    order = [c for c in order if c in features] + [c for c in features if c not in order]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = write_once(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "vectors")
 
     def add_up(piece: dict) -> DataFrame:
-        bc = cells.sparkSession.sparkContext.broadcast(piece)  # at most LEAF_PIECE_BYTES
-
-        def run(it):
-            for pdf in it:
-                for s in range(0, len(pdf), batch):
-                    part = pdf.iloc[s:s + batch]
-                    x = part[[f"x_{c}" for c in features]].to_numpy(dtype=float)
-                    phi, base = shap_values(x, bc.value)
-                    out = part[cell_cols].copy()
-                    for i, c in enumerate(features):
-                        out[f"phi_{c}"] = phi[:, i]
-                    out["base"] = base
-                    out["p_forest"] = forest_probability(x, bc.value)
-                    yield out
-
-        return reps.mapInPandas(run, schema)
-
-    # SHAP, base and probability add up over leaves: a forest of any size is
-    # broadcast piece by piece and the parts are summed
-    pieces = leaf_blocks(leaves, LEAF_PIECE_BYTES // (8 * (3 * len(features) + 2)))
-    total = add_up(pieces[0])
+        shared = spark.sparkContext.broadcast(list(piece.values()))  # at most PIECE_NODES nodes
+        count = model.trees
+
+        def run(batches):
+            for rb in batches:
+                for lo in range(0, rb.num_rows, BATCH):
+                    part = rb.slice(lo, BATCH)
+                    x = np.stack([part.column(c).to_numpy() for c in features], axis=1)
+                    phi, base, p = shap_values(x, shared.value)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in [*features, "rows"]),
+                         *(pa.array(phi[:, i] / count) for i in range(len(features))), pa.array(base / count), pa.array(p / count)],
+                        schema.names)
+
+        return placed.select(*features, "rows").mapInArrow(run, schema)
+
+    # the values add up over trees: a forest of any size goes piece by piece
+    pieces = [add_up(stitch(nodes)) for nodes in model.pieces(spark)]
+    total = pieces[0]
     for piece in pieces[1:]:
-        total = total.unionByName(add_up(piece))
+        total = total.unionByName(piece)
     if len(pieces) == 1:
         return total
-    return total.groupBy(*cell_cols).agg(*[F.sum(c).alias(c) for c in schema.names if c not in cell_cols])
+    return total.groupBy(*features, "rows").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def tree_shap(df: DataFrame, leaves: dict, features: list[str] = FEATURES) -> DataFrame:
+def tree_shap(df: DataFrame, model: Forest, features: list[str] = FEATURES) -> DataFrame:
     """Per-row SHAP values (``phi_<feature>``), base value and the
     forest's probability; ``sum(phi) + base == p_forest``."""
-    rows = with_cells(df, leaves, features)
-    cell_cols = [f"cell_{c}" for c in features]
-    cells = rows.groupBy(*cell_cols).agg(*[F.min(F.col(c).cast("double")).alias(f"x_{c}") for c in features],
-                                        F.count(F.lit(1)).alias("rows"))
-    shap = cell_shap(cells, leaves, features)
-    return rows.join(shap, cell_cols).drop(*cell_cols)
+    return with_shap(df, vector_shap(vectors(df, features), model, features), features)
+
+
+def with_shap(df: DataFrame, shap: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """Rows of ``df`` with the values of their vectors."""
+    keys = shap.drop("rows").withColumnsRenamed({c: f"_v_{c}" for c in features})
+    same = [F.col(c).cast("double") == F.col(f"_v_{c}") for c in features]
+    return df.join(keys, same).drop(*[f"_v_{c}" for c in features])
 
 
-def shap_importance(df: DataFrame, leaves: dict, features: list[str] = FEATURES) -> DataFrame:
+def shap_importance(df: DataFrame, model: Forest, features: list[str] = FEATURES) -> DataFrame:
     """Mean |phi| per feature over all rows, its share of the total, and a
-    bar; computed from distinct cells weighted by their row counts."""
-    rows = with_cells(df, leaves, features)
-    cell_cols = [f"cell_{c}" for c in features]
-    cells = rows.groupBy(*cell_cols).agg(*[F.min(F.col(c).cast("double")).alias(f"x_{c}") for c in features],
-                                        F.count(F.lit(1)).alias("rows"))
-    return importance_of(cell_shap(cells, leaves, features).join(cells.select(*cell_cols, "rows"), cell_cols), features)
+    bar; computed from distinct vectors weighted by their row counts."""
+    return importance_of(vector_shap(vectors(df, features), model, features), features)
 
 
 def importance_of(shap: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    """M20 from SHAP values per cell and the cells' row counts, in one pass."""
+    """M20 from SHAP values per vector and the vectors' row counts, in one pass."""
     total_rows = F.sum("rows")
     agg = shap.agg(*[(F.sum(F.abs(F.col(f"phi_{c}")) * F.col("rows")) / total_rows).alias(c) for c in features])
     long = agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance"))
@@ -350,7 +304,7 @@ def cell_fits(patterns: np.ndarray, count: np.ndarray, ysum: np.ndarray, cells:
     return out
 
 
-def lime_explain(model: PipelineModel, train: DataFrame, instances: DataFrame, key: str = "event_id",
+def lime_explain(model: Forest, train: DataFrame, instances: DataFrame, key: str = "event_id",
                  num_samples: int = 5000, seed: int = 42, features: list[str] = FEATURES) -> DataFrame:
     """Local linear weights per instance and feature, for any number of rows.
 

@@ -2,8 +2,8 @@
 
 - split: deterministic hash split on a row key (stable under repartitioning
   and executor loss, unlike ``randomSplit`` on an unordered input)
-- forest: ``RandomForestClassifier`` (100 trees); boosted: second-order trees
-  of ``boosting`` (200 rounds, depth 6, step 0.1), threats weighted 5x; network:
+- forest: 100 pure trees of ``forest``; boosted: second-order trees of
+  ``boosting`` (200 rounds, depth 6, step 0.1), threats weighted 5x; network:
   ``MultilayerPerceptronClassifier`` 6-64-32-16-2 on standardised inputs
 - scoring is ``transform`` + the class-1 probability as a DOUBLE column
 """
@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scoring import API_CUTS, FEATURE_DEFAULTS, risk_level
 from vigil.functions.text import py_round
-from vigil.operators import boosting
+from vigil.operators import boosting, forest
 from vigil.operators.boosting import BoostedTrees
+from vigil.operators.forest import Forest
 from vigil.schema import FEATURES
 
 # ---------------------------------------------------------------------------
@@ -32,11 +33,8 @@ MLP_LAYERS = [6, 64, 32, 16, 2]
 SPLIT_TRAIN_PCT = 80
 SEED = 42
 
-# Tree training knobs: more nodes per pass over the data; deep trees also
-# cache node ids (checkpointed to spark.checkpoint.dir) instead of
-# re-traversing every tree for every row at each level.
-TREE_SCALE = {"maxMemoryInMB": 1024}
-DEEP_TREE_SCALE = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
+
+Model = PipelineModel | BoostedTrees | Forest
 
 
 def assemble_features(df: DataFrame, cols: list[str] = FEATURES, out: str = "features") -> DataFrame:
@@ -51,13 +49,9 @@ def split(df: DataFrame, key: str = "event_id", train_pct: int = SPLIT_TRAIN_PCT
     return df.filter(bucket < train_pct), df.filter(bucket >= train_pct)
 
 
-def train_forest(train: DataFrame, label: str = "is_threat", trees: int = FOREST_TREES,
-                 max_depth: int = 12) -> PipelineModel:
-    """M3: random forest (Spark caps depth at 30; 12 keeps trees bounded)."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=max_depth,
-                                seed=SEED, **(DEEP_TREE_SCALE if max_depth > 8 else TREE_SCALE))
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), rf]).fit(
-        train.withColumn(label, F.col(label).cast("double")))
+def train_forest(train: DataFrame, label: str = "is_threat", trees: int = FOREST_TREES) -> Forest:
+    """M3: random forest of pure trees (no depth limit), two of six features a split."""
+    return forest.fit(train, label, trees, some=2, seed=SEED)
 
 
 def train_boosted(train: DataFrame, label: str = "is_threat", rounds: int = BOOST_ROUNDS,
@@ -83,16 +77,16 @@ def prepare_features(df: DataFrame, defaults: dict = FEATURE_DEFAULTS) -> DataFr
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(defaults[c]))) for c in FEATURES})
 
 
-def score(model: PipelineModel | BoostedTrees, df: DataFrame, out: str = "p_threat") -> DataFrame:
+def score(model: Model, df: DataFrame, out: str = "p_threat") -> DataFrame:
     """M7: P(threat) per row."""
     keep = [c for c in df.columns]
-    if isinstance(model, BoostedTrees):
+    if isinstance(model, (BoostedTrees, Forest)):
         return model.probability(prepare_features(df), out).select(*keep, out)
     scored = model.transform(prepare_features(df))
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
-def score_batch(models: list[PipelineModel], df: DataFrame) -> DataFrame:
+def score_batch(models: list[Model], df: DataFrame) -> DataFrame:
     """The first available model only; every missing feature is 0; without
     any model every row scores 0.5.  The level is that of the unrounded score.
     A row with a value that is no number gets an ``error`` and no score; the
@@ -111,32 +105,36 @@ def score_batch(models: list[PipelineModel], df: DataFrame) -> DataFrame:
         "risk_level": F.when(ok, risk_level("_raw", *API_CUTS))}).drop("_raw")
 
 
-def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
+def feature_importance(model: Model) -> list[tuple[str, float]]:
     """Impurity importances of the tree stage, largest first (6 values)."""
+    if isinstance(model, Forest):
+        return model.importance(SparkSession.active())
     if isinstance(model, BoostedTrees):
         return model.importance()
     imp = model.stages[-1].featureImportances.toArray()
     return sorted(zip(FEATURES, map(float, imp)), key=lambda x: -x[1])
 
 
-def save_model(model: PipelineModel | BoostedTrees, path: str) -> str:
+def save_model(model: Model, path: str) -> str:
     """Persist (overwrite)."""
-    if isinstance(model, BoostedTrees):
+    if isinstance(model, (BoostedTrees, Forest)):
         model.save(SparkSession.active(), path)
     else:
         model.write().overwrite().save(path)
     return path
 
 
-def load_first(spark, paths: list[str]) -> PipelineModel | BoostedTrees | None:
+def load_first(spark, paths: list[str]) -> Model | None:
     """The first model directory that exists (Hadoop FS check), else None."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         if hp.getFileSystem(conf).exists(hp):
-            boosted = hp.getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p, "boosted"))
-            return BoostedTrees.load(spark, p) if boosted else PipelineModel.load(p)
+            for kind, name in ((BoostedTrees, "boosted"), (Forest, "forest")):
+                if hp.getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p, name)):
+                    return kind.load(spark, p)
+            return PipelineModel.load(p)
     return None
 
 
@@ -169,7 +167,7 @@ SCORE_CASES = [
 ]
 
 
-def score_case_table(spark, model: PipelineModel) -> DataFrame:
+def score_case_table(spark, model: Model) -> DataFrame:
     """The named cases scored by a model, with API level, expected band
     and whether the level lies in it (null where no band is asserted)."""
     cases = spark.createDataFrame(SCORE_CASES, "case string, hour_of_day int, files_accessed int, "

@@ -13,54 +13,31 @@ from vigil.schema import FEATURES
 from vigil.session import write_once
 from vigil.sources.fixture import security_logs
 
-_LEAVES: dict = {}
-_CELLS: dict = {}
-
-
-def _key(spark, sf):
-    return spark.sparkContext.applicationId, sf
-
-
-def _leaves(spark, sf):
-    k = _key(spark, sf)
-    if k not in _LEAVES:
-        _LEAVES[k] = X.leaf_table(X.forest_nodes(spark, _train(spark, sf, "forest")), len(FEATURES))
-    return _LEAVES[k]
+_SHAP: dict = {}
 
 
 def _logs(spark, sf):
     return ML.prepare_features(security_logs(spark, sf))
 
 
-def _cell_shap(spark, sf):
-    """SHAP per distinct feature cell of the whole table, written once."""
-    k = _key(spark, sf)
-    if k not in _CELLS:
-        leaves = _leaves(spark, sf)
-        rows = X.with_cells(_logs(spark, sf), leaves)
-        cell_cols = [f"cell_{c}" for c in FEATURES]
-        cells = rows.groupBy(*cell_cols).agg(
-            *[F.min(F.col(c).cast("double")).alias(f"x_{c}") for c in FEATURES], F.count(F.lit(1)).alias("rows"))
-        shap = X.cell_shap(cells, leaves).join(cells.select(*cell_cols, "rows"), cell_cols)
-        _CELLS[k] = write_once(shap, "cells")
-    return _CELLS[k]
+def _vector_shap(spark, sf):
+    """SHAP per distinct feature vector of the whole table, written once."""
+    k = spark.sparkContext.applicationId, sf
+    if k not in _SHAP:
+        _SHAP[k] = write_once(X.vector_shap(X.vectors(_logs(spark, sf)), _train(spark, sf, "forest")), "shap")
+    return _SHAP[k]
 
 
 @register("forest_shap_values")
 def q_forest_shap_values(spark, sf):
     """Per-event SHAP of the forest's P(threat), with base value and probability."""
-    leaves = _leaves(spark, sf)
-    cell_cols = [f"cell_{c}" for c in FEATURES]
-    rows = X.with_cells(_logs(spark, sf), leaves).select("event_id", *cell_cols)
-    return rows.join(_cell_shap(spark, sf).drop("rows", *[f"x_{c}" for c in FEATURES]), cell_cols) \
-               .drop(*cell_cols)
+    return X.with_shap(_logs(spark, sf).select("event_id", *FEATURES), _vector_shap(spark, sf)).drop(*FEATURES)
 
 
 @register("forest_shap_importance")
 def q_forest_shap_importance(spark, sf):
     """Mean |phi| per feature over all events, share and bar."""
-    shap = _cell_shap(spark, sf)
-    return X.importance_of(shap)
+    return X.importance_of(_vector_shap(spark, sf))
 
 
 @register("forest_shap_top_reasons")
