@@ -111,3 +111,47 @@ def test_shap_of_a_forest_in_pieces(spark, forest, monkeypatch):
         w = whole[r.event_id]
         assert np.isclose(r.base, w.base) and np.isclose(r.p_forest, w.p_forest)
         assert all(np.isclose(r[f"phi_{c}"], w[f"phi_{c}"]) for c in FEATURES)
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from vigil.functions.normal import normal_quantile
+    p = [1e-12, 1e-6, 0.01, 0.02425, 0.3, 0.5, 0.77, 0.97575, 0.999, 1 - 1e-9]
+    got = [r.q for r in spark.createDataFrame([(x,) for x in p], "p double").select(normal_quantile(F.col("p")).alias("q")).collect()]
+    assert np.allclose(got, [NormalDist().inv_cdf(x) for x in p], rtol=2e-9, atol=1e-9)
+
+
+def test_perturbations_lie_inside_their_bins(spark, forest):
+    """Truncated, not clipped: hardly any draw lies on an edge, and the values
+    of a bin follow the truncated distribution."""
+    logs, train, _, _ = forest
+    bins = X.lime_bins(train)
+    c = "files_accessed"
+    s = X._perturbations(spark, bins, 20000, 7, FEATURES).select(f"sb_{c}", c).toPandas()
+    st = bins["stats"][bins["stats"]["feature"] == c].sort_values("bin")
+    ends = [st["lo"].min(), *bins["edges"][c], st["hi"].max()]
+    rng = np.random.default_rng(3)
+    for _, r in st.iterrows():
+        x = s.loc[s[f"sb_{c}"] == r["bin"], c].to_numpy()
+        lo, hi = ends[int(r["bin"])], ends[int(r["bin"]) + 1]
+        assert x.min() >= lo and x.max() <= hi
+        assert ((x == lo) | (x == hi)).mean() == 0
+        z = rng.normal(r["mean"], r["std"], 400_000)
+        z = z[(z > lo) & (z < hi)]
+        assert np.allclose(np.quantile(x, [.1, .5, .9]), np.quantile(z, [.1, .5, .9]), atol=0.06 * (hi - lo))
+
+
+def test_text_lines(spark):
+    w = spark.createDataFrame([(1, "a", 0.25, "a > 1.00", "🔺 Increases threat"), (1, "b", -0.5, "b <= 2.00", "🔻 Decreases threat"),
+                               (1, "c", 0.0004, "c", "🔺 Increases threat"), (1, "d", 0.01, "d", "🔺 Increases threat")],
+                              "event_id int, feature string, weight double, condition string, direction string")
+    lines = [r.line for r in X.lime_lines(w).orderBy("pos").collect()]
+    assert lines[0] == f"  🔻 Decreases threat {'b <= 2.00':25s} {'█' * 40} (-0.500)"
+    assert lines[1] == f"  🔺 Increases threat {'a > 1.00':25s} {'█' * 25} (+0.250)"
+    assert lines[3] == f"  🔺 Increases threat {'c':25s}  (+0.000)"
+    assert [r.line for r in X.lime_key_factors(w).orderBy("pos").collect()] == [
+        "     ✅ Safe: b <= 2.00 (-0.500)", "     ⚠️ Risk: a > 1.00 (+0.250)", "     ⚠️ Risk: d (+0.010)"]
+    row = spark.createDataFrame([(1, 3.0, 8000.0, 0.25, -1.5)], "event_id int, h double, f double, phi_h double, phi_f double")
+    assert [r.line for r in X.shap_lines(row, features=["h", "f"]).orderBy("pos").collect()] == [
+        f"  🔻 SAFE {'f':20s} = {8000.0:8.1f} | {-1.5:+.3f} {'█' * 50}", f"  🔺 RISK {'h':20s} = {3.0:8.1f} | {0.25:+.3f} {'█' * 12}"]

@@ -113,3 +113,8 @@ def tmpl(fmt: str, *vals) -> Column:
     for v, p in zip(vals, parts[1:]):
         out += [_c(v).cast("string"), F.lit(p)]
     return F.concat(*out)
+
+
+def scaled_bar(value: Column, factor: float, longest: int) -> Column:
+    """A bar of ``int(value * factor)`` blocks, at most ``longest``."""
+    return bar(F.least((value * factor).cast("int"), F.lit(longest)))

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.functions.normal import truncated_normal, truncation
+from vigil.functions.text import scaled_bar
 from vigil.operators.forest import Forest, stitch
 from vigil.schema import FEATURES
 from vigil.session import write_once
@@ -257,26 +259,26 @@ def _bin_names(feature: str, edges: list[float]) -> list[str]:
 
 def _perturbations(spark, bins: dict, num_samples: int, seed: int, features: list[str]) -> DataFrame:
     """Samples 1.. of LIME: the bin by the training frequencies, the value
-    normal within the bin and clipped to it, drawn by a seeded hash."""
+    normal (mean and deviation of the bin's rows) truncated to the bin's
+    edges, drawn by a seeded hash."""
     st = bins["stats"]
     samples = spark.range(1, num_samples).withColumnRenamed("id", "s")
     for c in features:
         rows = st[st["feature"] == c].sort_values("bin")
         total = float(rows["n"].sum())
+        ends = [float(rows["lo"].min()), *bins["edges"][c], float(rows["hi"].max())]
         cum, picks = 0.0, []
         for _, r in rows.iterrows():  # at most four bins a feature
             cum += r["n"] / total
             picks.append((cum, int(r["bin"]), r))
-        u, u1, u2 = (_u(seed + i, F.col("s"), F.lit(c)) for i in range(3))
+        u, v = (_u(seed + i, F.col("s"), F.lit(c)) for i in range(2))
         pick = F.lit(picks[-1][1])
         for cum_p, b, _ in reversed(picks[:-1]):
             pick = F.when(u <= cum_p, F.lit(b)).otherwise(pick)
-        z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2)
-        val = F.lit(None).cast("double")
-        for _, b, r in picks:
-            std = float(r["std"]) if r["std"] == r["std"] else 0.0
-            v = F.least(F.greatest(F.lit(float(r["mean"])) + F.lit(std) * z, F.lit(float(r["lo"]))), F.lit(float(r["hi"])))
-            val = F.when(F.col(f"sb_{c}") == b, v).otherwise(val)
+        terms = {b: truncation(float(r["mean"]), float(r["std"]), ends[b], ends[b + 1]) for _, b, r in picks}
+        of_bin = [F.element_at(F.array(*[F.lit(float(terms.get(b, (0.0,) * 6)[i])) for b in range(len(ends) - 1)]),
+                               F.col(f"sb_{c}") + 1) for i in range(6)]
+        val = truncated_normal(v, *of_bin)
         samples = samples.withColumn(f"sb_{c}", pick).withColumn(c, val)
     return samples
 
@@ -291,16 +293,18 @@ def cell_fits(patterns: np.ndarray, count: np.ndarray, ysum: np.ndarray, cells:
     m = patterns.shape[1]
     width2 = (LIME_KERNEL_WIDTH_FACTOR ** 2) * m
     out = np.empty((len(cells), 2 * m + 2))
-    for i, cell in enumerate(cells):
-        z = (patterns == cell).astype(float)
-        w = np.sqrt(np.exp(-(m - z.sum(1)) / width2))
+    for lo in range(0, len(cells), 64):  # one stacked solve for many cells
+        z = (patterns[None] == cells[lo:lo + 64, None]).astype(float)
+        w = np.sqrt(np.exp(-(m - z.sum(2)) / width2))
         wn, wy = w * count, w * ysum
-        sw = wn.sum() + 1
-        zbar = (wn @ z + 1) / sw
-        a = z.T @ (z * wn[:, None]) + 1 - sw * np.outer(zbar, zbar) + LIME_RIDGE_ALPHA * np.eye(m)
-        solved = np.linalg.solve(a, np.stack([wy @ z - zbar * wy.sum(), 1 - zbar], 1))
-        icept = np.array([wy.sum(), 1.0]) / sw - zbar @ solved
-        out[i] = np.concatenate([solved[:, 0], solved[:, 1], icept])
+        sw = wn.sum(1) + 1
+        zbar = (np.einsum("cp,cpf->cf", wn, z) + 1) / sw[:, None]
+        a = np.einsum("cpf,cp,cpg->cfg", z, wn, z, optimize=True) + 1 \
+            - sw[:, None, None] * zbar[:, :, None] * zbar[:, None, :] + LIME_RIDGE_ALPHA * np.eye(m)
+        right = np.stack([np.einsum("cp,cpf->cf", wy, z) - zbar * wy.sum(1)[:, None], 1 - zbar], 2)
+        solved = np.linalg.solve(a, right)
+        icept = np.stack([wy.sum(1), np.ones(len(sw))], 1) / sw[:, None] - np.einsum("cf,cfk->ck", zbar, solved)
+        out[lo:lo + 64] = np.concatenate([solved[:, :, 0], solved[:, :, 1], icept], 1)
     return out
 
 
@@ -353,3 +357,35 @@ def lime_impact_summary(weights: DataFrame, features: list[str] = FEATURES) -> D
                                           F.count(F.lit(1)).alias("explanations"))
                    .withColumn("bar", F.repeat(F.lit("█"), (F.col("avg_impact") * 200).cast("int")))
                    .orderBy(F.col("avg_impact").desc()))
+
+
+# ----------------------------------------------------------------- text lines
+def lime_lines(weights: DataFrame, key: str = "event_id") -> DataFrame:
+    """Lines of an explanation, the strongest condition first: direction,
+    condition, a bar of |weight| x 100 up to 40, signed weight."""
+    order = Window.partitionBy(key).orderBy(F.abs("weight").desc(), "feature")  # six rows a key
+    return weights.select(
+        key, F.row_number().over(order).alias("pos"),
+        F.format_string("  %s %-25s %s (%+.3f)", "direction", "condition", scaled_bar(F.abs("weight"), 100, 40), "weight").alias("line"))
+
+
+def lime_key_factors(weights: DataFrame, key: str = "event_id", k: int = 3) -> DataFrame:
+    """The ``k`` strongest conditions of an explanation as risk or safe."""
+    order = Window.partitionBy(key).orderBy(F.abs("weight").desc(), "feature")
+    kind = F.when(F.col("weight") > 0, "⚠️ Risk").otherwise("✅ Safe")
+    return weights.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k).select(
+        key, "pos", F.format_string("     %s: %s (%+.3f)", kind, F.col("condition"), F.col("weight")).alias("line"))
+
+
+def shap_lines(values: DataFrame, key: str = "event_id", features: list[str] = FEATURES) -> DataFrame:
+    """Lines of an event's contributions (columns ``phi_<feature>`` beside the
+    features), the strongest first: direction, feature, value, signed
+    contribution, a bar of |contribution| x 50 up to 50."""
+    ordered = F.array_sort(F.array(*[
+        F.struct((-F.abs(F.col(f"phi_{c}"))).alias("o"), F.lit(c).alias("f"), F.col(c).cast("double").alias("x"),
+                 F.col(f"phi_{c}").alias("phi")) for c in features]))
+    direction = F.when(F.col("e.phi") > 0, "🔺 RISK").otherwise("🔻 SAFE")
+    return values.select(key, F.posexplode(ordered).alias("p", "e")).select(
+        key, (F.col("p") + 1).alias("pos"),
+        F.format_string("  %s %-20s = %8.1f | %+.3f %s", direction, F.col("e.f"), F.col("e.x"), F.col("e.phi"),
+                        scaled_bar(F.abs("e.phi"), 50, 50)).alias("line"))
