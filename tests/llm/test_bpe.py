@@ -12,7 +12,7 @@ from vigil.llm.bpe import bpe, decode_ids, encode_texts, encode_words, load_mode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = ("aab'sSdDtTlLe  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　éÉßΣσςİıçÑ1२٣½²Ⅷ€😀👍🏽中文字한국アか́̇‍.,!?-_ẞﬁDž"
-            "<|>")
+            "<|>\0\0")
 SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
 
 
@@ -43,6 +43,14 @@ def test_ids_and_decoding_equal_the_library(library, monotone):
         assert decode_ids(got, model["tokens"]).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_nul_is_a_character_like_any_other(library):
+    model = load_model(PATH)
+    cases = ["x\0alpha", "x\0beta", " \0one  \0one", "\0", "\0\0", "a\0", "a", "x\0alpha x\0beta x", "\0 \0a \0b"]
+    flat, at = encode_texts(cases, model)
+    for i, t in enumerate(cases):
+        assert flat[at[i]:at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_rounds_equal_one_merge_at_a_time():
     """A toy model whose merges overlap and whose ranks aren't monotone."""
     size = 8

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -180,13 +179,20 @@ def coarse(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def distinct(strings: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Code of each string and the strings by code (whole strings: a NUL is a
+    character like any other)."""
+    d = pa.array(strings, pa.large_string()).dictionary_encode()
+    return d.indices.to_numpy(), d.dictionary.to_pylist()
+
+
 def encode_texts(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all texts and the offsets of each text (one more than texts)."""
     parts = [coarse(t) if t else [] for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
-    code, uniq = pd.factorize(np.array(list(chain.from_iterable(parts)), object))
-    found, n_pieces = cut_words(uniq.tolist(), model)
-    piece, words = pd.factorize(np.array(found, object))
+    code, uniq = distinct(list(chain.from_iterable(parts)))
+    found, n_pieces = cut_words(uniq, model)
+    piece, words = distinct(found)
     special = model["special"]
     ids, n_ids = encode_words([b"" if w in special else w.encode() for w in words], model)
     at = np.cumsum(n_ids) - n_ids
