@@ -3,10 +3,8 @@
 The tree of a host has one level for each path segment.  Numbers in a segment
 are wildcards from the start.  Level by level, children whose labelled share
 of bad rows doesn't differ from that of their siblings (two-proportion z below
-``Z``) are merged into a wildcard; on a node with more than ``MAX_CHILDREN``
-children also those with fewer labelled rows than ``PRIOR``, which are too few
-for the test.  A child that is apart stays, however many siblings it has.  A
-template's purity is its share of bad labelled rows, smoothed by ``PRIOR``
+``Z``) are merged into a wildcard; a child that is apart stays, however many
+siblings it has.  A template's purity is its share of bad labelled rows, smoothed by ``PRIOR``
 rows of its parent's purity, from the rate of all labelled rows down; a
 template of at least ``REJECT`` is rejected.
 
@@ -30,7 +28,6 @@ from pyspark.sql import functions as F
 from vigil.llm.common import written
 
 DEPTH = 6
-MAX_CHILDREN = 32
 Z = 1.96
 PRIOR = 5.0
 REJECT = 0.5
@@ -80,8 +77,7 @@ def templates(paths: DataFrame) -> DataFrame:
         apart = (n1 > 0) & (n2 > 0) & (F.col("nb") > 0) & (F.col("nb") < F.col("nn"))
         gap = b1 / n1 - b2 / n2
         similar = ~F.when(apart, gap * gap >= Z * Z * spread).otherwise(F.lit(False))
-        few = (F.col("kids") > MAX_CHILDREN) & (n1 < PRIOR)
-        wild = (F.col("kids") > 1) & (similar | few)
+        wild = (F.col("kids") > 1) & similar
         new = child.join(node, ["host", "prefix"]).select(
             "host", "prefix", "seg", F.when(wild, F.lit("*")).otherwise(F.col("seg")).alias("to"))
         g = F.concat(F.slice("g", 1, d), F.array("to"), F.slice(F.col("g"), F.lit(d + 2), F.lit(DEPTH))) if d else \
@@ -124,9 +120,7 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", bad_col: st
 
 
 def duckdb_sql(rules: list[Rule], rows: str) -> str:
-    """The judgement in DuckDB SQL; ``rows`` gives (page_id, url, bad).  It
-    makes every child of a node with more than ``MAX_CHILDREN`` a wildcard, so
-    it equals ``judge`` where no child of such a node is apart."""
+    """The judgement in DuckDB SQL; ``rows`` gives (page_id, url, bad)."""
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v)
             for v, h, p in sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[0] != "block"))]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n, _ in fits) + " END"
@@ -145,7 +139,7 @@ t0 AS (SELECT host, shape, shape AS g, count(bad) AS n, count(*) FILTER (WHERE b
 a{d} AS (SELECT *, array_to_string(g[1:{d}], '/') AS prefix, g[{d + 1}] AS seg FROM t{d}),
 c{d} AS (SELECT host, prefix, seg, sum(n) AS cn, sum(bad) AS cb FROM a{d} WHERE seg IS NOT NULL GROUP BY ALL),
 k{d} AS (SELECT host, prefix, count(*) AS kids, sum(cn) AS nn, sum(cb) AS nb FROM c{d} GROUP BY ALL),
-m{d} AS (SELECT host, prefix, seg, kids > {MAX_CHILDREN} OR (kids > 1 AND NOT CASE
+m{d} AS (SELECT host, prefix, seg, (kids > 1 AND NOT CASE
            WHEN cn > 0 AND nn > cn AND nb > 0 AND nb < nn
            THEN power(cb / cn - (nb - cb) / (nn - cn), 2) >= {Z} * {Z} * (nb / nn) * (1 - nb / nn) * (1.0::DOUBLE / cn + 1.0::DOUBLE / (nn - cn))
            ELSE false END) AS wild FROM c{d} JOIN k{d} USING (host, prefix)),
