@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from conftest import SF_SMALL
 from test_decontam import brute as brute_hits
-from test_line_dedup import brute as brute_lines
+from test_line_dedup_pairs import brute as brute_lines
 from test_simhash import brute_fingerprint, parts
 from vigil.llm.line_dedup import MIN_WORDS
 
@@ -72,10 +72,16 @@ def test_run_gives_the_last_stage(spark):
     assert all(re.fullmatch("[0-9a-f]{64}", r.ids_sha256) for r in rows)
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_a_stage_of_no_documents_is_empty(spark, name, stage):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert stage(spark, docs.limit(0), SF_SMALL).collect() == []
+
+
 def test_queries_registered_for_every_operator():
     import __spark_entry__ as E
     names = list(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 

@@ -205,7 +205,7 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     # distinct fingerprints only, so a bucket is large only where many
     # different texts are close; its size decides how many trees it needs
     bucketed = nodes.select("fp", F.explode(keys).alias("bucket"))
-    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = written(bucketed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     rows = bucketed.join(sizes, "bucket").select(
         "fp", "bucket", F.ceil(F.col("n") / TREE).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int")
@@ -246,10 +246,12 @@ def labelled(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col:
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
     comp = components(near_links(nodes.select("fp"), radius))
-    of_node = nodes.join(comp, nodes.fp == comp.node, "left") \
-        .select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    roots = of_node.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = of_node.join(roots, "root").select(F.col("fp").alias("_fp"), "component_id")
+    # aggregates are written before they are joined: both sides are then plain
+    # shuffles, which Spark can split where one component holds a large part
+    of_node = written(nodes.join(comp, nodes.fp == comp.node, "left")
+                      .select("fp", "low", F.coalesce("root", "fp").alias("root")), "nodes")
+    roots = written(of_node.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
+    of_fp = written(of_node.join(roots, "root").select(F.col("fp").alias("_fp"), "component_id"), "of-fp")
     return fps.join(of_fp, fps.fp == of_fp["_fp"]).drop("_fp")
 
 
