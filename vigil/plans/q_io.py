@@ -21,6 +21,7 @@ from vigil.plans.q_ml import _train
 from vigil.plans.registry import register, r6
 from vigil.schema import FEATURES, LABELLED_CLEAN
 from vigil.sources import logs as L
+from vigil.sources import topic
 from vigil.sources import sinks as K
 from vigil.sources.fixture import ORACLE_PREFIX, security_logs
 from vigil.streaming import streams as S
@@ -31,13 +32,17 @@ SELECT event_id, timestamp, user_id, action, files_accessed, location, device, l
 """
 
 
+def _message():
+    return F.to_json(F.struct(
+        "event_id", iso_text("timestamp").alias("timestamp"), "user_id", "action", "files_accessed", "location",
+        "device", "login_attempts", "data_uploaded_mb", "foreign_ip"))
+
+
 def _raw_json(spark, sf):
     """Fixture rows as raw JSON messages (ISO text timestamps), as a producer sends them."""
     logs = security_logs(spark, sf)
     out = S.scratch(spark, "raw-json")
-    msgs = logs.select(F.to_json(F.struct(
-        "event_id", iso_text("timestamp").alias("timestamp"), "user_id", "action", "files_accessed", "location",
-        "device", "login_attempts", "data_uploaded_mb", "foreign_ip")).alias("value"))
+    msgs = logs.select(_message().alias("value"))
     msgs.write.mode("overwrite").text(out)
     return out
 
@@ -73,11 +78,22 @@ def q_topic_batch_all(spark, sf):
     return _typed_back(_topic_with_ids(spark, sf, None))
 
 
-def _topic_with_ids(spark, sf, n):
+def _topic(spark, sf, per_segment: int = 1000) -> str:
+    """The raw JSON messages as a topic of segments, in event order."""
+    path = S.scratch(spark, "topic")
+    messages = security_logs(spark, sf).select(F.col("event_id").alias("seq"), _message().alias("value"))
+    topic.append(messages, path, per_segment)
+    return path
+
+
+def _event_schema():
     from vigil.schema import RAW_EVENT
     from pyspark.sql import types as T
-    schema = T.StructType(RAW_EVENT.fields + [T.StructField("event_id", T.LongType())])
-    return L.read_topic_batch(spark, _raw_json(spark, sf), n=n, schema=schema)
+    return T.StructType(RAW_EVENT.fields + [T.StructField("event_id", T.LongType())])
+
+
+def _topic_with_ids(spark, sf, n):
+    return L.read_topic_batch(spark, _topic(spark, sf), n=n, fmt="segments", schema=_event_schema())
 
 
 @register("topic_batch_500", RAW_COLS_SQL.replace("FROM security_logs", "FROM security_logs ORDER BY event_id LIMIT 500"))
@@ -162,16 +178,22 @@ def q_stream_alert_topic_counts(spark, sf):
 
 @register("stream_logs_json_rows", RAW_COLS_SQL)
 def q_stream_logs_json_rows(spark, sf):
-    """Raw JSON messages as an unbounded source, typed on the way in."""
-    from vigil.schema import RAW_EVENT
-    from pyspark.sql import types as T
-    schema = T.StructType(RAW_EVENT.fields + [T.StructField("event_id", T.LongType())])
-    src = L.canonical_logs(spark.readStream.schema(schema).json(_raw_json(spark, sf)))
+    """The topic as an unbounded source, typed on the way in."""
+    src = S.stream_logs(spark, _topic(spark, sf), "segments", schema=_event_schema())
     out = S.scratch(spark, "stream-json")
     S.run_to_parquet(_typed_back(src), f"{out}/data", f"{out}/ckpt")
     return spark.read.parquet(f"{out}/data")
 
 
+@register("stream_until_idle_rows", RAW_COLS_SQL)
+def q_stream_until_idle_rows(spark, sf):
+    """The topic read by a consumer that ends itself when nothing comes in."""
+    src = S.stream_logs(spark, _topic(spark, sf), "segments", schema=_event_schema())
+    out = S.scratch(spark, "stream-idle")
+    S.run_until_idle(_typed_back(src), f"{out}/data", f"{out}/ckpt", seconds=2)
+    return spark.read.parquet(f"{out}/data")
+
+
 @register("model_save_load", "SELECT count(*) AS rows, 0.0::DOUBLE AS max_abs_diff FROM security_logs")
 def q_model_save_load(spark, sf):
     """Persist the forest, reload the first existing of two paths, and

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.schema import LABELLED_CLEAN, LABELLED_NOISY, RAW_EVENT
+from vigil.sources import topic
 
 CORRUPT = "_corrupt_record"
 
@@ -89,10 +90,17 @@ def read_topic_batch(spark: SparkSession, path: str, n: int | None = None, fmt:
                      options: dict | None = None, schema: T.StructType = RAW_EVENT) -> DataFrame:
     """Bounded read of a topic from its earliest message.
 
-    ``fmt='kafka'`` reads the broker (earliest → latest offsets) and decodes
-    ``value``; otherwise ``path`` is a folder of JSON messages.  Arrival order
-    is (partition, offset) or (file, position); ``n`` caps the rows in that
-    order (the investigation reads at most 500, the report reads all)."""
+    ``fmt='segments'`` reads a folder of offset-named segments (``topic``):
+    ``n`` messages in arrival order open only the segments that hold them.
+    ``fmt='kafka'`` reads the broker (earliest → latest offsets); otherwise
+    ``path`` is a folder of JSON messages in order of file and position, and a
+    cap has to sort them (the investigation reads at most 500 messages, the
+    report reads all)."""
+    if fmt == "segments":
+        topic.register(spark)
+        reader = spark.read.format("segments").option("path", path).options(**(options or {}))
+        raw = (reader if n is None else reader.option("limit", n)).load()
+        return canonical_logs(decode_json(raw, "value", schema).drop(CORRUPT))
     if fmt == "kafka":
         raw = (spark.read.format("kafka").options(**(options or {}))
                .option("startingOffsets", "earliest").option("endingOffsets", "latest").load())

@@ -3,22 +3,26 @@
 Sources are file folders (a broker is only another format); every query has
 its own checkpoint folder, so a restarted query resumes where it stopped and
 the idempotent ``foreachBatch`` writers never duplicate a micro-batch.
-``trigger(availableNow=True)`` replaces the reference's idle time-outs: the
-query drains what is there and stops.
+With ``trigger(availableNow=True)`` a query drains what is there and stops;
+``run_until_idle`` keeps reading until nothing has come in for a stated time.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from vigil.functions.times import instant_to_ntz, ntz_to_instant
 from vigil.operators import alerts as A
 from vigil.schema import RAW_EVENT
 from vigil.session import ensure_checkpoint_dir
+from vigil.sources import topic
 from vigil.sources.fixture import from_events
 from vigil.sources.logs import canonical_logs, decode_json
 
@@ -40,19 +44,23 @@ def stream_fixture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_logs(spark: SparkSession, path: str, fmt: str = "json", options: dict | None = None,
-                max_files: int | None = None) -> DataFrame:
-    """Unbounded log source (JSON lines folder, or ``kafka`` with options).
-    JSON and broker rows that can't be decoded stay, with their text in
+                max_files: int | None = None, schema: T.StructType = RAW_EVENT) -> DataFrame:
+    """Unbounded log source: a topic of ``segments`` by offset, a folder of
+    JSON lines (``max_files`` a batch), or ``kafka`` with options.  Rows that can't be decoded stay, with their text in
     ``_corrupt_record``: ``split_corrupt`` sends them to a quarantine."""
+    if fmt == "segments":
+        topic.register(spark)
+        raw = spark.readStream.format("segments").option("path", path).options(**(options or {})).load()
+        return canonical_logs(decode_json(raw, "value", schema))
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").options(**(options or {})).load()
-        return canonical_logs(decode_json(raw, "value", RAW_EVENT))
+        return canonical_logs(decode_json(raw, "value", schema))
     if fmt == "json":
         r = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])).format("text")
         if max_files:
             r = r.option("maxFilesPerTrigger", max_files)
-        return canonical_logs(decode_json(r.options(**(options or {})).load(path), "value", RAW_EVENT))
-    r = spark.readStream.schema(RAW_EVENT).format(fmt).options(**(options or {}))
+        return canonical_logs(decode_json(r.options(**(options or {})).load(path), "value", schema))
+    r = spark.readStream.schema(schema).format(fmt).options(**(options or {}))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return canonical_logs(r.load(path))
@@ -93,6 +101,57 @@ def run_foreach_batch(stream: DataFrame, path: str, checkpoint: str, output_mode
            .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
 
 
+class IdleStop(StreamingQueryListener):
+    """Ends a query once no row has come in for ``seconds`` (the consumers'
+    time-out).  Time runs from the start, or from the last batch with rows."""
+
+    def __init__(self, query: StreamingQuery, seconds: float, clock=time.monotonic):
+        self.query, self.seconds, self.clock = query, seconds, clock
+        self.last = clock()
+        self.stopped = False
+
+    def _look(self, of, rows: int) -> None:
+        if str(of) != str(self.query.id) or self.stopped:
+            return
+        if rows:
+            self.last = self.clock()
+        elif self.clock() - self.last >= self.seconds:
+            self.stopped = True
+            # the listener's thread must not wait for the query that reports to it
+            threading.Thread(target=self.query.stop, daemon=True).start()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self._look(event.progress.id, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self._look(event.id, 0)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def run_until_idle(stream: DataFrame, path: str, checkpoint: str, seconds: float, every: str = "500 milliseconds") -> None:
+    """Read on into parquet until nothing has come in for ``seconds``."""
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.noDataProgressEventInterval"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(100, int(seconds * 250))))  # idle queries report often enough
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
+                 .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
+    finally:
+        spark.conf.set(key, before)
+    listener = IdleStop(query, seconds)
+    spark.streams.addListener(listener)
+    try:
+        query.awaitTermination()
+    finally:
+        spark.streams.removeListener(listener)
+
+
 # ----------------------------------------------------------------- operators
 def stream_detector(logs: DataFrame) -> DataFrame:
     """Stateless per-event detector: test messages dropped, defaults,
