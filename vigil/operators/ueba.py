@@ -20,7 +20,9 @@ whose window starts in an earlier chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.text import py_round, tmpl
@@ -70,8 +72,11 @@ def _pystr(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("None"))
 
 
-def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int | None = None) -> DataFrame:
-    """Running count, last-``window`` means/stds and running modes per event."""
+def _scan(logs: DataFrame, window: int, num_chunks: int | None, state: "UebaState | None") -> DataFrame:
+    """Rows in each user's order with running counts, prefix sums (``cs_*``),
+    those ``window`` rows back (``back_*``) and running modes.  With a state
+    the rows of its rings come first (``old``); their values are counted in
+    the state's value table."""
     base = logs.select(
         "event_id", "timestamp",
         F.coalesce(F.col("user_id"), F.lit("unknown")).alias("user_id"),
@@ -81,16 +86,37 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
         F.coalesce(F.col("data_uploaded_mb"), F.lit(0)).cast("long").alias("upload"),
         F.coalesce(F.col("location"), F.lit("Unknown")).alias("loc_key"),
         F.coalesce(F.col("device"), F.lit("unknown")).alias("dev_key"),
-    ).withColumn("hour2", F.col("hour").cast("long") * F.col("hour")) \
-     .withColumn("files2", F.col("files") * F.col("files"))
-
-    seq = sequence_within(base, "user_id", ["timestamp", "event_id"], num_chunks)
+    )
+    order = ["timestamp", "event_id"]
+    if state is not None:
+        touched = base.select("user_id").distinct()
+        profiles = state.profiles.join(touched, "user_id", "left_semi")
+        ring = profiles.select("user_id", F.posexplode("ring").alias("at", "r")).select(
+            "user_id", F.col("at").cast("long").alias("event_id"), "r.hour", "r.files", "r.upload", F.lit(True).alias("old"))
+        base = base.withColumn("old", F.lit(False)).unionByName(ring, allowMissingColumns=True)
+        # rows of the ring have no time: nulls sort first, and their event_id is their place
+        order = ["_new", "timestamp", "event_id"]
+        base = base.withColumn("_new", ~F.col("old"))
+    base = base.withColumn("hour2", F.col("hour").cast("long") * F.col("hour")) \
+               .withColumn("files2", F.col("files") * F.col("files"))
+
+    seq = sequence_within(base, "user_id", order, num_chunks)
 
     sums = {"n": "*", "sh": "hour", "sf": "files", "su": "upload", "sh2": "hour2", "sf2": "files2"}
     prefix = chunk_prefix(seq, "user_id", sums).withColumn(
         "n_total", F.max("n_end").over(Window.partitionBy("user_id")))  # chunk rows: few a user
-    modes = running_mode_carry(seq, "user_id", {"loc": "loc_key", "dev": "dev_key"})
-    carries = prefix.join(modes, ["user_id", CHUNK])
+    if state is None:
+        modes = running_mode_carry(seq, "user_id", {"loc": "loc_key", "dev": "dev_key"})
+        carries = prefix.join(modes, ["user_id", CHUNK])
+    else:
+        # counts go on from the state: rows older than the ring are skipped
+        skip = profiles.select("user_id", (F.col("n") - F.size("ring")).alias("_skip"))
+        counts = ["n_before", "n_end", "n_total"]
+        prefix = prefix.join(skip, "user_id", "left").withColumns(
+            {c: F.col(c) + F.coalesce(F.col("_skip"), F.lit(0)) for c in counts}).drop("_skip")
+        modes = running_mode_carry(seq.filter(~F.col("old")), "user_id", {"loc": "loc_key", "dev": "dev_key"},
+                                   state.values.join(touched, "user_id", "left_semi").filter("attr IN ('loc', 'dev')"))
+        carries = prefix.join(modes, ["user_id", CHUNK], "left")
 
     rows = seq.join(carries, ["user_id", CHUNK])
     w = Window.partitionBy("user_id", CHUNK).orderBy(GID)
@@ -115,7 +141,13 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
     # are written once, and users within the window add no row to the join.
     for x in names:
         rows = rows.withColumn(f"lag_{x}", F.lag(f"cs_{x}", window).over(w))
-    rows = write_once(rows.drop("loc_carry", "dev_carry"), "windowed")
+    drop = ["loc_carry", "dev_carry", "loc_prev", "dev_prev", "_loc_c", "_dev_c", "loc_key", "dev_key", "hour2", "files2", GID]
+    return write_once(rows.drop(*drop, *[f"{x}_{y}" for x in names for y in ("before", "end")]), "windowed")
+
+
+def _with_back(rows: DataFrame, window: int) -> DataFrame:
+    """``back_*``: the prefix sums ``window`` rows before each row."""
+    names = ["sh", "sf", "su", "sh2", "sf2"]
     needs_join = (F.col("n") > window) & (F.col("pos") <= window)
     direct = rows.filter(~needs_join).select(
         "*", *[F.when(F.col("n") > window, F.col(f"lag_{x}")).otherwise(F.lit(0)).alias(f"back_{x}")
@@ -124,8 +156,16 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
         "user_id", F.col("n").alias("_ref_n"), *[F.col(f"cs_{x}").alias(f"back_{x}") for x in names])
     joined = (rows.filter(needs_join).withColumn("_ref_n", F.col("n") - window)
                   .join(refs, ["user_id", "_ref_n"], "left").drop("_ref_n"))
-    rows = direct.unionByName(joined)
+    return direct.unionByName(joined)
+
+
+def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int | None = None) -> DataFrame:
+    """Running count, last-``window`` means/stds and running modes per event."""
+    return _features(_scan(logs, window, num_chunks, None), window)
+
 
+def _features(scanned: DataFrame, window: int) -> DataFrame:
+    rows = _with_back(scanned, window)
     cnt = F.least(F.col("n"), F.lit(window)).cast("double")
 
     def mean(x: str) -> Column:
@@ -264,3 +304,93 @@ def periodic_stats(scored: DataFrame, every: int = 50) -> DataFrame:
                   .select("user_id", "event_id", F.col("n").cast("long").alias("events"),
                           F.col("threat_count").alias("anomalies"),
                           F.round(F.lit(100.0) * F.col("threat_count") / F.col("n"), 6).alias("anomaly_rate")))
+
+
+# ----------------------------------------------------------------- stored profiles
+@dataclass
+class UebaState:
+    """Profiles to go on from: ``profiles`` (user_id, n, threat_count,
+    first_seen, last_seen, ring of the last values) has one row a user of at
+    most ``UEBA_WINDOW`` ring entries; ``values`` (user_id, attr, value,
+    count, first) counts locations, devices and actions, ``first`` being the
+    number of the event that first had the value."""
+    profiles: DataFrame
+    values: DataFrame
+
+    def save(self, path: str) -> None:
+        self.profiles.write.mode("overwrite").parquet(f"{path}/profiles")
+        self.values.write.mode("overwrite").parquet(f"{path}/values")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "UebaState":
+        return cls(spark.read.parquet(f"{path}/profiles"), spark.read.parquet(f"{path}/values"))
+
+
+def ueba_resume(logs: DataFrame, state: UebaState | None = None, window: int = UEBA_WINDOW,
+                num_chunks: int | None = None) -> tuple[DataFrame, UebaState]:
+    """W1-W5, A43, A44 going on from a stored state: new events scored, and the
+    state after them.  History isn't read again, only the rings and value
+    counts of users with new events."""
+    scanned = _scan(logs, window, num_chunks, state)
+    if "old" not in scanned.columns:
+        scanned = scanned.withColumn("old", F.lit(False))
+    fresh = _features(scanned, window).filter(~F.col("old"))
+    scored = write_once(ueba_score(fresh), "scored")
+
+    # a ring holds at most `window` entries, from at most two chunks' ends
+    ring = scanned.filter(F.col("n") > F.col("n_total") - window).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("n", "hour", "files", "upload"))).alias("r"))
+    ring = ring.select("user_id", F.transform("r", lambda x: F.struct(x["hour"], x["files"], x["upload"])).alias("ring"))
+    totals = scored.groupBy("user_id").agg(
+        F.max("n").alias("n"), F.count_if("is_anomaly").alias("threat_count"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    profiles = totals.join(ring, "user_id")
+    one = F.array(F.struct(F.lit("loc").alias("attr"), F.coalesce("location", F.lit("Unknown")).alias("value")),
+                  F.struct(F.lit("dev").alias("attr"), F.coalesce("device", F.lit("unknown")).alias("value")),
+                  F.struct(F.lit("act").alias("attr"), F.coalesce("action", F.lit("unknown")).alias("value")))
+    values = scored.select("user_id", "n", F.explode(one).alias("v")).groupBy("user_id", "v.attr", "v.value").agg(
+        F.count("*").alias("count"), F.min("n").alias("first"))
+    if state is not None:
+        old = state.profiles.select("user_id", *[F.col(c).alias(f"_{c}") for c in ("n", "threat_count", "first_seen", "last_seen", "ring")])
+        profiles = profiles.join(old, "user_id", "full").select(
+            "user_id", F.coalesce("n", "_n").alias("n"),
+            (F.coalesce("threat_count", F.lit(0)) + F.coalesce("_threat_count", F.lit(0))).alias("threat_count"),
+            F.least("first_seen", "_first_seen").alias("first_seen"), F.greatest("last_seen", "_last_seen").alias("last_seen"),
+            F.coalesce("ring", "_ring").alias("ring"))
+        values = values.unionByName(state.values).groupBy("user_id", "attr", "value").agg(
+            F.sum("count").alias("count"), F.min("first").alias("first"))
+    return scored, UebaState(write_once(profiles, "profiles"), write_once(values, "values"))
+
+
+def state_modes(state: UebaState) -> DataFrame:
+    """(user_id, usual_location, usual_device) of a state: the most frequent
+    value, ties to the one seen first."""
+    best = F.max(F.struct("count", -F.col("first"), "value"))["value"]
+    return state.values.groupBy("user_id").pivot("attr", ["loc", "dev"]).agg(best) \
+        .select("user_id", F.col("loc").alias("usual_location"), F.col("dev").alias("usual_device"))
+
+
+def state_baseline(state: UebaState, min_events: int = UEBA_MIN_EVENTS) -> DataFrame:
+    """A43 from a stored state alone."""
+    def total(f):
+        return F.aggregate("ring", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    k = F.size("ring")
+    rows = state.profiles.filter(F.col("n") >= min_events).withColumns({
+        "_k": k, "_h": total(lambda x: x["hour"]), "_f": total(lambda x: x["files"]), "_u": total(lambda x: x["upload"]),
+        "_h2": total(lambda x: x["hour"] * x["hour"]), "_f2": total(lambda x: x["files"] * x["files"])})
+
+    def std(x: str, x2: str) -> Column:
+        exact = F.col(x2).cast("decimal(19,0)") * F.col("_k") - F.col(x).cast("decimal(19,0)") * F.col(x).cast("decimal(19,0)")
+        return F.sqrt(exact.cast("double")) / F.col("_k")
+    return rows.join(state_modes(state), "user_id").select(
+        "user_id", (F.col("_h") / F.col("_k")).alias("avg_login_hour"), std("_h", "_h2").alias("std_login_hour"),
+        (F.col("_f") / F.col("_k")).alias("avg_files"), std("_f", "_f2").alias("std_files"),
+        (F.col("_u") / F.col("_k")).alias("avg_upload"), "usual_location", "usual_device", F.col("n").alias("total_events"))
+
+
+def state_profile(state: UebaState) -> DataFrame:
+    """A44 / W12 from a stored state alone."""
+    acts = state.values.filter("attr = 'act'").groupBy("user_id").agg(F.map_from_entries(F.array_sort(
+        F.collect_list(F.struct(F.col("value").alias("action"), F.col("count").alias("n"))))).alias("actions"))
+    return state.profiles.select("user_id", F.col("n").alias("total_events"), "first_seen", "last_seen", "threat_count") \
+        .join(acts, "user_id")

@@ -55,7 +55,7 @@ def chunk_prefix(seq: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
     return per.select(*cols)
 
 
-def running_mode_carry(seq: DataFrame, key: str, attrs: dict[str, str]) -> DataFrame:
+def running_mode_carry(seq: DataFrame, key: str, attrs: dict[str, str], known: DataFrame | None = None) -> DataFrame:
     """Carries for running modes of several attributes per key, ties to the
     first-seen value, in one pipeline (attributes are stacked as rows).
 
@@ -65,11 +65,17 @@ def running_mode_carry(seq: DataFrame, key: str, attrs: dict[str, str]) -> DataF
     the best (count, -first_seen, value) over all earlier chunks.  A map holds
     at most the distinct values of the attribute in one chunk of one key
     (bounded by the attribute's domain, e.g. countries or device kinds).
+
+    ``known`` (key, attr, value, count, first) are counts from before the rows
+    of ``seq``; ``first`` orders the values by their first appearance.
     """
     stacked = seq.select(key, CHUNK, GID, F.explode(F.array(*[
         F.struct(F.lit(p).alias("a"), F.col(c).alias("v")) for p, c in attrs.items()])).alias("_av")) \
         .select(key, CHUNK, GID, F.col("_av.a").alias("_a"), F.col("_av.v").alias("_v"))
     per = stacked.groupBy(key, CHUNK, "_a", "_v").agg(F.count(F.lit(1)).alias("_nv"), F.min(GID).alias("_first"))
+    if known is not None:  # as a chunk before all others, whose values were seen before
+        per = per.unionByName(known.select(key, F.lit(-1).alias(CHUNK), F.col("attr").alias("_a"), F.col("value").alias("_v"),
+                                           F.col("count").alias("_nv"), (F.col("first") - F.lit(1 << 62)).alias("_first")))
     wv = Window.partitionBy(key, "_a", "_v")
     per = (per.withColumn("_cum", F.sum("_nv").over(wv.orderBy(CHUNK).rowsBetween(UNB, 0)))
               .withColumn("_fs", F.min("_first").over(wv)))
