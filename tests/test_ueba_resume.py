@@ -63,3 +63,29 @@ def test_users_without_new_events_stay(spark):
     assert two.profiles.count() == one.profiles.count()
     a, b = (s.profiles.filter("user_id <> 'a'").orderBy("user_id").select(sorted(s.profiles.columns)).collect() for s in (one, two))
     assert a == b
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_stream_fold_in_slices_equals_a_plain_fold(size):
+    import numpy as np
+    import pandas as pd
+
+    from test_ueba_fold import fold as plain
+    from vigil.streaming import ueba_state as S
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    rows = sorted((r for r in events(21, 600) if r[2] == "hot"), key=lambda r: (r[1], r[0]))
+    want = plain([dict(zip(names, r)) for r in rows], 30)
+    totals, ring, known = dict(S.EMPTY_TOTALS), np.empty((0, 3), np.int64), {"loc": {}, "dev": {}, "act": {}}
+    pdf, got = pd.DataFrame(rows, columns=names), {}
+    for lo in range(0, len(pdf), size):
+        # as the state does it, only the values of the slice are known
+        piece = pdf.iloc[lo:lo + size].reset_index(drop=True)
+        out, totals, ring, new = S.fold("hot", piece, totals, ring, {
+            a: {v: c for v, c in known[a].items() if v in set(piece[col].where(piece[col].notna(), none))}
+            for a, col, none in (("loc", "location", "Unknown"), ("dev", "device", "unknown"), ("act", "action", "unknown"))}, 30)
+        for a in known:
+            known[a].update(new[a])
+        for r in out.itertuples():
+            got[r.event_id] = (r.n, r.anomaly_score, r.usual_location, r.usual_device)
+    assert got == want
+    assert len(ring) == 30 and totals["n"] == len(rows)

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.operators import alerts as A
+from vigil.operators import ueba as U
 from vigil.plans import catalog as _catalog  # noqa: F401  (registers the batch twins first)
 from vigil.plans import q_alerts as _q_alerts  # noqa: F401
 from vigil.plans.registry import ORACLE
 from vigil.plans.registry import register, r6
+from vigil.sources.fixture import security_logs
 from vigil.sources.logs import CORRUPT, decode_json, split_corrupt
 from vigil.streaming import streams as S
 from vigil.streaming.ueba_state import stream_ueba
@@ -28,20 +30,61 @@ def q_stream_detector_alerts(spark, sf):
 ORACLE["stream_detector_alerts"] = ORACLE["detector_alerts"]
 
 
-@register("stream_ueba_scores")
-def q_stream_ueba_scores(spark, sf):
-    """Keyed behavioural state (applyInPandasWithState) over the stream."""
-    out = S.scratch(spark, "stream-ueba")
-    S.run_to_parquet(stream_ueba(S.stream_fixture_logs(spark, sf)), f"{out}/data", f"{out}/ckpt")
-    s = spark.read.parquet(f"{out}/data")
+def _event_files(spark, logs, parts: int) -> str:
+    """The events as ``parts`` files in order of time, written one by one."""
+    path = S.scratch(spark, "event-files")
+    first, last = logs.agg(F.min("timestamp"), F.max("timestamp")).first()
+    at = F.least(F.lit(parts - 1), F.floor(parts * (F.unix_micros(F.col("timestamp").cast("timestamp")) - _micros(first))
+                                          / F.greatest(F.lit(1), _micros(last) - _micros(first))))
+    tagged = logs.withColumn("_part", at)
+    for i in range(parts):  # a topic's producer: one file after the other
+        tagged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _micros(t):
+    return F.unix_micros(F.lit(t).cast("timestamp"))
+
+
+def _stream_files(spark, path: str):
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _ueba_columns(s):
     return s.select("event_id", "user_id", "n", r6("avg_login_hour"), r6("avg_files"), r6("avg_upload"),
                     "usual_location", "usual_device", "anomaly_score", "is_anomaly",
                     F.array_join("reasons", " | ").alias("reasons"))
 
 
+@register("stream_ueba_scores")
+def q_stream_ueba_scores(spark, sf):
+    """Keyed behavioural state over five files, one a micro-batch."""
+    out = S.scratch(spark, "stream-ueba")
+    src = _stream_files(spark, _event_files(spark, security_logs(spark, sf), 5))
+    S.run_to_parquet(stream_ueba(src), f"{out}/data", f"{out}/ckpt")
+    return _ueba_columns(spark.read.parquet(f"{out}/data"))
+
+
 ORACLE["stream_ueba_scores"] = ORACLE["ueba_scores"]
 
 
+@register("stream_ueba_from_state")
+def q_stream_ueba_from_state(spark, sf):
+    """T2 from stored profiles: the first half of the events is scored in
+    batch, and the stream over the second half starts from its state."""
+    logs = security_logs(spark, sf)
+    first, last = logs.agg(F.min("timestamp"), F.max("timestamp")).first()
+    half = F.lit(first + (last - first) / 2)
+    scored, state = U.ueba_resume(logs.filter(F.col("timestamp") < half))
+    out = S.scratch(spark, "stream-state")
+    src = _stream_files(spark, _event_files(spark, logs.filter(F.col("timestamp") >= half), 3))
+    S.run_to_parquet(stream_ueba(src, state), f"{out}/data", f"{out}/ckpt")
+    return _ueba_columns(spark.read.parquet(f"{out}/data")).unionByName(_ueba_columns(scored))
+
+
+ORACLE["stream_ueba_from_state"] = ORACLE["ueba_scores"]
+
+
 @register("stream_detector_counts")
 def q_stream_detector_counts(spark, sf):
     """T5: running totals in complete mode; the last batch holds the final counts."""

@@ -1,14 +1,19 @@
 """The behavioural profile as keyed streaming state.
 
-``applyInPandasWithState`` keeps, per user, the event count, the last
-``window`` hour/files/upload values (a ring kept oldest-first), value counts
-for location, device and action in first-seen order, and the anomaly count.
-State per user is bounded by the window plus the attributes' domains.
+``transformWithState`` keeps per user, in RocksDB: totals (events, anomalies,
+the usual location and device with their counts), a list of the last
+``window`` hour/files/upload values, and a map of value counts for location,
+device and action.  Only the map entries that a batch touches are read, so a
+profile's size does not matter to a batch.  A stream can go on from stored
+profiles (``ueba.UebaState``), which the first batch loads.
+
 Within a micro-batch a user's rows are folded in (timestamp, event_id)
 order, so a stream that delivers events in order gives exactly the batch
-result (``vigil.operators.ueba``).  The fold is vectorised: window means by
-prefix sums over ring + batch, running modes by a cumulative max of an
-encoded (count so far, first-seen rank) key, scores as numpy masks; only the
+result (``vigil.operators.ueba``).  A user's rows are sorted once as columns
+and then folded and given back in slices of SLICE rows: texts and outputs of
+one slice are held at a time.  The fold is vectorised: window means by
+prefix sums over ring + slice, running modes by a cumulative max of an
+encoded (count so far, first seen) key, scores as numpy masks; only the
 reason strings are assembled per row.
 """
 
@@ -19,26 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vigil.operators.ueba import (LEARNING_REASON, REASON_TEXT, UEBA_FOREIGN_IP_SCORE,
                                   UEBA_LOGIN_ATTEMPTS_OVER, UEBA_LOGIN_SCORE, UEBA_MIN_EVENTS, UEBA_THRESHOLDS,
-                                  UEBA_WINDOW)
+                                  UEBA_WINDOW, UebaState)
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()),
-    T.StructField("threat_count", T.LongType()),
-    T.StructField("ring_hour", T.ArrayType(T.LongType())),
-    T.StructField("ring_files", T.ArrayType(T.LongType())),
-    T.StructField("ring_upload", T.ArrayType(T.LongType())),
-    T.StructField("loc_keys", T.ArrayType(T.StringType())),
-    T.StructField("loc_counts", T.ArrayType(T.LongType())),
-    T.StructField("dev_keys", T.ArrayType(T.StringType())),
-    T.StructField("dev_counts", T.ArrayType(T.LongType())),
-    T.StructField("act_keys", T.ArrayType(T.StringType())),
-    T.StructField("act_counts", T.ArrayType(T.LongType())),
-])
+SLICE = 1 << 14  # rows of a user folded at a time
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# usual value of an attribute: its count and the number of the event that first had it
+TOTALS = "n long, threat_count long, " + ", ".join(f"{a} string, {a}_count long, {a}_first long" for a in ("loc", "dev"))
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -57,9 +54,9 @@ OUTPUT_SCHEMA = T.StructType([
 ])
 
 
-def _window_means(ring: list, batch: np.ndarray, n0: int, window: int) -> np.ndarray:
+def _window_means(ring: np.ndarray, batch: np.ndarray, n0: int, window: int) -> np.ndarray:
     """Mean of the last min(n, window) values for each batch row (incl. itself)."""
-    allv = np.concatenate([np.asarray(ring, dtype=np.int64), batch.astype(np.int64)])
+    allv = np.concatenate([ring, batch])
     cs = np.concatenate([[0], np.cumsum(allv)])
     idx = np.arange(len(ring), len(allv)) + 1          # prefix length through each batch row
     n = n0 + np.arange(1, len(batch) + 1)
@@ -67,56 +64,61 @@ def _window_means(ring: list, batch: np.ndarray, n0: int, window: int) -> np.nda
     return (cs[idx] - cs[idx - cnt]) / cnt
 
 
-def _running_mode(keys: list, counts: list, values: pd.Series) -> tuple[np.ndarray, list, list]:
-    """Running mode (ties to the first-seen value) of ``values`` continuing the
-    state (``keys`` in first-seen order with ``counts``), vectorised: each row
-    gets the key (count so far) * BIG - first_seen_rank, and the mode is the
-    value whose key is the running maximum."""
-    keys = list(keys or [])
-    order = {k: i for i, k in enumerate(keys)}
-    for v in pd.unique(values):
-        if v not in order:
-            order[v] = len(keys)
-            keys.append(v)
-    base = np.zeros(len(keys), dtype=np.int64)
-    base[:len(counts or [])] = np.asarray(counts or [], dtype=np.int64)
-    rank = values.map(order).to_numpy(dtype=np.int64)
-    so_far = base[rank] + values.groupby(values).cumcount().to_numpy(dtype=np.int64) + 1
-    big = np.int64(len(keys) + 1)
-    key = so_far * big - rank
-    seen = np.flatnonzero(base[:len(counts or [])] > 0)
-    start = (base[seen] * big - seen).max() if len(seen) else np.iinfo(np.int64).min
-    best = np.maximum.accumulate(np.concatenate([[start], key]))[1:]
-    mode_rank = (-best) % big
-    new_counts = base + np.bincount(rank, minlength=len(keys))
-    return np.asarray(keys, dtype=object)[mode_rank], keys, new_counts.tolist()
+def running_mode(best: tuple, known: dict, values: pd.Series, n0: int) -> tuple[np.ndarray, dict, tuple]:
+    """Running mode of ``values`` (ties to the value seen first), going on from
+    the ``best`` (value, count, first) and the ``known`` (count, first) of the
+    batch's values: the mode at each row, the new counts and the new best.
+
+    A row's key is (count so far) * BIG - first; the mode is the value whose
+    key is the running maximum."""
+    rank, found = pd.factorize(values)
+    start = {v: known.get(v, (0, n0 + 1 + int(i))) for v, i in zip(found, np.unique(rank, return_index=True)[1])}
+    base, first = (np.array([start[v][k] for v in found], np.int64) for k in (0, 1))
+    so_far = base[rank] + values.groupby(rank).cumcount().to_numpy(np.int64) + 1
+    big = np.int64(n0 + len(values) + 2)
+    key = np.concatenate([[(best[1] or 0) * big - (best[2] or 0) if best[0] is not None else np.iinfo(np.int64).min],
+                          so_far * big - first[rank]])
+    top = np.maximum.accumulate(key)[1:]
+    # a key's remainder is the first event of its value
+    firsts = {int(f): v for f, v in zip(first, found)}
+    if best[0] is not None:
+        firsts[int(best[2])] = best[0]
+    at = (-top) % big
+    order = np.array(sorted(firsts))
+    names = np.array([firsts[f] for f in order.tolist()], object)
+    modes = names[np.searchsorted(order, at)]
+    counts = base + np.bincount(rank, minlength=len(found))
+    last = int(top[-1])
+    return modes, {v: (int(c), int(f)) for v, c, f in zip(found, counts, first)}, \
+        (modes[-1], (last + int(at[-1])) // int(big), int(at[-1]))
 
 
 def _present(col: pd.Series) -> np.ndarray:
     return col.notna().to_numpy()
 
 
-def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def fold(user: str, pdf: pd.DataFrame, totals: dict, ring: np.ndarray, known: dict,
+         window: int = UEBA_WINDOW) -> tuple[pd.DataFrame, dict, np.ndarray, dict]:
+    """Scores of a slice of one user's rows (in order), the totals, the ring
+    (rows: hour, files, upload) and the value counts after it.  ``known`` has
+    (count, first) by attribute and value."""
     th = UEBA_THRESHOLDS
-    window = UEBA_WINDOW
-    if state.exists:
-        (n0, tc, rh, rf, ru, lk, lcn, dk, dcn, ak, acn) = state.get
-    else:
-        n0, tc, rh, rf, ru, lk, lcn, dk, dcn, ak, acn = 0, 0, [], [], [], [], [], [], [], [], []
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "event_id"], kind="stable")
-    pdf = pdf.reset_index(drop=True)
-    if pdf.empty:
-        return
+    n0, tc = totals["n"], totals["threat_count"]
     m = len(pdf)
     hour = pd.to_datetime(pdf["timestamp"]).dt.hour.to_numpy(dtype=np.int64)
     files = pdf["files_accessed"].fillna(0).to_numpy(dtype=np.int64)
     upload = pdf["data_uploaded_mb"].fillna(0).to_numpy(dtype=np.int64)
-    avg_h = _window_means(rh, hour, n0, window)
-    avg_f = _window_means(rf, files, n0, window)
-    avg_u = _window_means(ru, upload, n0, window)
-    usual_loc, lk, lcn = _running_mode(lk, lcn, pdf["location"].where(pdf["location"].notna(), "Unknown"))
-    usual_dev, dk, dcn = _running_mode(dk, dcn, pdf["device"].where(pdf["device"].notna(), "unknown"))
-    _, ak, acn = _running_mode(ak, acn, pdf["action"].where(pdf["action"].notna(), "unknown"))
+    avg_h, avg_f, avg_u = (_window_means(ring[:, i], x, n0, window) for i, x in enumerate((hour, files, upload)))
+    known = {a: dict(v) for a, v in known.items()}
+    totals, modes = dict(totals), {}
+    for attr, column, missing in (("loc", "location", "Unknown"), ("dev", "device", "unknown"), ("act", "action", "unknown")):
+        values = pdf[column].where(pdf[column].notna(), missing)
+        best = tuple(totals.get(k) for k in (attr, f"{attr}_count", f"{attr}_first"))
+        modes[attr], new, best = running_mode(best, known[attr], values, n0)
+        known[attr].update(new)
+        if attr != "act":
+            totals.update(zip((attr, f"{attr}_count", f"{attr}_first"), best))
+    usual_loc, usual_dev = modes["loc"], modes["dev"]
     n = n0 + np.arange(1, m + 1)
     scored = n >= UEBA_MIN_EVENTS
     attempts = pdf["login_attempts"]
@@ -152,20 +154,79 @@ def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     }
     reasons = [[texts[k](i) for k in terms if fired[k][i]] if scored[i] else [LEARNING_REASON] for i in range(m)]
     out = pd.DataFrame({
-        "event_id": pdf["event_id"].astype("int64"), "timestamp": pdf["timestamp"], "user_id": key[0],
+        "event_id": pdf["event_id"].astype("int64"), "timestamp": pdf["timestamp"], "user_id": user,
         "n": n.astype("int64"), "avg_login_hour": avg_h, "avg_files": avg_f, "avg_upload": avg_u,
         "usual_location": usual_loc, "usual_device": usual_dev, "anomaly_score": score, "is_anomaly": is_anom,
         "reasons": reasons, "threat_count": threat.astype("int64")})
-    ring = (list(rh) + hour.tolist())[-window:], (list(rf) + files.tolist())[-window:], \
-        (list(ru) + upload.tolist())[-window:]
-    state.update((n0 + m, int(threat[-1]), ring[0], ring[1], ring[2], lk, lcn, dk, dcn, ak, acn))
-    yield out
-
-
-def stream_ueba(logs: DataFrame) -> DataFrame:
-    """Keyed behavioural scoring of a streaming (or batch) log frame."""
+    totals.update(n=n0 + m, threat_count=int(threat[-1]))
+    return out, totals, np.concatenate([ring, np.stack([hour, files, upload], axis=1)])[-window:], known
+
+
+EMPTY_TOTALS = dict.fromkeys([c.split()[0] for c in TOTALS.split(", ")]) | {"n": 0, "threat_count": 0}
+
+
+class Profile(StatefulProcessor):
+    """State of one user: totals, ring of the last values, value counts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", TOTALS)
+        self.ring = handle.getListState("ring", "hour long, files long, upload long")
+        self.values = handle.getMapState("values", "attr string, value string", "count long, first long")
+
+    def _put(self, totals: dict, ring: list[tuple], known: dict) -> None:
+        self.totals.update(tuple(totals[c] for c in EMPTY_TOTALS))
+        self.ring.put(ring)
+        for attr, counts in known.items():
+            for value, entry in counts.items():
+                self.values.updateValue((attr, value), tuple(entry))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A stored profile: one row of ``profile_rows``."""
+        r = initialState.iloc[0]
+        known: dict = {"loc": {}, "dev": {}, "act": {}}
+        for attr, value, count, first in zip(r["attrs"], r["names"], r["counts"], r["firsts"]):
+            known[attr][value] = (int(count), int(first))
+        totals = {**EMPTY_TOTALS, "n": int(r["n"]), "threat_count": int(r["threat_count"])}
+        for attr in ("loc", "dev"):
+            value = max(known[attr], key=lambda v: (known[attr][v][0], -known[attr][v][1]))
+            totals.update(zip((attr, f"{attr}_count", f"{attr}_first"), (value, *known[attr][value])))
+        self._put(totals, [tuple(map(int, x)) for x in zip(r["hours"], r["files"], r["uploads"])], known)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable", ignore_index=True)
+        totals = dict(zip(EMPTY_TOTALS, self.totals.get())) if self.totals.exists() else dict(EMPTY_TOTALS)
+        ring = np.array([tuple(x) for x in self.ring.get()] if self.ring.exists() else [], np.int64).reshape(-1, 3)
+        known: dict = {"loc": {}, "dev": {}, "act": {}}
+        for attr, column, missing in (("loc", "location", "Unknown"), ("dev", "device", "unknown"), ("act", "action", "unknown")):
+            for value in pdf[column].where(pdf[column].notna(), missing).unique():  # only what the batch touches
+                if self.values.containsKey((attr, value)):
+                    known[attr][value] = tuple(self.values.getValue((attr, value)))
+        for lo in range(0, len(pdf), SLICE):
+            out, totals, ring, known = fold(key[0], pdf.iloc[lo:lo + SLICE].reset_index(drop=True), totals, ring, known)
+            yield out
+        self._put(totals, [tuple(x) for x in ring.tolist()], known)
+
+    def close(self) -> None:
+        pass
+
+
+def profile_rows(state: UebaState) -> DataFrame:
+    """One row a user: the ring and the value counts as arrays."""
+    values = state.values.groupBy("user_id").agg(F.collect_list(F.struct("attr", "value", "count", "first")).alias("v"))
+    return state.profiles.join(values, "user_id").select(
+        "user_id", "n", "threat_count", F.col("ring.hour").cast("array<long>").alias("hours"), F.col("ring.files").alias("files"),
+        F.col("ring.upload").alias("uploads"), F.col("v.attr").alias("attrs"), F.col("v.value").alias("names"),
+        F.col("v.count").alias("counts"), F.col("v.first").alias("firsts"))
+
+
+def stream_ueba(logs: DataFrame, state: UebaState | None = None) -> DataFrame:
+    """Keyed behavioural scoring of a streaming log frame, from nothing or
+    from stored profiles."""
+    logs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cols = ["event_id", "timestamp", "user_id", "action", "location", "device", "files_accessed",
             "data_uploaded_mb", "login_attempts", "foreign_ip"]
-    return (logs.select(*cols).groupBy("user_id")
-                .applyInPandasWithState(_fold, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                        GroupStateTimeout.NoTimeout))
+    rows = logs.select(*cols).withColumn("user_id", F.coalesce("user_id", F.lit("unknown")))
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        Profile(), OUTPUT_SCHEMA, "Append", "None",
+        initialState=profile_rows(state).groupBy("user_id") if state is not None else None)
