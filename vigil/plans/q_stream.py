@@ -58,9 +58,9 @@ def _ueba_columns(s):
 
 @register("stream_ueba_scores")
 def q_stream_ueba_scores(spark, sf):
-    """Keyed behavioural state over five files, one a micro-batch."""
+    """Keyed behavioural state over three files, one a micro-batch."""
     out = S.scratch(spark, "stream-ueba")
-    src = _stream_files(spark, _event_files(spark, security_logs(spark, sf), 5))
+    src = _stream_files(spark, _event_files(spark, security_logs(spark, sf), 3))
     S.run_to_parquet(stream_ueba(src), f"{out}/data", f"{out}/ckpt")
     return _ueba_columns(spark.read.parquet(f"{out}/data"))
 

@@ -1,10 +1,11 @@
 """The behavioural profile as keyed streaming state.
 
 ``transformWithState`` keeps per user, in RocksDB: totals (events, anomalies,
-the usual location and device with their counts), a list of the last
-``window`` hour/files/upload values, and a map of value counts for location,
-device and action.  Only the map entries that a batch touches are read, so a
-profile's size does not matter to a batch.  A stream can go on from stored
+the usual location and device with their counts), the last ``window``
+hour/files/upload values as one block of numbers, and value counts for
+location, device and action: the first FEW values of a user in one block, all
+later ones in a map, of which a batch reads only the entries it touches.  So
+neither a state call per value nor a profile's size matters.  A stream can go on from stored
 profiles (``ueba.UebaState``), which the first batch loads.
 
 Within a micro-batch a user's rows are folded in (timestamp, event_id)
@@ -33,6 +34,7 @@ from vigil.operators.ueba import (LEARNING_REASON, REASON_TEXT, UEBA_FOREIGN_IP_
                                   UEBA_WINDOW, UebaState)
 
 SLICE = 1 << 14  # rows of a user folded at a time
+FEW = 256        # values of a user kept in one block
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # usual value of an attribute: its count and the number of the event that first had it
 TOTALS = "n long, threat_count long, " + ", ".join(f"{a} string, {a}_count long, {a}_first long" for a in ("loc", "dev"))
@@ -170,15 +172,22 @@ class Profile(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", TOTALS)
-        self.ring = handle.getListState("ring", "hour long, files long, upload long")
+        self.ring = handle.getValueState("ring", "block binary")
+        self.few = handle.getValueState("few", "attrs array<string>, names array<string>, counts array<long>, firsts array<long>")
         self.values = handle.getMapState("values", "attr string, value string", "count long, first long")
 
-    def _put(self, totals: dict, ring: list[tuple], known: dict) -> None:
+    def _put(self, totals: dict, ring: np.ndarray, known: dict, block: set) -> None:
+        """``known`` holds all values of the block and those that the batch touched."""
         self.totals.update(tuple(totals[c] for c in EMPTY_TOTALS))
-        self.ring.put(ring)
-        for attr, counts in known.items():
-            for value, entry in counts.items():
-                self.values.updateValue((attr, value), tuple(entry))
+        self.ring.update((ring.astype(np.int64).tobytes(),))
+        entries = [(attr, value, *entry) for attr, counts in known.items() for value, entry in counts.items()]
+        few = [e for e in entries if e[:2] in block]
+        rest = [e for e in entries if e[:2] not in block]
+        room = max(0, FEW - len(few))
+        few += rest[:room]
+        self.few.update(tuple(list(c) for c in zip(*few)))
+        for attr, value, count, first in rest[room:]:
+            self.values.updateValue((attr, value), (count, first))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """A stored profile: one row of ``profile_rows``."""
@@ -190,22 +199,28 @@ class Profile(StatefulProcessor):
         for attr in ("loc", "dev"):
             value = max(known[attr], key=lambda v: (known[attr][v][0], -known[attr][v][1]))
             totals.update(zip((attr, f"{attr}_count", f"{attr}_first"), (value, *known[attr][value])))
-        self._put(totals, [tuple(map(int, x)) for x in zip(r["hours"], r["files"], r["uploads"])], known)
+        self._put(totals, np.stack([np.asarray(r[c], np.int64) for c in ("hours", "files", "uploads")], axis=1), known, set())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable", ignore_index=True)
         totals = dict(zip(EMPTY_TOTALS, self.totals.get())) if self.totals.exists() else dict(EMPTY_TOTALS)
-        ring = np.array([tuple(x) for x in self.ring.get()] if self.ring.exists() else [], np.int64).reshape(-1, 3)
+        ring = np.frombuffer(bytes(self.ring.get()[0]) if self.ring.exists() else b"", np.int64).reshape(-1, 3)
         known: dict = {"loc": {}, "dev": {}, "act": {}}
-        for attr, column, missing in (("loc", "location", "Unknown"), ("dev", "device", "unknown"), ("act", "action", "unknown")):
-            for value in pdf[column].where(pdf[column].notna(), missing).unique():  # only what the batch touches
-                if self.values.containsKey((attr, value)):
-                    known[attr][value] = tuple(self.values.getValue((attr, value)))
+        block = set()
+        if self.few.exists():
+            for attr, value, count, first in zip(*self.few.get()):
+                known[attr][value] = (count, first)
+                block.add((attr, value))
+        if len(block) >= FEW:  # further values lie in the map
+            for attr, column, missing in (("loc", "location", "Unknown"), ("dev", "device", "unknown"), ("act", "action", "unknown")):
+                for value in pdf[column].where(pdf[column].notna(), missing).unique():
+                    if value not in known[attr] and self.values.containsKey((attr, value)):
+                        known[attr][value] = tuple(self.values.getValue((attr, value)))
         for lo in range(0, len(pdf), SLICE):
             out, totals, ring, known = fold(key[0], pdf.iloc[lo:lo + SLICE].reset_index(drop=True), totals, ring, known)
             yield out
-        self._put(totals, [tuple(x) for x in ring.tolist()], known)
+        self._put(totals, ring, known, block)
 
     def close(self) -> None:
         pass
