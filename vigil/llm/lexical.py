@@ -220,10 +220,11 @@ def _search_block(documents: DataFrame, asked: dict, k: int, id_col: str, text_c
     weights = {i: weight(total.docs, df[i]) for i in vocabulary.values() if i in df}
     names = list(asked)
     of = [[vocabulary[t] for t in asked[q] if vocabulary[t] in weights and weights[vocabulary[t]] > 0] for q in names]
-    shared = spark.sparkContext.broadcast((Queries(list(range(len(names))), of, weights), total.docs, total.words))
+    shared = spark.sparkContext.broadcast((of, weights, total.docs, total.words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, docs, words = shared.value
+        of, weights, docs, words = shared.value
+        queries = Queries(list(range(len(of))), of, weights)
         slot = np.full(len(vocabulary), -1, np.int64)
         slot[queries.used] = np.arange(len(queries.used))
         heaps: list[list[tuple]] = [[] for _ in queries.ids]
