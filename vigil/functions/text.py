@@ -118,3 +118,15 @@ def tmpl(fmt: str, *vals) -> Column:
 def scaled_bar(value: Column, factor: float, longest: int) -> Column:
     """A bar of ``int(value * factor)`` blocks, at most ``longest``."""
     return bar(F.least((value * factor).cast("int"), F.lit(longest)))
+
+
+def capitalised(x) -> Column:
+    """Python ``str.capitalize``: the first letter upper, the rest lower case."""
+    x = _c(x).cast("string")
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))
+
+
+def slug(x, longest: int = 40) -> Column:
+    """A file name part: lower case, blanks as ``_``, without brackets and
+    commas, cut at ``longest``."""
+    return F.left(F.regexp_replace(F.translate(F.lower(_c(x).cast("string")), " ", "_"), "[(),]", ""), F.lit(longest))

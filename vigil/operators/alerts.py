@@ -22,6 +22,7 @@ from vigil.functions.scoring import (API_CUTS, DETECTOR_DEFAULTS, ENSEMBLE_CUTS,
                                      risk_level, rule_score, safe_pct)
 from vigil.functions.text import iso_text, ljust, py_round, tmpl
 from vigil.functions.times import ntz_micros
+from vigil.session import write_once
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -351,8 +352,10 @@ def scorer_stats(scored: DataFrame, level: str = "risk_level") -> DataFrame:
 
 def attach_baseline(events: DataFrame, baseline: DataFrame) -> DataFrame:
     """Each event with its user's baseline snapshot (left equi-join; AQE
-    broadcasts the baseline at run time when it is small)."""
-    return events.join(baseline, "user_id", "left")
+    broadcasts the baseline at run time when it is small).  The baseline is
+    written first: both sides are then plain shuffles, and a user with a large
+    part of all events is split among tasks."""
+    return events.join(write_once(baseline, "baseline"), "user_id", "left")
 
 
 ROLLUP_DIMS = ["alert_type", "location", "model", "user_id", "hour"]

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -190,10 +190,10 @@ def fit(train: DataFrame, label: str, p: Params, features: list[str] = FEATURES)
     base = math.log(p.base / (1 - p.base))
     state = _blocks(table, parts, base, features).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def local(it: Iterator[Block]) -> Iterator[Tree]:
+    def local(it: Iterator[Block]) -> Iterator[tuple]:
         blocks = list(it)
         if blocks:
-            yield grow(lambda tree, first: block_histogram(blocks, tree, first, n_bins, weight), p)
+            yield astuple(grow(lambda tree, first: block_histogram(blocks, tree, first, n_bins, weight), p))
 
     def shared(tree: Tree, first: int) -> np.ndarray:
         def part(it: Iterator[Block]) -> Iterator[np.ndarray]:
@@ -208,7 +208,7 @@ def fit(train: DataFrame, label: str, p: Params, features: list[str] = FEATURES)
             grown = state.mapPartitions(local).collect()
             if not grown:
                 break
-            tree = grown[0]
+            tree = Tree(*grown[0])
         else:
             tree = grow(shared, p)
         trees.append(tree)

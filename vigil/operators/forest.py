@@ -146,8 +146,13 @@ class Top:
             column[tree] += [empty, empty]
         return new, new + 1
 
-    def ends(self, tree: int, x: np.ndarray) -> np.ndarray:
-        return descend(x, *(np.array(c[tree]) for c in (self.feature, self.threshold, self.left, self.right)))
+    def columns(self) -> tuple:
+        """Plain lists for the tasks."""
+        return self.feature, self.threshold, self.left, self.right
+
+
+def top_ends(columns: tuple, tree: int, x: np.ndarray) -> np.ndarray:
+    return descend(x, *(np.array(c[tree]) for c in columns))
 
 
 def descend(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -201,7 +206,7 @@ def _cell_batches(batches: Iterator[pa.RecordBatch], features: list[str]):
 
 def _large(table: DataFrame, top: Top, nodes: dict[int, list[int]], features: list[str], seed: int) -> dict[int, list[int]]:
     """Nodes of ``nodes`` with more than HANDOFF drawn cells."""
-    shared = table.sparkSession.sparkContext.broadcast((top, nodes))
+    shared = table.sparkSession.sparkContext.broadcast((top.columns(), nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, of = shared.value
@@ -209,7 +214,7 @@ def _large(table: DataFrame, top: Top, nodes: dict[int, list[int]], features: li
             out: list[tuple] = []
             for t, ids in of.items():
                 held = drawn(key, counts, t, seed).sum(axis=1) > 0
-                ends, n = np.unique(parts.ends(t, x[held]), return_counts=True)
+                ends, n = np.unique(top_ends(parts, t, x[held]), return_counts=True)
                 out += [(t, int(e), int(c)) for e, c in zip(ends, n) if e in set(ids)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["tree", "node", "n"])
 
@@ -223,7 +228,7 @@ def _large(table: DataFrame, top: Top, nodes: dict[int, list[int]], features: li
 def _histograms(table: DataFrame, top: Top, nodes: dict[int, list[int]], edges: list[list[float]],
                 features: list[str], seed: int) -> DataFrame:
     """(tree, node, feature, bin, w0, w1) of the given nodes."""
-    shared = table.sparkSession.sparkContext.broadcast((top, nodes, [np.array(e) for e in edges]))
+    shared = table.sparkSession.sparkContext.broadcast((top.columns(), nodes, [np.array(e) for e in edges]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, of, cuts = shared.value
@@ -231,7 +236,7 @@ def _histograms(table: DataFrame, top: Top, nodes: dict[int, list[int]], edges:
             bins = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(cuts)], axis=1)
             n_bins, n_features = max(map(len, cuts)) + 1, len(features)
             for t, ids in of.items():
-                w, ends, slots = drawn(key, counts, t, seed), parts.ends(t, x), np.sort(np.array(ids))
+                w, ends, slots = drawn(key, counts, t, seed), top_ends(parts, t, x), np.sort(np.array(ids))
                 at = np.searchsorted(slots, ends)
                 at[at == len(slots)] = 0
                 here = np.flatnonzero((slots[at] == ends) & (w.sum(axis=1) > 0))
@@ -275,15 +280,15 @@ def _best_splits(sums: DataFrame, features: list[str], some: int, seed: int) ->
 def _subtrees(table: DataFrame, top: Top, some: int, seed: int, features: list[str]) -> DataFrame:
     """Nodes below the top parts: each end of a top part is a unit of its own."""
     spark = table.sparkSession
-    shared = spark.sparkContext.broadcast(top)
+    shared = spark.sparkContext.broadcast(top.columns())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = shared.value
         for x, key, counts in _cell_batches(batches, features):
-            for t in range(len(parts.feature)):
+            for t in range(len(parts[0])):
                 w = drawn(key, counts, t, seed)
                 held = w.sum(axis=1) > 0
-                unit = parts.ends(t, x[held])
+                unit = top_ends(parts, t, x[held])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(unit), t, np.int32)), pa.array(unit), pa.array(key[held]),
                      *(pa.array(x[held, i]) for i in range(len(features))), pa.array(w[held, 0]), pa.array(w[held, 1])],

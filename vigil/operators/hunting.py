@@ -7,6 +7,8 @@ combined map-side before the shuffle; top-k compiles to TakeOrderedAndProject.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
+def when_column(df: DataFrame, name: str, analysis: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """The analysis, or None without its column."""
+    return analysis(df) if has_column(df, name) else None
+
+
+def one_per_class(df: DataFrame, label: str, order: str = "event_id") -> DataFrame:
+    """O3: the first row of each class (a minimum, no sort of the rows)."""
+    rest = [c for c in df.columns if c not in (label, order)]
+    return df.groupBy(label).agg(F.min_by(F.struct(order, *rest), order).alias("r")).select("r.*", label)
+
+
 def foreign_strict(df: DataFrame, home: str = HOME_COUNTRY) -> DataFrame:
     """``location != home``; rows without a location are dropped."""
     return df.filter(F.col("location") != F.lit(home))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigil.functions.scoring import HIGH_RISK_COUNTRIES, HOME_COUNTRY
 from vigil.functions.text import fmt_fixed, fmt_int0, py_dict_text, tmpl
 from vigil.plans.ordered_scan import global_rank
+from vigil.session import write_once
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -284,8 +285,10 @@ def risk_level_members(ranking: DataFrame) -> DataFrame:
 
 
 def risky_user_events(df: DataFrame, levels=("CRITICAL", "HIGH")) -> DataFrame:
-    """Every event of users whose verdict is in ``levels`` (left-semi join)."""
-    risky = user_verdicts(df).filter(F.col("risk_level").isin(list(levels))).select("user_id")
+    """Every event of users whose verdict is in ``levels`` (left-semi join;
+    the users are written first, so that a user with a large part of all
+    events is split among tasks)."""
+    risky = write_once(user_verdicts(df).filter(F.col("risk_level").isin(list(levels))).select("user_id"), "risky")
     return df.join(risky, "user_id", "left_semi")
 
 

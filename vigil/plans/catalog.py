@@ -282,3 +282,4 @@ from vigil.plans import q_io  # noqa: E402,F401
 from vigil.plans import q_given  # noqa: E402,F401
 from vigil.plans import q_invariants  # noqa: E402,F401
 from vigil.plans import q_resume  # noqa: E402,F401
+from vigil.plans import q_checks  # noqa: E402,F401
