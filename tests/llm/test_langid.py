@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
-from vigil.llm.langid import UNKNOWN, detect, fit, identify, scripts_of, NAMES, viterbi
+from conftest import SF_SMALL
+from vigil.llm.langid import NAMES, UNKNOWN, detect, evidence_needed, fit, identify, in_a_learned_language, scripts_of, viterbi
 
 ENGLISH = "the house is on the hill and the people of this town walk there with their dogs every morning before work"
 GERMAN = "das haus steht auf dem hügel und die leute dieser stadt gehen dort jeden morgen vor der arbeit mit ihren hunden"
@@ -76,3 +77,24 @@ def test_no_labels_and_empty_table(spark):
     d = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in identify(d).collect()] == [(UNKNOWN, 0.0)]
     assert identify(d.limit(0)).count() == 0
+
+
+def test_evidence_rejects_what_is_in_no_learned_language(spark):
+    rnd = random.Random(1)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = fit(docs)
+    needed = evidence_needed(docs, model)
+
+    def kept(rows):
+        d = spark.createDataFrame(rows, "k string, text string")
+        return {r.k: r.kept for r in detect(d, model, evidence=True).withColumn("kept", in_a_learned_language(needed)).collect()}
+    clean = {r.doc_id: r.text for r in docs.filter("length(text) > 200 AND lang IS NOT NULL").collect()}
+    some = rnd.sample(sorted(clean), 40)
+    mixed = [(f"mixed {a}", clean[a][:100] + " " + clean[b][:100]) for a, b in zip(some, some[1:])]
+    assert all(kept([(f"doc {i}", clean[i]) for i in some] + [(f"part {i}", clean[i][20:60]) for i in some] + mixed).values())
+    noise = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(60)),
+             "A kutya gyorsan futott a mezőn keresztül, miközben a gyerekek nevetve követték őt a folyóig, ahol megálltak pihenni",
+             "Дети играли в саду пока родители говорили о погоде и новостях дня на кухне"]
+    assert not any(kept([(f"noise {i}", t) for i, t in enumerate(noise)]).values())
+    assert kept([("none", None), ("empty", ""), ("digits", "12 34")]) == {"none": False, "empty": False, "digits": False}
+    assert detect(docs.limit(0), model, evidence=True).collect() == []

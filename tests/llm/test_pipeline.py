@@ -14,7 +14,8 @@ from vigil.llm.line_dedup import MIN_WORDS
 def stages(spark):
     """Input and output rows of every stage over the small documents."""
     docs, out = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), []
-    extra = spark.createDataFrame([(90001, "12 34 --", "en", "x", 8), (90002, None, None, None, None), (90003, "", "en", "x", 0)], docs.schema)
+    extra = spark.createDataFrame([(90001, "12 34 --", "en", "x", 8), (90002, None, None, None, None), (90003, "", "en", "x", 0),
+                                   (90004, "qzx wvk pqj xkcd zzyq vbnmq wrtp lkjh " * 12, None, "x", 468)], docs.schema)
     docs = docs.unionByName(extra)
     for name, stage in corpus_pipeline.STAGES:
         new = stage(spark, docs, SF_SMALL)
@@ -37,7 +38,7 @@ def test_columns_of_documents(stages):
 def test_language_id_drops_only_rows_without_a_language(stages):
     before, after, _ = stages["language_id"]
     gone = {r.doc_id for r in before} - {r.doc_id for r in after}
-    assert gone == {90001, 90002, 90003}
+    assert gone == {90001, 90002, 90003, 90004}  # no letters, or in no learned language
     assert {r.doc_id: r.text for r in after} == {r.doc_id: r.text for r in before if r.doc_id not in gone}
 
 

@@ -29,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigil.llm.common import steps, wider
+from vigil.llm.common import steps, wider, written
 
 SAMPLE = 3000        # labelled texts a language to learn from, about
 BUCKETS = 1 << 16    # trigram buckets
@@ -38,6 +39,9 @@ MAX_LANGS = 512
 PENALTY = 12.0       # of a change of language, in nats
 FOREIGN = 60.0       # of a word whose script the language doesn't use, in nats
 UNKNOWN = "und"
+STRAY = 4.0          # standard deviations of chance that a text's mean may be off
+MARGIN = 0.5         # more than any sampled labelled row falls short, in nats a letter
+LETTER_DEVIATION = 2.0  # of a letter's log probability, in nats, about
 
 # First and last code points of the main ranges of scripts.
 SCRIPTS = [
@@ -108,6 +112,46 @@ def count_trigrams(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         .groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
 
 
+def sampled(rows: DataFrame, sizes: dict, sample: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """About ``sample`` rows a language, chosen by a hash."""
+    part = F.lit(0.0)
+    for lang in sorted(sizes):
+        part = F.when(F.col(lang_col) == lang, F.lit(sample / sizes[lang])).otherwise(part)
+    return rows.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < part * (1 << 20))
+
+
+def evidence_needed(labelled: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
+                    lang_col: str = "lang") -> dict[str, tuple[float, float]]:
+    """By predicted language: the usual evidence, and the greatest shortfall.
+    A text may fall short of the language's usual evidence by chance (STRAY
+    deviations of a mean of its letters) and by MARGIN more than any sampled
+    labelled row does."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    chosen = sampled(rows, model["sizes"], SAMPLE, id_col, text_col, lang_col).select(F.col(text_col).alias("text"))
+    seen = written(detect(chosen, model, "text", evidence=True).drop("text").filter("letters > 0"), "evidence")
+    usual = {r.lang_pred: r.m for r in seen.groupBy("lang_pred").agg(F.percentile_approx("evidence", 0.5).alias("m")).collect()}
+    short = shortfall(usual)
+    least = seen.withColumn("short", short).groupBy("lang_pred").agg(F.max("short").alias("s")).collect()
+    return {r.lang_pred: (usual[r.lang_pred], r.s + MARGIN) for r in least}
+
+
+def shortfall(usual: dict[str, float]) -> Column:
+    """By how many nats a letter a text has less evidence than is usual for
+    its language, beyond chance."""
+    at = F.lit(None).cast("double")
+    for lang, m in usual.items():
+        at = F.when(F.col("lang_pred") == lang, F.lit(float(m))).otherwise(at)
+    return at - F.col("evidence") - F.lit(STRAY * LETTER_DEVIATION) / F.sqrt(F.greatest("letters", F.lit(1.0)))
+
+
+def in_a_learned_language(needed: dict[str, tuple[float, float]]) -> Column:
+    """Whether a row of ``detect(evidence=True)`` has the evidence needed."""
+    enough = F.lit(None).cast("double")
+    for lang, (_, s) in needed.items():
+        enough = F.when(F.col("lang_pred") == lang, F.lit(float(s))).otherwise(enough)
+    return F.coalesce(shortfall({k: m for k, (m, _) in needed.items()}) <= enough, F.lit(False))
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample: int = SAMPLE) -> dict:
     """Count the model from rows with a non-null language."""
@@ -119,11 +163,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     logp = np.zeros((BUCKETS, len(langs)), np.float32)
     uses = np.zeros((len(NAMES), len(langs)), bool)
     if langs:
-        part = F.lit(0.0)
-        for lang in langs:
-            part = F.when(F.col(lang_col) == lang, F.lit(sample / sizes[lang])).otherwise(part)
-        chosen = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < part * (1 << 20)
-        counts = count_trigrams(rows.filter(chosen), text_col, lang_col).toPandas()  # buckets x languages at most
+        chosen = sampled(rows, sizes, sample, id_col, text_col, lang_col)
+        counts = count_trigrams(chosen, text_col, lang_col).toPandas()  # buckets x languages at most
         column = counts["lang"].map({x: i for i, x in enumerate(langs)})
         g = counts["kind"] == "g"
         n = np.zeros((BUCKETS, len(langs)))
@@ -134,7 +175,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         s[counts["bucket"][~g], column[~g]] = counts["n"][~g]
         uses = s > 0.001 * np.maximum(1, s.sum(0))
         uses[~uses.any(1)] = True
-    return {"langs": langs, "logp": logp, "uses": uses}
+    return {"langs": langs, "logp": logp, "uses": uses, "sizes": sizes}
 
 
 def word_scores(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +243,8 @@ def label_texts(texts: list[str | None], model: dict, penalty: float = PENALTY):
                        minlength=len(texts) * max(1, size)).reshape(len(texts), max(1, size))
     top, total = mass.argmax(1), mass.sum(1)
     known = (total > 0) & (size > 0)
+    won = np.bincount(owner, weights=score[code, label], minlength=len(texts)) if size else np.zeros(len(texts))
+    evidence = np.where(known, won / np.maximum(total, 1), 0.0)
     pred = [model["langs"][j] if ok else UNKNOWN for j, ok in zip(top, known)]
     share = np.where(known, mass.max(1) / np.maximum(total, 1), 0.0)
     if size:
@@ -209,24 +252,29 @@ def label_texts(texts: list[str | None], model: dict, penalty: float = PENALTY):
             if len(label) else np.empty(0, np.int64)
     else:
         change = np.empty(0, np.int64)
-    return pred, share, (change, np.append(change[1:], len(label)), owner, start, label)
+    return pred, share, (change, np.append(change[1:], len(label)), owner, start, label), (evidence, total)
 
 
 def detect(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = PENALTY,
-           spans: bool = False) -> DataFrame:
+           spans: bool = False, evidence: bool = False) -> DataFrame:
     """``docs`` with lang_pred, score and, if asked, spans by word number
-    (array of first, past, lang).  Columns of these names are replaced."""
+    (array of first, past, lang) and the evidence: the mean log probability of
+    a letter under the labels, and the letters.  Columns of these names are
+    replaced."""
     bc = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
-    base = docs.drop("lang_pred", "score", "spans")
+    base = docs.drop("lang_pred", "score", "spans", *["evidence", "letters"] * evidence)
     schema = wider(base, "lang_pred string, score double")
     limit = (4 << 20) * 4 // max(4, len(model["langs"]))
     if spans:
         schema = wider(base, "lang_pred string, score double, spans array<struct<first:int,past:int,lang:string>>")
 
+    if evidence:
+        schema = T.StructType([*schema.fields, *T.StructType.fromDDL("evidence double, letters double").fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bc.value
         for rb in steps(batches, text_col, limit):
-            pred, share, (first, past, owner, start, label) = label_texts(rb.column(text_col).to_pylist(), model, penalty)
+            pred, share, (first, past, owner, start, label), found = label_texts(rb.column(text_col).to_pylist(), model, penalty)
             cols = [*rb.columns, pa.array(pred, pa.string()), pa.array(share, pa.float64())]
             if spans:
                 out: list[list[dict]] = [[] for _ in pred]
@@ -234,7 +282,9 @@ def detect(docs: DataFrame, model: dict, text_col: str = "text", penalty: float
                     d = owner[a]
                     out[d].append({"first": int(a - start[d]), "past": int(b - start[d]), "lang": model["langs"][label[a]]})
                 cols.append(pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(cols, [*rb.schema.names, "lang_pred", "score", *["spans"] * spans])
+            if evidence:
+                cols += [pa.array(found[0], pa.float64()), pa.array(found[1], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return base.mapInArrow(run, schema)
 
