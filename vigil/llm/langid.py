@@ -40,7 +40,7 @@ PENALTY = 12.0       # of a change of language, in nats
 FOREIGN = 60.0       # of a word whose script the language doesn't use, in nats
 UNKNOWN = "und"
 STRAY = 4.0          # standard deviations of chance that a text's mean may be off
-MARGIN = 0.5         # more than any sampled labelled row falls short, in nats a letter
+MARGIN = 2.5         # more than any sampled labelled row falls short, in nats a letter: a short text may hold a key or an address
 LETTER_DEVIATION = 2.0  # of a letter's log probability, in nats, about
 
 # First and last code points of the main ranges of scripts.
