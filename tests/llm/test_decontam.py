@@ -82,7 +82,49 @@ def test_longest_match_has_its_place(spark):
     r = hits(spark.createDataFrame([(1, doc)], "doc_id long, text string"),
              spark.createDataFrame([(7, item)], "item_id long, text string")).first()
     assert r.n_hit == 15 and ["7"] == r["items"]
-    assert max((m.length, m.word) for m in r.longest) == (15, 2)
+    assert tuple(r.longest) == (2, 15, "7")
+
+
+def test_an_item_that_another_one_continues_is_matched_whole(spark):
+    first = " ".join(f"w{i}" for i in range(14))
+    items = [(1, first), (2, " ".join(f"w{i}" for i in range(13)) + " other words follow here")]
+    docs = [(i, f"{i} {first} end") for i in range(10)]  # each document has its own place
+    got = hits(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: tuple(r.longest) for r in got.collect()} == {i: (1, 14, "1") for i in range(10)}
+
+
+@pytest.mark.parametrize("seed,block", [(1, None), (4, None), (3, 400)])
+def test_longest_matches_equal_brute_force(spark, monkeypatch, seed, block):
+    if block:
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    docs, items = cases(seed)
+    texts = [words(t) for _, t in items]
+    windows = {tuple(t[p:p + min(10, len(t))]) for t in texts for p in range(max(0, len(t) - min(10, len(t)) + 1)) if t}
+    runs = {tuple(t[a:b]) for t in texts for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+
+    def longest(seq):
+        best = None
+        for p in range(len(seq)):
+            if any(tuple(seq[p:p + len(w)]) == w for w in windows):
+                n = max(k for k in range(1, len(seq) - p + 1) if tuple(seq[p:p + k]) in runs)
+                best = (p, n) if best is None or n > best[1] else best
+        return best
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = hits(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = sorted(((str(i), longest(words(t))) for i, t in docs), key=str)
+    if block is None:
+        assert sorted(((str(r.doc_id), r.longest and (r.longest.word, r.longest.length)) for r in got), key=str) == want
+    else:  # a place's match in a block of items begins where a window of that block stands
+        assert sorted((str(r.doc_id), r.longest is not None) for r in got) == sorted((i, m is not None) for i, m in want)
+    by_item = {("null" if i is None else str(i)): [] for i, _ in items}
+    for i, t in items:
+        by_item["null" if i is None else str(i)].append(words(t))
+    ids = [str(i) for i, _ in docs]
+    text = {str(i): t for i, t in docs if ids.count(str(i)) == 1}
+    for r in got:
+        if r.longest and str(r.doc_id) in text:
+            run = words(text[str(r.doc_id)])[r.longest.word:r.longest.word + r.longest.length]
+            assert any(run == t[a:a + len(run)] for t in by_item[r.longest.item] for a in range(len(t)))
 
 
 def test_empty_tables(spark):

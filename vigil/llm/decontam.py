@@ -4,10 +4,12 @@ Words: ASCII letters lower-cased, then runs of characters outside the ASCII
 non-alphanumerics.  A test item's windows are its runs of ``window`` words
 (an item of fewer words, but not none, is one window).  Every task takes its
 documents in shards of bounded size and sorts the suffixes of a shard (word
-codes, prefix doubling).  Every distinct test suffix is then binary-searched
-in the shard's suffix array: the two bounds of its window's range give all
-places where the window occurs, and the neighbours of its insertion point
-the longest verbatim match and its location.
+codes, prefix doubling).  Every distinct window is then binary-searched in the
+shard's suffix array: the two bounds of its range give all places where it
+occurs.  Each such place is searched in the sorted test suffixes in turn: the
+neighbours of its insertion point are the suffixes that share most words with
+it, so they give the place's longest verbatim match, and the longest of a
+document's places is the document's, with its location and item.
 
 Suffixes that cannot match are left out of the array: a word that no test
 item holds ends a run, and a run shorter than the shortest window holds no
@@ -52,23 +54,28 @@ class TestSet:
         self.vocab: dict[bytes, int] = {}
         code = self.vocab.setdefault
         distinct: dict[tuple, set[int]] = {}
-        suffix: dict[tuple, tuple] = {}
+        first: dict[tuple, int] = {}
         self.ids = sorted({i for i, _ in items})
         number = {i: n for n, i in enumerate(self.ids)}
+        flat, owner = [], []  # codes of all items, a zero behind each
         for item, text in items:
             seq = [code(w, len(self.vocab) + 1) for w in words_of(text)]
             w = min(window, len(seq))
             for p in range(len(seq) - w + 1 if seq else 0):
                 key = (w, *seq[p:p + w])
                 distinct.setdefault(key, set()).add(number[item])
-                if len(seq) - p > len(suffix.get(key, ())):
-                    suffix[key] = tuple(seq[p:])
+                first.setdefault(key, len(flat) + p)
+            flat += [*seq, 0]
+            owner += [number[item]] * (len(seq) + 1)
         self.window = np.array([k[0] for k in distinct], np.int64)
         self.owners = [np.array(sorted(v), np.int64) for v in distinct.values()]
         self.shortest = int(self.window.min()) if len(distinct) else 0
-        # the longest suffix that begins with each distinct window, zero at its end
-        self.at = np.cumsum([0] + [len(suffix[k]) + 1 for k in distinct])[:-1] if distinct else np.empty(0, np.int64)
-        self.codes = np.array([c for k in distinct for c in (*suffix[k], 0)], np.int64)
+        # one place of each distinct window
+        self.at = np.array([first[k] for k in distinct], np.int64)
+        self.codes, self.owner = np.array(flat, np.int64), np.array(owner, np.int64)
+        ends = np.flatnonzero(self.codes == 0)
+        places = np.flatnonzero(self.codes)
+        self.suffixes = suffix_array(self.codes, places, ends[np.searchsorted(ends, places)] if len(places) else places)
 
 
 def suffix_array(codes: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -128,7 +135,7 @@ def search_shard(texts: list[str | None], test: TestSet) -> dict:
     """Hits of a shard's documents.
 
     n_words, hit (per word), the pairs (document, item) and the longest match
-    of each test suffix that matches (document, word, length, item).
+    of each document with a hit (document, word, length, item).
     """
     get, seqs, n_words = test.vocab.get, [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -153,27 +160,32 @@ def search_shard(texts: list[str | None], test: TestSet) -> dict:
         lo = bound(codes, sa, test.codes, test.at, test.window, False)
         hi = bound(codes, sa, test.codes, test.at, test.window, True)
         found = np.flatnonzero(hi > lo)
-        found_pairs, found_long = [], []
+        found_pairs, found_places = [], []
         for t in found:
             places = sa[lo[t]:hi[t]]
             w = test.window[t]
             np.add.at(hit, places, 1)
             np.add.at(hit, places + w, -1)
+            found_places.append(places)
             doc = np.unique(np.searchsorted(offset, places, side="right") - 1)
             own = test.owners[t]
             found_pairs.append(np.stack([np.repeat(doc, len(own)), np.tile(own, len(doc))], 1))
         if len(found):
             pairs = np.unique(np.concatenate(found_pairs), axis=0)
-            whole = np.full(len(found), np.iinfo(np.int64).max)
-            spot = bound(codes, sa, test.codes, test.at[found], whole, False)
-            best, where = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+            spots = np.unique(np.concatenate(found_places))
+            whole = np.full(len(spots), np.iinfo(np.int64).max)
+            spot = bound(test.codes, test.suffixes, codes, spots, whole, False)
+            best, item = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
             for side in (spot - 1, spot):
-                ok = np.flatnonzero((side >= 0) & (side < len(sa)))
-                _, shared = compare(codes, sa[side[ok]], test.codes, test.at[found[ok]], whole[ok])
+                ok = np.flatnonzero((side >= 0) & (side < len(test.suffixes)))
+                suffix = test.suffixes[side[ok]]
+                _, shared = compare(test.codes, suffix, codes, spots[ok], whole[ok])
                 better = shared > best[ok]
-                best[ok[better]], where[ok[better]] = shared[better], sa[side[ok[better]]]
-            doc = np.searchsorted(offset, where, side="right") - 1
-            longest = np.stack([doc, where - offset[doc], best, [int(test.owners[t][0]) for t in found]], 1)
+                best[ok[better]], item[ok[better]] = shared[better], test.owner[suffix[better]]
+            doc = np.searchsorted(offset, spots, side="right") - 1
+            order = np.lexsort((spots, -best, doc))  # the longest of a document, the first of these
+            order = order[np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1]))]
+            longest = np.stack([doc, spots - offset[doc], best, item], 1)[order]
     covered = np.cumsum(hit) > 0
     return {"n_words": n_words, "offset": offset, "covered": covered, "pairs": pairs, "longest": longest}
 
@@ -192,7 +204,9 @@ def test_blocks(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",
          text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, n_items, items (ids, sorted as
-    strings), items_sha256, contaminated, longest (word, length, item)."""
+    strings), items_sha256, contaminated, longest (the longest run of words
+    that also stands in an item: first word, length, an item; null without a
+    hit)."""
     spark = docs.sparkSession
     key = docs.schema[id_col].dataType.simpleString()
     match = "array<struct<word:int,length:int,item:string>>"
@@ -256,11 +270,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
         (s, x) -> struct(s.n + greatest(0, x.b - greatest(x.a, s.upto)) AS n, greatest(s.upto, x.b) AS upto),
         s -> s.n)""")
     items = F.array_sort("items")
+    # one match a block of items: the longest, the first of these
+    longest = F.expr("""transform(slice(array_sort(transform(longest, x -> struct(-x.length AS l, x.word AS word, x.item AS item))), 1, 1),
+        x -> named_struct('word', x.word, 'length', -x.l, 'item', x.item))[0]""")
+    longest = F.when(F.size("longest") > 0, longest)
     return found.select(
         F.col("_id").alias(id_col), "n_words", F.when(F.size("spans") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), items.alias("items"), "longest")
+        (F.size("spans") > 0).alias("contaminated"), items.alias("items"), longest.alias("longest"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",

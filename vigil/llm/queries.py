@@ -55,7 +55,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words found in every document."""
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10) \
-        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("longest.word").alias("longest_word"),
+                F.col("longest.length").alias("longest_length"), F.col("longest.item").alias("longest_item"))
 
 
 @query
