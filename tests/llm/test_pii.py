@@ -1,7 +1,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from vigil.llm import pii
@@ -97,10 +96,87 @@ def test_collisions_are_drawn_again(spark):
     assert not set(fake) & set(fake.values())
 
 
-def test_no_room_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(pii, "ROUNDS", 3)
-    with pytest.raises(ValueError, match="collide"):
-        mapping(spark.createDataFrame([("secret", str(i)) for i in range(10)], "type string, canon string"), KEY)
+def test_full_spaces_exchange_canonical_forms(spark, monkeypatch):
+    """No free surrogate is left in a fixed shape: entities exchange theirs."""
+    monkeypatch.setattr(pii, "FULL", 2)
+    monkeypatch.setattr(pii, "BUCKET", 16)
+    octets = [str(i) for i in range(1, 255)]
+    monkeypatch.setattr(pii, "surrogate", lambda attempt, key: F.expr(
+        f"IF(type = 'ip', concat('192.168.1.', 1 + pmod(xxhash64(canon, {attempt}), 254)), concat('10000000', pmod(xxhash64(canon, {attempt}), 10)))"))
+    rows = [("ip", f"192.168.1.{o}") for o in octets] + [("ssn", f"10000000{i}") for i in range(9)]
+    got = mapping(spark.createDataFrame(rows, "type string, canon string"), KEY).collect()
+    fake = {(r.kind, r.canon): r.fake for r in got}
+    assert len(got) == len(rows) and set(fake) == set(rows)
+    assert all(c != f for (_, c), f in fake.items()) and len({(k, f) for (k, _), f in fake.items()}) == len(rows)
+
+
+def test_exchange_of_one_alone(spark):
+    left = spark.createDataFrame([("ssn", "1", "ssn"), ("ip", "10.0.0.1", "ip")], "kind string, canon string, type string")
+    kept = spark.createDataFrame([("ssn", "2", "ssn", "3"), ("ssn", "4", "ssn", "5")], "kind string, canon string, type string, fake string")
+    assert [tuple(r) for r in pii.exchanged(left, kept, KEY).collect()] == [("ssn", "1", "ssn", "2")]
+
+
+PEOPLE = [  # title, words of the run (None: a particle that stays)
+    ("Mr.", ["John", "A.", "Smith"]), ("Dr.", ["Anna", "Maria", "Weiss"]), ("Frau", ["Maria", "Weiss"]), ("Prof. Dr.", ["Smith"]),
+    ("MRS", ["ANNA", "MÜLLER"]), ("Señora", ["Lucía", "Ōno-" + "b" * 40]), ("Господин", ["Иван", "Петров"]), ("Κύριος", ["Νίκος"]),
+    ("Herr", ["J.R.", "O'Neil"]), ("Mme", ["d'Arc"])]
+
+
+def test_names_against_texts_built_of_known_parts(spark):
+    """Texts are built of parts that must stay and of names that must go, so
+    what every text has to become is known but for the surrogates."""
+    rnd = random.Random(4)
+    stay = ["the old house", "and then", "on 12 May", "Berlin was cold", "a b c", "é", "we saw 3.14", "x@y", "told them: no", "2123465659789240"]
+    docs, parts = [], []
+    for i in range(120):
+        row, known = [], []
+        for _ in range(rnd.randint(1, 6)):
+            row.append(("stay", rnd.choice(stay) + ", "))
+            if rnd.random() < 0.6:
+                title, words = rnd.choice(PEOPLE)
+                row.append(("stay", title + rnd.choice([" ", "  ", "\u00a0"])))
+                for j, w in enumerate(words):
+                    if j:
+                        row.append(("stay", rnd.choice([" ", "  "]) + (rnd.choice(["", "van der "]) if w[-1] != "." else "")))
+                    row.append(("go", w))
+                    known += [w] if w[-1] != "." and len(w) > 1 else []
+                row.append(("stay", rnd.choice([" said ", "'s, ", ". ", ", "])))
+            elif known:
+                row += [("go", rnd.choice(known)), ("stay", rnd.choice([" said ", ", ", "'s "]))]
+        docs.append("".join(t for _, t in row))
+        parts.append(row)
+    to = {}
+    for new, row in zip(fakes(spark, docs), parts):
+        pattern = "".join(re.escape(t) if k == "stay" else r"([\w.]+)" for k, t in row)
+        m = re.fullmatch(pattern, new)
+        assert m, (new, row)
+        for was, now in zip([t for k, t in row if k == "go"], m.groups()):
+            assert to.setdefault(was.lower(), now.lower()) == now.lower() and was.lower() != now.lower()
+            assert now[0].isupper() and now[1:].isupper() == was[1:].isupper() or "." in was
+    assert len(set(to.values())) == len(to) and not {w for w in to if "." not in w} & set(to.values())
+    assert to["maria"][-1] == "a" and to["john"][-1] == "o" and to["иван"].endswith("ан")  # 'Dr.' shows no gender, 'Frau' does
+
+
+def test_found_and_left_as_the_reviews_asked(spark):
+    out = fakes(spark, ["rené.34@beispiel.de. 03012345678 und 555 123 4567; 030 12345678",
+                        "a@" + "lab." * 33 + "com, end", "password: ****** card 2123465659789240 here", "password=密码密码密码 or token=Пароль1",
+                        "Later Smith.\nMr.\nSmith left", "Smith without a title"])
+    assert re.fullmatch(r"[a-z]{4}\.\d\d@[a-z]{8}\.example\. 0\d{10} und \d{3} \d{3} \d{4}; 0\d\d \d{8}", out[0])
+    assert "03012345678" not in out[0] and "555 123" not in out[0]
+    assert re.fullmatch(r"[a-z]@(?:[a-z]{3}\.){33}example, end", out[1])
+    assert out[2] == "password: ****** card 2123465659789240 here"
+    assert "密" not in out[3] and "Пароль" not in out[3]
+    m = re.fullmatch(r"Later (\w+)\.\nMr\.\n(\w+) left", out[4])
+    assert m[1] == m[2] != "Smith" and out[5] == "Smith without a title"
+
+
+def test_very_long_run_of_names(spark):
+    """The run behind a title has no upper length."""
+    names = [f"Name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(20000)]
+    out = fakes(spark, ["Mr. " + " ".join(names) + " ended", "x" * 9_000_000 + " Mr. Namek " + "Y" * 100])
+    words = out[0][4:-6].split(" ")
+    assert len(words) == 20000 and not any(w.startswith("Name") for w in words) and len(set(words)) == 100
+    assert len(out[1]) > 9_000_000 and "Namek" not in out[1]
 
 
 def test_main_path_is_native(spark):

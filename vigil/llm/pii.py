@@ -6,34 +6,51 @@ case of an e-mail address or name), so different spellings corefer.  Every
 distinct (type, canonical form) gets one surrogate in the whole corpus:
 characters are drawn from a keyed SHA-256 and keep their class (digit, letter,
 case, script); an e-mail domain is replaced alike wherever it stands, under the
-reserved name ``example`` so that no real mailbox is hit; private addresses stay private; card numbers keep the issuer digit and the state of
-the check digit; IBANs get right check digits; names keep script, case and
-the gender that the title or ending shows.
+reserved name ``example`` so that no real mailbox is hit; private addresses
+stay private; card numbers keep the issuer digit and a right check digit; IBANs
+get right check digits; names keep script, case and gender.
+
+A person is a title with the whole run of names, initials and particles behind
+it.  Each word of the run is an entity, the same one whatever title stands
+before it: a name is a given name if it ever stands before another one, and has
+a gender if all its titles that show one agree.  A capitalised word of a text
+that is one of the names found in that text is replaced as well (an equi-join
+on text and word).  Initials go by a keyed permutation of the alphabet.
 
 Surrogates are checked on the whole table of entities: of those that share a
 surrogate one keeps it, and none may equal an entity of the corpus; the others
-are drawn again until no collision is left.  So different entities stay
-different and equal ones equal.
+are drawn again until no collision is left.  Names, mailboxes, secrets and keys
+get longer as rounds go on; types of fixed length change to the canonical form
+of another entity of the same shape once ``FULL`` rounds found no free one, in
+a keyed order without fixed points.  So different entities stay different and
+equal ones equal, however full a space is.
 
 Entities are made distinct before they are joined, so a value that stands in
 a third of all rows is one row of the table; the join of the occurrences on
 the value is left to skew-join splitting.  An occurrence list holds the
-entities of one text.
+entities of one text.  Only texts with entities go through a join.
 
 Defined cases: a null text stays null; texts without entities stay as they
-are.  Equal rows (id and text) get equal results.  Names are found after a
-title only.  Without a key of the caller's own the surrogates can be guessed
-by anyone who has this module, so production runs must pass ``key``.
+are.  Equal rows (id and text) get equal results.  Numbers that fail the card
+check digit are no cards.  Secrets without a letter or digit are masked already
+and stay.  Not found: persons who have no title anywhere in the text, names in
+another inflection, initials of a name that stands in full elsewhere.
+Capitalised words straight behind a name count as names.  Letters outside Latin, Cyrillic and Greek become Latin ones.  Without a key of
+the caller's own the surrogates can be guessed by anyone who has this module,
+so production runs must pass ``key``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import written
 
-ROUNDS = 100
+FULL = 12  # rounds until types of fixed length exchange canonical forms
+BUCKET = 1024  # entities that exchange theirs in one window
 
 # Titles that show a gender.
 MALE = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"]
@@ -50,24 +67,40 @@ ENDINGS = {  # given name: male, female, open; family name: male, female
     "latin": ["o", "a", "in", "er", "er"], "cyrillic": ["ан", "а", "и", "ов", "ова"], "greek": ["ος", "α", "ις", "ης", "η"],
 }
 
-TITLE = "(?:" + "|".join(MALE + FEMALE + OTHER) + r")\.?"
-NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+# Particles between names, and the alphabets of initials.
+PARTICLES = ["van", "von", "der", "den", "de", "del", "della", "da", "di", "do", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "af", "zu", "y"]
+ALPHABETS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÄÅÆÇÈÉÊËÍÎÏÑÓÔÖØÚÛÜŁŚŠŽ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+
+WORD = r"[\p{L}\p{M}\p{N}_]"
+TITLES = MALE + FEMALE + OTHER
+TITLE = "(?:" + "|".join(TITLES + [t.upper() for t in TITLES]) + r")\.?"
+BLANK = r"[ \t\u00A0]"
+PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}){BLANK}++)*+"
+NAME = r"(?:\p{Ll}{1,3}['’])?\p{Lu}[\p{L}\p{M}'’-]*+"
+INITIAL = r"(?:\p{Lu}\.-?)++"
+ITEM = f"(?:{INITIAL}|{NAME})"
+HEAD = rf"(?<!{WORD})(?:{TITLE}(?:{BLANK}++\n?|\n))++{PARTICLE}"
+PERSON = rf"{HEAD}{ITEM}(?:(?:{BLANK}++{PARTICLE}|(?<=\.)){ITEM})*+"
 PATTERNS = {  # the first that fits decides
-    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.){1,30}+[A-Za-z]{2,}+",
+    "email": rf"(?<![\p{{L}}\p{{M}}\p{{N}}_.%+-])[\p{{L}}\p{{M}}\p{{N}}_.%+-]++@(?=[\p{{L}}\p{{N}}-]++\.)[\p{{L}}\p{{N}}.-]*\p{{L}}{{2}}",
     "secret": r"(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?[^\s\"',;]{6,}+",
     "key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)(?:ghp|gho|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
              r"|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d|[.-]\d)"
-             r"|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)",
+             r"|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d.-]*\d)"
+             r"|(?<![\w.+-])0[1-9]\d{1,3}[ /.-]?\d{5,9}(?![\w-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
-    "name": rf"(?<= )(?=\p{{Lu}})(?:(?<=(?<!\p{{L}}){TITLE} )|(?<=(?<!\p{{L}}){TITLE} {NAME} )){NAME}",
+    "person": PERSON,
 }
 # One look-behind for all: places inside a word fail at once.
 ALL = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-PERSON_BEFORE = rf"(?:^|[^\p{{L}}])({TITLE}) $"
+# In a text with a person every other capitalised word is looked at, too.
+ALL_WORDS = ALL[:-1] + rf"|(?<![\p{{L}}\p{{M}}\p{{N}}_'’-]){NAME})"
+OWNER = r"(?:['’]s)?['’-]*$"  # what a name may end in that is no part of it
+NONE = ["plain", "gap"]  # pieces that are no entities
 
 
 def _sql(text: str) -> str:
@@ -78,32 +111,66 @@ def _listed(values: list[str]) -> str:
     return "array(" + ", ".join(map(_sql, values)) + ")"
 
 
+def pieces(text: Column) -> Column:
+    """A text as an array of (gap, value, head, given): what stands before a
+    value is its gap; the last gap has no value.  A person gives one piece for
+    each of the names, with the titles in ``head``."""
+    kind = "gap string, value string, head string, given boolean"
+
+    def one(gap: Column, value: Column) -> Column:
+        head = F.regexp_extract(value, f"^{HEAD}", 0)
+        rest = F.substring(value, F.length(head) + 1, F.length(value))
+        items = F.regexp_extract_all(rest, F.lit(ITEM), F.lit(0))
+        followed = F.zip_with(
+            F.zip_with(F.split(rest, ITEM, -1), items, lambda g, w: F.struct(g.alias("g"), w.alias("w"))),
+            F.slice(items, 2, 1 << 30), lambda x, after: F.struct(x["g"].alias("g"), x["w"].alias("w"), after.isNotNull().alias("given")))
+        names = F.transform(followed, lambda x: F.struct(x["g"], x["w"], head, x["given"]).cast(f"struct<{kind}>"))
+        before = F.array(F.struct(F.concat(gap, head), F.lit(None), F.lit(None), F.lit(False)).cast(f"struct<{kind}>"))
+        return F.when(value.rlike(f"^{PERSON}$"), F.concat(before, F.filter(names, lambda x: x["value"].isNotNull()))) \
+            .otherwise(F.array(F.struct(gap, value, F.lit(None), F.lit(False)).cast(f"struct<{kind}>")))
+
+    def cut(pattern: str) -> Column:
+        return F.flatten(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one))
+
+    return F.when(text.rlike(PERSON), cut(ALL_WORDS)).otherwise(cut(ALL))
+
+
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, dkey, pos, value, type, canon) of every entity of every text."""
-    matches = F.regexp_extract_all(text_col, F.lit(ALL), F.lit(0))
-    with_some = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("did"),
-                            F.xxhash64(F.lit(5), id_col, text_col).alias("dkey"), matches.alias("m"),
-                            F.col(text_col).alias("t")).filter("size(m) > 0")
-    split = with_some.select("did", "dkey", "m", F.split("t", ALL, -1).alias("gaps"))
-    one = split.select("did", "dkey", F.posexplode("m").alias("pos", "value"), "gaps", "m") \
-        .select("did", "dkey", "pos", "value", F.col("gaps")[F.col("pos")].alias("gap"),
-                F.get("gaps", F.col("pos") + 1).alias("next_gap"), F.get("m", F.col("pos") + 1).alias("next_value"))
-    kind = F.lit("name")
+    """(did, dkey, pos, value, type, canon, given, male, female) of every piece
+    of every text that has an entity; ``type`` is plain or gap for the rest."""
+    of_texts = docs.filter(F.col(text_col).rlike(ALL)).select(
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("did"), F.xxhash64(F.lit(5), id_col, text_col).alias("dkey"),
+        F.transform(pieces(F.col(text_col)), lambda p: F.struct(p["value"].alias("value"), p["head"].alias("head"), p["given"].alias("given"))).alias("p"))
+    one = of_texts.select("did", "dkey", F.posexplode("p").alias("pos", "p")).select("did", "dkey", "pos", "p.*")
+    digits = F.regexp_replace("value", r"[^0-9]", "")
+    kind = F.lit("word")
     for name, pattern in reversed(list(PATTERNS.items())):
-        if name != "name":  # look-arounds see the value alone: its ends count as text ends
+        if name != "person":  # look-arounds see the value alone: its ends count as text ends
             kind = F.when(F.col("value").rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
-    title = F.regexp_replace(F.regexp_extract("gap", PERSON_BEFORE, 1), r"\.$", "")
-    given = (title != "") & (F.col("next_gap") == " ") & F.col("next_value").rlike(f"^{NAME}$")
-    gender = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("x")
-    typed = one.withColumn("type", kind).withColumn(
-        "type", F.when(F.col("type") != "name", F.col("type"))
-        .when(given, F.concat(F.lit("given:"), gender)).otherwise(F.lit("family")))
-    digits = F.regexp_replace("value", r"[^0-9]", "")
-    canon = (F.when(F.col("type").isin("phone", "ssn", "card"), digits)
+    named = F.when(F.col("value").rlike(f"^{INITIAL}$"), "initial").otherwise("name")
+    kind = F.when(F.col("value").isNull(), "gap").when(F.col("head").isNotNull(), named).otherwise(kind)
+    secret = F.regexp_extract("value", r"[=:][ ]?[\"']?(.*)$", 1)
+    valid = F.expr(f"({_luhn('digits')} + CAST(right(digits, 1) AS int)) % 10 = 0")
+    typed = one.withColumns({"type": kind, "digits": digits}).withColumn(
+        "type", F.when((F.col("type") == "card") & ~valid, "plain")
+        .when((F.col("type") == "secret") & ~secret.rlike(r"[\p{L}\p{N}]"), "plain").otherwise(F.col("type")))
+    canon = (F.when(F.col("type").isin("phone", "ssn", "card"), F.col("digits"))
              .when(F.col("type") == "iban", F.regexp_replace("value", " ", ""))
-             .when(F.col("type") == "secret", F.regexp_extract("value", r"[=:][ ]?[\"']?(.*)$", 1))
-             .when(F.col("type").isin("ip", "key"), F.col("value")).otherwise(F.lower("value")))
-    return typed.select("did", "dkey", "pos", "value", "type", canon.alias("canon"))
+             .when(F.col("type") == "secret", secret)
+             .when(F.col("type").isin("ip", "key"), F.col("value"))
+             .when(F.col("type").isin("name", "word"), F.regexp_replace(F.lower("value"), OWNER, ""))
+             .otherwise(F.lower("value")))
+
+    def titled(titles: list[str]) -> Column:
+        words = "|".join(titles + [t.upper() for t in titles])
+        return F.coalesce(F.col("head").rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})"), F.lit(False))
+
+    rows = written(typed.select("did", "dkey", "pos", "value", "type", canon.alias("canon"), "given",
+                                titled(MALE).alias("male"), titled(FEMALE).alias("female")).distinct(), "pieces")
+    names = rows.filter((F.col("type") == "name") & (F.length("canon") > 1)).select("did", "dkey", "canon", F.lit(True).alias("known")).distinct()
+    words = rows.filter("type = 'word'").join(names, ["did", "dkey", "canon"], "left") \
+        .withColumn("type", F.when(F.col("known"), "name").otherwise("plain")).select(*rows.columns)
+    return rows.filter("type != 'word'").unionByName(words)
 
 
 def _drawn(canon: str, seed: str, hex_only: str = "false") -> str:
@@ -114,7 +181,11 @@ def _drawn(canon: str, seed: str, hex_only: str = "false") -> str:
         WHEN c RLIKE '[a-z]' THEN char(97 + {draw % f"IF({hex_only}, 6, 26)"})
         WHEN c RLIKE '[A-Z]' THEN char(65 + {draw % f"IF({hex_only}, 6, 26)"})
         WHEN c RLIKE '[а-я]' THEN substr('абвгдежзийклмнопрстуфхцчшщъыьэюя', CAST(1 + {draw % 32} AS int), 1)
+        WHEN c RLIKE '[А-Я]' THEN substr('АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ', CAST(1 + {draw % 32} AS int), 1)
         WHEN c RLIKE '[α-ω]' THEN substr('αβγδεζηθικλμνξοπρσςτυφχψω', CAST(1 + {draw % 25} AS int), 1)
+        WHEN c RLIKE '\\\\p{{Lu}}' THEN char(65 + {draw % 26})
+        WHEN c RLIKE '\\\\p{{L}}' THEN char(97 + {draw % 26})
+        WHEN c RLIKE '\\\\p{{N}}' THEN CAST({draw % 10} AS string)
         ELSE c END), '')"""
 
 
@@ -125,6 +196,16 @@ def _luhn(digits: str) -> str:
              THEN CAST(c AS int) * 2 - IF(CAST(c AS int) > 4, 9, 0) ELSE CAST(c AS int) END), 0, (a, x) -> a + x) % 10"""
 
 
+# SQL: digits of the country, or the zero of a national number
+CODE = "IF(canon LIKE '0%', 1, greatest(length(canon) - 10, 0))"
+# SQL: entities of one shape can take each other's canonical form
+SHAPE = f"""CASE type WHEN 'phone' THEN concat(length(canon), ' ', substr(canon, 1, {CODE}))
+  WHEN 'card' THEN concat(length(canon), ' ', substr(canon, 1, 1)) WHEN 'iban' THEN concat(length(canon), ' ', substr(canon, 1, 2))
+  WHEN 'ip' THEN CASE WHEN canon LIKE '192.168.%' THEN '192.168' WHEN canon RLIKE '^(10|127)[.]' THEN substring_index(canon, '.', 1)
+    WHEN canon RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]' THEN '172' ELSE 'public' END
+  WHEN 'ssn' THEN '' END"""
+
+
 def surrogate(attempt: int, key: str) -> Column:
     """Surrogate of the canonical form ``canon`` of a ``type``."""
     def seed(value: str, kind: str = "type", more: str = str(attempt)) -> str:
@@ -135,7 +216,8 @@ def surrogate(attempt: int, key: str) -> Column:
     hexed = "lower(canon) RLIKE '^[0-9a-f]+$'"
     area = f"CAST(2 + pmod(xxhash64({s}, 'a'), 8) AS string)"
     exchange = f"CAST(2 + pmod(xxhash64({s}, 'b'), 8) AS string)"
-    code = "greatest(length(canon) - 10, 0)"  # digits of the country
+    code = CODE
+    more = f"substr({seed('canon', more="'more'")}, 1, {attempt // 4})"  # room for another one
     tail = _drawn(f"substr(canon, {code} + 1)", s)
     octet = f"CAST(1 + pmod(xxhash64({s}, %d), 254) AS string)"
     card = f"concat(substr(canon, 1, 1), {_drawn('substr(canon, 2, length(canon) - 2)', s)}, '0')"
@@ -151,7 +233,7 @@ def surrogate(attempt: int, key: str) -> Column:
         element_at({endings.replace('script', 'p.script')}, CASE type WHEN 'given:m' THEN 1 WHEN 'given:f' THEN 2
           WHEN 'given:x' THEN 3 ELSE IF(canon RLIKE '(ова|ева|ина|ая|ου)$', 5, 4) END)))[0]"""
     return F.expr(f"""CASE
-      WHEN type = 'email' THEN concat({_drawn("substring_index(canon, '@', 1)", s)}, '@',
+      WHEN type = 'email' THEN concat({_drawn("substring_index(canon, '@', 1)", s)}, {more}, '@',
         {_drawn("regexp_replace(substring_index(canon, '@', -1), '[.][^.]+$', '')",
                 seed("substring_index(canon, '@', -1)", "'domain'", "0"))}, '.example')
       WHEN type = 'phone' THEN concat(substr(canon, 1, {code}), {area}, substr({tail}, 2, 2), {exchange}, substr({tail}, 5))
@@ -169,67 +251,114 @@ def surrogate(attempt: int, key: str) -> Column:
           WHEN c RLIKE '[0-9]' THEN (a * 10 + CAST(c AS int)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END) AS string), 2, '0'),
         substr(x, 5)))[0]
       WHEN type = 'key' THEN concat(regexp_extract(canon, '^(AKIA|ASIA|[a-z]+[_-])', 1),
-        {_drawn("regexp_replace(canon, '^(AKIA|ASIA|[a-z]+[_-])', '')", s)})
-      WHEN type = 'secret' THEN {_drawn("canon", s, hexed)}
+        {_drawn("regexp_replace(canon, '^(AKIA|ASIA|[a-z]+[_-])', '')", s)}, {more})
+      WHEN type = 'secret' THEN concat({_drawn("canon", s, hexed)}, {more})
       ELSE {name} END""")
 
 
+def exchanged(left: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, type, fake) of entities of fixed length that found no free
+    surrogate: each takes the canonical form of the next in a keyed order of
+    those of its shape; one that is alone takes that of a kept entity, if any."""
+    shape = F.expr(SHAPE)
+    rows = left.withColumn("shape", shape).filter("shape IS NOT NULL")
+    order = F.sha2(F.concat_ws("|", F.lit(key), F.lit("order"), "type", "canon"), 256)
+    many = rows.groupBy("kind", "shape").agg(F.greatest(F.lit(1), F.expr(f"count(*) div {BUCKET}")).alias("buckets"))
+    dealt = rows.join(many, ["kind", "shape"]).withColumns({"h": order, "b": F.expr(f"pmod(xxhash64({_sql(key)}, canon), buckets)")})
+    group = Window.partitionBy("kind", "shape", "b")
+    ring = written(dealt.withColumns({
+        "fake": F.coalesce(F.lead("canon").over(group.orderBy("h")),
+                           F.first("canon").over(group.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))),
+        "size": F.count("*").over(group)}), "ring")
+    alone = ring.filter("size = 1").groupBy("kind", "shape").agg(F.min("canon").alias("canon"), F.first("type").alias("type"))
+    used = kept.select("kind", F.col("fake").alias("canon"))
+    partner = kept.withColumn("shape", shape).join(used, ["kind", "canon"], "left_anti") \
+        .groupBy("kind", "shape").agg(F.min("canon").alias("fake"))
+    columns = ["kind", "canon", "type", "fake"]
+    return ring.filter("size > 1").select(*columns).unionByName(alone.join(partner, ["kind", "shape"]).select(*columns))
+
+
 def mapping(entities: DataFrame, key: str) -> DataFrame:
-    """(type, canon, fake): one surrogate for each distinct entity."""
-    todo = written(entities.select("type", "canon").distinct(), "entities")
-    # surrogates are told apart within families of types that can be confused
-    family = F.when(F.col("type").startswith("given"), "name").when(F.col("type") == "family", "name").otherwise(F.col("type"))
-    taken = todo.select(family.alias("kind"), F.col("canon").alias("fake")).distinct()
-    done = None
-    for attempt in range(ROUNDS):
-        drawn = written(todo.withColumn("fake", surrogate(attempt, key)).withColumn("kind", family), "drawn")
-        owner = drawn.groupBy("kind", "fake").agg(F.min(F.struct("type", "canon")).alias("o")) \
+    """(kind, canon, fake): one surrogate for each distinct entity of
+    ``entities`` (type, canon, and for names given, male, female)."""
+    flags = {c: F.lit(False) for c in ("given", "male", "female") if c not in entities.columns}
+    seen = entities.withColumns(flags).groupBy(F.col("type").alias("kind"), "canon") \
+        .agg(F.max("given").alias("given"), F.max("male").alias("male"), F.max("female").alias("female"))
+    gender = F.when(F.col("male") & ~F.col("female"), "m").when(F.col("female") & ~F.col("male"), "f").otherwise("x")
+    kind = F.when(F.col("kind") != "name", F.col("kind")).when(F.col("given"), F.concat(F.lit("given:"), gender)).otherwise("family")
+    todo = written(seen.select("kind", "canon", kind.alias("type")), "entities")
+    taken = todo.select("kind", F.col("canon").alias("fake"))
+    done, attempt = None, 0
+    while True:
+        drawn = written(todo.withColumn("fake", surrogate(attempt, key)), "drawn")
+        owner = drawn.groupBy("kind", "fake").agg(F.min(F.struct("canon", "type")).alias("o")) \
             .join(taken, ["kind", "fake"], "left_anti") \
-            .select(F.col("o.type").alias("type"), F.col("o.canon").alias("canon"), "fake", "kind")
+            .select("kind", F.col("o.canon").alias("canon"), F.col("o.type").alias("type"), "fake")
         kept = written(owner, "kept")
         done = kept if done is None else done.unionByName(kept)
-        todo = drawn.join(kept, ["type", "canon"], "left_anti").select("type", "canon")
-        if todo.isEmpty():
-            return done.select("type", "canon", "fake")
         taken = taken.unionByName(kept.select("kind", "fake"))
-    raise ValueError(f"surrogates still collide after {ROUNDS} rounds")
+        todo = drawn.join(kept, ["kind", "canon"], "left_anti").select("kind", "canon", "type")
+        if todo.isEmpty():
+            return done.select("kind", "canon", "fake")
+        attempt += 1
+        if attempt >= FULL:
+            given = written(exchanged(todo, done, key), "exchanged")
+            done = done.unionByName(given)
+            todo = written(todo.join(given, ["kind", "canon"], "left_anti"), "left")
+            if todo.isEmpty():
+                return done.select("kind", "canon", "fake")
+
+
+def initials(key: str) -> tuple[str, str]:
+    """Letters and their surrogates: a keyed permutation without fixed points."""
+    old, new = "", ""
+    for letters in ALPHABETS:
+        ring = sorted(letters, key=lambda c: hashlib.sha256(f"{key}|initial|{c}".encode()).digest())
+        old, new = old + "".join(ring), new + "".join(ring[1:] + ring[:1])
+    return old, new
 
 
-def shaped() -> Column:
-    """The surrogate ``fake`` in the spelling of ``value``."""
+def shaped(key: str) -> Column:
+    """The surrogate ``fake`` in the spelling of ``value``; what is no entity
+    stays as it is."""
     fill = F.expr("""transform(array(sequence(1, length(value))), s -> array_join(transform(s, i -> CASE
         WHEN substr(value, i, 1) RLIKE '[0-9A-Z]'
         THEN substr(fake, length(regexp_replace(substr(value, 1, i), '[^0-9A-Z]', '')), 1)
         ELSE substr(value, i, 1) END), ''))[0]""")
-    cased = F.when(F.col("value") == F.upper("value"), F.upper("fake")) \
-        .when(F.col("value").rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("fake", 1, 1)), F.expr("substr(fake, 2)"))) \
-        .otherwise(F.col("fake"))
+    name = F.regexp_replace("value", OWNER, "")
+    cased = F.when((name == F.upper(name)) & (F.length("canon") > 1), F.upper("fake")) \
+        .otherwise(F.concat(F.upper(F.substring("fake", 1, 1)), F.expr("substr(fake, 2)")))
     mail = F.expr("""array_join(transform(sequence(1, length(fake)), i -> IF(substr(value, i, 1) RLIKE '[A-Z]',
         upper(substr(fake, i, 1)), substr(fake, i, 1))), '')""")
-    return (F.when(F.col("type").isin("phone", "ssn", "card", "iban"), fill)
+    return (F.when(F.col("type") == "gap", "").when(F.col("type") == "plain", F.col("value"))
+            .when(F.col("type") == "initial", F.translate("value", *initials(key)))
+            .when(F.col("type").isin("phone", "ssn", "card", "iban"), fill)
             .when(F.col("type") == "email", mail)
             .when(F.col("type") == "secret", F.concat(F.regexp_extract("value", r"^(.*?[=:][ ]?[\"']?)", 1), F.col("fake")))
-            .when(F.col("type").isin("ip", "key"), F.col("fake")).otherwise(cased))
+            .when(F.col("type").isin("ip", "key"), F.col("fake"))
+            .otherwise(F.concat(cased, F.regexp_extract("value", OWNER, 0))))
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in the text, and n_entities and entity_types
     (sorted, repeats included) added; columns of these names are replaced."""
     base = docs.drop("n_entities", "entity_types")
-    ents = written(found(base, id_col, text_col).distinct(), "found")
-    fakes = mapping(ents, key)
-    lists = ents.join(fakes, ["type", "canon"]).select("did", "dkey", F.struct("pos", shaped().alias("s"), "type").alias("e")) \
+    ents = written(found(base, id_col, text_col), "found")
+    fakes = mapping(ents.filter(~F.col("type").isin(*NONE, "initial")), key).withColumnRenamed("kind", "type")
+    own = F.col("type").isin(*NONE, "initial")  # these need no join
+    spelled = ents.filter(own).withColumn("fake", F.lit(None).cast("string")).unionByName(
+        ents.filter(~own).join(fakes, ["type", "canon"]).select(*ents.columns, "fake"))
+    lists = spelled.select("did", "dkey", F.struct("pos", shaped(key).alias("s"), "type").alias("e")) \
         .groupBy("did", "dkey").agg(F.array_sort(F.collect_list("e")).alias("_ents")) \
         .withColumnsRenamed({"did": "_ent_did", "dkey": "_ent_dkey"})
-    keyed = base.withColumns({"_row_did": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-                              "_row_dkey": F.xxhash64(F.lit(5), id_col, text_col)})
-    joined = keyed.join(lists, (F.col("_row_did") == F.col("_ent_did")) & (F.col("_row_dkey") == F.col("_ent_dkey")), "left")
-    gaps = F.split(F.col(text_col), ALL, -1)
-    clean = F.array_join(F.zip_with(gaps, F.col("_ents"), lambda g, e: F.concat(
-        F.coalesce(g, F.lit("")), F.coalesce(e["s"], F.lit("")))), "")
-    return joined.select(
-        *[c for c in base.columns if c != text_col],
-        F.when(F.col("_ents").isNull(), F.col(text_col)).otherwise(clean).alias(text_col),
-        F.when(F.col("_ents").isNull(), 0).otherwise(F.size("_ents")).alias("n_entities"),
-        F.coalesce(F.array_sort(F.transform("_ents", lambda e: e["type"])), F.array().cast("array<string>")).alias("entity_types")) \
-        .select(*base.columns, "n_entities", "entity_types")
+    text = F.col(text_col)
+    some = F.coalesce(text.rlike(ALL), F.lit(False))
+    keyed = base.filter(some).withColumns({"_row_did": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+                                           "_row_dkey": F.xxhash64(F.lit(5), id_col, text_col)})
+    joined = keyed.join(lists, (F.col("_row_did") == F.col("_ent_did")) & (F.col("_row_dkey") == F.col("_ent_dkey")))
+    clean = F.array_join(F.zip_with(pieces(text), F.col("_ents"), lambda p, e: F.concat(p["gap"], F.coalesce(e["s"], F.lit("")))), "")
+    types = F.filter(F.transform("_ents", lambda e: e["type"]), lambda t: ~t.isin(*NONE))
+    changed = joined.select(*[c for c in base.columns if c != text_col], clean.alias(text_col), F.size(types).alias("n_entities"),
+                            F.array_sort(types).alias("entity_types")).select(*base.columns, "n_entities", "entity_types")
+    return changed.unionByName(base.filter(~some).select(
+        "*", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("entity_types")))
