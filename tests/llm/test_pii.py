@@ -103,6 +103,11 @@ def test_no_room_is_an_error(spark, monkeypatch):
         mapping(spark.createDataFrame([("secret", str(i)) for i in range(10)], "type string, canon string"), KEY)
 
 
+def test_mailboxes_of_any_letters_and_before_a_full_stop(spark):
+    out = fakes(spark, ["rené.34@beispiel.de. Then a@" + "lab." * 33 + "com, end"])[0]
+    assert re.fullmatch(r"[a-z]{4}\.\d\d@[a-z]{8}\.example\. Then [a-z]@(?:[a-z]{3}\.){33}example, end", out)
+
+
 def test_main_path_is_native(spark):
     d = spark.createDataFrame([(1, "a@bcd.org")], "doc_id long, text string")
     plan = pseudonymise(d, KEY)._jdf.queryExecution().executedPlan().toString()

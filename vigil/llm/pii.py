@@ -53,7 +53,7 @@ ENDINGS = {  # given name: male, female, open; family name: male, female
 TITLE = "(?:" + "|".join(MALE + FEMALE + OTHER) + r")\.?"
 NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 PATTERNS = {  # the first that fits decides
-    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.){1,30}+[A-Za-z]{2,}+",
+    "email": r"(?<![\p{L}\p{M}\p{N}_.%+-])[\p{L}\p{M}\p{N}_.%+-]++@(?=[\p{L}\p{N}-]++\.)[\p{L}\p{N}.-]*\p{L}{2}",
     "secret": r"(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?[^\s\"',;]{6,}+",
     "key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)(?:ghp|gho|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -115,6 +115,7 @@ def _drawn(canon: str, seed: str, hex_only: str = "false") -> str:
         WHEN c RLIKE '[A-Z]' THEN char(65 + {draw % f"IF({hex_only}, 6, 26)"})
         WHEN c RLIKE '[а-я]' THEN substr('абвгдежзийклмнопрстуфхцчшщъыьэюя', CAST(1 + {draw % 32} AS int), 1)
         WHEN c RLIKE '[α-ω]' THEN substr('αβγδεζηθικλμνξοπρσςτυφχψω', CAST(1 + {draw % 25} AS int), 1)
+        WHEN c RLIKE '\\\\p{{L}}' THEN char(97 + {draw % 26})
         ELSE c END), '')"""
 
 
