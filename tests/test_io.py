@@ -122,3 +122,15 @@ def test_literal_batch_rows(spark):
         "login": 2, "download": 2, "logout": 1, "file_access": 1, "upload": 1}
     assert {r.device: (r.usage_count, r.avg_files) for r in H.device_usage(df).collect()} == {
         "laptop": (4, 41.25), "mobile": (2, 110.0), "unknown": (1, 5000.0)}
+
+
+def test_streamed_table_may_be_a_file_or_a_folder(spark):
+    from __spark_entry__ import queries
+    rows = [(1, "not json"), (2, "x"), (3, "{broken"), (4, None)]
+    one, many = _tmp(), _tmp()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.toPandas().to_parquet(f"{one}/documents.parquet")
+    docs.repartition(2).write.parquet(f"{many}/documents.parquet")
+    for sf in (one, many):
+        got = {r.kind: (r["count"], r.total) for r in queries()["stream_quarantine_counts"](spark, sf).collect()}
+        assert got == {"decoded": (2, 6), "quarantined": (2, 15)}

@@ -57,6 +57,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def read_first_existing(spark: SparkSession, paths: Iterable[str], schema: T.StructType = LABELLED_CLEAN
                         ) -> DataFrame | None:
     """S3: the first CSV path that exists (Hadoop FS check), else None."""

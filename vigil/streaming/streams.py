@@ -24,18 +24,21 @@ from vigil.schema import RAW_EVENT
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources import topic
 from vigil.sources.fixture import from_events
-from vigil.sources.logs import canonical_logs, decode_json
+from vigil.sources.logs import canonical_logs, decode_json, is_folder
 
 
 # ----------------------------------------------------------------- sources
 def stream_events_table(spark: SparkSession, sf_dir: str, table: str = "events",
                         max_files: int | None = None) -> DataFrame:
-    """S7 over the driver's tables: a table file as an unbounded file source."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """S7 over the driver's tables: a table, one file or a folder of files, as
+    an unbounded file source."""
+    path = f"{sf_dir}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    if is_folder(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def stream_fixture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
