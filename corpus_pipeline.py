@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.bpe import bpe
-from vigil.llm.common import remove, shared_path, table
+from vigil.llm.common import remove, shared_path, table, written
 from vigil.llm.decontam import decontaminate
-from vigil.llm.langid import UNKNOWN, detect, evidence_needed, fit, in_a_learned_language
+from vigil.llm.langid import UNKNOWN, detect, evidence_of, fit, in_a_learned_language, labelled_rows
 from vigil.llm.line_dedup import dedup_lines
 from vigil.llm.queries import tokenizer_path
 from vigil.llm.simhash import keep_one
@@ -25,10 +25,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose letters are too unlikely
     in every learned language, also in spans of several; the others get the
-    predicted language."""
-    model = fit(docs)
-    needed = evidence_needed(docs, model)
-    return detect(docs, model, evidence=True).filter((F.col("lang_pred") != UNKNOWN) & in_a_learned_language(needed)) \
+    predicted language.  Model and evidence come from all labelled rows."""
+    detected = written(detect(docs, fit(docs), evidence=True), "detected")
+    needed = evidence_of(labelled_rows(detected))
+    return detected.filter((F.col("lang_pred") != UNKNOWN) & in_a_learned_language(needed)) \
         .withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

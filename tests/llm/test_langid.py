@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from conftest import SF_SMALL
-from vigil.llm.langid import NAMES, UNKNOWN, detect, evidence_needed, fit, identify, in_a_learned_language, scripts_of, viterbi
+from vigil.llm.langid import (NAMES, UNKNOWN, detect, evidence_needed, fit, identify, in_a_learned_language, scripts_of, trigrams,
+                              viterbi)
 
 ENGLISH = "the house is on the hill and the people of this town walk there with their dogs every morning before work"
 GERMAN = "das haus steht auf dem hügel und die leute dieser stadt gehen dort jeden morgen vor der arbeit mit ihren hunden"
@@ -98,3 +99,19 @@ def test_evidence_rejects_what_is_in_no_learned_language(spark):
     assert not any(kept([(f"noise {i}", t) for i, t in enumerate(noise)]).values())
     assert kept([("none", None), ("empty", ""), ("digits", "12 34")]) == {"none": False, "empty": False, "digits": False}
     assert detect(docs.limit(0), model, evidence=True).collect() == []
+
+
+def test_model_and_thresholds_come_from_all_labelled_rows(spark):
+    words = ["".join(w) for w in itertools.product("abcdefghijklmnopqrst", repeat=3)]  # 8,000, one a row
+    rows = [(i, w, "en") for i, w in enumerate(words)] + [(-1, "привет", "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    seen = model["logp"][trigrams(words)[1], 0]
+    assert seen.min() > model["logp"][:, 0].min()  # no word was left out
+    docs = spark.createDataFrame([(i, "und das ist so", "de") for i in range(8000)] + [(9000, "qqqq jjjj xxxx", "de")],
+                                 "doc_id long, text string, lang string")
+    model = fit(docs)
+    d = detect(docs.filter("doc_id = 9000"), model, evidence=True)
+    usual, short = evidence_needed(docs, model)["de"]
+    r = d.first()
+    assert abs(short - 2.5 - (usual - r.evidence - 8 / r.letters ** 0.5)) < 1e-6  # the rarest row counts

@@ -8,11 +8,9 @@ for every change of language, labels each word; equal neighbours are a span.
 The predicted language has the most letters in the spans; the score is their
 share of all letters.
 
-The model is counted on Spark from a sample of labelled rows of at most about
-``SAMPLE`` texts a language, chosen by a hash (a documented bound of the
-classifier only).  It is trigram buckets x languages in size and at most
-MAX_LANGS languages are accepted, so it can be broadcast.  Every row is
-labelled, whole, without a shuffle.
+The model is counted on Spark from all labelled rows.  It is trigram buckets x
+languages in size and at most MAX_LANGS languages are accepted, so it can be
+broadcast.  Every row is labelled, whole, without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0
 and no spans, as is every text if no labelled row exists.  A word of a script
@@ -33,14 +31,13 @@ from pyspark.sql import types as T
 
 from vigil.llm.common import steps, wider, written
 
-SAMPLE = 3000        # labelled texts a language to learn from, about
 BUCKETS = 1 << 16    # trigram buckets
 MAX_LANGS = 512
 PENALTY = 12.0       # of a change of language, in nats
 FOREIGN = 60.0       # of a word whose script the language doesn't use, in nats
 UNKNOWN = "und"
 STRAY = 4.0          # standard deviations of chance that a text's mean may be off
-MARGIN = 2.5         # more than any sampled labelled row falls short, in nats a letter: a short text may hold a key or an address
+MARGIN = 2.5         # more than any labelled row falls short, in nats a letter: a short text may hold a key or an address
 LETTER_DEVIATION = 2.0  # of a letter's log probability, in nats, about
 
 # First and last code points of the main ranges of scripts.
@@ -112,26 +109,26 @@ def count_trigrams(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         .groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
 
 
-def sampled(rows: DataFrame, sizes: dict, sample: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """About ``sample`` rows a language, chosen by a hash."""
-    part = F.lit(0.0)
-    for lang in sorted(sizes):
-        part = F.when(F.col(lang_col) == lang, F.lit(sample / sizes[lang])).otherwise(part)
-    return rows.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < part * (1 << 20))
+def labelled_rows(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    return rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
 
 
-def evidence_needed(labelled: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
+def evidence_needed(labelled: DataFrame, model: dict, text_col: str = "text",
                     lang_col: str = "lang") -> dict[str, tuple[float, float]]:
-    """By predicted language: the usual evidence, and the greatest shortfall.
+    """``evidence_of`` the labelled rows of a frame."""
+    rows = labelled_rows(labelled, text_col, lang_col).select(F.col(text_col).alias("text"))
+    return evidence_of(written(detect(rows, model, "text", evidence=True).drop("text"), "evidence"))
+
+
+def evidence_of(detected: DataFrame) -> dict[str, tuple[float, float]]:
+    """By predicted language: the usual evidence, and the greatest shortfall,
+    of labelled rows out of ``detect(evidence=True)``.
     A text may fall short of the language's usual evidence by chance (STRAY
-    deviations of a mean of its letters) and by MARGIN more than any sampled
-    labelled row does."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = sampled(rows, model["sizes"], SAMPLE, id_col, text_col, lang_col).select(F.col(text_col).alias("text"))
-    seen = written(detect(chosen, model, "text", evidence=True).drop("text").filter("letters > 0"), "evidence")
+    deviations of a mean of its letters) and by MARGIN more than any labelled
+    row does."""
+    seen = detected.filter("letters > 0")
     usual = {r.lang_pred: r.m for r in seen.groupBy("lang_pred").agg(F.percentile_approx("evidence", 0.5).alias("m")).collect()}
-    short = shortfall(usual)
-    least = seen.withColumn("short", short).groupBy("lang_pred").agg(F.max("short").alias("s")).collect()
+    least = seen.withColumn("short", shortfall(usual)).groupBy("lang_pred").agg(F.max("short").alias("s")).collect()
     return {r.lang_pred: (usual[r.lang_pred], r.s + MARGIN) for r in least}
 
 
@@ -152,19 +149,16 @@ def in_a_learned_language(needed: dict[str, tuple[float, float]]) -> Column:
     return F.coalesce(shortfall({k: m for k, (m, _) in needed.items()}) <= enough, F.lit(False))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample: int = SAMPLE) -> dict:
-    """Count the model from rows with a non-null language."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
+    """Count the model from all rows with a text and a language."""
+    rows = labelled_rows(labelled, text_col, lang_col)
+    langs = sorted(r[0] for r in rows.select(lang_col).distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages: the model would be too large to broadcast")
-    langs = sorted(sizes)
     logp = np.zeros((BUCKETS, len(langs)), np.float32)
     uses = np.zeros((len(NAMES), len(langs)), bool)
     if langs:
-        chosen = sampled(rows, sizes, sample, id_col, text_col, lang_col)
-        counts = count_trigrams(chosen, text_col, lang_col).toPandas()  # buckets x languages at most
+        counts = count_trigrams(rows, text_col, lang_col).toPandas()  # buckets x languages at most
         column = counts["lang"].map({x: i for i, x in enumerate(langs)})
         g = counts["kind"] == "g"
         n = np.zeros((BUCKETS, len(langs)))
@@ -175,7 +169,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         s[counts["bucket"][~g], column[~g]] = counts["n"][~g]
         uses = s > 0.001 * np.maximum(1, s.sum(0))
         uses[~uses.any(1)] = True
-    return {"langs": langs, "logp": logp, "uses": uses, "sizes": sizes}
+    return {"langs": langs, "logp": logp, "uses": uses}
 
 
 def word_scores(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -297,6 +291,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) of every row; learns only from rows
     that are not held out."""
-    model = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    model = fit(docs.filter(~held_out(id_col)), text_col, lang_col)
     return detect(docs.select(id_col, text_col), model, text_col) \
         .select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
