@@ -11,6 +11,7 @@ from conftest import SF_SMALL
 from vigil.operators import hunting as H
 from vigil.operators import investigate as I
 from vigil.operators import ueba as U
+from vigil.plans import ordered_scan as OS
 from vigil.plans.ordered_scan import CHUNK, sequence_within
 from vigil.sources.fixture import security_logs
 from vigil.streaming import streams as S
@@ -143,3 +144,13 @@ def test_joins_split_a_user_with_a_third_of_all_rows(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_chunks_and_their_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(OS, "CHUNK_ROWS", 100)
+    df = spark.range(4000).select((F.col("id") % 3).alias("k"), "id", F.lit(1).alias("one"))
+    seq = OS.sequence_within(df, "k", ["id"])
+    sizes = [r["count"] for r in seq.groupBy(OS.CHUNK).count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 200
+    rows = OS.by_chunk(seq, "k", OS.chunk_prefix(seq, "k", {"n": "*"}))
+    assert rows.rdd.getNumPartitions() == 40 and rows.count() == 4000

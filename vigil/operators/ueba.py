@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import py_round, tmpl
 from vigil.session import write_once
-from vigil.plans.ordered_scan import (CHUNK, GID, UNB, chunk_prefix, running_mode, running_mode_carry,
-                                      sequence_within, with_value_counts)
+from vigil.plans.ordered_scan import (CHUNK, GID, UNB, by_chunk, chunk_prefix, running_mode, running_mode_carry,
+                                      sequence_within, with_carries, with_value_counts)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -118,18 +118,20 @@ def _scan(logs: DataFrame, window: int, num_chunks: int | None, state: "UebaStat
                                    state.values.join(touched, "user_id", "left_semi").filter("attr IN ('loc', 'dev')"))
         carries = prefix.join(modes, ["user_id", CHUNK], "left")
 
-    rows = seq.join(carries, ["user_id", CHUNK])
+    names = ["sh", "sf", "su", "sh2", "sf2"]
+    carries = carries.drop(*[f"{x}_end" for x in names])
+    rows = with_carries(seq.drop("hour2", "files2"), carries, "user_id", {"loc": "loc_key", "dev": "dev_key"})
     w = Window.partitionBy("user_id", CHUNK).orderBy(GID)
     run = w.rowsBetween(UNB, 0)
     # per-value counts first (one sort each), then every (user, chunk, position)
     # window in one pass: three sorts of the row frame in total
     rows = with_value_counts(rows, "loc_key", "loc", "user_id")
     rows = with_value_counts(rows, "dev_key", "dev", "user_id")
-    names = ["sh", "sf", "su", "sh2", "sf2"]
     rows = rows.select(
         "*", F.row_number().over(w).alias("pos"),
         *[(F.col(f"{name}_before") + F.sum(col).over(run)).alias(f"cs_{name}")
-          for name, col in zip(names, ["hour", "files", "upload", "hour2", "files2"])],
+          for name, col in zip(names, [F.col("hour"), F.col("files"), F.col("upload"), F.col("hour").cast("long") * F.col("hour"),
+                                       F.col("files") * F.col("files")])],
         running_mode(run, "loc_key", "loc").alias("usual_location"),
         running_mode(run, "dev_key", "dev").alias("usual_device"))
     rows = rows.withColumn("n", F.col("n_before") + F.col("pos"))
@@ -141,8 +143,8 @@ def _scan(logs: DataFrame, window: int, num_chunks: int | None, state: "UebaStat
     # are written once, and users within the window add no row to the join.
     for x in names:
         rows = rows.withColumn(f"lag_{x}", F.lag(f"cs_{x}", window).over(w))
-    drop = ["loc_carry", "dev_carry", "loc_prev", "dev_prev", "_loc_c", "_dev_c", "loc_key", "dev_key", "hour2", "files2", GID]
-    return write_once(rows.drop(*drop, *[f"{x}_{y}" for x in names for y in ("before", "end")]), "windowed")
+    drop = ["loc_prev", "dev_prev", "_loc_c", "_dev_c", "_loc_fs", "_dev_fs", "loc_key", "dev_key", GID]
+    return write_once(rows.drop(*drop, *[f"{x}_before" for x in names]), "windowed")
 
 
 def _with_back(rows: DataFrame, window: int) -> DataFrame:
@@ -237,7 +239,7 @@ def running_threat_count(scored: DataFrame, num_chunks: int | None = None, keep:
     seq = sequence_within(base, "user_id", ["timestamp", "event_id"], num_chunks)
     pre = chunk_prefix(seq, "user_id", {"na": "_a"})
     w = Window.partitionBy("user_id", CHUNK).orderBy(GID).rowsBetween(UNB, 0)
-    out = seq.join(pre, ["user_id", CHUNK]).select(
+    out = by_chunk(seq, "user_id", pre).select(
         "event_id", "user_id", *keep, (F.col("na_before") + F.sum("_a").over(w)).alias("threat_count"))
     return out
 

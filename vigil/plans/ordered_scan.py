@@ -27,13 +27,28 @@ from vigil.session import write_once
 GID = "_gid"
 CHUNK = "_chunk"
 UNB = Window.unboundedPreceding
+CHUNK_ROWS = 1 << 16  # rows of a chunk, about: the chunks grow in number, not in size
+
+
+def _chunks(rows: DataFrame) -> int:
+    """Chunks for the rows of a written frame (counted from the files' footers)."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHUNK_ROWS))
+
+
+def by_chunk(seq: DataFrame, key: str, carries: DataFrame) -> DataFrame:
+    """Rows of a sequenced frame joined to the carries of their (key, chunk).
+    The number of partitions is given on both sides, so that it grows with the
+    rows and small partitions aren't merged into large tasks."""
+    n = _chunks(seq)
+    return seq.repartition(n, key, CHUNK).join(carries.repartition(n, key, CHUNK), [key, CHUNK])
 
 
 def sequence_within(df: DataFrame, key: str, order: list[str], num_chunks: int | None = None,
                     checkpoint: bool = True) -> DataFrame:
     """Tag rows with ``_gid`` (global position, monotone in key+order) and ``_chunk``."""
-    spark = df.sparkSession
-    n = num_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_chunks is None:
+        df = write_once(df, "unordered")  # counted, sampled for the bounds and then sorted
+    n = num_chunks or _chunks(df)
     out = (df.repartitionByRange(n, key, *order)
              .sortWithinPartitions(key, *order)
              .withColumn(GID, F.monotonically_increasing_id()))
@@ -94,19 +109,26 @@ def running_mode_carry(seq: DataFrame, key: str, attrs: dict[str, str], known: D
     return chunks.groupBy(key, CHUNK).agg(*outs)
 
 
+def with_carries(seq: DataFrame, carries: DataFrame, key: str, attrs: dict[str, str]) -> DataFrame:
+    """Rows with the carries of their (key, chunk); of a carry map a row keeps
+    only its own value's entry (``_<prefix>_before``, ``_<prefix>_fs``)."""
+    rows = by_chunk(seq, key, carries)
+    own = {p: F.col(f"{p}_carry")[F.col(c)] for p, c in attrs.items()}
+    return rows.select("*", *[own[p]["before"].alias(f"_{p}_before") for p in attrs],
+                       *[own[p]["fs"].alias(f"_{p}_fs") for p in attrs]).drop(*[f"{p}_carry" for p in attrs])
+
+
 def with_value_counts(df: DataFrame, attr: str, prefix: str, key: str) -> DataFrame:
     """Occurrences of the row's value so far for its key (carry + in-chunk count)."""
     w_in = Window.partitionBy(key, CHUNK, attr).orderBy(GID)
-    carry = F.col(f"{prefix}_carry")[F.col(attr)]
-    return df.withColumn(f"_{prefix}_c", carry["before"] + F.row_number().over(w_in))
+    return df.withColumn(f"_{prefix}_c", F.col(f"_{prefix}_before") + F.row_number().over(w_in)).drop(f"_{prefix}_before")
 
 
 def running_mode(run: Window, attr: str, prefix: str) -> Column:
     """Running mode: the carry from earlier chunks combined with an in-chunk
     running max of (count so far, -first_seen, value); ``run`` is the
     (key, chunk) window ordered by position, unbounded preceding to current."""
-    carry = F.col(f"{prefix}_carry")[F.col(attr)]
-    cand = F.struct(F.col(f"_{prefix}_c").alias("c"), (-carry["fs"]).alias("nfs"), F.col(attr).alias("v"))
+    cand = F.struct(F.col(f"_{prefix}_c").alias("c"), (-F.col(f"_{prefix}_fs")).alias("nfs"), F.col(attr).alias("v"))
     return F.greatest(F.col(f"{prefix}_prev"), F.max(cand).over(run))["v"]
 
 
@@ -143,7 +165,7 @@ def periodic_totals(df: DataFrame, flags: dict[str, Column], order: list, every:
     pre = chunk_prefix(seq, "_all", {"total": "*", **{k: f"_f_{k}" for k in flags}})
     w = Window.partitionBy("_all", CHUNK).orderBy(GID)
     run = w.rowsBetween(UNB, 0)
-    out = seq.join(pre, ["_all", CHUNK]).select(
+    out = by_chunk(seq, "_all", pre).select(
         *order, (F.col("total_before") + F.row_number().over(w)).alias("total"),
         *[(F.col(f"{k}_before") + F.sum(f"_f_{k}").over(run)).alias(k) for k in flags])
     return out.filter(F.col("total") % every == 0)
