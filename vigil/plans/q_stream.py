@@ -30,26 +30,25 @@ def q_stream_detector_alerts(spark, sf):
 ORACLE["stream_detector_alerts"] = ORACLE["detector_alerts"]
 
 
-def _event_files(spark, logs, parts: int) -> str:
-    """The events as ``parts`` files in order of time, written one by one."""
-    path = S.scratch(spark, "event-files")
+def _drained_in_parts(spark, logs, parts: int, stage, path: str, checkpoint: str) -> None:
+    """The events as ``parts`` slices of time: a slice's files are written by
+    all tasks, then the stream drains them in one micro-batch, and the next
+    run goes on from its checkpoint."""
+    files = S.scratch(spark, "event-files")
     first, last = logs.agg(F.min("timestamp"), F.max("timestamp")).first()
     at = F.least(F.lit(parts - 1), F.floor(parts * (F.unix_micros(F.col("timestamp").cast("timestamp")) - _micros(first))
                                           / F.greatest(F.lit(1), _micros(last) - _micros(first))))
     tagged = logs.withColumn("_part", at)
-    for i in range(parts):  # a topic's producer: one file after the other
-        tagged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return path
+    for i in range(parts):  # a topic's producer: one slice after the other
+        tagged.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(files)
+        src = spark.readStream.schema(spark.read.parquet(files).schema).parquet(files)
+        S.run_to_parquet(stage(src), path, checkpoint)
 
 
 def _micros(t):
     return F.unix_micros(F.lit(t).cast("timestamp"))
 
 
-def _stream_files(spark, path: str):
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def _ueba_columns(s):
     return s.select("event_id", "user_id", "n", r6("avg_login_hour"), r6("avg_files"), r6("avg_upload"),
                     "usual_location", "usual_device", "anomaly_score", "is_anomaly",
@@ -58,10 +57,9 @@ def _ueba_columns(s):
 
 @register("stream_ueba_scores")
 def q_stream_ueba_scores(spark, sf):
-    """Keyed behavioural state over three files, one a micro-batch."""
+    """Keyed behavioural state over three slices of time, one a micro-batch."""
     out = S.scratch(spark, "stream-ueba")
-    src = _stream_files(spark, _event_files(spark, security_logs(spark, sf), 3))
-    S.run_to_parquet(stream_ueba(src), f"{out}/data", f"{out}/ckpt")
+    _drained_in_parts(spark, security_logs(spark, sf), 3, stream_ueba, f"{out}/data", f"{out}/ckpt")
     return _ueba_columns(spark.read.parquet(f"{out}/data"))
 
 
@@ -77,8 +75,8 @@ def q_stream_ueba_from_state(spark, sf):
     half = F.lit(first + (last - first) / 2)
     scored, state = U.ueba_resume(logs.filter(F.col("timestamp") < half))
     out = S.scratch(spark, "stream-state")
-    src = _stream_files(spark, _event_files(spark, logs.filter(F.col("timestamp") >= half), 3))
-    S.run_to_parquet(stream_ueba(src, state), f"{out}/data", f"{out}/ckpt")
+    _drained_in_parts(spark, logs.filter(F.col("timestamp") >= half), 3, lambda src: stream_ueba(src, state),
+                      f"{out}/data", f"{out}/ckpt")
     return _ueba_columns(spark.read.parquet(f"{out}/data")).unionByName(_ueba_columns(scored))
 
 

@@ -66,7 +66,12 @@ def _window_means(ring: np.ndarray, batch: np.ndarray, n0: int, window: int) ->
     return (cs[idx] - cs[idx - cnt]) / cnt
 
 
-def running_mode(best: tuple, known: dict, values: pd.Series, n0: int) -> tuple[np.ndarray, dict, tuple]:
+def _filled(col: pd.Series, missing: str) -> np.ndarray:
+    values = col.to_numpy(dtype=object)
+    return np.where(pd.isna(values), missing, values)
+
+
+def running_mode(best: tuple, known: dict, values: np.ndarray, n0: int) -> tuple[np.ndarray, dict, tuple]:
     """Running mode of ``values`` (ties to the value seen first), going on from
     the ``best`` (value, count, first) and the ``known`` (count, first) of the
     batch's values: the mode at each row, the new counts and the new best.
@@ -76,7 +81,10 @@ def running_mode(best: tuple, known: dict, values: pd.Series, n0: int) -> tuple[
     rank, found = pd.factorize(values)
     start = {v: known.get(v, (0, n0 + 1 + int(i))) for v, i in zip(found, np.unique(rank, return_index=True)[1])}
     base, first = (np.array([start[v][k] for v in found], np.int64) for k in (0, 1))
-    so_far = base[rank] + values.groupby(rank).cumcount().to_numpy(np.int64) + 1
+    here = np.bincount(rank, minlength=len(found))
+    nth = np.empty(len(rank), np.int64)  # number of a row among those of its value
+    nth[np.argsort(rank, kind="stable")] = np.arange(1, len(rank) + 1) - np.repeat(np.cumsum(here) - here, here)
+    so_far = base[rank] + nth
     big = np.int64(n0 + len(values) + 2)
     key = np.concatenate([[(best[1] or 0) * big - (best[2] or 0) if best[0] is not None else np.iinfo(np.int64).min],
                           so_far * big - first[rank]])
@@ -89,7 +97,7 @@ def running_mode(best: tuple, known: dict, values: pd.Series, n0: int) -> tuple[
     order = np.array(sorted(firsts))
     names = np.array([firsts[f] for f in order.tolist()], object)
     modes = names[np.searchsorted(order, at)]
-    counts = base + np.bincount(rank, minlength=len(found))
+    counts = base + here
     last = int(top[-1])
     return modes, {v: (int(c), int(f)) for v, c, f in zip(found, counts, first)}, \
         (modes[-1], (last + int(at[-1])) // int(big), int(at[-1]))
@@ -107,14 +115,14 @@ def fold(user: str, pdf: pd.DataFrame, totals: dict, ring: np.ndarray, known: di
     th = UEBA_THRESHOLDS
     n0, tc = totals["n"], totals["threat_count"]
     m = len(pdf)
-    hour = pd.to_datetime(pdf["timestamp"]).dt.hour.to_numpy(dtype=np.int64)
+    hour = pdf["timestamp"].dt.hour.to_numpy(dtype=np.int64)
     files = pdf["files_accessed"].fillna(0).to_numpy(dtype=np.int64)
     upload = pdf["data_uploaded_mb"].fillna(0).to_numpy(dtype=np.int64)
     avg_h, avg_f, avg_u = (_window_means(ring[:, i], x, n0, window) for i, x in enumerate((hour, files, upload)))
     known = {a: dict(v) for a, v in known.items()}
     totals, modes = dict(totals), {}
     for attr, column, missing in (("loc", "location", "Unknown"), ("dev", "device", "unknown"), ("act", "action", "unknown")):
-        values = pdf[column].where(pdf[column].notna(), missing)
+        values = _filled(pdf[column], missing)
         best = tuple(totals.get(k) for k in (attr, f"{attr}_count", f"{attr}_first"))
         modes[attr], new, best = running_mode(best, known[attr], values, n0)
         known[attr].update(new)
@@ -202,7 +210,8 @@ class Profile(StatefulProcessor):
         self._put(totals, np.stack([np.asarray(r[c], np.int64) for c in ("hours", "files", "uploads")], axis=1), known, set())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
+        rows = list(rows)
+        pdf = rows[0] if len(rows) == 1 else pd.concat(rows, ignore_index=True)
         pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable", ignore_index=True)
         totals = dict(zip(EMPTY_TOTALS, self.totals.get())) if self.totals.exists() else dict(EMPTY_TOTALS)
         ring = np.frombuffer(bytes(self.ring.get()[0]) if self.ring.exists() else b"", np.int64).reshape(-1, 3)
@@ -218,7 +227,8 @@ class Profile(StatefulProcessor):
                     if value not in known[attr] and self.values.containsKey((attr, value)):
                         known[attr][value] = tuple(self.values.getValue((attr, value)))
         for lo in range(0, len(pdf), SLICE):
-            out, totals, ring, known = fold(key[0], pdf.iloc[lo:lo + SLICE].reset_index(drop=True), totals, ring, known)
+            part = pdf if len(pdf) <= SLICE else pdf.iloc[lo:lo + SLICE].reset_index(drop=True)
+            out, totals, ring, known = fold(key[0], part, totals, ring, known)
             yield out
         self._put(totals, ring, known, block)
 
