@@ -91,3 +91,47 @@ def test_poisson_draws():
     for mean in (0.0, 1.0, 7.0, 500.0):
         k = FO.poisson(np.full(40000, mean), rng.random(40000), rng.random(40000))
         assert abs(k.mean() - mean) < 0.02 * max(1, mean) and abs(k.var() - mean) < 0.05 * max(1, mean)
+
+
+def test_cells_are_cut_among_tasks_however_few_bytes_they_are(spark, logs, monkeypatch):
+    """Merged by size, one task drew the cells for all trees."""
+    tables = []
+    monkeypatch.setattr(FO, "_subtrees", lambda table, *rest, f=FO._subtrees: tables.append(table) or f(table, *rest))
+    FO.fit(logs, "is_threat", trees=2)
+    assert tables[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_sizes_of_children_come_with_the_split(spark, logs, monkeypatch):
+    """Drawn cells of both sides are those that a count of the table gives; no
+    level needs a pass of its own for them."""
+    monkeypatch.setattr(FO, "HANDOFF", 60)
+    passes, said, counted = [], [], []
+    large, best = FO._large, FO._best_splits
+
+    def counts(table, top, nodes, features, seed):
+        passes.append(1)
+        return large(table, top, nodes, features, seed)
+
+    def splits(*args):
+        found = best(*args)
+        said.extend((r.tree, r.node, r.n_left + r.n_right) for r in found.collect())
+        return found
+
+    def sums(table, top, nodes, edges, features, seed, f=FO._histograms):
+        out = f(table, top, nodes, edges, features, seed)
+        held = out.filter("feature = 0").groupBy("tree", "node").agg(F.sum("n").alias("n"))
+        counted.extend((r.tree, r.node, r.n) for r in held.collect())
+        assert all(n > 60 for _, _, n in counted)  # only nodes above the bound are split on Spark
+        return out
+
+    for name, f in (("_large", counts), ("_best_splits", splits), ("_histograms", sums)):
+        monkeypatch.setattr(FO, name, f)
+    model = FO.fit(logs, "is_threat", trees=2)
+    assert len(passes) == 1 and set(said) <= set(counted) and len(said) > 4
+    # units hold at most the bound, all of what the tree draws
+    assert model.table(spark).filter("unit >= 0").groupBy("tree", "unit").count().filter("count > 2 * 60").count() == 0
+
+
+def test_feature_orders_of_many_nodes():
+    many = FO.feature_order(3, np.arange(70), 6, 42)
+    assert [r.tolist() for r in many] == [FO.feature_order(3, i, 6, 42).tolist() for i in range(70)]

@@ -5,8 +5,8 @@ tree draws every row a Poisson(1) number of times (a cell of c rows Poisson(c)
 times), by a hash of cell and tree, so a rerun draws alike.
 
 Growth starts level by level: while a node holds more than HANDOFF drawn cells,
-one grouped aggregate adds up class weights per (tree, node, feature, bin) of
-quantile bins, and the node is split at the best bin edge.  A node at or below
+one grouped aggregate adds up class weights and drawn cells per (tree, node,
+feature, bin) of quantile bins, and the node is split at the best bin edge.  A node at or below
 the bound is handed off: its cells are shuffled to one task, which grows the
 rest of the subtree to purity with exact thresholds.  A node looks at a random
 part of its features, and at the others only while none of these has a cut.
@@ -34,6 +34,7 @@ from vigil.session import delete_on_exit, ensure_checkpoint_dir, write_once
 HANDOFF = 1 << 18       # drawn cells of a node that one task grows further
 PIECE_NODES = 1 << 21   # nodes broadcast at a time
 BATCH = 1 << 13         # cells a task draws for all trees at a time
+ORDERS = 1 << 8         # nodes whose feature orders are found at a time
 
 NODE_SCHEMA = "tree int, unit long, node int, left int, right int, feature int, threshold double, " \
               "w0 double, w1 double, gain double"
@@ -58,16 +59,16 @@ def poisson(mean: np.ndarray, u: np.ndarray, u2: np.ndarray) -> np.ndarray:
     """Poisson draws by inversion; means over 64 by the normal limit."""
     out = np.zeros(len(mean))
     small = mean <= 64
-    m, v = mean[small], u[small]
+    at = np.flatnonzero(small)
+    m, v = mean[at], u[at]
     chance = np.exp(-m)
-    total, k, left = chance.copy(), np.zeros(len(m)), np.ones(len(m), bool)
-    step = 0
-    while (left := v > total).any() and step < 300:
+    total, step = chance, 0
+    while step < 300 and (left := v > total).any():
         step += 1
-        k += left
+        at, m, v, chance, total = (a[left] for a in (at, m, v, chance, total))
+        out[at] += 1
         chance = chance * m / step
         total = total + chance
-    out[small] = k
     big = ~small
     z = np.sqrt(-2 * np.log(u[big])) * np.cos(2 * np.pi * u2[big])
     out[big] = np.maximum(0, np.rint(mean[big] + np.sqrt(mean[big]) * z))
@@ -76,8 +77,14 @@ def poisson(mean: np.ndarray, u: np.ndarray, u2: np.ndarray) -> np.ndarray:
 
 def drawn(key: np.ndarray, counts: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Rows of both classes that a tree draws of each cell."""
-    return np.stack([poisson(counts[:, y], _uniform(key, np.int64(tree * 4 + y), np.int64(seed)),
-                             _uniform(key, np.int64(tree * 4 + y + 2), np.int64(seed))) for y in (0, 1)], axis=1)
+    out = np.zeros((len(key), 2))
+    for y in (0, 1):
+        some = np.flatnonzero(counts[:, y])  # most cells have rows of one class only
+        mean, u2 = counts[some, y], np.zeros(len(some))
+        big = mean > 64  # only these need a second number
+        u2[big] = _uniform(key[some[big]], np.int64(tree * 4 + y + 2), np.int64(seed))
+        out[some, y] = poisson(mean, _uniform(key[some], np.int64(tree * 4 + y), np.int64(seed)), u2)
+    return out
 
 
 def gini_loss(w: np.ndarray) -> np.ndarray:
@@ -86,14 +93,17 @@ def gini_loss(w: np.ndarray) -> np.ndarray:
     return total - (w * w).sum(axis=-1) / np.where(total > 0, total, 1)
 
 
-def feature_order(tree: int, node: int, n: int, seed: int) -> np.ndarray:
-    return np.argsort(_uniform(np.arange(n), np.int64(tree), np.int64(node), np.int64(seed)), kind="stable")
+def feature_order(tree: int, node: int | np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Features in the order that a node looks at them; a row a node for many."""
+    node = np.asarray(node, np.int64)[..., None]
+    return np.argsort(_uniform(np.arange(n), np.int64(tree), node, np.int64(seed)), axis=-1, kind="stable")
 
 
 def grow_pure(x: np.ndarray, w: np.ndarray, tree: int, unit: int, some: int, seed: int) -> list[tuple]:
     """Rows (node, left, right, feature, threshold, w0, w1, gain) of a subtree
     grown until every leaf is pure or its features are constant."""
     out: list[list] = []
+    orders: list[list[int]] = []
     stack = [(np.arange(len(x)), -1, 0)]
     while stack:
         rows, parent, side = stack.pop()
@@ -106,7 +116,10 @@ def grow_pure(x: np.ndarray, w: np.ndarray, tree: int, unit: int, some: int, see
         if total.min() <= 0:
             continue
         best = None
-        for looked, f in enumerate(feature_order(tree, unit * 1_000_003 + node, x.shape[1], seed).tolist()):
+        if node >= len(orders):  # for many nodes at once
+            more = unit * 1_000_003 + np.arange(len(orders), node + ORDERS)
+            orders += feature_order(tree, more, x.shape[1], seed).tolist()
+        for looked, f in enumerate(orders[node]):
             if looked >= some and best:
                 break
             order = np.argsort(x[rows, f], kind="stable")
@@ -178,7 +191,10 @@ def fit(train: DataFrame, label: str, trees: int = 100, some: int = 2, seed: int
         features: list[str] = FEATURES) -> "Forest":
     """``trees`` pure trees; a node looks at ``some`` random features."""
     spark = train.sparkSession
-    table = write_once(exact_cells(train, label, features), "forest-cells")
+    # cells are few bytes and much work: by a given number of partitions, else
+    # they are merged by size and a few tasks draw for all trees
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = write_once(exact_cells(train, label, features).repartition(parts, "key"), "forest-cells")
     edges = quantile_edges(train, features)
     top = Top(trees)
     active = _large(table, top, {t: [0] for t in range(trees)}, features, seed)
@@ -188,8 +204,10 @@ def fit(train: DataFrame, label: str, trees: int = 100, some: int = 2, seed: int
         for r in _best_splits(sums, features, some, seed).collect():  # one row a node that is split
             e = edges[r.feature]
             top.stats[r.tree, r.node] = (r.w0, r.w1, r.gain)
-            grown.setdefault(r.tree, []).extend(top.split(r.tree, r.node, r.feature, e[r.cut]))
-        active = _large(table, top, grown, features, seed) if grown else {}
+            for child, n in zip(top.split(r.tree, r.node, r.feature, e[r.cut]), (r.n_left, r.n_right)):
+                if n > HANDOFF:
+                    grown.setdefault(r.tree, []).append(child)
+        active = grown
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
     _subtrees(table, top, some, seed, features).unionByName(_top_rows(spark, top)).write.parquet(path)
     delete_on_exit(spark, path)
@@ -227,7 +245,7 @@ def _large(table: DataFrame, top: Top, nodes: dict[int, list[int]], features: li
 
 def _histograms(table: DataFrame, top: Top, nodes: dict[int, list[int]], edges: list[list[float]],
                 features: list[str], seed: int) -> DataFrame:
-    """(tree, node, feature, bin, w0, w1) of the given nodes."""
+    """(tree, node, feature, bin, w0, w1, n) of the given nodes, n drawn cells."""
     shared = table.sparkSession.sparkContext.broadcast((top.columns(), nodes, [np.array(e) for e in edges]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,21 +261,25 @@ def _histograms(table: DataFrame, top: Top, nodes: dict[int, list[int]], edges:
                 cell = ((at[here, None] * n_features + np.arange(n_features)) * n_bins + bins[here]).ravel()
                 used, cell = np.unique(cell, return_inverse=True)
                 sums = [np.bincount(cell, np.repeat(w[here, y], n_features), len(used)) for y in (0, 1)]
+                sums.append(np.bincount(cell, minlength=len(used)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(used), t)), pa.array(slots[used // (n_bins * n_features)]),
                      pa.array(used // n_bins % n_features), pa.array(used % n_bins), *map(pa.array, sums)],
-                    ["tree", "node", "feature", "bin", "w0", "w1"])
+                    ["tree", "node", "feature", "bin", "w0", "w1", "n"])
 
-    return table.mapInArrow(run, "tree long, node long, feature long, bin long, w0 double, w1 double") \
-        .groupBy("tree", "node", "feature", "bin").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    return table.mapInArrow(run, "tree long, node long, feature long, bin long, w0 double, w1 double, n long") \
+        .groupBy("tree", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("w0", "w1", "n")])
 
 
 def _best_splits(sums: DataFrame, features: list[str], some: int, seed: int) -> DataFrame:
-    """The split of each node: least Gini loss among the features it looks at."""
+    """The split of each node: least Gini loss among the features it looks at,
+    with the drawn cells of both sides."""
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         tree, node = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0])
         h = np.zeros((len(features), int(pdf["bin"].max()) + 1, 2))
         h[pdf["feature"], pdf["bin"]] = pdf[["w0", "w1"]].to_numpy()
+        cells = np.zeros(h.shape[:2], np.int64)
+        cells[pdf["feature"], pdf["bin"]] = pdf["n"]
         total = h[0].sum(axis=0)
         best = None
         for looked, f in enumerate(feature_order(tree, node, len(features), seed).tolist()):
@@ -269,12 +291,14 @@ def _best_splits(sums: DataFrame, features: list[str], some: int, seed: int) ->
             if len(loss) and np.isfinite(loss).any() and (best is None or loss.min() < best[0]):
                 best = float(loss.min()), f, int(loss.argmin())
         if best is None or total.min() <= 0:
-            return pd.DataFrame(columns=["tree", "node", "feature", "cut", "w0", "w1", "gain"])
-        return pd.DataFrame([(tree, node, best[1], best[2], total[0], total[1], float(gini_loss(total)) - best[0])],
-                            columns=["tree", "node", "feature", "cut", "w0", "w1", "gain"])
-
-    return sums.groupBy("tree", "node").applyInPandas(
-        pick, "tree int, node int, feature int, cut int, w0 double, w1 double, gain double")
+            return pd.DataFrame(columns=names)
+        _, f, cut = best
+        n_left, n_right = cells[f, :cut + 1].sum(), cells[f, cut + 1:].sum()
+        return pd.DataFrame([(tree, node, f, cut, total[0], total[1], float(gini_loss(total)) - best[0], n_left, n_right)], columns=names)
+
+    schema = "tree int, node int, feature int, cut int, w0 double, w1 double, gain double, n_left long, n_right long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return sums.groupBy("tree", "node").applyInPandas(pick, schema)
 
 
 def _subtrees(table: DataFrame, top: Top, some: int, seed: int, features: list[str]) -> DataFrame:
