@@ -155,3 +155,29 @@ def test_text_lines(spark):
     row = spark.createDataFrame([(1, 3.0, 8000.0, 0.25, -1.5)], "event_id int, h double, f double, phi_h double, phi_f double")
     assert [r.line for r in X.shap_lines(row, features=["h", "f"]).orderBy("pos").collect()] == [
         f"  🔻 SAFE {'f':20s} = {8000.0:8.1f} | {-1.5:+.3f} {'█' * 50}", f"  🔺 RISK {'h':20s} = {3.0:8.1f} | {0.25:+.3f} {'█' * 12}"]
+
+
+def test_vectors_that_no_threshold_tells_apart_are_walked_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    # a root on feature 0 at 10, below it feature 1 at 3
+    tree = (np.array([0, 1, -1, -1, -1]), np.array([10.0, 3.0, 0, 0, 0]), np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]),
+            np.array([0, 0, 0.9, 0.1, 0.4]), np.array([10.0, 6, 4, 2, 4]))
+    x = rng.integers(0, 1000, (500, 3)).astype(float)
+    x[::3, 0] %= 12
+    x[::2, 1] %= 5
+    sizes = []
+    walk = X.coalition_values
+    monkeypatch.setattr(X, "coalition_values", lambda rows, t: sizes.append(len(rows)) or walk(rows, t))
+    phi, base, p = X.shap_values(x, [tree, tree])
+    assert sizes[0] <= 4  # two cells of either feature
+    for i in rng.integers(0, 500, 20):
+        one = X.shap_values(x[i:i + 1], [tree, tree])
+        assert np.allclose(phi[i], one[0][0]) and np.isclose(base[i], one[1][0]) and np.isclose(p[i], one[2][0])
+    assert np.allclose(phi.sum(1) + base, p)
+
+
+def test_batches_are_filled_across_record_batches():
+    import pyarrow as pa
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(a, b))], ["v"]) for a, b in ((0, 3), (3, 3), (3, 10), (10, 11))]
+    got = [b.column("v").to_pylist() for b in X.in_batches(iter(parts), 4)]
+    assert got == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10]]

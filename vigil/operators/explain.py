@@ -11,13 +11,15 @@ thresholds cut the features of S into.  A task takes a batch of distinct
 feature vectors, finds for every tree and coalition the distinct cells among
 them, and walks all of these down the tree together, one level at a time; a
 walk only visits nodes that the coalition can reach.  Vectors are sorted
-before, so that a batch holds few cells.  No row meets a leaf that it can't
+before, so that a batch holds few cells, and vectors that no threshold of any
+tree tells apart are explained once a batch.  No row meets a leaf that it can't
 reach, nothing is shuffled per tree, and rows are joined to vectors once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,7 +52,7 @@ def _shapley_matrix(m: int) -> np.ndarray:
     return out
 
 
-BATCH = 1 << 14     # vectors a task explains at a time
+BATCH = 1 << 15     # vectors a task explains at a time
 FRONTIER = 1 << 19  # walks that are moved on at a time
 
 
@@ -113,13 +115,43 @@ def shap_values(x: np.ndarray, trees: list[tuple]) -> tuple[np.ndarray, np.ndarr
     prediction (n)."""
     m = x.shape[1]
     combine = _shapley_matrix(m)
+    first, alike = told_apart(x, trees)
+    x = x[first]
     phi, base, p = np.zeros(x.shape), np.zeros(len(x)), np.zeros(len(x))
     for tree in trees:
         v = coalition_values(x, tree)
         phi += v @ combine
         base += v[:, 0]
         p += v[:, -1]
-    return phi, base, p
+    return phi[alike], base[alike], p[alike]
+
+
+def told_apart(x: np.ndarray, trees: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x``, one of each set that no threshold tells apart, and for
+    every row the place of its own among them."""
+    code = np.zeros(len(x), np.int64)
+    for f in range(x.shape[1]):
+        cuts = np.unique(np.concatenate([threshold[feature == f] for feature, threshold, *_ in trees]))
+        _, bins = np.unique(np.searchsorted(cuts, x[:, f]), return_inverse=True)
+        # numbered anew after each feature, so codes stay below the rows squared
+        _, first, code = np.unique(code * (bins.max(initial=0) + 1) + bins, return_index=True, return_inverse=True)
+    return first, code
+
+
+def in_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of an iterator of record batches, ``size`` at a time."""
+    held, n = [], 0
+    for rb in batches:
+        while rb.num_rows:
+            part = rb.slice(0, size - n)
+            rb = rb.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 # ----------------------------------------------------------------- distributed SHAP
@@ -138,28 +170,33 @@ def vector_shap(rows: DataFrame, model: Forest, features: list[str] = FEATURES)
     # few values first: vectors of a batch then differ in few features
     order = ["login_attempts", "hour_of_day", "foreign_ip", "unknown_device"]
     order = [c for c in order if c in features] + [c for c in features if c not in order]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = write_once(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "vectors")
-
-    def add_up(piece: dict) -> DataFrame:
-        shared = spark.sparkContext.broadcast(list(piece.values()))  # at most PIECE_NODES nodes
+    rows = write_once(rows, "vectors")
+    # a task has about a batch, for a walk serves all its rows; work for every
+    # core, and less uneven work, comes from tasks for some of the trees each
+    parts = max(1, -(-rows.count() // (BATCH * 3 // 4)))
+    groups = max(4, -(-2 * spark.sparkContext.defaultParallelism // parts))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def add_up(trees: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(trees)  # at most PIECE_NODES nodes
         count = model.trees
 
         def run(batches):
-            for rb in batches:
-                for lo in range(0, rb.num_rows, BATCH):
-                    part = rb.slice(lo, BATCH)
-                    x = np.stack([part.column(c).to_numpy() for c in features], axis=1)
-                    phi, base, p = shap_values(x, shared.value)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(part.column(c) for c in [*features, "rows"]),
-                         *(pa.array(phi[:, i] / count) for i in range(len(features))), pa.array(base / count), pa.array(p / count)],
-                        schema.names)
+            for part in in_batches(batches, BATCH):
+                x = np.stack([part.column(c).to_numpy() for c in features], axis=1)
+                phi, base, p = shap_values(x, shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in [*features, "rows"]),
+                     *(pa.array(phi[:, i] / count) for i in range(len(features))), pa.array(base / count), pa.array(p / count)],
+                    schema.names)
 
         return placed.select(*features, "rows").mapInArrow(run, schema)
 
     # the values add up over trees: a forest of any size goes piece by piece
-    pieces = [add_up(stitch(nodes)) for nodes in model.pieces(spark)]
+    pieces = []
+    for trees in (list(stitch(nodes).values()) for nodes in model.pieces(spark)):
+        n = min(groups, len(trees))
+        pieces += [add_up(trees[i::n]) for i in range(n)]
     total = pieces[0]
     for piece in pieces[1:]:
         total = total.unionByName(piece)
