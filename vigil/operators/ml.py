@@ -4,22 +4,25 @@
   and executor loss, unlike ``randomSplit`` on an unordered input)
 - forest: 100 pure trees of ``forest``; boosted: second-order trees of
   ``boosting`` (200 rounds, depth 6, step 0.1), threats weighted 5x; network:
-  ``MultilayerPerceptronClassifier`` 6-64-32-16-2 on standardised inputs
+  ``MultilayerPerceptronClassifier`` 6-64-32-16-2 on standardised inputs, its
+  weights trained by ``network``
 - scoring is ``transform`` + the class-1 probability as a DOUBLE column
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.scoring import API_CUTS, FEATURE_DEFAULTS, risk_level
 from vigil.functions.text import py_round
-from vigil.operators import boosting, forest
+from vigil.operators import boosting, forest, network
 from vigil.operators.boosting import BoostedTrees
 from vigil.operators.forest import Forest
 from vigil.schema import FEATURES
@@ -66,10 +69,15 @@ def train_mlp(train: DataFrame, label: str = "is_threat", layers: list[int] = ML
     """M6: standardise (Spark's scaler divides by the sample std; the
     population version is ``metrics.standardise``) then a 6-64-32-16-2 network."""
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=layers,
-                                         maxIter=max_iter, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="raw_features"), scaler, mlp]).fit(
-        train.withColumn(label, F.col(label).cast("double")))
+    inputs = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="raw_features"), scaler]).fit(train)
+    mean, std = (np.array(v) for v in (inputs.stages[1].mean, inputs.stages[1].std))
+    factor = np.divide(1, std, out=np.zeros(len(std)), where=std != 0)
+    # without a step Spark's fit gives its starting weights, or the given ones as a model
+    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=layers, maxIter=0, seed=SEED)
+    row = train.sparkSession.createDataFrame([(Vectors.dense([0.0] * layers[0]), 0.0)], ["features", label])
+    weights = network.fit(train, label, layers, mlp.fit(row).weights.toArray(), mean, factor, max_iter, mlp.getTol())
+    trained = mlp.setInitialWeights(Vectors.dense(weights)).fit(row)
+    return PipelineModel(stages=[*inputs.stages, trained])
 
 
 def prepare_features(df: DataFrame, defaults: dict = FEATURE_DEFAULTS) -> DataFrame:
