@@ -5,6 +5,7 @@ import os
 import tempfile
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -154,3 +155,13 @@ def test_chunks_and_their_tasks_grow_in_number_with_the_rows(spark, monkeypatch)
     assert len(sizes) == 40 and max(sizes) <= 200
     rows = OS.by_chunk(seq, "k", OS.chunk_prefix(seq, "k", {"n": "*"}))
     assert rows.rdd.getNumPartitions() == 40 and rows.count() == 4000
+
+
+def test_rows_are_not_sorted_for_the_join_with_carries(spark):
+    seq = OS.sequence_within(_hot_frame(spark).withColumn("v", F.lit("x")), "user_id", ["timestamp", "event_id"], num_chunks=4)
+    carries = OS.chunk_prefix(seq, "user_id", {"n": "*"}).join(OS.running_mode_carry(seq, "user_id", {"v": "v"}), ["user_id", CHUNK])
+    rows = OS.with_carries(seq, carries, "user_id", {"v": "v"})
+    plan = _physical(rows.withColumn("best", OS.running_mode(Window.partitionBy("user_id", CHUNK).orderBy(OS.GID), "v", "v")))
+    joined = plan[:plan.index("ShuffledHashJoin [user_id")]
+    assert joined.count("Sort [") == 1 and "Window [" in joined  # for the window; the value counts come before the join
+    assert rows.count() == 6000 and rows.groupBy("user_id").agg(F.max("_v_c").alias("c"), F.count("*").alias("n")).filter("c <> n").count() == 0

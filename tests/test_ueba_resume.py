@@ -54,6 +54,16 @@ def test_a_state_holds_at_most_the_window(spark):
     assert all(k == min(n, 20) for n, k in sizes.values()) and sizes["hot"][0] > 20
 
 
+def test_a_part_scans_only_its_new_events(spark, tmp_path, monkeypatch):
+    rows, scanned, whole = events(13), [], U.sequence_within
+    monkeypatch.setattr(U, "sequence_within", lambda df, *a: scanned.append(df.count()) or whole(df, *a))
+    state = None
+    for i, (lo, hi) in enumerate([(0, 250), (250, 370), (370, 400)]):
+        scored, state = U.ueba_resume(spark.createDataFrame(rows[lo:hi], SCHEMA), state, 50, folder=str(tmp_path / str(i)))
+        assert scored.count() == hi - lo
+    assert scanned == [250, 120, 30]
+
+
 def test_users_without_new_events_stay(spark):
     rows = events(11)
     _, one = U.ueba_resume(spark.createDataFrame(rows, SCHEMA))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vigil.functions.text import py_round, tmpl
 from vigil.session import write_once
 from vigil.plans.ordered_scan import (CHUNK, GID, UNB, by_chunk, chunk_prefix, running_mode, running_mode_carry,
-                                      sequence_within, with_carries, with_value_counts)
+                                      sequence_within, with_carries)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -74,9 +74,9 @@ def _pystr(x: Column) -> Column:
 
 def _scan(logs: DataFrame, window: int, num_chunks: int | None, state: "UebaState | None") -> DataFrame:
     """Rows in each user's order with running counts, prefix sums (``cs_*``),
-    those ``window`` rows back (``back_*``) and running modes.  With a state
-    the rows of its rings come first (``old``); their values are counted in
-    the state's value table."""
+    those ``window`` rows back in the chunk (``lag``) and running modes.
+    With a state its rings only set where counts and sums begin; their values
+    are counted in the state's value table."""
     base = logs.select(
         "event_id", "timestamp",
         F.coalesce(F.col("user_id"), F.lit("unknown")).alias("user_id"),
@@ -87,49 +87,43 @@ def _scan(logs: DataFrame, window: int, num_chunks: int | None, state: "UebaStat
         F.coalesce(F.col("location"), F.lit("Unknown")).alias("loc_key"),
         F.coalesce(F.col("device"), F.lit("unknown")).alias("dev_key"),
     )
-    order = ["timestamp", "event_id"]
-    if state is not None:
-        touched = base.select("user_id").distinct()
-        profiles = state.profiles.join(touched, "user_id", "left_semi")
-        ring = profiles.select("user_id", F.posexplode("ring").alias("at", "r")).select(
-            "user_id", F.col("at").cast("long").alias("event_id"), "r.hour", "r.files", "r.upload", F.lit(True).alias("old"))
-        base = base.withColumn("old", F.lit(False)).unionByName(ring, allowMissingColumns=True)
-        # rows of the ring have no time: nulls sort first, and their event_id is their place
-        order = ["_new", "timestamp", "event_id"]
-        base = base.withColumn("_new", ~F.col("old"))
     base = base.withColumn("hour2", F.col("hour").cast("long") * F.col("hour")) \
                .withColumn("files2", F.col("files") * F.col("files"))
 
-    seq = sequence_within(base, "user_id", order, num_chunks)
+    seq = sequence_within(base, "user_id", ["timestamp", "event_id"], num_chunks)
 
     sums = {"n": "*", "sh": "hour", "sf": "files", "su": "upload", "sh2": "hour2", "sf2": "files2"}
     prefix = chunk_prefix(seq, "user_id", sums).withColumn(
         "n_total", F.max("n_end").over(Window.partitionBy("user_id")))  # chunk rows: few a user
-    if state is None:
-        modes = running_mode_carry(seq, "user_id", {"loc": "loc_key", "dev": "dev_key"})
-        carries = prefix.join(modes, ["user_id", CHUNK])
-    else:
-        # counts go on from the state: rows older than the ring are skipped
-        skip = profiles.select("user_id", (F.col("n") - F.size("ring")).alias("_skip"))
-        counts = ["n_before", "n_end", "n_total"]
-        prefix = prefix.join(skip, "user_id", "left").withColumns(
-            {c: F.col(c) + F.coalesce(F.col("_skip"), F.lit(0)) for c in counts}).drop("_skip")
-        modes = running_mode_carry(seq.filter(~F.col("old")), "user_id", {"loc": "loc_key", "dev": "dev_key"},
-                                   state.values.join(touched, "user_id", "left_semi").filter("attr IN ('loc', 'dev')"))
-        carries = prefix.join(modes, ["user_id", CHUNK], "left")
+    known = None
+    if state is not None:
+        # counts and sums go on from the state: its events, the sums of its ring
+        touched = seq.select("user_id").distinct()
+        old = state.profiles.join(touched, "user_id", "left_semi").select(
+            "user_id", F.col("n").alias("_n"), *[c.alias(f"_{x}") for x, c in ring_sums().items()])
+        begin = {c: x for x in sums for c in ([f"{x}_before", "n_end", "n_total"] if x == "n" else [f"{x}_before"])}
+        prefix = prefix.join(old, "user_id", "left").withColumns(
+            {c: F.col(c) + F.coalesce(F.col(f"_{x}"), F.lit(0)) for c, x in begin.items()}
+            | {"_seen": F.col("_n").isNotNull()}).drop(*[f"_{x}" for x in sums])
+        known = state.values.join(touched, "user_id", "left_semi").filter("attr IN ('loc', 'dev')")
+    modes = running_mode_carry(seq, "user_id", {"loc": "loc_key", "dev": "dev_key"}, known)
+    carries = prefix.join(modes, ["user_id", CHUNK])
 
     names = ["sh", "sf", "su", "sh2", "sf2"]
     carries = carries.drop(*[f"{x}_end" for x in names])
     rows = with_carries(seq.drop("hour2", "files2"), carries, "user_id", {"loc": "loc_key", "dev": "dev_key"})
     w = Window.partitionBy("user_id", CHUNK).orderBy(GID)
     run = w.rowsBetween(UNB, 0)
-    # per-value counts first (one sort each), then every (user, chunk, position)
-    # window in one pass: three sorts of the row frame in total
-    rows = with_value_counts(rows, "loc_key", "loc", "user_id")
-    rows = with_value_counts(rows, "dev_key", "dev", "user_id")
+    # per-value counts came first (one sort each, without the carries), then
+    # every (user, chunk, position) window in one pass
+
+    def so_far(col: Column) -> Column:
+        s = F.sum(col).over(run)
+        return s if state is None else F.coalesce(s, F.when(F.col("_seen"), 0))
+
     rows = rows.select(
         "*", F.row_number().over(w).alias("pos"),
-        *[(F.col(f"{name}_before") + F.sum(col).over(run)).alias(f"cs_{name}")
+        *[(F.col(f"{name}_before") + so_far(col)).alias(f"cs_{name}")
           for name, col in zip(names, [F.col("hour"), F.col("files"), F.col("upload"), F.col("hour").cast("long") * F.col("hour"),
                                        F.col("files") * F.col("files")])],
         running_mode(run, "loc_key", "loc").alias("usual_location"),
@@ -141,21 +135,23 @@ def _scan(logs: DataFrame, window: int, num_chunks: int | None, state: "UebaStat
     # earlier chunk (at most `window` per (user, chunk)) get it from an equi-join
     # on (user, position).  One plan for users of any length: the windowed rows
     # are written once, and users within the window add no row to the join.
-    for x in names:
-        rows = rows.withColumn(f"lag_{x}", F.lag(f"cs_{x}", window).over(w))
-    drop = ["loc_prev", "dev_prev", "_loc_c", "_dev_c", "_loc_fs", "_dev_fs", "loc_key", "dev_key", GID]
+    rows = rows.withColumn("lag", F.lag(F.struct(*[f"cs_{x}" for x in names]), window).over(w))
+    drop = ["loc_prev", "dev_prev", "_loc_c", "_dev_c", "_loc_fs", "_dev_fs", "loc_key", "dev_key", "_seen", GID]
     return write_once(rows.drop(*drop, *[f"{x}_before" for x in names]), "windowed")
 
 
-def _with_back(rows: DataFrame, window: int) -> DataFrame:
-    """``back_*``: the prefix sums ``window`` rows before each row."""
+def _with_back(rows: DataFrame, window: int, rings: DataFrame | None = None) -> DataFrame:
+    """``back_*``: the prefix sums ``window`` rows before each row; ``rings``
+    has those of events before the rows (user_id, _ref_n, back_*)."""
     names = ["sh", "sf", "su", "sh2", "sf2"]
     needs_join = (F.col("n") > window) & (F.col("pos") <= window)
     direct = rows.filter(~needs_join).select(
-        "*", *[F.when(F.col("n") > window, F.col(f"lag_{x}")).otherwise(F.lit(0)).alias(f"back_{x}")
+        "*", *[F.when(F.col("n") > window, F.col(f"lag.cs_{x}")).otherwise(F.lit(0)).alias(f"back_{x}")
                for x in names])
     refs = rows.filter((F.col("n") + window > F.col("n_end")) & (F.col("n") + window <= F.col("n_total"))).select(
         "user_id", F.col("n").alias("_ref_n"), *[F.col(f"cs_{x}").alias(f"back_{x}") for x in names])
+    if rings is not None:
+        refs = refs.unionByName(rings)
     joined = (rows.filter(needs_join).withColumn("_ref_n", F.col("n") - window)
                   .join(refs, ["user_id", "_ref_n"], "left").drop("_ref_n"))
     return direct.unionByName(joined)
@@ -166,8 +162,8 @@ def ueba_features(logs: DataFrame, window: int = UEBA_WINDOW, num_chunks: int |
     return _features(_scan(logs, window, num_chunks, None), window)
 
 
-def _features(scanned: DataFrame, window: int) -> DataFrame:
-    rows = _with_back(scanned, window)
+def _features(scanned: DataFrame, window: int, rings: DataFrame | None = None) -> DataFrame:
+    rows = _with_back(scanned, window, rings)
     cnt = F.least(F.col("n"), F.lit(window)).cast("double")
 
     def mean(x: str) -> Column:
@@ -328,18 +324,40 @@ class UebaState:
         return cls(spark.read.parquet(f"{path}/profiles"), spark.read.parquet(f"{path}/values"))
 
 
+def ring_sums() -> dict[str, Column]:
+    """Sums over a profile's ring, as the scan's prefix sums are named."""
+    def total(f):
+        return F.aggregate("ring", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(f(x).cast("long"), F.lit(0)))
+    return {"sh": total(lambda x: x["hour"]), "sf": total(lambda x: x["files"]), "su": total(lambda x: x["upload"]),
+            "sh2": total(lambda x: x["hour"] * x["hour"]), "sf2": total(lambda x: x["files"] * x["files"])}
+
+
+def _ring_refs(scanned: DataFrame, state: UebaState, window: int) -> DataFrame:
+    """Prefix sums at the ring entries that leave the window while new events
+    come in: only users past ``window``, at most as many entries as they have
+    new events."""
+    past = scanned.filter(F.col("n_total") > window).groupBy("user_id").agg(F.max("n_total").alias("n_total"))
+    rows = state.profiles.join(past, "user_id").select(
+        "user_id", "n_total", (F.col("n") - F.size("ring")).alias("_skip"), F.posexplode("ring").alias("_at", "r"))
+    run = Window.partitionBy("user_id").orderBy("_at").rowsBetween(UNB, 0)  # a ring: at most `window` rows
+    h, f, u = (F.col(f"r.{x}").cast("long") for x in ("hour", "files", "upload"))
+    at = F.col("_skip") + F.col("_at") + 1
+    return rows.select("user_id", "n_total", at.alias("_ref_n"), *[
+        F.coalesce(F.sum(c).over(run), F.lit(0)).alias(f"back_{x}")
+        for x, c in {"sh": h, "sf": f, "su": u, "sh2": h * h, "sf2": f * f}.items()
+    ]).filter(F.col("_ref_n") + window <= F.col("n_total")).drop("n_total")
+
+
 def ueba_resume(logs: DataFrame, state: UebaState | None = None, window: int = UEBA_WINDOW,
-                num_chunks: int | None = None) -> tuple[DataFrame, UebaState]:
+                num_chunks: int | None = None, folder: str | None = None) -> tuple[DataFrame, UebaState]:
     """W1-W5, A43, A44 going on from a stored state: new events scored, and the
-    state after them.  History isn't read again, only the rings and value
-    counts of users with new events."""
+    state after them (saved to ``folder`` and read back, if given).  History isn't read again, only the rings and value
+    counts of users with new events, and no ring's entries are rows of the scan."""
     scanned = _scan(logs, window, num_chunks, state)
-    if "old" not in scanned.columns:
-        scanned = scanned.withColumn("old", F.lit(False))
-    fresh = _features(scanned, window).filter(~F.col("old"))
+    fresh = _features(scanned, window, None if state is None else _ring_refs(scanned, state, window))
     scored = write_once(ueba_score(fresh), "scored")
 
-    # a ring holds at most `window` entries, from at most two chunks' ends
+    # new entries of a ring: at most `window`, from at most two chunks' ends
     ring = scanned.filter(F.col("n") > F.col("n_total") - window).groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.struct("n", "hour", "files", "upload"))).alias("r"))
     ring = ring.select("user_id", F.transform("r", lambda x: F.struct(x["hour"], x["files"], x["upload"])).alias("ring"))
@@ -358,10 +376,14 @@ def ueba_resume(logs: DataFrame, state: UebaState | None = None, window: int = U
             "user_id", F.coalesce("n", "_n").alias("n"),
             (F.coalesce("threat_count", F.lit(0)) + F.coalesce("_threat_count", F.lit(0))).alias("threat_count"),
             F.least("first_seen", "_first_seen").alias("first_seen"), F.greatest("last_seen", "_last_seen").alias("last_seen"),
-            F.coalesce("ring", "_ring").alias("ring"))
+            F.concat(F.coalesce("_ring", F.array()), F.coalesce("ring", F.array())).alias("ring"))
+        profiles = profiles.withColumn("ring", F.slice("ring", F.greatest(F.lit(1), F.size("ring") - window + 1), window))
         values = values.unionByName(state.values).groupBy("user_id", "attr", "value").agg(
             F.sum("count").alias("count"), F.min("first").alias("first"))
-    return scored, UebaState(write_once(profiles, "profiles"), write_once(values, "values"))
+    if folder is None:
+        return scored, UebaState(write_once(profiles, "profiles"), write_once(values, "values"))
+    UebaState(profiles, values).save(folder)
+    return scored, UebaState.load(profiles.sparkSession, folder)
 
 
 def state_modes(state: UebaState) -> DataFrame:

@@ -35,12 +35,19 @@ def _chunks(rows: DataFrame) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHUNK_ROWS))
 
 
-def by_chunk(seq: DataFrame, key: str, carries: DataFrame) -> DataFrame:
+def by_chunk(seq: DataFrame, key: str, carries: DataFrame, counted: dict[str, str] | None = None) -> DataFrame:
     """Rows of a sequenced frame joined to the carries of their (key, chunk).
     The number of partitions is given on both sides, so that it grows with the
-    rows and small partitions aren't merged into large tasks."""
+    rows and small partitions aren't merged into large tasks.  The carries (at
+    most one a row of the chunk) are the hashed side, so rows aren't sorted for
+    the join.  With ``counted`` (prefix to column) rows get ``_<prefix>_c``,
+    the count of their value so far in the chunk; these sorts come before the
+    rows have the columns of the carries."""
     n = _chunks(seq)
-    return seq.repartition(n, key, CHUNK).join(carries.repartition(n, key, CHUNK), [key, CHUNK])
+    rows = seq.repartition(n, key, CHUNK)
+    for p, c in (counted or {}).items():
+        rows = with_value_counts(rows, c, p, key)
+    return rows.join(carries.repartition(n, key, CHUNK).hint("shuffle_hash"), [key, CHUNK])
 
 
 def sequence_within(df: DataFrame, key: str, order: list[str], num_chunks: int | None = None,
@@ -111,17 +118,18 @@ def running_mode_carry(seq: DataFrame, key: str, attrs: dict[str, str], known: D
 
 def with_carries(seq: DataFrame, carries: DataFrame, key: str, attrs: dict[str, str]) -> DataFrame:
     """Rows with the carries of their (key, chunk); of a carry map a row keeps
-    only its own value's entry (``_<prefix>_before``, ``_<prefix>_fs``)."""
-    rows = by_chunk(seq, key, carries)
+    only its own value's entry: its count so far for the key (``_<prefix>_c``)
+    and first position (``_<prefix>_fs``)."""
+    rows = by_chunk(seq, key, carries, attrs)
     own = {p: F.col(f"{p}_carry")[F.col(c)] for p, c in attrs.items()}
-    return rows.select("*", *[own[p]["before"].alias(f"_{p}_before") for p in attrs],
-                       *[own[p]["fs"].alias(f"_{p}_fs") for p in attrs]).drop(*[f"{p}_carry" for p in attrs])
+    rows = rows.withColumns({f"_{p}_c": own[p]["before"] + F.col(f"_{p}_c") for p in attrs}
+                            | {f"_{p}_fs": own[p]["fs"] for p in attrs})
+    return rows.drop(*[f"{p}_carry" for p in attrs])
 
 
 def with_value_counts(df: DataFrame, attr: str, prefix: str, key: str) -> DataFrame:
-    """Occurrences of the row's value so far for its key (carry + in-chunk count)."""
-    w_in = Window.partitionBy(key, CHUNK, attr).orderBy(GID)
-    return df.withColumn(f"_{prefix}_c", F.col(f"_{prefix}_before") + F.row_number().over(w_in)).drop(f"_{prefix}_before")
+    """Occurrences of the row's value so far in its (key, chunk)."""
+    return df.withColumn(f"_{prefix}_c", F.row_number().over(Window.partitionBy(key, CHUNK, attr).orderBy(GID)))
 
 
 def running_mode(run: Window, attr: str, prefix: str) -> Column:

@@ -27,9 +27,7 @@ def resumed(spark, sf, parts: int = PARTS) -> tuple[list[DataFrame], U.UebaState
             part = part.filter(F.col("timestamp") >= F.lit(lo))
         if hi is not None:
             part = part.filter(F.col("timestamp") < F.lit(hi))
-        scored, new = U.ueba_resume(part, state)
-        new.save(f"{folder}/{i}")
-        state = U.UebaState.load(spark, f"{folder}/{i}")
+        scored, state = U.ueba_resume(part, state, folder=f"{folder}/{i}")
         out.append(scored)
     return out, state
 
