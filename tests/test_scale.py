@@ -14,6 +14,7 @@ from vigil.operators import investigate as I
 from vigil.operators import ueba as U
 from vigil.plans import ordered_scan as OS
 from vigil.plans.ordered_scan import CHUNK, sequence_within
+from vigil.session import write_once
 from vigil.sources.fixture import security_logs
 from vigil.streaming import streams as S
 from vigil.streaming.ueba_state import stream_ueba
@@ -157,6 +158,22 @@ def test_chunks_and_their_tasks_grow_in_number_with_the_rows(spark, monkeypatch)
     assert rows.rdd.getNumPartitions() == 40 and rows.count() == 4000
 
 
+def test_rows_to_be_ordered_lie_in_files_of_a_chunk(spark, monkeypatch):
+    written = {}
+
+    def kept(df, tag, *args):
+        written[tag] = write_once(df, tag, *args)
+        return written[tag]
+
+    monkeypatch.setattr(OS, "CHUNK_ROWS", 100)
+    monkeypatch.setattr(OS, "write_once", kept)
+    df = spark.range(0, 4000, 1, 1).select((F.col("id") % 3).alias("k"), "id")
+    seq = OS.sequence_within(df, "k", ["id"])
+    files = [r["count"] for r in written["unordered"].groupBy(F.input_file_name()).count().collect()]
+    assert files == [100] * 40                   # one task wrote them; a packed few are read by one
+    assert seq.orderBy(OS.GID).select("k", "id").collect() == df.orderBy("k", "id").collect()
+
+
 def test_rows_are_not_sorted_for_the_join_with_carries(spark):
     seq = OS.sequence_within(_hot_frame(spark).withColumn("v", F.lit("x")), "user_id", ["timestamp", "event_id"], num_chunks=4)
     carries = OS.chunk_prefix(seq, "user_id", {"n": "*"}).join(OS.running_mode_carry(seq, "user_id", {"v": "v"}), ["user_id", CHUNK])

@@ -54,7 +54,9 @@ def sequence_within(df: DataFrame, key: str, order: list[str], num_chunks: int |
                     checkpoint: bool = True) -> DataFrame:
     """Tag rows with ``_gid`` (global position, monotone in key+order) and ``_chunk``."""
     if num_chunks is None:
-        df = write_once(df, "unordered")  # counted, sampled for the bounds and then sorted
+        # counted, sampled for the bounds and then sorted; a task that deals the
+        # rows out holds those it reads, which are few files of a chunk's rows
+        df = write_once(df, "unordered", CHUNK_ROWS)
     n = num_chunks or _chunks(df)
     out = (df.repartitionByRange(n, key, *order)
              .sortWithinPartitions(key, *order)
